@@ -71,7 +71,7 @@ def rescale_probability(df: DataFrame, by: Sequence[str], p: str = "p") -> DataF
     return df.join(top, list(by)).withColumn(p, scaled).drop("_top")
 
 
-def decode_properties(text: Column, schema: str) -> Column:
+def decode_properties(text: Column, schema: str | T.StructType) -> Column:
     """JSON text to a struct; bad text gives NULL instead of an error."""
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 

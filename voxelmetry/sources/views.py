@@ -46,7 +46,8 @@ _VIEWS = {
         SELECT o_orderkey AS run_no, o_custkey AS cust, concat('PHerc', CAST(o_custkey AS STRING)) AS scroll,
                CASE WHEN o_orderkey % 11 = 0 THEN concat('notes-', CAST(o_orderkey AS STRING)) ELSE
                  concat(CAST(20230101000000 + (o_custkey % 28) * 1000000 + (o_custkey % 24) * 10000 AS STRING),
-                        '-surface-', CAST(20240101000000 + (o_orderkey % 28) * 1000000 AS STRING), '-',
+                        '-surface-', CAST(20240101000000 + (o_orderkey % 28) * 1000000 + CAST(floor(o_orderkey / 28) AS BIGINT) % 24 * 10000
+                                                                         + CAST(floor(o_orderkey / 672) AS BIGINT) % 60 * 100 + CAST(floor(o_orderkey / 40320) AS BIGINT) % 60 AS STRING), '-',
                         CASE o_orderkey % 3 WHEN 0 THEN 'm7' WHEN 1 THEN 'm7-tta' ELSE 'recto-2um-ps256' END,
                         '-L', CAST(o_orderkey % 2 + o_orderkey % 3 AS STRING), '-th',
                         CASE o_orderstatus WHEN 'F' THEN '0.2' WHEN 'O' THEN '0.35' ELSE '0.5' END, '.zarr') END AS name,
@@ -94,7 +95,7 @@ SQL_VIEWS = {
     name: re.sub(r"\{(\w+)\}", r"\1", body)
     .replace("ORIGIN", "1")
     .replace("UNNEST_21", "unnest(range(21))")
-    .replace("UNNEST_5", "unnest(range(5))")
+    .replace("UNNEST_5", "CAST(unnest(range(5)) AS INT)")
     for name, body in _VIEWS.items()
 }
 _SPARK_VIEWS = {
