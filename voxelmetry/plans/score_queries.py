@@ -274,11 +274,11 @@ def a47(t):
 def a46(t):
     counts = t.scored.groupBy("label").agg(F.count("*").alias("n"))
     # three classes: the totals are one row of three known numbers
-    totals = counts.agg(F.sum("n").alias("N"), F.avg(1 / F.col("n")).alias("m"), F.avg(1 / F.sqrt("n")).alias("ms"))
+    totals = counts.agg(F.struct(F.avg(1 / F.col("n")).alias("m"), F.avg(1 / F.sqrt("n")).alias("ms"))).scalar()
     return counts.select(
         "label", "n",
-        r6(1 / F.col("n") / totals.select("m").scalar()).alias("inverse"),
-        r6(1 / F.sqrt("n") / totals.select("ms").scalar()).alias("inverse_sqrt"),
+        r6(1 / F.col("n") / totals["m"]).alias("inverse"),
+        r6(1 / F.sqrt("n") / totals["ms"]).alias("inverse_sqrt"),
     )
 
 
