@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxelmetry.functions.expr import count_if, r6, ratio, share, sigmoid_of_logits
 from voxelmetry.operators import score as S
 from voxelmetry.plans.registry import query
+from voxelmetry.session import cut_lineage
 
 V = ["volume_id"]
 
@@ -71,6 +72,11 @@ def _endpoints(t):
     return S.endpoints(t.scored, V, min_sheet=50, min_scored=100).where("status = 'ok'")
 
 
+def _records(t):
+    """The endpoints as a written record table, as summaries read them."""
+    return cut_lineage(_endpoints(t), "records")
+
+
 def _rounded(df):
     return df.select(*[r6(c).alias(c) if dt == "double" else F.col(c) for c, dt in df.dtypes])
 
@@ -106,7 +112,7 @@ FIELDS = ["recall", "precision", "precision_lift", "budget_recall"]
 def a10(t):
     located = t.scored.select("volume_id", "located").distinct()
     rep = S.population_report(
-        _endpoints(t).join(located, "volume_id"),
+        _records(t).join(located, "volume_id"),
         FIELDS,
         [("all", F.lit(True)), ("located", F.col("located")), ("other", ~F.col("located"))],
     )
@@ -197,7 +203,7 @@ SUMMARY = """count({v}) AS n, round(avg({v}), 6) AS mean, round(quantile_cont({v
 
 @query("a9_summary", ENDPOINTS_E.replace("round(", "(").replace(", 6)", ")") + " SELECT " + SUMMARY.format(v="recall") + " FROM e")
 def a9(t):
-    return _rounded(S.summary(_endpoints(t), "recall"))
+    return _rounded(S.summary(_records(t), "recall"))
 
 
 @query("p8_status_filter", "SELECT kind, count(*) AS n, round(avg(value), 6) AS mean FROM records WHERE status = 'ok' GROUP BY 1")

@@ -94,7 +94,7 @@ _VIEWS = {
 SQL_VIEWS = {
     name: re.sub(r"\{(\w+)\}", r"\1", body)
     .replace("ORIGIN", "1")
-    .replace("UNNEST_21", "unnest(range(21))")
+    .replace("UNNEST_21", "CAST(unnest(range(21)) AS INT)")
     .replace("UNNEST_5", "CAST(unnest(range(5)) AS INT)")
     for name, body in _VIEWS.items()
 }
