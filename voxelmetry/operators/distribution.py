@@ -18,14 +18,15 @@ W = _w.Window
 RANGES = 128  # power of two, so that the range of a value is found by halving
 
 
-def _range_number(value: Column, edges: Column) -> Column:
+# range cut points and the halving steps of the search, as SQL literals
+_MARKS = "array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")"
+_STEPS = "array(" + ", ".join(str(RANGES >> s) for s in range(1, RANGES.bit_length())) + ")"
+
+
+def _range_number(value: str, edges: str) -> Column:
     """How many of the sorted ``edges`` are <= value, by repeated halving on the JVM."""
-    steps = [F.lit(RANGES >> s) for s in range(1, RANGES.bit_length())]
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(edges, at + step - 1) <= value, step).otherwise(F.lit(0)),
-    )
+    found = f"if(get({edges}, at + step - 1) <= CAST(`{value}` AS DOUBLE), step, 0)"
+    return F.expr(f"aggregate({_STEPS}, 0, (at, step) -> at + {found})")
 
 
 def cumulative(
@@ -48,11 +49,8 @@ def cumulative(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"),
         *[F.sum(c).alias(k) for k, c in sums.items()],
     )
-    marks = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), marks, F.lit(10000))).scalar()
-    ranged = counts.withColumn("_edges", edges).withColumn(
-        "_range", _range_number(F.col(value).cast("double"), F.col("_edges"))
-    ).drop("_edges")
+    edges = counts.agg(F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), {_MARKS}, 10000)")).scalar()
+    ranged = counts.withColumn("_edges", edges).withColumn("_range", _range_number(value, "_edges")).drop("_edges")
 
     # at most RANGES rows per group from here on
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_in_{c}") for c in names])
