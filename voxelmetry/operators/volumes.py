@@ -6,8 +6,10 @@ voxels and a block border needs no special case. A voxel belongs to a volume; a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,45 +87,43 @@ def interface(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], empty:
     return voxels.where(~empty).join(grown, [*by, *AT], "left_semi")
 
 
-def near_offsets(radius: int) -> list[tuple[int, int, int, int]]:
-    return [(z, y, x, z * z + y * y + x * x) for z, y, x in ball(radius)]
+def _nearest_along(df: DataFrame, by: Sequence[str], axis: str, n: int) -> DataFrame:
+    """Lower envelope along one axis: d2 at i becomes min over j of d2(j) + (i - j)^2.
 
+    A line of the volume holds at most n cells, so a task works on batches of short arrays.
+    """
+    others = [c for c in AT if c != axis]
+    lines = df.groupBy(*by, *others).agg(F.collect_list(F.struct(axis, "d2")).alias("line")).select(
+        *by, *others, F.col(f"line.{axis}").alias("pos"), F.col("line.d2").alias("d2")
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("pos", "d2")) + ", line ARRAY<DOUBLE>"
+    steps = (np.arange(n)[:, None] - np.arange(n)[None, :]).astype(float) ** 2
 
-def bounded_distance(points: DataFrame, targets: DataFrame, by: Sequence[str], radius: int, name: str = "distance") -> DataFrame:
-    """Euclidean distance of each point to the nearest target voxel, NULL beyond ``radius``.
+    def envelope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = np.full((len(batch), n), np.inf)
+            rows = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
+            if len(rows):
+                known[rows, np.concatenate(batch["pos"].to_numpy())] = np.concatenate(batch["d2"].to_numpy())
+            out = [(steps + k[None, :]).min(axis=1) for k in known]
+            yield batch.drop(columns=["pos", "d2"]).assign(line=out)
 
-    Separable: three passes carry the smallest squared distance along one axis each, so a target spreads to
-    2R+1 cells per pass instead of the (2R+1)^3 of a ball.
-    """
-    d2 = targets.select(*by, *AT, F.lit(0).alias("d2"))
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    for a in AT:
-        spread = d2.select(*by, *AT, "d2", F.explode(steps).alias("_s")).withColumn(a, F.col(a) + F.col("_s"))
-        spread = spread.withColumn("d2", F.col("d2") + F.col("_s") * F.col("_s")).where(F.col("d2") <= radius * radius)
-        d2 = spread.groupBy(*by, *AT).agg(F.min("d2").alias("d2"))
-    return points.join(d2.withColumnRenamed("d2", "_d2"), [*by, *AT], "left").withColumn(name, F.sqrt("_d2")).drop("_d2")
+    return lines.mapInPandas(envelope, schema).select(*by, *others, F.posexplode("line").alias(axis, "d2"))
 
 
-def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Sequence[int], start: int = 4, name: str = "distance") -> DataFrame:
-    """Distance without a bound: the radius doubles, each time only for points that found nothing yet.
+def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Sequence[int], limit: float | None = None, name: str = "distance") -> DataFrame:
+    """Exact Euclidean distance of each point to the nearest target voxel of its volume, NULL if there is none
+    (or none within ``limit``).
 
-    The largest useful radius follows from the volume's shape, so the loop is short and needs no driver-side test.
+    Separable: one pass per axis over the lines of the volume, so each voxel is shuffled once per axis whatever the
+    distance, and block borders play no part.
     """
-    limit = int(sum((n - 1) ** 2 for n in shape) ** 0.5) + 1
-    radius = min(start, limit)
-    left, parts = points, []
-    while True:
-        got = bounded_distance(left, targets, by, radius, name)
-        if radius >= limit:
-            parts.append(got)
-            break
-        parts.append(got.where(F.col(name).isNotNull()))
-        left = got.where(F.col(name).isNull()).drop(name)
-        radius = min(radius * 2, limit)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d2 = targets.select(*by, *AT, F.lit(0.0).alias("d2")).distinct()
+    for a, n in zip(AT, shape):
+        d2 = _nearest_along(d2, by, a, n)
+    found = points.join(d2.withColumnRenamed("d2", "_d2"), [*by, *AT], "left")
+    far = F.lit(None) if limit is None else F.when(F.col("_d2") > limit * limit, F.lit(True))
+    return found.withColumn(name, F.when(far.isNull(), F.sqrt("_d2"))).drop("_d2")
 
 
 # fixed values: half-open depth ranges, and the integer ranges of the published reports (kept for comparison)
