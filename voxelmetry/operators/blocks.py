@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelmetry.session import spread
+
 AT = ["z", "y", "x"]
 
 
@@ -71,7 +73,8 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], value
             out[name] = k
         return out
 
-    return cells.groupBy(*by, *[f"_b{a}" for a in AT]).applyInPandas(one, f"{keys}, z INT, y INT, x INT, {spec.out_schema}")
+    blocks = [*by, *[f"_b{a}" for a in AT]]
+    return spread(cells, *blocks).groupBy(*blocks).applyInPandas(one, f"{keys}, z INT, y INT, x INT, {spec.out_schema}")
 
 
 def gaussian_filter(a: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:

@@ -15,7 +15,7 @@ from voxelmetry.operators import volumes as V
 from voxelmetry.operators.distribution import cumulative, quantiles_from
 from voxelmetry.operators.graph import components
 from voxelmetry.operators.spatial import bounding_boxes, near_boxes, nearest_distance
-from voxelmetry.session import cut_lineage
+from voxelmetry.session import cut_lineage, spread
 
 BITS = 21  # per axis in a voxel's code
 
@@ -61,7 +61,8 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
     cells = mask.select(*by, *V.AT).distinct().select(*by, *[F.col(a).cast("int").alias(a) for a in V.AT], *corner)
     kinds = {f.name: f.dataType for f in cells.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in cells.columns] + [T.StructField("piece", T.LongType())])
-    local = cells.groupBy(*by, *[f"_b{a}" for a in V.AT]).applyInPandas(_local_labels, schema)
+    keys = [*by, *[f"_b{a}" for a in V.AT]]
+    local = spread(cells, *keys).groupBy(*keys).applyInPandas(_local_labels, schema)
     local = cut_lineage(local.select(*by, *V.AT, "piece"), "pieces")
 
     offsets = F.array(

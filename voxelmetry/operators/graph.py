@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from voxelmetry.session import cut_lineage
 
-# how often a chain of hooks is halved before asking whether any is left
-JUMPS = 4
+# how often chains of hooks are halved before asking whether any is left; each halving doubles the lazy plan
+JUMPS = 2
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ expression on the short profile array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,10 +66,14 @@ def sample_profiles(
 # ---- expressions on one profile array -------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once per row: inside a lambda a plain expression would run per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def array_median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    mid = lambda k: F.get(s, k.cast("int"))
-    return F.when(n > 0, (mid(F.floor((n - 1) / 2)) + mid(F.floor(n / 2))) / 2)
+    mid = lambda s, k: F.get(s, k.cast("int"))
+    return let(F.array_sort(a), lambda s: (mid(s, F.floor((F.size(s) - 1) / 2)) + mid(s, F.floor(F.size(s) / 2))) / 2)
 
 
 def peak_index(profile: Column) -> Column:
@@ -79,12 +83,23 @@ def peak_index(profile: Column) -> Column:
 
 def ridge_offset(profile: Column, half: float, step: float = STEP) -> Column:
     """Signed sub-voxel distance to the ridge by a parabola through the peak; NULL where the peak is on the edge."""
-    k, n = peak_index(profile), F.size(profile)
-    y0, y1, y2 = (F.get(profile, k + d) for d in (-1, 0, 1))
-    den = y0 - 2 * y1 + y2
-    shift = F.when(F.abs(den) > 1e-9, 0.5 * (y0 - y2) / den).otherwise(0.0)
-    shift = F.least(F.greatest(shift, F.lit(-1.0)), F.lit(1.0))
-    return F.when((k > 0) & (k < n - 1), -half + step * k + shift * step)
+
+    def refine(k: Column) -> Column:
+        y0, y1, y2 = (F.get(profile, k + d) for d in (-1, 0, 1))
+        den = y0 - 2 * y1 + y2
+        shift = F.when(F.abs(den) > 1e-9, 0.5 * (y0 - y2) / den).otherwise(0.0)
+        shift = F.least(F.greatest(shift, F.lit(-1.0)), F.lit(1.0))
+        return F.when((k > 0) & (k < F.size(profile) - 1), -half + step * k + shift * step)
+
+    return let(peak_index(profile), refine)
+
+
+def _to_false(flags: Column) -> tuple[Column, Column, Column]:
+    """Centre index, and how many steps left and right of it the nearest false value lies (0: none)."""
+    mid = F.floor(F.size(flags) / 2).cast("int")
+    left = F.array_position(F.reverse(F.slice(flags, F.lit(1), mid)), F.lit(False)).cast("int")
+    right = F.array_position(F.slice(flags, mid + 2, F.size(flags) - mid - 1), F.lit(False)).cast("int")
+    return mid, left, right
 
 
 def centre_run(flags: Column) -> Column:
@@ -92,11 +107,13 @@ def centre_run(flags: Column) -> Column:
 
     The nearest false value on each side bounds the run, so no sample is visited in a loop.
     """
-    mid = F.floor(F.size(flags) / 2).cast("int")
-    left = F.array_position(F.reverse(F.slice(flags, F.lit(1), mid)), F.lit(False)).cast("int")
-    right = F.array_position(F.slice(flags, mid + 2, F.size(flags) - mid - 1), F.lit(False)).cast("int")
-    ok = F.get(flags, mid) & (left > 0) & (right > 0)
-    return F.when(ok, F.struct((mid - left + 1).alias("lo"), (mid + right - 1).alias("hi")))
+
+    def run(f: Column) -> Column:
+        mid, left, right = _to_false(f)
+        ends = F.struct((mid - left + 1).alias("lo"), (mid + right - 1).alias("hi"))
+        return F.when(F.get(f, mid) & (left > 0) & (right > 0), ends)
+
+    return let(flags, run)
 
 
 def sheet_contrast(profile: Column, half: float, noise: Column, window: float = 1.5, step: float = STEP) -> Column:
@@ -118,22 +135,21 @@ def second_difference_noise(profile: Column) -> Column:
     d2 = F.transform(
         F.sequence(F.lit(0), F.size(profile) - 3), lambda i: F.get(profile, i) - 2 * F.get(profile, i + 1) + F.get(profile, i + 2)
     )
-    centre = array_median(d2)
-    mad = array_median(F.transform(d2, lambda v: F.abs(v - centre)))
+    mad = let(d2, lambda d: let(array_median(d), lambda c: array_median(F.transform(d, lambda v: F.abs(v - c)))))
     return F.greatest(1.4826 * mad / F.sqrt(F.lit(6.0)), F.lit(1e-3))
 
 
 def half_max_width(profile: Column, step: float = STEP) -> Column:
     """Width of the run above half maximum through the centre (published as unreliable: depends on the window)."""
-    base = F.array_min(profile)
-    level = base + 0.5 * (F.array_max(profile) - base)
-    flags = F.transform(profile, lambda v: v >= level)
-    mid = F.floor(F.size(flags) / 2).cast("int")
-    left = F.array_position(F.reverse(F.slice(flags, F.lit(1), mid)), F.lit(False)).cast("int")
-    right = F.array_position(F.slice(flags, mid + 2, F.size(flags) - mid - 1), F.lit(False)).cast("int")
-    # here a run that meets the end of the profile counts up to the end
-    lo, hi = F.when(left > 0, mid - left + 1).otherwise(0), F.when(right > 0, mid + right - 1).otherwise(F.size(flags) - 1)
-    return F.when(F.get(flags, mid), (hi - lo + 1) * step)
+    level = F.array_min(profile) + 0.5 * (F.array_max(profile) - F.array_min(profile))
+
+    def width(f: Column) -> Column:
+        mid, left, right = _to_false(f)
+        # here a run that meets the end of the profile counts up to the end
+        lo, hi = F.when(left > 0, mid - left + 1).otherwise(0), F.when(right > 0, mid + right - 1).otherwise(F.size(f) - 1)
+        return F.when(F.get(f, mid), (hi - lo + 1) * step)
+
+    return let(let(level, lambda v: F.transform(profile, lambda p: p >= v)), width)
 
 
 # ---- measures over tables of profiles -----------------------------------------------------------------------

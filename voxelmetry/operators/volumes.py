@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import count_if, ratio, rows_of
+from voxelmetry.session import spread
 
 AT = ["z", "y", "x"]
 # fixed values: the six face neighbours
@@ -93,7 +94,7 @@ def _nearest_along(df: DataFrame, by: Sequence[str], axis: str, n: int) -> DataF
     A line of the volume holds at most n cells, so a task works on batches of short arrays.
     """
     others = [c for c in AT if c != axis]
-    lines = df.groupBy(*by, *others).agg(F.collect_list(F.struct(axis, "d2")).alias("line")).select(
+    lines = spread(df, *by, *others).groupBy(*by, *others).agg(F.collect_list(F.struct(axis, "d2")).alias("line")).select(
         *by, *others, F.col(f"line.{axis}").alias("pos"), F.col("line.d2").alias("d2")
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("pos", "d2")) + ", line ARRAY<DOUBLE>"

@@ -285,13 +285,9 @@ def v10(t):
     return b.select(*HERE, F.round("local_mean", 5).alias("local_mean"), F.round("local_std", 4).alias("local_std"))
 
 
-GRAD = DENSE + ", gd AS (SELECT c.vol, c.z, c.y, c.x, " + ", ".join(
-    f"(b{a}.v - a{a}.v) / (b{a}.{a} - a{a}.{a}) AS g{a}" for a in "zyx"
-) + " FROM dn c " + " ".join(
-    f"JOIN dn a{a} ON a{a}.vol = c.vol AND " + " AND ".join(f"a{a}.{k} = " + (f"greatest(c.{k} - 1, 0)" if k == a else f"c.{k}") for k in "zyx")
-    + f" JOIN dn b{a} ON b{a}.vol = c.vol AND " + " AND ".join(f"b{a}.{k} = " + (f"least(c.{k} + 1, {n - 1})" if k == a else f"c.{k}") for k in "zyx")
-    for a, n in zip("zyx", SHAPE)
-) + ")"
+GRAD = DENSE + ", gd AS (SELECT vol, z, y, x, " + ", ".join(
+    f"(coalesce(lead(v) OVER w{a}, v) - coalesce(lag(v) OVER w{a}, v)) / CASE WHEN {a} IN (0, {n - 1}) THEN 1 ELSE 2 END AS g{a}" for a, n in zip("zyx", SHAPE)
+) + " FROM dn WINDOW wz AS (PARTITION BY vol, y, x ORDER BY z), wy AS (PARTITION BY vol, z, x ORDER BY y), wx AS (PARTITION BY vol, z, y ORDER BY x))"
 
 
 @query("v12_gradient", GRAD + " SELECT vol, z, y, x, round(gz, 6) AS gz, round(gy, 6) AS gy, round(gx, 6) AS gx FROM gd")
@@ -315,8 +311,8 @@ def a29(t):
 
 @query(
     "v13_line_profile",
-    DENSE + """, pt AS (SELECT vol, z, y, x FROM vox WHERE label = 1), tt AS (SELECT CAST(unnest(range(5)) AS INT) AS k), at AS (SELECT pt.vol, pt.z, pt.y, pt.x, k, least(greatest(pt.x + (k - 2) * 0.5, 0), 7)::DOUBLE AS px FROM pt, tt)
- SELECT a.vol, a.z, a.y, a.x, k, round(l.v + (h.v - l.v) * (px - least(floor(px), 6)), 6) AS v FROM at a JOIN dn l ON l.vol = a.vol AND l.z = a.z AND l.y = a.y AND l.x = least(floor(px), 6) JOIN dn h ON h.vol = a.vol AND h.z = a.z AND h.y = a.y AND h.x = least(floor(px), 6) + 1""",
+    DENSE + """, pt AS (SELECT vol, z, y, x FROM vox WHERE label = 1), tt AS (SELECT CAST(unnest(range(5)) AS INT) AS k), pl AS (SELECT pt.vol, pt.z, pt.y, pt.x, k, least(greatest(pt.x + (k - 2) * 0.5, 0), 7)::DOUBLE AS px FROM pt, tt)
+ SELECT a.vol, a.z, a.y, a.x, k, round(l.v + (h.v - l.v) * (px - least(floor(px), 6)), 6) AS v FROM pl a JOIN dn l ON l.vol = a.vol AND l.z = a.z AND l.y = a.y AND l.x = least(floor(px), 6) JOIN dn h ON h.vol = a.vol AND h.z = a.z AND h.y = a.y AND h.x = least(floor(px), 6) + 1""",
 )
 def v13(t):
     p = PR.sample_profiles(t.vox, BY, SHAPE, "label = 1", half=1.0, step=0.5, smooth=False, direction=(0, 0, 1), side=BLOCK)

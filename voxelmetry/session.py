@@ -39,6 +39,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by ``keys`` into the session's full number of partitions.
+
+    For stages whose work is array code: the adaptive planner sizes partitions by bytes and would put many small but
+    costly groups into one task. The grouping that follows on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the checkpoint folder and read it back.
 
