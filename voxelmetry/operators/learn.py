@@ -159,11 +159,11 @@ def score_with(df: DataFrame, model: dict) -> DataFrame:
     return df.withColumn("score", s)
 
 
-def rank_for_review(df: DataFrame, model: dict, budget: float, slab: str = "slab", item: str = "patch") -> DataFrame:
+def rank_for_review(df: DataFrame, model: dict, budget: float, slab: str = "slab", item: str = "patch", digits: int = 15) -> DataFrame:
     """Score, rank within the group by score then name, and flag what fits the budget."""
     from voxelmetry.operators.stats import selected_within
 
-    scored = score_with(df, model)
+    scored = score_with(df, model).withColumn("score", F.round("score", digits))
     ranked = rank_rows(scored, [slab], [F.desc("score"), F.asc(item)])
     return ranked.withColumn("selected", selected_within(budget)).withColumnRenamed("rank", "rank_within_slab").withColumnRenamed("n_in_group", "n_in_slab")
 

@@ -27,9 +27,10 @@ def regional_match(logits: DataFrame, by: Sequence[str], published: Column, thre
     return out.withColumn("verdict", S.verdict(F.col("dice"), F.col("best_dice")))
 
 
-def review_patches(nodes: DataFrame, model: dict, budget: float, **features) -> DataFrame:
-    """Nodes to a ranked review list."""
-    return L.rank_for_review(G.extract_features(nodes, **features), model, budget)
+def review_patches(nodes: DataFrame, model: dict, budget: float, digits: int = 15, **features) -> DataFrame:
+    """Nodes to a ranked review list; scores are rounded to ``digits`` so that reruns give the same bytes."""
+    f = G.extract_features(nodes, **features)
+    return L.rank_for_review(f, model, budget, digits=digits)
 
 
 def recall_records(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], threshold: float = S.THRESHOLD, block: int = 16, **guards) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmetry.plans import lifecycle
-from voxelmetry.plans.patch_queries import ADJ, NEAR, SAME, SMALL
+from voxelmetry.plans.patch_queries import ADJ, FEAT_DEFAULT, NEAR, SAME, SMALL
 from voxelmetry.plans.registry import query
-from voxelmetry.plans.score_queries import BEST, _rounded
+from voxelmetry.plans.score_queries import BEST, ENDPOINTS_E, _rounded
+from voxelmetry.plans.volume_queries import SHEET, comp_sql, nearest
 
 LOGIT_BEST = BEST.replace("FROM vox", "FROM lp")
 
@@ -31,12 +32,25 @@ MODEL = {
 }
 
 
-@query("e2_patch_review")
+@query(
+    "e2_patch_review",
+    FEAT_DEFAULT + """, sc AS (SELECT slab, patch, round(-1 + 0.5::DOUBLE * (degree - 8) / 4 - 0.25::DOUBLE * (clustering - 0.4) / 0.2 + 0.125::DOUBLE * (log_size - 3.6) / 0.1, 4) AS score FROM ft),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY slab ORDER BY score DESC, patch) AS rank_within_slab, count(*) OVER (PARTITION BY slab) AS n_in_slab FROM sc)
+ SELECT slab, patch, rank_within_slab, n_in_slab, rank_within_slab <= greatest(1, round_even(0.1::DOUBLE * n_in_slab, 0)) AS selected FROM rk""",
+)
 def e2(t):
-    r = lifecycle.review_patches(t.pts, MODEL, 0.1, adjacent=ADJ, same=SAME, near=NEAR, **SMALL)
-    return _rounded(r.select("slab", "patch", "rank_within_slab", "n_in_slab", "selected", "score"))
+    r = lifecycle.review_patches(t.pts, MODEL, 0.1, digits=4, adjacent=ADJ, same=SAME, near=NEAR, **SMALL)
+    return r.select("slab", "patch", "rank_within_slab", "n_in_slab", "selected")
 
 
-@query("e3_recall_records")
+@query(
+    "e3_recall_records",
+    ENDPOINTS_E.replace("FROM scored", "FROM vs").replace("h.n_sheet >= 50 AND h.n_scored >= 100", "h.n_sheet >= 20 AND h.n_scored >= 50").replace("h AS (", "vs AS (SELECT vol AS volume_id, p, label, ct FROM vox), h AS (", 1)
+    + ", " + SHEET + ", " + comp_sql("cc", "sh") + ", orp AS (SELECT vol, z, y, x FROM vox WHERE p > 0.2 AND label = 0), " + nearest("nd", "orp", "sh")
+    + """, sz AS (SELECT vol, component, count(*) AS size, count(*) FILTER (WHERE p > 0.2) AS found FROM cc JOIN vox USING (vol, z, y, x) GROUP BY 1, 2),
+ oc AS (SELECT vol, count(*) AS components, count(*) FILTER (WHERE size >= 27) AS scored_components, count(*) FILTER (WHERE size >= 27 AND found / CAST(size AS DOUBLE) < 0.1) AS lost, round(max(size) / CAST(sum(size) AS DOUBLE), 6) AS largest_share, count(*) FILTER (WHERE size > 1000) AS over_1k FROM sz GROUP BY 1),
+ od AS (SELECT vol, round(median(d), 6) AS orphan_dist_median, round(quantile_cont(d, 0.9), 6) AS orphan_dist_p90 FROM nd GROUP BY 1)
+ SELECT e.* RENAME (volume_id AS vol), oc.* EXCLUDE (vol), od.* EXCLUDE (vol) FROM e LEFT JOIN oc ON oc.vol = e.volume_id LEFT JOIN od ON od.vol = e.volume_id""",
+)
 def e3(t):
-    return _rounded(lifecycle.recall_records(t.vox, ["vol"], (7, 8, 8), block=4, min_sheet=20, min_scored=50))
+    return _rounded(lifecycle.recall_records(t.vox, ["vol"], (7, 8, 8), block=4, min_sheet=20, min_scored=50).where("status = 'ok'"))

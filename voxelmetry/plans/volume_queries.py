@@ -427,7 +427,25 @@ def v22(t):
     return _rounded(PR.localisation_error(p, BY, half=2.0, min_points=20))
 
 
-@query("v23_volume_descriptors")
+SHEETGRID = GRID + ", dl AS (SELECT gr.vol, gr.z, gr.y, gr.x, coalesce(ct, 0) AS ct, coalesce(label = 1, false) AS s FROM gr LEFT JOIN vox USING (vol, z, y, x)), sh AS (SELECT * FROM dl WHERE s), bg AS (SELECT * FROM dl WHERE NOT s)"
+
+
+@query(
+    "v23_volume_descriptors",
+    SHEETGRID + ", " + nearest("di", "sh", "bg") + ", " + nearest("dx", "bg", "sh") + ", " + comp_sql("cc", "sh") + ", dn AS (SELECT vol, z, y, x, s::INT::DOUBLE AS v FROM dl), " + smooth_sql("g", "dn", V.gaussian_weights(0.5))
+    + ", " + GRAD[GRAD.index("gd AS"):].replace("FROM dn", "FROM g3")
+    + """, th AS (SELECT vol, 2 * avg(d) AS thickness_mean, 2 * quantile_cont(d, 0.9) AS thickness_p90 FROM di GROUP BY 1), sg AS (SELECT vol, 2 * median(d) AS spacing_median, 2 * quantile_cont(d, 0.1) AS spacing_p10 FROM dx GROUP BY 1),
+ ctr AS (SELECT vol, count(*) FILTER (WHERE s) AS n_sheet, avg(ct) FILTER (WHERE s) AS ms, avg(ct) FILTER (WHERE NOT s) AS mb, stddev_pop(ct) FILTER (WHERE NOT s) AS sb FROM dl GROUP BY 1),
+ sz AS (SELECT vol, component, count(*) AS size FROM cc GROUP BY 1, 2), fr AS (SELECT vol, count(*) AS components, max(size) / CAST(sum(size) AS DOUBLE) AS lf, count(*) FILTER (WHERE size > 1000) AS o1k FROM sz GROUP BY 1),
+ nm AS (SELECT vol, gz / l AS nz, gy / l AS ny, gx / l AS nx FROM (SELECT gd.*, sqrt(gz * gz + gy * gy + gx * gx) AS l FROM gd JOIN sh USING (vol, z, y, x)) WHERE l > 1e-3),
+ tn AS (SELECT vol, count(*) AS n, avg(nz * nz) AS a, avg(ny * ny) AS b, avg(nx * nx) AS c, avg(nz * ny) AS d, avg(nz * nx) AS e, avg(ny * nx) AS f FROM nm GROUP BY 1 HAVING count(*) > 50),
+ q AS (SELECT *, (a + b + c) / 3 AS q FROM tn), pp AS (SELECT *, sqrt((power(a - q, 2) + power(b - q, 2) + power(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+ rr AS (SELECT *, acos(least(greatest((((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (p * p * p)) / 2, -1), 1)) / 3 AS phi FROM pp)
+ SELECT c.vol, round(n_sheet / 448.0::DOUBLE, 5) AS sheet_fraction, round(thickness_mean, 5) AS thickness_mean, round(thickness_p90, 5) AS thickness_p90, round(spacing_median, 5) AS spacing_median, round(spacing_p10, 5) AS spacing_p10,
+  round(ms, 5) AS ct_sheet_mean, round(mb, 5) AS ct_bg_mean, round(sb, 5) AS ct_bg_std, round(coalesce((ms - mb) / nullif(sb, 0), 0), 5) AS contrast_sigma, components, round(lf, 5) AS largest_component_frac, o1k AS components_over_1k,
+  round(q + 2 * p * cos(phi), 5) AS normal_anisotropy, round(((q + 2 * p * cos(phi)) - (3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2.0943951023931953)))) / (3 * q), 5) AS flatness, 'ok' AS status
+ FROM ctr c JOIN th USING (vol) JOIN sg USING (vol) JOIN fr USING (vol) LEFT JOIN rr USING (vol) WHERE n_sheet >= 20""",
+)
 def v23(t):
     d = C.describe_volumes(t.vox, BY, SHAPE, sigma=0.5, min_sheet=20, block=BLOCK)
     return d.select(*[F.round(c, 5).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
@@ -439,7 +457,12 @@ def v24(t):
     return _rounded(quantiles(w, "w", {"fwhm_median": 0.5}, BY).withColumn("unreliable", F.lit(True)))
 
 
-@query("v26_attenuated_sheet")
+@query(
+    "v26_attenuated_sheet",
+    GRID + ", dn AS (SELECT gr.vol, gr.z, gr.y, gr.x, CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0 END AS v FROM gr LEFT JOIN vox USING (vol, z, y, x)), " + smooth_sql("g", "dn", V.gaussian_weights(1.0))
+    + """, pk AS (SELECT vol, max(v) AS pk FROM g3 GROUP BY 1)
+ SELECT vol, round(avg(least(greatest(ct / 255.0::DOUBLE * (1 - 0.3 * coalesce(g3.v / nullif(pk, 0), 0)), 0), 1)), 5) AS mean_after, count(*) AS n FROM vox JOIN g3 USING (vol, z, y, x) JOIN pk USING (vol) GROUP BY 1""",
+)
 def v26(t):
     v = t.vox.withColumn("ct", F.col("ct") / 255.0).select(*HERE, "ct", "label")
     a = PR.attenuate_sheet(v, BY, SHAPE, strength=0.3, sigma=1.0, side=BLOCK)
@@ -498,3 +521,13 @@ def a45(t):
 def j5b(t):
     p = sigmoid_of_logits("l0", "l1")
     return t.vox.groupBy("vol").agg(F.count("*").alias("n"), count_if((p > S.THRESHOLD) & F.col("pred")).alias("both_n"))
+
+
+@query("s5_chunk_scan", GRID + " SELECT gr.vol, gr.z, gr.y, gr.x, coalesce(CAST(ct AS DOUBLE), 0) AS value FROM gr LEFT JOIN vox USING (vol, z, y, x) WHERE gr.z BETWEEN 1 AND 4 AND gr.y BETWEEN 2 AND 6 AND gr.x >= 3")
+def s5(t):
+    from voxelmetry.sources.chunks import decode_chunks, encode_chunks
+
+    chunks = encode_chunks(t.vox, BY, "ct", BLOCK)
+    stored = decode_chunks(chunks, BY, SHAPE, (BLOCK,) * 3, box=(1, 5, 2, 7, 3, 8))
+    wanted = V.dense(t.vox.select("vol", "z", "y", "x", F.lit(0).alias("zero")), BY, SHAPE, "zero").where("z BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6 AND x >= 3")
+    return wanted.join(stored, HERE, "left").select(*HERE, F.coalesce("value", F.lit(0.0)).alias("value"))

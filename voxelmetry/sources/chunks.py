@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARRAY_METADATA = "shape ARRAY<INT>, chunks ARRAY<INT>, dtype STRING, compressor STRING, fill_value DOUBLE"
-VOXELS = "path STRING, z INT, y INT, x INT, value DOUBLE"
-
-
 def parse_array_metadata(df: DataFrame, text: str) -> DataFrame:
     """Adds shape, chunks, dtype, compressor of a store's metadata text; bad text gives NULLs."""
     return df.withColumn("_m", F.from_json(text, ARRAY_METADATA, {"mode": "PERMISSIVE"})).select("*", "_m.*").drop("_m")
@@ -23,44 +20,52 @@ def read_array_metadata(spark: SparkSession, pattern: str) -> DataFrame:
     return parse_array_metadata(spark.read.option("wholetext", True).text(pattern).withColumn("path", F.col("_metadata.file_path")), "value")
 
 
-def read_chunks(
-    spark: SparkSession,
-    root: str,
+def decode_chunks(
+    chunks: DataFrame,
+    keep: Sequence[str],
     shape: tuple[int, int, int],
     chunk: tuple[int, int, int],
     dtype: str = "|u1",
     box: tuple[int, int, int, int, int, int] | None = None,
 ) -> DataFrame:
-    """Voxels (z, y, x, value) of an uncompressed store whose chunk files are named ``i.j.k``.
+    """keep..., z, y, x, value of uncompressed chunks (cz, cy, cx, content).
 
-    The box prunes chunks by name before their content is read. Absent chunks are not stored; they read as zero.
+    The box prunes chunks by their index before any content is decoded. Absent chunks are not stored: they read as zero.
     """
     z0, z1, y0, y1, x0, x1 = box or (0, shape[0], 0, shape[1], 0, shape[2])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*.*").load(root)
-    name = F.substring_index("path", "/", -1)
-    parts = F.split(name, r"\.")
-    idx = [F.get(parts, i).try_cast("int") for i in range(3)]
-    keep = F.lit(True)
-    for i, (lo, hi) in enumerate(((z0, z1), (y0, y1), (x0, x1))):
-        keep = keep & (idx[i] * chunk[i] < hi) & ((idx[i] + 1) * chunk[i] > lo)
-    chosen = files.where(keep).select("path", idx[0].alias("cz"), idx[1].alias("cy"), idx[2].alias("cx"), "content")
+    hit = F.lit(True)
+    for name, size, lo, hi in zip(("cz", "cy", "cx"), chunk, (z0, y0, x0), (z1, y1, x1)):
+        hit = hit & (F.col(name) * size < hi) & ((F.col(name) + 1) * size > lo)
+    chosen = chunks.where(hit).select(*keep, "cz", "cy", "cx", "content")
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.select(*keep).schema)
+    low = np.array([z0, y0, x0])
+    high = np.minimum([z1, y1, x1], shape)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                block = np.frombuffer(row.content, dtype=np.dtype(dtype)).reshape(chunk)
-                at = np.indices(chunk).reshape(3, -1)
-                at = at + np.array([[row.cz * chunk[0]], [row.cy * chunk[1]], [row.cx * chunk[2]]])
-                ok = (at[0] >= z0) & (at[0] < min(z1, shape[0])) & (at[1] >= y0) & (at[1] < min(y1, shape[1]))
-                ok &= (at[2] >= x0) & (at[2] < min(x1, shape[2]))
-                yield pd.DataFrame(
-                    {
-                        "path": row.path,
-                        "z": at[0][ok].astype("int32"),
-                        "y": at[1][ok].astype("int32"),
-                        "x": at[2][ok].astype("int32"),
-                        "value": block.reshape(-1)[ok].astype("float64"),
-                    }
-                )
+            for row in batch.to_dict("records"):
+                block = np.frombuffer(row["content"], dtype=np.dtype(dtype)).reshape(chunk)
+                at = np.indices(chunk).reshape(3, -1).T + np.array([row["cz"], row["cy"], row["cx"]]) * np.array(chunk)
+                ok = ((at >= low) & (at < high)).all(axis=1)
+                voxels = dict(zip("zyx", at[ok].T.astype("int32")))
+                yield pd.DataFrame({**{k: row[k] for k in keep}, **voxels, "value": block.reshape(-1)[ok].astype("float64")})
+
+    return chosen.mapInPandas(decode, keys + "z INT, y INT, x INT, value DOUBLE")
+
+
+def read_chunks(spark: SparkSession, root: str, shape: tuple[int, int, int], chunk: tuple[int, int, int], dtype: str = "|u1", box=None) -> DataFrame:
+    """path, z, y, x, value of a store whose uncompressed chunk files are named ``i.j.k``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*.*").load(root)
+    parts = F.split(F.substring_index("path", "/", -1), r"\.")
+    idx = [F.get(parts, i).try_cast("int").alias(n) for i, n in enumerate(("cz", "cy", "cx"))]
+    return decode_chunks(files.select("path", *idx, "content"), ["path"], shape, chunk, dtype, box)
+
 
-    return chosen.mapInPandas(decode, VOXELS)
+def encode_chunks(voxels: DataFrame, by: Sequence[str], value: str, side: int) -> DataFrame:
+    """by..., cz, cy, cx, content: dense byte chunks of side^3 from stored voxels, the rest zero. Bounded per chunk."""
+    corner = [F.floor(F.col(a) / side).cast("int").alias(f"c{a}") for a in "zyx"]
+    place = (F.pmod("z", F.lit(side)) * side + F.pmod("y", F.lit(side))) * side + F.pmod("x", F.lit(side))
+    cells = voxels.select(*by, *corner, place.alias("i"), F.lpad(F.hex(F.col(value).cast("int")), 2, "0").alias("h"))
+    packed = cells.groupBy(*by, "cz", "cy", "cx").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("m"))
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(side**3 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit("00")))
+    return packed.select(*by, "cz", "cy", "cx", F.unhex(F.array_join(bytes_, "")).alias("content"))
