@@ -46,6 +46,11 @@ class KernelSpec:
     fn: Callable[[Block], pd.DataFrame]
 
 
+def nothing(names: Sequence[str]) -> pd.DataFrame:
+    """No rows; untyped columns, so that Arrow takes them for any declared type."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], values: Sequence[str], spec: KernelSpec, side: int = 64) -> DataFrame:
     by = list(by)
     cells = voxels.select(*by, *AT, *[F.col(v).cast("double").alias(v) for v in values])

@@ -34,11 +34,11 @@ def content_digests(voxels: DataFrame, by: Sequence[str], value: str = "ct") ->
 
 def _digest(voxels: DataFrame, by: list[str], value: str) -> DataFrame:
     line = F.concat_ws(":", *[F.col(c).cast("string") for c in ("y", "x", value)])
-    planes = voxels.groupBy(*by, "z").agg(F.sort_array(F.collect_list(F.struct("y", "x", line.alias("line")))).alias("v"))
-    digests = planes.select(*by, "z", F.sha2(F.array_join("v.line", "\n"), 256).alias("d"))
+    planes = voxels.groupBy(*by, "z").agg(F.sort_array(F.collect_list(F.struct("y", "x", line.alias("line")))).alias("_cells"))
+    digests = planes.select(*by, "z", F.sha2(F.array_join("_cells.line", "\n"), 256).alias("_d"))
     # one short text per plane from here on
-    return digests.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("z", "d"))).alias("v")).select(
-        *by, F.sha2(F.array_join(F.col("v.d"), "\n"), 256).alias("digest")
+    return digests.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("z", "_d"))).alias("_planes")).select(
+        *by, F.sha2(F.array_join(F.col("_planes._d"), "\n"), 256).alias("digest")
     )
 
 

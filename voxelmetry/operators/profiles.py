@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import count_if, ratio
 from voxelmetry.operators import volumes as V
-from voxelmetry.operators.blocks import Block, KernelSpec, across_sheet_normals, gaussian_filter, run_kernel, sample_lines
+from voxelmetry.operators.blocks import Block, KernelSpec, across_sheet_normals, gaussian_filter, nothing, run_kernel, sample_lines
 from voxelmetry.operators.distribution import quantiles
 from voxelmetry.session import cut_lineage
 
@@ -50,7 +50,7 @@ def sample_profiles(
         pts = b.core_points(b.arrays["_point"] == 1)
         names = ["z", "y", "x", "nz", "ny", "nx", "profile", "labels"]
         if len(pts) == 0:
-            return pd.DataFrame({n: [] for n in names})
+            return nothing(names)
         scan = b.arrays[field]
         n = np.tile(np.array(direction, float), (len(pts), 1)) if direction else across_sheet_normals(scan, pts - b.origin, sigma)
         prof = sample_lines(gaussian_filter(scan, sigma) if smooth else scan, b, pts, n, ts)
@@ -246,7 +246,7 @@ def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[in
         p = b.arrays["p"]
         pts = b.core_points(p > low)
         if len(pts) == 0:
-            return pd.DataFrame({n: [] for n in ("z", "y", "x", "kept")})
+            return nothing(["z", "y", "x", "kept"])
         if random_seed is None:
             n = across_sheet_normals(p, pts - b.origin)
         else:

@@ -126,7 +126,7 @@ def write_ranking(ranking: DataFrame, path: str, columns: Sequence[str], sidecar
     ranking.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/ranking")
     if sidecar is not None:
         spark = ranking.sparkSession
-        spark.range(1).select(F.lit(json.dumps(sidecar, sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{path}/sidecar")
+        spark.range(0, 1, 1, 1).select(F.lit(json.dumps(sidecar, sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{path}/sidecar")
 
 
 def write_probabilities(df: DataFrame, path: str, p: str = "p") -> None:
