@@ -53,4 +53,4 @@ def e2(t):
  SELECT e.* RENAME (volume_id AS vol), oc.* EXCLUDE (vol), od.* EXCLUDE (vol) FROM e LEFT JOIN oc ON oc.vol = e.volume_id LEFT JOIN od ON od.vol = e.volume_id""",
 )
 def e3(t):
-    return _rounded(lifecycle.recall_records(t.vox, ["vol"], (7, 8, 8), block=4, min_sheet=20, min_scored=50).where("status = 'ok'"))
+    return _rounded(lifecycle.recall_records(t.vox, ["vol"], (7, 8, 8), block=16, min_sheet=20, min_scored=50).where("status = 'ok'"))

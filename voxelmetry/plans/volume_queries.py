@@ -16,7 +16,8 @@ from voxelmetry.plans.score_queries import _rounded
 from voxelmetry.session import cut_lineage
 
 SHAPE, BY, HERE = (7, 8, 8), ["vol"], ["vol", "z", "y", "x"]
-BLOCK = 4  # small blocks, so that the tables at hand cross block borders
+BLOCK = 4  # small blocks, so that v2 and v13 cross block borders on the small grids at hand
+SIDE = 16  # one block per volume elsewhere, as block size only changes speed
 
 GRID = "gr AS (SELECT vol, CAST(gz AS INT) AS z, CAST(gy AS INT) AS y, CAST(gx AS INT) AS x FROM (SELECT DISTINCT vol FROM vox), (SELECT unnest(range(7)) AS gz), (SELECT unnest(range(8)) AS gy), (SELECT unnest(range(8)) AS gx))"
 FACES = "(VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) AS o(dz,dy,dx)"
@@ -171,12 +172,12 @@ def small_code(c):
 
 
 def parts(t):
-    return C.label_voxels(sheet(t), BY, BLOCK)
+    return C.label_voxels(sheet(t), BY, SIDE)
 
 
 @query("v2_components", SHEET + ", " + comp_sql("cc", "sh") + " SELECT * FROM cc")
 def v2(t):
-    return parts(t).withColumn("component", small_code("component"))
+    return C.label_voxels(sheet(t), BY, BLOCK).withColumn("component", small_code("component"))
 
 
 @query(
@@ -197,7 +198,7 @@ def a26(t):
  SELECT isl.vol, round(f, 6) AS island_fraction, m.measured, round(m.fr, 6) AS fragments FROM isl LEFT JOIN (SELECT vol, count(*) AS measured, avg(pieces) AS fr FROM fr GROUP BY 1) m USING (vol)""",
 )
 def v7(t):
-    pred = C.label_voxels(t.vox.where("pred AND label <> 2").select(*HERE), BY, BLOCK)
+    pred = C.label_voxels(t.vox.where("pred AND label <> 2").select(*HERE), BY, SIDE)
     isl = C.islands(pred, sheet(t), BY)
     frag = C.fragments(parts(t), pred, BY, min_size=5)
     return _rounded(isl.join(frag, "vol", "left"))
@@ -209,7 +210,7 @@ def v7(t):
     + FACES + " ON true JOIN bg b ON b.vol = bd.vol AND b.z = bd.z + dz AND b.y = bd.y + dy AND b.x = bd.x + dx), cv AS (SELECT * FROM bg ANTI JOIN bd USING (vol, z, y, x)) SELECT vol, count(*) AS n_cavity FROM cv GROUP BY 1",
 )
 def v6(t):
-    return C.cavities(t.vox.where("p > 0.3"), t.vox, BY, SHAPE, BLOCK).groupBy("vol").agg(F.count("*").alias("n_cavity"))
+    return C.cavities(t.vox.where("p > 0.3"), t.vox, BY, SHAPE, SIDE).groupBy("vol").agg(F.count("*").alias("n_cavity"))
 
 
 CLOSED = " , ".join(["bs AS (SELECT vol, z, y, x FROM vox WHERE p > 0.7)", dilated("d1", "bs"), eroded("cl", "d1")])
@@ -227,7 +228,7 @@ CLOSED = " , ".join(["bs AS (SELECT vol, z, y, x FROM vox WHERE p > 0.7)", dilat
 )
 def v5(t):
     v = t.vox.select(*HERE, "p", "label")
-    return C.close_and_trim(v, BY, SHAPE, 0.7, V.FACES, 4, BLOCK).groupBy("vol").agg(F.count("*").alias("n_left"))
+    return C.close_and_trim(v, BY, SHAPE, 0.7, V.FACES, 4, SIDE).groupBy("vol").agg(F.count("*").alias("n_left"))
 
 
 @query(
@@ -238,7 +239,7 @@ def v5(t):
  SELECT n.vol, n.components, count(gp.d) AS close_pairs, round(min(gp.d), 6) AS smallest_gap FROM (SELECT vol, count(*) AS components FROM sz GROUP BY 1) n LEFT JOIN gp ON gp.vol = n.vol AND gp.d <= 1.5 GROUP BY 1, 2""",
 )
 def v21(t):
-    return _rounded(C.close_pairs(sheet(t), BY, near=1.5, min_size=4, block=BLOCK))
+    return _rounded(C.close_pairs(sheet(t), BY, near=1.5, min_size=4, block=SIDE))
 
 
 @query(
@@ -248,7 +249,7 @@ def v21(t):
  SELECT vol, count(*) AS components, count(*) FILTER (WHERE n_e / CAST(size AS DOUBLE) >= 0.9) AS phantom_components, round(CAST(sum(CASE WHEN n_e / CAST(size AS DOUBLE) >= 0.9 THEN size ELSE 0 END) AS DOUBLE) / sum(size), 6) AS phantom_volume_share FROM sz GROUP BY 1""",
 )
 def a26b(t):
-    p = C.label_voxels(t.vox.where("pred").select(*HERE), BY, BLOCK)
+    p = C.label_voxels(t.vox.where("pred").select(*HERE), BY, SIDE)
     return _rounded(C.phantom_components(p, t.vox.where("ct = 0"), BY))
 
 
@@ -361,7 +362,7 @@ def w10(t):
 
 def profiles(t, half=2.0, points="label = 1"):
     """Across-sheet profiles on whole volumes; written once, as several measures read them."""
-    return cut_lineage(PR.sample_profiles(t.vox, BY, SHAPE, points, half=half, side=BLOCK), "profiles")
+    return cut_lineage(PR.sample_profiles(t.vox, BY, SHAPE, points, half=half, side=SIDE), "profiles")
 
 
 @query("v12_across_sheet_normals")
@@ -406,7 +407,7 @@ def v19(t):
 
 @query("v20_ridge_nms")
 def v20(t):
-    kept = cut_lineage(PR.suppress_non_maxima(t.vox, BY, SHAPE, side=BLOCK).where("kept"), "kept")
+    kept = cut_lineage(PR.suppress_non_maxima(t.vox, BY, SHAPE, side=SIDE).where("kept"), "kept")
     v = cut_lineage(t.vox.where("label <> 2").join(kept, HERE, "left").withColumn("kept", F.coalesce("kept", F.lit(False))), "nms")
     s = F.col("label") == 1
     r = v.groupBy("vol").agg(ratio(count_if(s & F.col("kept")), count_if(s)).alias("recall"), ratio(count_if(s & F.col("kept")), count_if(F.col("kept"))).alias("precision"))
@@ -423,7 +424,7 @@ def a50(t):
 
 @query("v22_localisation_error")
 def v22(t):
-    p = cut_lineage(PR.sample_profiles(t.vox, BY, SHAPE, "pred", half=2.0, smooth=False, side=BLOCK), "profiles")
+    p = cut_lineage(PR.sample_profiles(t.vox, BY, SHAPE, "pred", half=2.0, smooth=False, side=SIDE), "profiles")
     return _rounded(PR.localisation_error(p, BY, half=2.0, min_points=20))
 
 
@@ -447,7 +448,7 @@ SHEETGRID = GRID + ", dl AS (SELECT gr.vol, gr.z, gr.y, gr.x, coalesce(ct, 0) AS
  FROM ctr c JOIN th USING (vol) JOIN sg USING (vol) JOIN fr USING (vol) LEFT JOIN rr USING (vol) WHERE n_sheet >= 20""",
 )
 def v23(t):
-    d = C.describe_volumes(t.vox, BY, SHAPE, sigma=0.5, min_sheet=20, block=BLOCK)
+    d = C.describe_volumes(t.vox, BY, SHAPE, sigma=0.5, min_sheet=20, block=SIDE)
     return d.select(*[F.round(c, 5).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
 
 
@@ -465,7 +466,7 @@ def v24(t):
 )
 def v26(t):
     v = t.vox.withColumn("ct", F.col("ct") / 255.0).select(*HERE, "ct", "label")
-    a = PR.attenuate_sheet(v, BY, SHAPE, strength=0.3, sigma=1.0, side=BLOCK)
+    a = PR.attenuate_sheet(v, BY, SHAPE, strength=0.3, sigma=1.0, side=SIDE)
     return a.groupBy("vol").agg(F.round(F.avg("ct"), 5).alias("mean_after"), F.count("*").alias("n"))
 
 
