@@ -28,14 +28,14 @@ def test_records_have_a_declared_schema_and_their_file_name(spark, tmp_path):
 
 
 def test_catalogue_file(spark, tmp_path):
-    rows = [{"scroll": "S1", "prediction": "p", "model": "m7", "pred_shape": [1, 2, 3], "declared_level": 2, "status": "verifiable"}]
+    rows = [{"scroll": "S1", "prediction": "p", "model": "base", "pred_shape": [1, 2, 3], "declared_level": 2, "status": "verifiable"}]
     (tmp_path / "catalog.json").write_text(json.dumps(rows))
     df = R.read_catalogue(spark, str(tmp_path / "catalog.json"))
     assert df.first()["pred_shape"] == [1, 2, 3]
-    assert C.resolve_artifact(df, "S1", "m7", 2).first()["prediction"] == "p"
+    assert C.resolve_artifact(df, "S1", "base", 2).first()["prediction"] == "p"
     with pytest.raises(Exception, match="no prediction for S2"):
         C.resolve_artifact(df, "S2").collect()
-    with pytest.raises(Exception, match="several predictions for S1: model m7 level 2; model m7 level 2"):
+    with pytest.raises(Exception, match="several predictions for S1: model base level 2; model base level 2"):
         C.resolve_artifact(df.union(df), "S1").collect()
 
 
@@ -111,9 +111,9 @@ def test_morton_orders_by_interleaved_bits(spark):
 
 
 def test_names_that_do_not_follow_the_pattern(spark):
-    df = spark.createDataFrame([("202301-surface-202401-recto-2um-ps256-L0-th0.2.zarr",), ("x.zarr",)], "name STRING")
+    df = spark.createDataFrame([("202301-surface-202401-wide-2um-ps256-L0-th0.2.zarr",), ("x.zarr",)], "name STRING")
     a, b = [r["a"] for r in df.select(N.parse_prediction("name").alias("a")).collect()]
-    assert (a["model"], a["level"], a["threshold"]) == ("recto-2um-ps256", 0, 0.2) and b is None
+    assert (a["model"], a["level"], a["threshold"]) == ("wide-2um-ps256", 0, 0.2) and b is None
 
 
 def test_split_is_disjoint_and_seeded(spark):

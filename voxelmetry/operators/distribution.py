@@ -124,6 +124,6 @@ def mid_ranks(cum: DataFrame) -> DataFrame:
 
 def interval_of(df: DataFrame, value: str, edges: DataFrame, by: Sequence[str], cuts: Sequence[str]) -> DataFrame:
     """Joins per-group cut points and adds ``stratum``: how many of the cuts are <= value."""
-    joined = df.join(edges, list(by)) if by else df.join(edges)
+    joined = df.join(edges, list(by))
     stratum = sum((F.when(F.col(value) >= F.col(c), 1).otherwise(0) for c in cuts), F.lit(0))
     return joined.withColumn("stratum", stratum)

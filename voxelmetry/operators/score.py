@@ -229,7 +229,8 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = (), below: Sequence[f
     )
     if by:
         return part.join(rest, list(by))
-    return part.withColumn("_k", F.lit(1)).join(rest.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    names = rest.columns
+    return part.withColumn("_rest", rest.select(F.struct(*names)).scalar()).select("*", "_rest.*").drop("_rest")
 
 
 def by_thresholds(df: DataFrame, by: Sequence[str], cuts: Sequence[float], p: Column, ct: str = "ct") -> DataFrame:

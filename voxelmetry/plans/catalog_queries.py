@@ -123,23 +123,23 @@ def p21(t):
 @query(
     "p21_uncovered_status",
     f"""SELECT scroll, n_ct, CASE WHEN n_ct > 0 THEN 'no_prediction' ELSE 'no_ct' END AS status FROM
-  (SELECT concat('PHerc', CAST(c_custkey AS VARCHAR)) AS scroll FROM customer) s
+  (SELECT concat('Scroll', CAST(c_custkey AS VARCHAR)) AS scroll FROM customer) s
   LEFT JOIN LATERAL (SELECT count(DISTINCT ct_volume) AS n_ct FROM cts WHERE cts.scroll = s.scroll) ON true
-  WHERE scroll NOT IN (SELECT scroll FROM runs WHERE contains(name, 'recto'))""",
+  WHERE scroll NOT IN (SELECT scroll FROM runs WHERE contains(name, 'wide'))""",
 )
 def p21b(t):
-    scrolls = t.customer.select(F.concat(F.lit("PHerc"), F.col("c_custkey").cast("string")).alias("scroll"))
-    return C.uncovered(scrolls, t.runs.where(F.contains("name", F.lit("recto"))), t.cts)
+    scrolls = t.customer.select(F.concat(F.lit("Scroll"), F.col("c_custkey").cast("string")).alias("scroll"))
+    return C.uncovered(scrolls, t.runs.where(F.contains("name", F.lit("wide"))), t.cts)
 
 
-@query("p9_resolve_artifact", CAT + " SELECT scroll, count(*) AS n, CASE WHEN count(*) = 1 THEN min(prediction) END AS prediction FROM cat WHERE contains(model, 'm7') AND declared_level = 2 GROUP BY 1")
+@query("p9_resolve_artifact", CAT + " SELECT scroll, count(*) AS n, CASE WHEN count(*) = 1 THEN min(prediction) END AS prediction FROM cat WHERE contains(model, 'base') AND declared_level = 2 GROUP BY 1")
 def p9(t):
-    return C.unambiguous(catalogue(t), "m7", 2)
+    return C.unambiguous(catalogue(t), "base", 2)
 
 
-@query("p10_eligible", CAT + " SELECT scroll, prediction FROM cat WHERE status = 'verifiable' AND contains(model, 'm7') AND declared_level = 1")
+@query("p10_eligible", CAT + " SELECT scroll, prediction FROM cat WHERE status = 'verifiable' AND contains(model, 'base') AND declared_level = 1")
 def p10(t):
-    return C.eligible(catalogue(t), "m7", 1).select("scroll", "prediction")
+    return C.eligible(catalogue(t), "base", 1).select("scroll", "prediction")
 
 
 NEAR = """v AS (SELECT DISTINCT cust, scroll, ct_volume, CAST(regexp_extract(ct_volume, '-([0-9.]+)um-', 1) AS DOUBLE) AS um0 FROM cts),

@@ -43,12 +43,12 @@ _VIEWS = {
               FROM (SELECT vec_id, label, embedding, UNNEST_21 AS i FROM {embeddings}) AS e) AS t""",
     # published artifacts: one name per order
     "runs": """
-        SELECT o_orderkey AS run_no, o_custkey AS cust, concat('PHerc', CAST(o_custkey AS STRING)) AS scroll,
+        SELECT o_orderkey AS run_no, o_custkey AS cust, concat('Scroll', CAST(o_custkey AS STRING)) AS scroll,
                CASE WHEN o_orderkey % 11 = 0 THEN concat('notes-', CAST(o_orderkey AS STRING)) ELSE
                  concat(CAST(20230101000000 + (o_custkey % 28) * 1000000 + (o_custkey % 24) * 10000 AS STRING),
                         '-surface-', CAST(20240101000000 + (o_orderkey % 28) * 1000000 + CAST(floor(o_orderkey / 28) AS BIGINT) % 24 * 10000
                                                                          + CAST(floor(o_orderkey / 672) AS BIGINT) % 60 * 100 + CAST(floor(o_orderkey / 40320) AS BIGINT) % 60 AS STRING), '-',
-                        CASE o_orderkey % 3 WHEN 0 THEN 'm7' WHEN 1 THEN 'm7-tta' ELSE 'recto-2um-ps256' END,
+                        CASE o_orderkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'base-tta' ELSE 'wide-2um-ps256' END,
                         '-L', CAST(o_orderkey % 2 + o_orderkey % 3 AS STRING), '-th',
                         CASE o_orderstatus WHEN 'F' THEN '0.2' WHEN 'O' THEN '0.35' ELSE '0.5' END, '.zarr') END AS name,
                CAST(floor((1024 + 64 * (o_custkey % 5)) / power(2, pl)) AS INT) AS pz,
@@ -59,7 +59,7 @@ _VIEWS = {
                              ELSE o_orderkey % 2 + o_orderkey % 3 END AS pl FROM {orders}) AS o""",
     # scan pyramids: levels 0-4 per customer, some without a scan and some with a missing level
     "cts": """
-        SELECT c_custkey AS cust, concat('PHerc', CAST(c_custkey AS STRING)) AS scroll,
+        SELECT c_custkey AS cust, concat('Scroll', CAST(c_custkey AS STRING)) AS scroll,
                concat(CAST(20230101000000 + (c_custkey % 28) * 1000000 + (c_custkey % 24) * 10000 AS STRING),
                       '-', CAST(CASE c_custkey % 3 WHEN 0 THEN 2.4 WHEN 1 THEN 7.91 ELSE 9.36 END AS STRING), 'um-77keV.zarr') AS ct_volume,
                level,
