@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import count_if, ratio, rows_of, share
 from voxelmetry.operators.distribution import cumulative, quantiles, quantiles_from, unpivot
+from voxelmetry.session import cut_lineage
 
 THRESHOLD = 0.2
 BUDGET = 0.12
@@ -82,7 +83,8 @@ def endpoints(
 ) -> DataFrame:
     """Every endpoint per volume, at the fixed threshold and at the matched budget, with a status."""
     by = list(by)
-    hist = score_histogram(df, by)
+    # written once: the budget cut and the counts read different columns of it, and would scan the voxels twice
+    hist = cut_lineage(score_histogram(df, by), "histogram")
     cuts = budget_thresholds(hist, by, budget)
     # the cut table has one row per volume; the adaptive planner broadcasts it only while it is small
     counts = hist.join(cuts, by, "left").groupBy(*by).agg(
