@@ -15,6 +15,13 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 
 
+def pick(docs: DataFrame, **names: str) -> DataFrame:
+    """Columns of ``docs`` under new names (new=old), whatever its other columns are called."""
+    columns = list(docs.columns)
+    flat = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    return flat.select([F.col(f"c{columns.index(old)}").alias(new) for new, old in names.items()])
+
+
 def words(text: Column) -> Column:
     """The runs of other characters than SEPARATORS, in order; an empty array for null and for separators alone."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmetry.llm.common import pick
 from voxelmetry.session import cut_lineage
 
 
@@ -32,10 +33,11 @@ def exact_copies(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    text = F.coalesce("text", F.lit(""))
     rows = cut_lineage(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"),
+            "doc_id", F.monotonically_increasing_id().alias("_row"),
             hasher(text).alias("text_hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
         ),
         "copies",
@@ -74,17 +76,27 @@ def _collisions(texts: DataFrame, rows: DataFrame) -> DataFrame | None:
     return None if clashing.isEmpty() else clashing
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def staying_rows(docs: DataFrame, stay: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``stay`` (_id, _hash: distinct ids and content hashes) names, with all their columns.
 
-    Rows join their verdict by id and content hash. Rows that repeat an id and its text are one document: the first of
-    them stays, by a grouping that runs over such rows only.
+    Rows that repeat an id and its text are one document: the first of them stays. Which of them are repeated is found
+    on the narrow columns, so that the grouping of whole rows runs over those only.
     """
-    verdict = exact_copies(docs, id_col, text_col, keep)
-    stay = verdict.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"), F.max("kept").alias("_kept"))
-    stay = cut_lineage(stay.where("_kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies"), "staying")
-    keyed = docs.withColumn("_own", content_hash(F.coalesce(F.col(text_col), F.lit(""))))
-    found = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    once = found.where("_copies = 1").select(docs.columns)
-    repeated = found.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(docs.columns)
-    return once.unionByName(repeated)
+    names = list(docs.columns)
+    flat = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own_id, own_text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    keyed = flat.withColumn("_own", content_hash(F.coalesce(own_text, F.lit(""))))
+    copies = keyed.groupBy(own_id.alias("_cid"), F.col("_own").alias("_chash")).agg(F.count(F.lit(1)).alias("_copies"))
+    match = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash"))
+    stay = cut_lineage(stay.join(copies, match).select("_id", "_hash", "_copies"), "staying")
+    found = keyed.join(stay, own_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    once = found.where("_copies = 1").select(flat.columns)
+    if not stay.where("_copies > 1").isEmpty():
+        once = once.unionByName(found.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(flat.columns))
+    return once.toDF(*names)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` that ``exact_copies`` keeps, with all their columns."""
+    kept = exact_copies(docs, id_col, text_col, keep).where("kept")
+    return staying_rows(docs, kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), id_col, text_col)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm.exact_dedup import exact_copies
+from voxelmetry.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def op4_exact_dedup(spark, sf_dir):
     return exact_copies(table(spark, sf_dir, "documents"), keep="largest").drop("text_hash")
+
+
+@query("op5_simhash_covering")
+def op5_simhash_covering(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
