@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm.exact_dedup import exact_copies
+from voxelmetry.llm.pieces import encode_texts
 from voxelmetry.llm.simhash import near_duplicates
+from voxelmetry.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +47,13 @@ def op4_exact_dedup(spark, sf_dir):
 @query("op5_simhash_covering")
 def op5_simhash_covering(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op6_distinct_chunks")
+def op6_distinct_chunks(spark, sf_dir):
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
+@query("op10_two_tier_counts")
+def op10_two_tier_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
