@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm.exact_dedup import exact_copies
+from voxelmetry.llm.language import identify
 from voxelmetry.llm.pieces import encode_texts
+from voxelmetry.llm.quality import robust_outliers
 from voxelmetry.llm.simhash import near_duplicates
 from voxelmetry.llm.token_counts import count_tokens
 
@@ -32,6 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_byte_network")
+def op1_byte_network(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op2_robust_outliers")
+def op2_robust_outliers(spark, sf_dir):
+    return robust_outliers(table(spark, sf_dir, "documents")).drop("distance")
+
+
 @query(
     "op4_exact_dedup",
     """
