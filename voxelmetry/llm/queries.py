@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm.exact_dedup import exact_copies
 from voxelmetry.llm.language import identify
+from voxelmetry.llm.mixing import mix, taken_words
 from voxelmetry.llm.pieces import encode_texts
 from voxelmetry.llm.quality import robust_outliers
 from voxelmetry.llm.simhash import near_duplicates
@@ -69,3 +70,32 @@ def op6_distinct_chunks(spark, sf_dir):
 @query("op10_two_tier_counts")
 def op10_two_tier_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op9_golden_schedule",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || doc_id) AS dice FROM documents
+    ), sources AS (
+      SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM docs GROUP BY source
+    ), filled AS (
+      SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source) AS k, 2 * source_size / weight AS ratio,
+             coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE AS closed, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
+      FROM sources WINDOW before AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), levels AS (
+      SELECT k, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)::DOUBLE - closed) / open AS level, ratio FROM filled
+    ), targets AS (
+      SELECT source, source_size, least(2 * source_size::DOUBLE, (SELECT level FROM levels WHERE level <= ratio ORDER BY k LIMIT 1) * weight) AS target FROM sources
+    ), placed AS (
+      SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+             sum(size) OVER (PARTITION BY d.source ORDER BY dice, doc_id)::BIGINT - size AS start
+      FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target,
+           (greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start))::BIGINT AS taken
+    FROM placed
+    """,
+)
+def op9_golden_schedule(spark, sf_dir):
+    return taken_words(mix(table(spark, sf_dir, "documents"))).drop("text_hash")
