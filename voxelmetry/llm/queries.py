@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm.exact_dedup import exact_copies
+from voxelmetry.llm.hilbert import hilbert_shards
 from voxelmetry.llm.language import identify
 from voxelmetry.llm.mixing import mix, taken_words
 from voxelmetry.llm.pieces import encode_texts
@@ -99,3 +100,8 @@ def op10_two_tier_counts(spark, sf_dir):
 )
 def op9_golden_schedule(spark, sf_dir):
     return taken_words(mix(table(spark, sf_dir, "documents"))).drop("text_hash")
+
+
+@query("op8_hilbert_runs")
+def op8_hilbert_runs(spark, sf_dir):
+    return hilbert_shards(table(spark, sf_dir, "documents")).drop("text_hash")
