@@ -15,6 +15,7 @@ from voxelmetry.llm.pieces import encode_texts
 from voxelmetry.llm.quality import robust_outliers
 from voxelmetry.llm.simhash import near_duplicates
 from voxelmetry.llm.token_counts import count_tokens
+from voxelmetry.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,31 @@ def op9_golden_schedule(spark, sf_dir):
 @query("op8_hilbert_runs")
 def op8_hilbert_runs(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query(
+    "op3_merged_captures",
+    r"""
+    WITH captures AS (
+      SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, lower(coalesce(url, '')) AS u,
+             strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % (3650 * 86400)), '%Y%m%d%H%M%S') AS time
+      FROM pages
+    ), keyed AS (
+      SELECT *, sha1(payload) AS hex, CASE WHEN regexp_matches(u, '^[a-z][a-z0-9+.-]*://')
+               THEN array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '.')), ',')
+                    || ')' || regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^#]*)', 1)
+               ELSE u END AS url_key
+      FROM captures
+    )
+    SELECT page_id, strlen(payload) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i:
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to,
+           row_number() OVER (ORDER BY url_key, time, page_id) - 1 AS position
+    FROM keyed
+    """,
+)
+def op3_merged_captures(spark, sf_dir):
+    found = archive_and_index(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
