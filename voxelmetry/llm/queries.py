@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from voxelmetry.llm.exact_dedup import exact_copies
 from voxelmetry.llm.hilbert import hilbert_shards
 from voxelmetry.llm.language import identify
+from voxelmetry.llm.licenses import scan_licenses
 from voxelmetry.llm.mixing import mix, taken_words
 from voxelmetry.llm.pieces import encode_texts
 from voxelmetry.llm.quality import robust_outliers
@@ -134,3 +135,8 @@ def op8_hilbert_runs(spark, sf_dir):
 def op3_merged_captures(spark, sf_dir):
     found = archive_and_index(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+
+
+@query("op7_patience_alignment")
+def op7_patience_alignment(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
