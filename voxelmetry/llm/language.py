@@ -209,3 +209,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), content_hash(F.coalesce("text", F.lit(""))).alias("text_hash"), letters.alias("text")
     )
     return predict(inputs, net).select("doc_id", "held_out", "lang_pred", "score", "text_hash")
+
+
+def keep_recognised(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a score of at least ``least``, with all their columns.
+
+    The network is fitted as in ``identify``. Rows pass through the tasks that score them, so nothing is shuffled. Where
+    nothing is labelled, rows with a letter are kept, as there is nothing to judge them by.
+    """
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    net = train(pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(fold != 2), rows)
+    names = list(docs.columns)
+    flat = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    flat = flat.where(F.col(text).rlike(r"\p{L}"))
+    if net is None:
+        return flat.toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, scores = _vote(shared.value, batch.column(text))
+            yield batch.filter(pa.array(scores >= least))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
