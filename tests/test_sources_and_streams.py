@@ -72,12 +72,38 @@ def test_missing_indices_and_quarantine(spark):
 
 
 def test_ranking_sink_has_fixed_columns_and_sidecar(spark, tmp_path):
-    df = spark.createDataFrame([("p", 1, 0.5)], "patch STRING, rank INT, score DOUBLE")
-    R.write_ranking(df, str(tmp_path / "r"), ["rank", "patch"], {"budget": 0.1})
-    csv = next((tmp_path / "r" / "ranking").glob("*.csv")).read_text().splitlines()
-    assert csv == ["rank,patch", "1,p"]
-    side = next((tmp_path / "r" / "sidecar").glob("*.txt")).read_text()
-    assert json.loads(side) == {"budget": 0.1}
+    df = spark.createDataFrame([(f"p{k:02}", 40 - k, 0.5) for k in range(40)], "patch STRING, rank INT, score DOUBLE").repartition(4)
+    skipped = spark.createDataFrame([("q", "few nodes")], "patch STRING, reason STRING")
+    R.write_ranking(df, str(tmp_path / "r"), ["rank", "patch"], {"budget": 0.1}, order=["rank"], model={"weights": [1.0]}, skipped=skipped)
+    files = [f.read_text().splitlines() for f in sorted((tmp_path / "r" / "ranking").glob("*.csv"))]
+    assert all(f[0] == "rank,patch" and len(f) > 1 for f in files)
+    assert [line for f in files for line in f[1:]] == [f"{r},p{40 - r:02}" for r in range(1, 41)]
+    side = json.loads(next((tmp_path / "r" / "sidecar").glob("*.txt")).read_text())
+    assert (side["budget"], side["n_ranked"], side["n_skipped"]) == (0.1, 40, 1)
+    assert side["model"]["weights"] == [1.0] and len(side["model"]["sha256"]) == 64
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_batches_never_change_a_score(spark, tmp_path, files):
+    """Rows of an entity that come in several files count in full, whatever the size of a batch."""
+    src = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame([(e, float(k)) for e in range(5)], "entity LONG, v DOUBLE").coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    score = lambda df: df.groupBy("entity").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    got = S.score_new_entities(S.file_stream(spark, src, schema, files_per_batch=files), "entity", score, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert {tuple(r) for r in got.collect()} == {(e, 4, 6.0) for e in range(5)}
+
+
+def test_stream_queries_read_a_folder_of_part_files(spark, tmp_path):
+    from voxelmetry.plans.registry import QUERIES
+    from voxelmetry.plans.stream_queries import r2  # noqa: F401 - registers the queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("r1_incremental_scoring", "r2_batch_manifest", "r3_progress_windows"):
+        parts, whole = ({tuple(r) for r in QUERIES[name](spark, d).collect()} for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert parts == whole and whole
 
 
 def test_feature_table_round_trip(spark, tmp_path):

@@ -58,7 +58,7 @@ def without_top_folder(path: Column | str) -> Column:
 def child_prefix(key: Column | str, prefix: str) -> Column:
     """The next path step below ``prefix``, NULL for keys elsewhere."""
     c = col(key)
-    rest = F.substring(c, len(prefix) + 1, 1 << 20)
+    rest = F.substr(c, F.lit(len(prefix) + 1))
     return F.when(c.startswith(prefix) & F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1))
 
 
@@ -94,10 +94,10 @@ def window_starts(size: Column | str, patch: int, step: float) -> Column:
     return F.when(s <= patch, F.array(F.lit(0))).otherwise(even)
 
 
-def morton(z: Column | str, y: Column | str, x: Column | str, bits: int = 21) -> Column:
-    """Z-order key: the bits of the three indices interleaved, z highest."""
-    spread = [_spread(col(c).cast("long")) for c in (z, y, x)]
-    del bits  # the spreading masks below serve 21 bits
+def morton(z: Column | str, y: Column | str, x: Column | str) -> Column:
+    """Z-order key: the bits of the three indices interleaved, z highest. Fails for indices outside 0..2^21-1."""
+    inside = lambda c: F.when(c.between(0, 0x1FFFFF) | c.isNull(), c).otherwise(F.raise_error(F.lit("a Morton index must have at most 21 bits")))
+    spread = [_spread(inside(col(c).cast("long"))) for c in (z, y, x)]
     return F.shiftleft(spread[0], 2).bitwiseOR(F.shiftleft(spread[1], 1)).bitwiseOR(spread[2])
 
 
@@ -114,9 +114,8 @@ _SPREAD_STEPS = [
 def _spread(c: Column) -> Column:
     # a fold over the step table keeps the expression small, unlike nesting it by hand
     steps = F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(m).alias("mask")) for s, m in _SPREAD_STEPS])
-    start = c.bitwiseAND(F.lit(0x1FFFFF))
     return F.aggregate(
         steps,
-        start,
+        c,
         lambda v, s: v.bitwiseOR(F.call_function("shiftleft", v, s["shift"])).bitwiseAND(s["mask"]),
     )

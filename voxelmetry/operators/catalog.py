@@ -19,11 +19,11 @@ def contiguous_levels(levels: DataFrame, key: Sequence[str], level: str = "level
     return levels.withColumn("_nth", nth).where(F.col("_nth") == F.col(level) + 1).drop("_nth")
 
 
-def resolve_levels(preds: DataFrame, levels: DataFrame, key: str, shape: str = "shape") -> DataFrame:
-    """First pyramid level whose shape equals the prediction's: adds ``actual_level`` (NULL if none)."""
-    reachable = contiguous_levels(levels, [key])
-    first = reachable.groupBy(key, shape).agg(F.min("level").alias("actual_level"))
-    return preds.join(first, [key, shape], "left")
+def resolve_levels(preds: DataFrame, levels: DataFrame, key: Sequence[str], shape: str = "shape") -> DataFrame:
+    """First level of the prediction's own scan (``key``) whose shape equals its own: adds ``actual_level`` (NULL if none)."""
+    reachable = contiguous_levels(levels, key)
+    first = reachable.groupBy(*key, shape).agg(F.min("level").alias("actual_level"))
+    return preds.join(first, [*key, shape], "left")
 
 
 def match_scans(preds: DataFrame, scans: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def build_catalogue(runs: DataFrame, pyramids: DataFrame) -> DataFrame:
     preds = parsed.select("scroll", F.col("name").alias("prediction"), "shape", F.col("a.*"))
     scans = pyramids.select("scroll", "ct_volume").distinct()
     matched = match_scans(preds, scans)
-    levels = resolve_levels(matched, pyramids.select("ct_volume", "level", "shape", "scroll"), "scroll")
+    levels = resolve_levels(matched.withColumnRenamed("level", "declared_level"), pyramids.select("scroll", "ct_volume", "level", "shape"), ["scroll", "ct_volume"])
     return levels.select(
         "scroll",
         "prediction",
@@ -61,9 +61,9 @@ def build_catalogue(runs: DataFrame, pyramids: DataFrame) -> DataFrame:
         "model",
         "threshold",
         "ct_volume",
-        F.col("level").alias("declared_level"),
+        "declared_level",
         "actual_level",
-        artifact_status(F.col("ct_volume"), F.col("shape"), F.col("level"), F.col("actual_level")).alias("status"),
+        artifact_status(F.col("ct_volume"), F.col("shape"), F.col("declared_level"), F.col("actual_level")).alias("status"),
     )
 
 

@@ -58,6 +58,12 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
     """
     by = list(by)
     corner = [F.floor(F.col(a) / block).alias(f"_b{a}") for a in V.AT]
+    # a code holds BITS bits per axis; anything else would meet another voxel's code
+    coded = F.lit(True)
+    for a in V.AT:
+        coded = coded & F.col(a).between(0, (1 << BITS) - 1)
+    fits = F.assert_true(coded, F.lit(f"coordinates must lie in 0..{(1 << BITS) - 1}"))
+    mask = mask.withColumn("_fits", fits).where("_fits IS NULL")
     cells = mask.select(*by, *V.AT).distinct().select(*by, *[F.col(a).cast("int").alias(a) for a in V.AT], *corner)
     kinds = {f.name: f.dataType for f in cells.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in cells.columns] + [T.StructField("piece", T.LongType())])
@@ -114,15 +120,19 @@ def islands(labelled: DataFrame, sheet: DataFrame, by: Sequence[str]) -> DataFra
     return per.groupBy(*by).agg(ratio(F.sum(F.when(F.col("n_s") == 0, F.col("size")).otherwise(0)), F.sum("size")).alias("island_fraction"))
 
 
-def fragments(sheet_parts: DataFrame, pred_parts: DataFrame, by: Sequence[str], first: int = 40, min_size: int = 200) -> DataFrame:
-    """Per volume: mean number of predicted components over each of the first labelled components of some size."""
-    from voxelmetry.operators.sampling import top_per_group
-
-    ordered = top_per_group(sizes(sheet_parts, by), by, [F.asc("component")], ["component"], first)
-    kept = ordered.where(F.col("size") >= min_size).select(*by, "component")
+def fragments(sheet_parts: DataFrame, pred_parts: DataFrame, by: Sequence[str], min_size: int = 200) -> DataFrame:
+    """Per volume: in how many more than one predicted components each labelled component of some size lies, on average."""
+    kept = sizes(sheet_parts, by).where(F.col("size") >= min_size).select(*by, "component")
     over = sheet_parts.join(kept, [*by, "component"]).join(pred_parts.withColumnRenamed("component", "_p"), [*by, *V.AT], "left")
     n = over.groupBy(*by, "component").agg(F.countDistinct("_p").alias("pieces"))
-    return n.groupBy(*by).agg(F.count(F.lit(1)).alias("measured"), F.avg("pieces").alias("fragments"))
+    return n.groupBy(*by).agg(F.count(F.lit(1)).alias("measured"), F.avg(F.greatest(F.col("pieces") - 1, F.lit(0))).alias("fragments"))
+
+
+def enclosed_misses(mask: DataFrame, sheet: DataFrame, by: Sequence[str], shape: Sequence[int], block: int = 16) -> DataFrame:
+    """Per volume: share of the labelled sheet that the mask misses but encloses on all sides (hole_frac)."""
+    here = [*by, *V.AT]
+    inside = cavities(mask, sheet, by, shape, block).select(*here, F.lit(1).alias("_in"))
+    return sheet.select(*here).join(inside, here, "left").groupBy(*by).agg(ratio(F.count("_in"), F.count(F.lit(1))).alias("hole_frac"))
 
 
 def cavities(mask: DataFrame, volumes: DataFrame, by: Sequence[str], shape: Sequence[int], block: int = 16) -> DataFrame:
@@ -166,16 +176,14 @@ def close_and_trim(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], t
     return out.where(F.col("_kept") & ((F.col("_extra") <= F.col("_budget")) | (F.col("_score") > F.col("_t2")))).select(*voxels.columns)
 
 
-def close_pairs(mask: DataFrame, by: Sequence[str], near: float = 6.0, min_size: int = 100, most: int = 60, block: int = 16) -> DataFrame:
-    """Per volume: components kept, pairs closer than ``near`` and their smallest gap. Boundary voxels only.
+def close_pairs(mask: DataFrame, by: Sequence[str], near: float = 6.0, min_size: int = 100, block: int = 16) -> DataFrame:
+    """Per volume: components kept, pairs closer than ``near`` and their smallest gap.
 
-    All boundary voxels take part; ``most`` largest components are the measure's own definition.
+    All boundary voxels of all components of some size take part; the join of their boxes bounds the work.
     """
-    from voxelmetry.operators.sampling import top_per_group
-
     by = list(by)
     parts = label_voxels(mask, by, block)
-    kept = top_per_group(sizes(parts, by).where(F.col("size") >= min_size), by, [F.desc("size")], ["component"], most)
+    kept = sizes(parts, by).where(F.col("size") >= min_size)
     mine = cut_lineage(parts.join(kept.select(*by, "component"), [*by, "component"], "left_semi"), "kept")
     # components do not touch, so eroding the whole mask erodes each component
     shell = mine.join(V.erode(mine, by), [*by, *V.AT], "left_anti")
@@ -215,11 +223,3 @@ def describe_volumes(voxels: DataFrame, by: Sequence[str], shape: Sequence[int],
     for part in (thick, thick90, spacing, contrast, frag):
         out = out.join(part, by)
     return out.join(flat, by, "left").withColumn("status", F.lit("ok"))
-
-
-def face_edges(mask: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every pair of face neighbours inside a mask, once."""
-    steps = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    moved = mask.select(*by, *V.AT, F.inline(rows_of(steps, ("dz", "dy", "dx"))))
-    to = moved.select(*by, *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in V.AT], *[F.col(a).alias(f"from_{a}") for a in V.AT])
-    return to.join(mask.select(*by, *V.AT), [*by, *V.AT])

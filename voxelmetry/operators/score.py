@@ -263,3 +263,25 @@ def by_thresholds(df: DataFrame, by: Sequence[str], cuts: Sequence[float], p: Co
 def with_parameters(df: DataFrame, items: Sequence[tuple], names: Sequence[str]) -> DataFrame:
     """Every row next to each row of a small fixed parameter table."""
     return df.select("*", F.inline(rows_of(items, names)))
+
+
+def margin_enrichment(voxels: DataFrame, by: Sequence[str], pred: Column, margin: Column) -> DataFrame:
+    """Per volume: how much likelier a scored false positive lies in the margin than non-sheet in general.
+
+    ``degenerate`` without false positives, scored non-sheet or margin; ``margin`` is counted among scored non-sheet.
+    """
+    by = list(by)
+    bg = F.col("label") == 0
+    wrong, inside = bg & pred, bg & margin
+    n = voxels.groupBy(*by).agg(
+        count_if(wrong).alias("n_fp"), count_if(bg).alias("_ns"), count_if(inside).alias("n_margin"), count_if(wrong & margin).alias("_hit")
+    )
+    ok = (F.col("n_fp") > 0) & (F.col("_ns") > 0) & (F.col("n_margin") > 0)
+    where = lambda c: F.when(ok, c)
+    shares = ratio("_hit", "n_fp"), ratio("n_margin", "_ns")
+    return n.select(
+        *by, F.when(ok, "ok").otherwise("degenerate").alias("status"), "n_fp", "n_margin",
+        where(shares[0]).alias("fp_share_in_margin"), where(shares[1]).alias("margin_share_of_nonsheet"), where(shares[0] / shares[1]).alias("enrichment"),
+        where(ratio("_hit", "n_margin")).alias("margin_hit_rate"),
+        where((F.col("n_fp") - F.col("_hit")) / F.greatest(F.col("_ns") - F.col("n_margin"), F.lit(1))).alias("nonmargin_fp_rate"),
+    )

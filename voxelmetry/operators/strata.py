@@ -88,10 +88,9 @@ def face_distance(df: DataFrame, by: Sequence[str], shape: Sequence[int], flag:
 
 
 def stride_phase(df: DataFrame, by: Sequence[str], stride: int, origin: Sequence[int], flag: Column, bins: int = 8) -> DataFrame:
-    """Share of flagged voxels by position within the window stride, per axis."""
-    width = stride // bins
+    """Share of flagged voxels by position within the window stride, in ``bins`` equal phases per axis."""
     parts = [
-        F.struct(F.lit(a).alias("axis"), F.floor(F.pmod(F.col(a) + o, F.lit(stride)) / width).cast("int").alias("phase")) for a, o in zip("zyx", origin)
+        F.struct(F.lit(a).alias("axis"), F.floor(F.pmod(F.col(a) + o, F.lit(stride)) * bins / stride).cast("int").alias("phase")) for a, o in zip("zyx", origin)
     ]
     each = df.select(*by, flag.alias("_f"), F.inline(F.array(*parts)))
     return each.groupBy(*by, "axis", "phase").agg(F.count(F.lit(1)).alias("n"), ratio(count_if(F.col("_f")), F.count(F.lit(1))).alias("share"))

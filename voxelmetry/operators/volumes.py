@@ -129,7 +129,7 @@ def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Se
 
 # fixed values: half-open depth ranges, and the integer ranges of the published reports (kept for comparison)
 DEPTH_EDGES = [(0, 2), (2, 4), (4, 8), (8, 16), (16, None)]
-DEPTH_BINS_COMPAT = [(1, 1), (2, 2), (3, 4), (5, 8), (9, 16), (17, 10**6)]
+DEPTH_BINS_COMPAT = [(1, 1), (2, 2), (3, 4), (5, 8), (9, 16), (17, None)]
 
 
 def depth_bin(d: Column, compat: bool = False) -> Column:
@@ -137,7 +137,8 @@ def depth_bin(d: Column, compat: bool = False) -> Column:
     out = F.lit(None).cast("string")
     if compat:
         for lo, hi in DEPTH_BINS_COMPAT:
-            out = F.when((d >= lo) & (d <= hi), f"{lo}-{hi}").otherwise(out)
+            ok = (d >= lo) if hi is None else (d >= lo) & (d <= hi)
+            out = F.when(ok, f"{lo}-{'inf' if hi is None else hi}").otherwise(out)
         return out
     for lo, hi in DEPTH_EDGES:
         ok = (d >= lo) if hi is None else (d >= lo) & (d < hi)
@@ -145,11 +146,6 @@ def depth_bin(d: Column, compat: bool = False) -> Column:
     return out
 
 
-def reflect(c: Column, n: int) -> Column:
-    """Index of a mirrored border (the edge value repeats), for any reach below n."""
-    return F.when(c < 0, -1 - c).when(c > n - 1, 2 * n - 1 - c).otherwise(c)
-
-
 def dense(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], value: str) -> DataFrame:
     """Every cell of each volume's grid, absent voxels as zero."""
     cells = voxels.select(*by).distinct()

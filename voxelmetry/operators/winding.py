@@ -63,7 +63,10 @@ def wrap_edges(points: DataFrame, patches: DataFrame, by: Sequence[str], item: s
 
 
 def solve_wraps(patches: DataFrame, edges: DataFrame, by: Sequence[str], item: str = "patch") -> tuple[DataFrame, DataFrame]:
-    """(patch potentials, fork measures): per patch its off-forest edges and the share with a residual of at least 1."""
+    """(patch potentials, fork measures): per patch its off-forest edges and the share with a residual of at least 1.
+
+    A patch without such an edge has a share of 0.
+    """
     node = lambda c: F.struct(*by, F.col(c).alias("item"))
     nodes = patches.select(node(item).alias("node"))
     e = edges.select(F.struct(*by, "a", "b").alias("eid"), node("a").alias("src"), node("b").alias("dst"), F.col("delta").cast("double").alias("delta"))
@@ -71,6 +74,9 @@ def solve_wraps(patches: DataFrame, edges: DataFrame, by: Sequence[str], item: s
     off = scored.where("NOT in_forest").withColumn("fork", F.abs("residual") >= 1)
     ends = off.select(F.col("src").alias("node"), "fork").unionByName(off.select(F.col("dst").alias("node"), "fork"))
     forks = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_cycles"), F.count(F.when(F.col("fork"), 1)).alias("n_forks"))
-    forks = forks.select(*[F.col(f"node.{b}").alias(b) for b in by], F.col("node.item").alias(item), "n_cycles", "n_forks", ratio("n_forks", "n_cycles").alias("fork_fraction"))
+    forks = nodes.join(forks, "node", "left").na.fill(0, ["n_cycles", "n_forks"])
+    forks = forks.select(
+        *[F.col(f"node.{b}").alias(b) for b in by], F.col("node.item").alias(item), "n_cycles", "n_forks", F.coalesce(ratio("n_forks", "n_cycles"), F.lit(0.0)).alias("fork_fraction")
+    )
     out = w.select(*[F.col(f"node.{b}").alias(b) for b in by], F.col("node.item").alias(item), F.col("component.item").alias("component"), "w")
     return out, forks

@@ -8,6 +8,7 @@ from voxelmetry.functions import names as N
 from voxelmetry.functions.expr import count_if, r6
 from voxelmetry.operators import catalog as C
 from voxelmetry.operators import sampling as P
+from voxelmetry.operators.stats import rank_rows
 from voxelmetry.plans.registry import query
 from voxelmetry.sources import records as R
 
@@ -15,9 +16,9 @@ RE = r"^(\d+)-surface-(\d+)-(.+?)-L(\d+)-th([0-9.]+)\.zarr$"
 PARSED = f"""parsed AS (SELECT run_no, cust, scroll, name AS prediction, pz, py, px, dice, regexp_extract(name, '{RE}', 1) AS ct, regexp_extract(name, '{RE}', 2) AS run_id,
    regexp_extract(name, '{RE}', 3) AS model, CAST(regexp_extract(name, '{RE}', 4) AS INT) AS declared_level, CAST(regexp_extract(name, '{RE}', 5) AS DOUBLE) AS threshold
    FROM runs WHERE regexp_matches(name, '{RE}'))"""
-CAT = PARSED + """, reach AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scroll ORDER BY level) AS nth FROM cts) WHERE nth = level + 1),
- lev AS (SELECT p.*, (SELECT min(level) FROM reach r WHERE r.scroll = p.scroll AND r.cz = p.pz AND r.cy = p.py AND r.cx = p.px) AS actual_level,
-   (SELECT min(ct_volume) FROM cts v WHERE v.scroll = p.scroll AND v.ct_volume LIKE p.ct || '-%') AS ct_volume FROM parsed p),
+CAT = PARSED + """, scan AS (SELECT p.*, (SELECT min(ct_volume) FROM cts v WHERE v.scroll = p.scroll AND v.ct_volume LIKE p.ct || '-%') AS ct_volume FROM parsed p),
+ lev AS (SELECT s.*, (SELECT min(level) FROM cts r WHERE r.scroll = s.scroll AND r.ct_volume = s.ct_volume AND r.cz = s.pz AND r.cy = s.py AND r.cx = s.px
+   AND (SELECT count(*) FROM cts q WHERE q.scroll = r.scroll AND q.ct_volume = r.ct_volume AND q.level < r.level) = r.level) AS actual_level FROM scan s),
  cat AS (SELECT scroll, prediction, run_id, model, threshold, ct_volume, declared_level, actual_level, dice, CASE WHEN ct_volume IS NULL THEN 'ct_missing' WHEN actual_level IS NULL THEN 'no_matching_level'
    WHEN actual_level = declared_level THEN 'verifiable' ELSE 'level_mismatch' END AS status FROM lev)"""
 CATCOLS = "scroll, prediction, run_id, model, threshold, ct_volume, declared_level, actual_level, status"
@@ -215,14 +216,12 @@ def f15(t):
 
 @query(
     "t2_results_order",
-    "SELECT position, scroll, round(dice, 6) AS dice FROM (SELECT scroll, dice, row_number() OVER (ORDER BY dice DESC, scroll) AS position FROM (SELECT scroll, max(dice) AS dice FROM runs GROUP BY 1)) WHERE position <= 20",
+    "SELECT position, scroll, round(dice, 6) AS dice FROM (SELECT scroll, dice, row_number() OVER (ORDER BY dice DESC, scroll) AS position FROM (SELECT scroll, max(dice) AS dice FROM runs GROUP BY 1))",
 )
 def t2(t):
     best = t.runs.groupBy("scroll").agg(F.max("dice").alias("dice"))
-    top = best.orderBy(F.desc("dice"), "scroll").limit(20)  # a bounded top-n report
-    return top.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("d"), "scroll"))).alias("l")).select(
-        F.posexplode("l").alias("position", "r")
-    ).select((F.col("position").cast("long") + 1).alias("position"), "r.scroll", r6(-F.col("r.d")).alias("dice"))
+    ranked = rank_rows(best, [], [F.desc("dice"), F.asc("scroll")])
+    return ranked.select(F.col("rank").alias("position"), "scroll", r6("dice").alias("dice"))
 
 
 @query(

@@ -11,7 +11,7 @@ from voxelmetry.operators.stats import rank_rows, selected_within
 from voxelmetry.plans.registry import query
 from voxelmetry.plans.score_queries import _rounded
 from voxelmetry.plans.stats_queries import RANK
-from voxelmetry.session import checkpoint_root
+from voxelmetry.session import checkpoint_root, cut_lineage
 from voxelmetry.sources import records as R
 from voxelmetry.streaming import incremental as N
 
@@ -21,8 +21,8 @@ def place(t, name):
 
 
 def events(t):
-    schema = t.events.schema
-    s = N.file_stream(t.spark, t.sf_dir, schema, glob="events.parquet")
+    # the pattern meets one file as well as a folder of part files
+    s = N.file_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -81,15 +81,18 @@ def k1(t):
     return back.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("k2_ranking_sink", RANK + " SELECT item, slab, rank AS rank_within_slab, n_in_group AS n_in_slab, rank <= greatest(1, round_even(0.1::DOUBLE * n_in_group, 0)) AS selected FROM rk")
+@query("k2_ranking_sink", RANK + " SELECT item, slab, rank AS rank_within_slab, n_in_group AS n_in_slab, rank <= greatest(1, round_even(0.1::DOUBLE * n_in_group, 0)) AS selected, row_number() OVER (ORDER BY slab, rank) AS line FROM rk")
 def k2(t):
     out = place(t, "ranking")
     sc = t.feat.select("item", "slab", F.round("dense", 9).alias("score"))
     ranked = rank_rows(sc, ["slab"], [F.desc("score"), F.asc("item")]).withColumn("selected", selected_within(0.1))
     ranked = ranked.withColumnRenamed("rank", "rank_within_slab").withColumnRenamed("n_in_group", "n_in_slab")
     cols = ["item", "slab", "rank_within_slab", "n_in_slab", "selected"]
-    R.write_ranking(ranked, out, cols, {"budget": 0.1, "features": ["dense"]})
-    return t.spark.read.schema("item LONG, slab INT, rank_within_slab LONG, n_in_slab LONG, selected BOOLEAN").option("header", True).csv(f"{out}/ranking")
+    R.write_ranking(ranked, out, cols, {"budget": 0.1, "features": ["dense"]}, order=["slab", "rank_within_slab"])
+    back = t.spark.read.schema("item LONG, slab INT, rank_within_slab LONG, n_in_slab LONG, selected BOOLEAN").option("header", True).csv(f"{out}/ranking")
+    # the line a row stands in: files in the order of their names, rows in the order of the file
+    lines = cut_lineage(back.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")), "lines")
+    return rank_rows(lines, [], [F.asc("file"), F.asc("at")]).select(*cols, F.col("rank").alias("line"))
 
 
 @query("k3_label_sink", "SELECT vol, CAST(label AS INT) AS label, count(*) AS n FROM vox GROUP BY 1, 2")

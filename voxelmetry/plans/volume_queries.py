@@ -145,18 +145,31 @@ def a22c(t):
 @query(
     "a24_enrichment_shells",
     SHEET + ", ns AS (SELECT vol, z, y, x, pred FROM vox WHERE label = 0), " + nearest("nd", "ns", "sh")
-    + """, sl AS (SELECT nd.vol, least(CAST(ceil(d) AS INT), 3) AS shell, pred FROM nd JOIN ns USING (vol, z, y, x)), tt AS (SELECT vol, count(*) AS n_ns, count(*) FILTER (WHERE pred) AS n_fp FROM ns GROUP BY 1)
+    + """, sl AS (SELECT nd.vol, CAST(ceil(d) AS INT) AS shell, pred FROM nd JOIN ns USING (vol, z, y, x) WHERE d <= 5), tt AS (SELECT vol, count(*) AS n_ns, count(*) FILTER (WHERE pred) AS n_fp FROM ns GROUP BY 1)
  SELECT vol, shell, count(*) AS n_shell, round((count(*) FILTER (WHERE pred) / CAST(any_value(n_fp) AS DOUBLE)) / (count(*) / CAST(any_value(n_ns) AS DOUBLE)), 6) AS enrichment FROM sl JOIN tt USING (vol) WHERE n_fp > 0 GROUP BY 1, 2 HAVING count(*) >= 10""",
 )
 def a24(t):
     bg = t.vox.where("label = 0").select(*HERE, "pred")
-    d = V.distance(bg, sheet(t), BY, SHAPE).where("distance IS NOT NULL")
-    shells = d.groupBy("vol", F.least(F.ceil("distance").cast("int"), F.lit(3)).alias("shell")).agg(F.count("*").alias("n_shell"), count_if(F.col("pred")).alias("fp"))
+    d = V.distance(bg, sheet(t), BY, SHAPE, limit=5.0).where("distance IS NOT NULL")
+    shells = d.groupBy("vol", F.ceil("distance").cast("int").alias("shell")).agg(F.count("*").alias("n_shell"), count_if(F.col("pred")).alias("fp"))
     total = bg.groupBy("vol").agg(F.count("*").alias("n_ns"), count_if(F.col("pred")).alias("n_fp"))
     e = shells.join(total, "vol").where("n_fp > 0 AND n_shell >= 10")
     return e.select("vol", "shell", "n_shell", r6(ratio(ratio("fp", "n_fp"), ratio("n_shell", "n_ns"))).alias("enrichment"))
 
 
+@query(
+    "a24_margin_enrichment",
+    """c AS (SELECT vol, count(*) AS n_ns, count(*) FILTER (WHERE pred) AS n_fp, count(*) FILTER (WHERE k % 5 < 2) AS n_margin, count(*) FILTER (WHERE pred AND k % 5 < 2) AS n_hit FROM vox WHERE label = 0 GROUP BY 1)
+ SELECT v.vol, CASE WHEN coalesce(n_fp * n_ns * n_margin, 0) = 0 THEN 'degenerate' ELSE 'ok' END AS status, coalesce(n_fp, 0) AS n_fp, coalesce(n_margin, 0) AS n_margin,
+   CASE WHEN n_fp * n_margin > 0 THEN round(n_hit / CAST(n_fp AS DOUBLE), 6) END AS fp_share_in_margin, CASE WHEN n_fp * n_margin > 0 THEN round(n_margin / CAST(n_ns AS DOUBLE), 6) END AS margin_share_of_nonsheet,
+   CASE WHEN n_fp * n_margin > 0 THEN round((n_hit / CAST(n_fp AS DOUBLE)) / (n_margin / CAST(n_ns AS DOUBLE)), 6) END AS enrichment,
+   CASE WHEN n_fp * n_margin > 0 THEN round(n_hit / CAST(n_margin AS DOUBLE), 6) END AS margin_hit_rate, CASE WHEN n_fp * n_margin > 0 THEN round((n_fp - n_hit) / greatest(CAST(n_ns - n_margin AS DOUBLE), 1), 6) END AS nonmargin_fp_rate
+ FROM (SELECT DISTINCT vol FROM vox) v LEFT JOIN c USING (vol)""",
+)
+def a24m(t):
+    return _rounded(S.margin_enrichment(t.vox, BY, F.col("pred"), (F.col("k") % 5 < 2) & (F.col("label") == 0)))
+
+
 def comp_sql(name: str, src: str) -> str:
     """Reachability by smaller codes: enough to find each voxel's smallest reachable one."""
     return f"""{name}v AS (SELECT vol, z * 64 + y * 8 + x AS id, z, y, x FROM {src}), {name}e AS (SELECT a.vol, a.id AS a, b.id AS b FROM {name}v a, {FACES}, {name}v b WHERE b.vol = a.vol AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
@@ -194,7 +207,7 @@ def a26(t):
     "v7_islands_fragments",
     SHEET + ", " + comp_sql("cc", "sh") + ", ps AS (SELECT vol, z, y, x FROM vox WHERE pred AND label <> 2), " + comp_sql("pc", "ps")
     + """, ir AS (SELECT p.vol, p.component, count(*) AS size, count(s.vol) AS n_s FROM pc p LEFT JOIN sh s USING (vol, z, y, x) GROUP BY 1, 2), isl AS (SELECT vol, CAST(sum(CASE WHEN n_s = 0 THEN size ELSE 0 END) AS DOUBLE) / sum(size) AS f FROM ir GROUP BY 1),
- ls AS (SELECT vol, component, count(*) AS size, row_number() OVER (PARTITION BY vol ORDER BY component) AS r FROM cc GROUP BY 1, 2), fr AS (SELECT c.vol, c.component, count(DISTINCT p.component) AS pieces FROM cc c JOIN ls ON ls.vol = c.vol AND ls.component = c.component AND r <= 40 AND size >= 5 LEFT JOIN pc p ON p.vol = c.vol AND p.z = c.z AND p.y = c.y AND p.x = c.x GROUP BY 1, 2)
+ ls AS (SELECT vol, component, count(*) AS size FROM cc GROUP BY 1, 2), fr AS (SELECT c.vol, c.component, greatest(count(DISTINCT p.component) - 1, 0) AS pieces FROM cc c JOIN ls ON ls.vol = c.vol AND ls.component = c.component AND size >= 5 LEFT JOIN pc p ON p.vol = c.vol AND p.z = c.z AND p.y = c.y AND p.x = c.x GROUP BY 1, 2)
  SELECT isl.vol, round(f, 6) AS island_fraction, m.measured, round(m.fr, 6) AS fragments FROM isl LEFT JOIN (SELECT vol, count(*) AS measured, avg(pieces) AS fr FROM fr GROUP BY 1) m USING (vol)""",
 )
 def v7(t):
@@ -213,6 +226,15 @@ def v6(t):
     return C.cavities(t.vox.where("p > 0.3"), t.vox, BY, SHAPE, SIDE).groupBy("vol").agg(F.count("*").alias("n_cavity"))
 
 
+@query(
+    "v6_hole_fraction",
+    SHEET + ", pm AS (SELECT vol, z, y, x FROM vox WHERE p > 0.3), " + GRID + ", bg AS (SELECT * FROM gr ANTI JOIN pm USING (vol, z, y, x)), bd(vol, z, y, x) AS (SELECT vol, z, y, x FROM bg WHERE z IN (0, 6) OR y IN (0, 7) OR x IN (0, 7) UNION SELECT b.vol, b.z, b.y, b.x FROM bd JOIN "
+    + FACES + " ON true JOIN bg b ON b.vol = bd.vol AND b.z = bd.z + dz AND b.y = bd.y + dy AND b.x = bd.x + dx), cv AS (SELECT * FROM bg ANTI JOIN bd USING (vol, z, y, x)) SELECT s.vol, round(count(cv.vol) / CAST(count(*) AS DOUBLE), 6) AS hole_frac FROM sh s LEFT JOIN cv USING (vol, z, y, x) GROUP BY 1",
+)
+def v6h(t):
+    return _rounded(C.enclosed_misses(t.vox.where("p > 0.3"), sheet(t), BY, SHAPE, SIDE))
+
+
 CLOSED = " , ".join(["bs AS (SELECT vol, z, y, x FROM vox WHERE p > 0.7)", dilated("d1", "bs"), eroded("cl", "d1")])
 
 

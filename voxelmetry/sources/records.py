@@ -119,14 +119,28 @@ def write_reports(df: DataFrame, path: str, by: str, fmt: str = "json") -> None:
     df.write.mode("append").partitionBy(by).format(fmt).save(path)
 
 
-def write_ranking(ranking: DataFrame, path: str, columns: Sequence[str], sidecar: dict | None = None) -> None:
-    """Ranking as CSV in a fixed column order, with the run's parameters as JSON beside it."""
+def write_ranking(
+    ranking: DataFrame, path: str, columns: Sequence[str], sidecar: dict | None = None, order: Sequence[str] = (), model: dict | None = None, skipped: DataFrame | None = None
+) -> None:
+    """Ranking as CSV in a fixed column order, with the run's parameters as JSON beside it.
+
+    Files in the order of their names hold the rows sorted by ``order`` (the columns themselves unless given). The
+    sidecar has the parameters, the number of ranked and skipped rows and, with a ``model``, its record and digest.
+    ``skipped`` rows, which grow with the input, are a table of their own beside it.
+    """
+    import hashlib
     import json
 
-    ranking.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/ranking")
+    ranking.select(*columns).orderBy(*(order or columns)).write.mode("overwrite").option("header", True).csv(f"{path}/ranking")
+    if skipped is not None:
+        skipped.write.mode("overwrite").json(f"{path}/skipped")
     if sidecar is not None:
+        record = {**sidecar, "n_ranked": ranking.count(), "n_skipped": 0 if skipped is None else skipped.count()}
+        if model is not None:
+            text = json.dumps(model, sort_keys=True)
+            record["model"] = {**model, "sha256": hashlib.sha256(text.encode()).hexdigest()}
         spark = ranking.sparkSession
-        spark.range(0, 1, 1, 1).select(F.lit(json.dumps(sidecar, sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{path}/sidecar")
+        spark.range(0, 1, 1, 1).select(F.lit(json.dumps(record, sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{path}/sidecar")
 
 
 def write_probabilities(df: DataFrame, path: str, p: str = "p") -> None:

@@ -57,7 +57,8 @@ _VIEWS = {
                o_totalprice / 600000 AS dice
         FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 9 WHEN o_orderkey % 5 = 0 THEN 0
                              ELSE o_orderkey % 2 + o_orderkey % 3 END AS pl FROM {orders}) AS o""",
-    # scan pyramids: levels 0-4 per customer, some without a scan and some with a missing level
+    # scan pyramids: levels 0-4 per customer, some without a scan and some with a missing level; every fourth has a second
+    # scan of half the size, whose levels have the shapes of other levels of the first
     "cts": """
         SELECT c_custkey AS cust, concat('Scroll', CAST(c_custkey AS STRING)) AS scroll,
                concat(CAST(20230101000000 + (c_custkey % 28) * 1000000 + (c_custkey % 24) * 10000 AS STRING),
@@ -67,7 +68,13 @@ _VIEWS = {
                CAST(floor((2048 + 64 * (c_custkey % 5)) / power(2, level)) AS INT) AS cy,
                CAST(floor((3072 + 64 * (c_custkey % 5)) / power(2, level)) AS INT) AS cx
         FROM (SELECT c_custkey, UNNEST_5 AS level FROM {customer}) AS c
-        WHERE c_custkey % 13 <> 0 AND NOT (c_custkey % 17 = 0 AND level = 2)""",
+        WHERE c_custkey % 13 <> 0 AND NOT (c_custkey % 17 = 0 AND level = 2)
+        UNION ALL
+        SELECT c_custkey, concat('Scroll', CAST(c_custkey AS STRING)), concat(CAST(20250101000000 + c_custkey % 28 * 1000000 AS STRING), '-4.7um-110keV.zarr'), level,
+               CAST(floor((1024 + 64 * (c_custkey % 5)) / power(2, level + 1)) AS INT), CAST(floor((2048 + 64 * (c_custkey % 5)) / power(2, level + 1)) AS INT),
+               CAST(floor((3072 + 64 * (c_custkey % 5)) / power(2, level + 1)) AS INT)
+        FROM (SELECT c_custkey, UNNEST_5 AS level FROM {customer}) AS c2
+        WHERE c_custkey % 4 = 0""",
     "docs": """
         SELECT doc_id, source, lang, n_chars, text, length(trim(text)) AS content_chars FROM {documents}""",
     # per-document measurements with a binary outcome, grouped by source

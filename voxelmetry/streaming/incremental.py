@@ -17,10 +17,15 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
     return (r.option("pathGlobFilter", glob) if glob else r).format(fmt).load(folder)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Processes what is there and stops; the checkpoint remembers how far it got."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Processes what is there and stops; the checkpoint remembers how far it got.
+
+    Returns how many rows came too late for the watermark and were dropped.
+    """
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
+    operators = [o for p in q.recentProgress for o in p["stateOperators"]]
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)
 
 
 def write_batch(df: DataFrame, out: str, batch: int) -> None:
@@ -30,28 +35,23 @@ def write_batch(df: DataFrame, out: str, batch: int) -> None:
 
 
 def score_new_entities(stream: DataFrame, entity: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
-    """Scores entities that have no output yet, exactly once each, and returns all outputs.
+    """Scores the entities that new rows belong to, from all their rows so far, and returns one output per entity.
 
-    ``score`` maps the new rows to one row per entity.
+    ``score`` maps rows to one row per entity. Rows are stored batch by batch, and an entity is scored anew whenever a
+    batch brings rows of it, so the result does not depend on how rows fall into batches. Entities without new rows are
+    left alone.
     """
     spark = stream.sparkSession
 
     def each(rows: DataFrame, batch: int) -> None:
-        done = _outputs(spark, out, batch)
-        fresh = rows if done is None else rows.join(done.select(entity), entity, "left_anti")
-        write_batch(score(fresh), out, batch)
+        write_batch(rows, f"{out}/rows", batch)
+        stored = spark.read.schema(T.StructType([*rows.schema, T.StructField("batch", T.LongType())])).parquet(f"{out}/rows")
+        stored = stored.where(F.col("batch") <= batch).drop("batch")  # a replay must not see later batches
+        touched = stored.join(rows.select(entity).distinct(), entity, "left_semi")
+        write_batch(score(touched), f"{out}/scores", batch)
 
     run_available(stream, each, checkpoint)
-    return _outputs(spark, out, None)
-
-
-def _outputs(spark: SparkSession, out: str, before: int | None) -> DataFrame | None:
-    """What earlier batches wrote (a replayed batch does not count as its own predecessor)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    df = spark.read.parquet(out)
-    return df.drop("batch") if before is None else df.where(F.col("batch") < before).drop("batch")
+    return latest(spark, f"{out}/scores", [entity])
 
 
 def latest(spark: SparkSession, out: str, key: Sequence[str]) -> DataFrame:
