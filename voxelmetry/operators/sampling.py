@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as _w
 
 from voxelmetry.functions.expr import hash_uniform
+from voxelmetry.session import cut_lineage
 
 W = _w.Window
 
@@ -55,7 +56,8 @@ def random_origins(shapes: DataFrame, block: int, n: int, keys: Sequence[str], s
 def greedy_spaced(candidates: DataFrame, by: Sequence[str], order: Sequence[Column], axes: Sequence[str], gap: int, rounds: int) -> DataFrame:
     """Up to ``rounds`` picks per group, best first, each at least ``gap`` away from the others on some axis.
 
-    One aggregate and one join per round; the picks so far stay a small table.
+    One aggregate and one join per round. Picks and survivors are written each round, so every round reads the last one's
+    survivors and the plan does not grow.
     """
     best = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(a) for a in axes])
     left = candidates
@@ -64,11 +66,13 @@ def greedy_spaced(candidates: DataFrame, by: Sequence[str], order: Sequence[Colu
         pick = left.groupBy(*by).agg(F.max(best).alias("b")).select(
             *by, *[F.col(f"b.{a}").alias(f"pick_{a}") for a in axes], F.lit(r + 1).alias("pick")
         )
+        pick = cut_lineage(pick, "picks")
         picks = pick if picks is None else picks.unionByName(pick)
         close = F.lit(True)
         for a in axes:
             close = close & (F.abs(F.col(a) - F.col(f"pick_{a}")) < gap)
-        left = left.join(pick.drop("pick"), list(by)).where(~close).select(*candidates.columns)
+        if r + 1 < rounds:
+            left = cut_lineage(left.join(pick.drop("pick"), list(by)).where(~close).select(*candidates.columns), "survivors")
     return picks
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxelmetry.functions import names as N
@@ -10,6 +12,7 @@ from voxelmetry.operators import catalog as C
 from voxelmetry.operators import sampling as P
 from voxelmetry.operators.stats import rank_rows
 from voxelmetry.plans.registry import query
+from voxelmetry.session import checkpoint_root
 from voxelmetry.sources import records as R
 
 RE = r"^(\d+)-surface-(\d+)-(.+?)-L(\d+)-th([0-9.]+)\.zarr$"
@@ -30,6 +33,14 @@ def shaped(t):
     return runs, cts
 
 
+def written_arrays(rows, name: str) -> str:
+    """Writes JSON files under the shared folder, each one array of the rows (r) of a bounded part, and returns the folder."""
+    path = f"{checkpoint_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    text = rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
+    text.repartition("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def catalogue(t):
     return C.build_catalogue(*shaped(t))
 
@@ -75,6 +86,15 @@ def f4(t):
     return a.select("run_no", F.unix_timestamp(N.stamp_time("a.run")).alias("seconds"))
 
 
+@query("s2_catalogue_scan", CAT + " SELECT scroll, prediction, run_id, model, threshold, ct_volume, declared_level, actual_level, status, pz * 1::BIGINT * py * px AS voxels FROM cat JOIN runs USING (scroll) WHERE runs.name = prediction")
+def s2b(t):
+    rows = catalogue(t).join(t.runs.select("run_no", "scroll", F.col("name").alias("prediction"), F.array("pz", "py", "px").alias("pred_shape")), ["scroll", "prediction"])
+    part = F.floor(F.col("run_no") / 100)
+    files = written_arrays(rows.select(F.struct(*[c for c in rows.columns if c != "run_no"]).alias("r"), part.alias("part")), "catalogue")
+    back = R.read_catalogue(t.spark, files)
+    return back.select(*CATCOLS.split(", "), N.shape_product("pred_shape").alias("voxels"))
+
+
 @query("s2_catalogue_shape", "SELECT run_no, CAST(pz AS BIGINT) * py * px AS voxels, greatest(pz, py, px) AS longest, pz = py AS cubic FROM runs")
 def f9(t):
     s = F.array("pz", "py", "px")
@@ -283,8 +303,9 @@ def f12(t):
 
 @query("s1_record_scan", "SELECT status, count(*) AS n, count(recall) AS n_recall, round(avg(recall), 6) AS mean FROM records GROUP BY 1")
 def s1(t):
-    text = F.to_json(F.struct(F.col("event_id").cast("string").alias("sample"), "status", "recall"))
-    parsed = t.records.select(R.decode_properties(text, R.RECORD_SCHEMA).alias("r")).select("r.*")
+    # record files in the shared folder: one array of records for every hundred ids
+    record = F.struct(F.col("event_id").cast("string").alias("sample"), "status", "recall")
+    parsed = R.read_records(t.spark, written_arrays(t.records.select(record.alias("r"), F.floor(F.col("event_id") / 100).alias("part")), "records"), glob="*.txt")
     return parsed.groupBy("status").agg(F.count("*").alias("n"), F.count("recall").alias("n_recall"), r6(F.avg("recall")).alias("mean"))
 
 

@@ -343,43 +343,43 @@ def v13(t):
 
 
 ROWS = DENSE + """, dl AS (SELECT gr.vol, gr.z, gr.y, gr.x, coalesce(label, 0) AS label FROM gr LEFT JOIN vox USING (vol, z, y, x)),
- ar AS (SELECT vol, z, y, list(v ORDER BY x) AS prof FROM dn WHERE x < 7 GROUP BY 1, 2, 3)"""
+ ar AS (SELECT vol, y, x, list(v ORDER BY z) AS prof FROM dn GROUP BY 1, 2, 3)"""
 
 
 def rows(t):
-    """Profiles along x: seven samples per (vol, z, y)."""
-    d = V.dense(t.vox, BY, SHAPE, "ct").join(V.dense(t.vox, BY, SHAPE, "label").withColumnRenamed("label", "lab"), HERE).where("x < 7")
-    s = d.groupBy("vol", "z", "y").agg(F.sort_array(F.collect_list(F.struct("x", "ct", F.col("lab").cast("int").alias("lab")))).alias("s"))
-    return s.select("vol", "z", "y", F.col("s.ct").alias("profile"), F.col("s.lab").alias("labels"))
+    """Profiles along z: the seven cells of each column (vol, y, x)."""
+    d = V.dense(t.vox, BY, SHAPE, "ct").join(V.dense(t.vox, BY, SHAPE, "label").withColumnRenamed("label", "lab"), HERE)
+    s = d.groupBy("vol", "y", "x").agg(F.sort_array(F.collect_list(F.struct("z", "ct", F.col("lab").cast("int").alias("lab")))).alias("s"))
+    return s.select("vol", "y", "x", F.col("s.ct").alias("profile"), F.col("s.lab").alias("labels"))
 
 
 @query(
     "w7_centre_run",
-    ROWS + """, f AS (SELECT vol, z, y, bool_or(x = 3 AND label <> 2) AS mid, max(x) FILTER (WHERE x < 3 AND label = 2) AS l, min(x) FILTER (WHERE x > 3 AND x < 7 AND label = 2) AS r FROM dl GROUP BY 1, 2, 3)
- SELECT vol, z, y, CASE WHEN mid AND l IS NOT NULL AND r IS NOT NULL THEN l + 1 END AS lo, CASE WHEN mid AND l IS NOT NULL AND r IS NOT NULL THEN r - 1 END AS hi FROM f""",
+    ROWS + """, f AS (SELECT vol, y, x, bool_or(z = 3 AND label <> 2) AS mid, max(z) FILTER (WHERE z < 3 AND label = 2) AS l, min(z) FILTER (WHERE z > 3 AND label = 2) AS r FROM dl GROUP BY 1, 2, 3)
+ SELECT vol, y, x, CASE WHEN mid AND l IS NOT NULL AND r IS NOT NULL THEN l + 1 END AS lo, CASE WHEN mid AND l IS NOT NULL AND r IS NOT NULL THEN r - 1 END AS hi FROM f""",
 )
 def w7(t):
     run = PR.centre_run(F.transform("labels", lambda v: v != 2))
-    return rows(t).select("vol", "z", "y", run.alias("run")).select("vol", "z", "y", "run.lo", "run.hi")
+    return rows(t).select("vol", "y", "x", run.alias("run")).select("vol", "y", "x", "run.lo", "run.hi")
 
 
 @query(
     "w8_peak_refined",
-    ROWS + """, pk AS (SELECT vol, z, y, prof, list_position(prof, list_max(prof)) AS k FROM ar), rf AS (SELECT *, prof[k - 1] AS y0, prof[k] AS y1, prof[k + 1] AS y2 FROM pk)
- SELECT vol, z, y, round(CASE WHEN k > 1 AND k < 7 THEN -3 + (k - 1) + least(greatest(CASE WHEN abs(y0 - 2 * y1 + y2) > 1e-9 THEN 0.5 * (y0 - y2) / (y0 - 2 * y1 + y2) ELSE 0 END, -1), 1) END, 6) AS "offset" FROM rf""",
+    ROWS + """, pk AS (SELECT vol, y, x, prof, list_position(prof, list_max(prof)) AS k FROM ar), rf AS (SELECT *, prof[k - 1] AS y0, prof[k] AS y1, prof[k + 1] AS y2 FROM pk)
+ SELECT vol, y, x, round(CASE WHEN k > 1 AND k < 7 THEN -3 + (k - 1) + least(greatest(CASE WHEN abs(y0 - 2 * y1 + y2) > 1e-9 THEN 0.5 * (y0 - y2) / (y0 - 2 * y1 + y2) ELSE 0 END, -1), 1) END, 6) AS "offset" FROM rf""",
 )
 def w8(t):
-    return rows(t).select("vol", "z", "y", r6(PR.ridge_offset(F.col("profile"), 3.0, 1.0)).alias("offset"))
+    return rows(t).select("vol", "y", "x", r6(PR.ridge_offset(F.col("profile"), 3.0, 1.0)).alias("offset"))
 
 
 @query(
     "w10_second_difference",
-    ROWS + """, dd AS (SELECT vol, z, y, prof, [prof[i] - 2 * prof[i + 1] + prof[i + 2] for i in range(1, 6)] AS d2 FROM ar), md AS (SELECT *, list_aggregate(d2, 'median') AS m FROM dd), q AS (SELECT *, list_aggregate([abs(v - m) for v in d2], 'median') AS mad FROM md)
- SELECT vol, z, y, round(greatest(1.4826::DOUBLE * mad / sqrt(6.0::DOUBLE), 1e-3), 6) AS noise, round((list_max(prof) - list_aggregate([prof[1], prof[7]], 'median')) / greatest(1.4826::DOUBLE * mad / sqrt(6.0::DOUBLE), 1e-3), 4) AS resolvability FROM q""",
+    ROWS + """, dd AS (SELECT vol, y, x, prof, [prof[i] - 2 * prof[i + 1] + prof[i + 2] for i in range(1, 6)] AS d2 FROM ar), md AS (SELECT *, list_aggregate(d2, 'median') AS m FROM dd), q AS (SELECT *, list_aggregate([abs(v - m) for v in d2], 'median') AS mad FROM md)
+ SELECT vol, y, x, round(greatest(1.4826::DOUBLE * mad / sqrt(6.0::DOUBLE), 1e-3), 6) AS noise, round((list_max(prof) - list_aggregate([prof[1], prof[7]], 'median')) / greatest(1.4826::DOUBLE * mad / sqrt(6.0::DOUBLE), 1e-3), 4) AS resolvability FROM q""",
 )
 def w10(t):
     p = F.col("profile")
-    return rows(t).select("vol", "z", "y", r6(PR.second_difference_noise(p)).alias("noise"), F.round(PR.resolvability(p, half=3.0, shoulder=0.9, step=1.0), 4).alias("resolvability"))
+    return rows(t).select("vol", "y", "x", r6(PR.second_difference_noise(p)).alias("noise"), F.round(PR.resolvability(p, half=3.0, shoulder=0.9, step=1.0), 4).alias("resolvability"))
 
 
 def profiles(t, half=2.0, points="label = 1"):

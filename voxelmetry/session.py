@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; on a cluster use the one you are given."""
     return (
@@ -25,7 +31,12 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only for a local master."""
+    """Where written tables go: the folder of the run, or else the cluster's shared checkpoint folder.
+
+    A temporary folder serves only a local master.
+    """
+    if _RUN.get():
+        return _RUN.get()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
@@ -39,6 +50,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables that are written inside, removed on leaving.
+
+    Queries are lazy and read such tables when their result is computed, so store or collect the result inside.
+    """
+    path = f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+    before = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions by ``keys`` into the session's full number of partitions.
 

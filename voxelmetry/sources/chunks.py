@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARRAY_METADATA = "shape ARRAY<INT>, chunks ARRAY<INT>, dtype STRING, compressor STRING, fill_value DOUBLE"
+
+
 def parse_array_metadata(df: DataFrame, text: str) -> DataFrame:
     """Adds shape, chunks, dtype, compressor of a store's metadata text; bad text gives NULLs."""
     return df.withColumn("_m", F.from_json(text, ARRAY_METADATA, {"mode": "PERMISSIVE"})).select("*", "_m.*").drop("_m")
@@ -54,9 +56,12 @@ def decode_chunks(
 
 
 def read_chunks(spark: SparkSession, root: str, shape: tuple[int, int, int], chunk: tuple[int, int, int], dtype: str = "|u1", box=None) -> DataFrame:
-    """path, z, y, x, value of a store whose uncompressed chunk files are named ``i.j.k``."""
+    """path, z, y, x, value of a store whose uncompressed chunk files are named ``i.j.k``.
+
+    Chunk indices come from the names of the listed files, so files outside the box are left out before they are opened.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*.*").load(root)
-    parts = F.split(F.substring_index("path", "/", -1), r"\.")
+    parts = F.split(F.col("_metadata.file_name"), r"\.")
     idx = [F.get(parts, i).try_cast("int").alias(n) for i, n in enumerate(("cz", "cy", "cx"))]
     return decode_chunks(files.select("path", *idx, "content"), ["path"], shape, chunk, dtype, box)
 

@@ -49,9 +49,9 @@ CATALOGUE_SCHEMA = T.StructType(
 )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """All ``*.json`` records below ``path``, with a declared schema; the file name fills a missing sample."""
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA, glob: str = "*.json") -> DataFrame:
+    """All records in files ``glob`` below ``path``, with a declared schema; the file name fills a missing sample."""
+    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob).json(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return df.withColumn("sample", F.coalesce("sample", stem))
 
