@@ -224,3 +224,28 @@ def test_feature_schema_is_checked(spark):
     with pytest.raises(ValueError):
         L.score_with(spark.createDataFrame(table()), {"features": ["zzz"]})
 
+
+
+def test_box_pairs_stay_few_and_distances_exact_for_large_items(spark, monkeypatch):
+    """The levels that are chosen from the number of points keep a bounded number of box pairs for each pair of items."""
+    from voxelmetry.operators import spatial
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(4):  # sheets of 40 x 40 points, a few units above each other
+        u, v = np.meshgrid(np.arange(40.0), np.arange(40.0))
+        z = 3.0 * k + 0.3 * np.sin(u / 5 + k) + rng.normal(0, 0.05, u.shape)
+        rows += [(0, k, float(a), float(b), float(c)) for a, b, c in zip(u.ravel(), v.ravel(), z.ravel())]
+    df = spark.createDataFrame(rows, "slab INT, patch INT, x DOUBLE, y DOUBLE, z DOUBLE")
+    seen = {}
+    write = spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda d, name: seen.setdefault(name, []).append(write(d, name)) or seen[name][-1])
+    got = {(r.a, r.b): r.distance for r in X.pair_distances(df, ["slab"], "patch", 10.0).collect()}
+    pts = {k: np.array([r[2:] for r in rows if r[1] == k]) for k in range(4)}
+    for (a, b), d in got.items():
+        gap = np.sqrt(((pts[a][:, None] - pts[b][None]) ** 2).sum(-1).min())
+        assert d == pytest.approx(gap, abs=1e-9)
+    assert len(got) == 6 and spatial._levels(1600) == [2, 4, 8, 16]
+    # of 256 x 256 pairs of the finest boxes
+    counts = [t.count() for t in seen["levels"]], seen["box-pairs"][-1].count()
+    assert max(counts[0]) / len(got) < 0.15 * 256**2 and counts[1] / len(got) < 0.03 * 256**2, counts

@@ -25,12 +25,6 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(per_axis[0] * per_axis[0] + per_axis[1] * per_axis[1] + per_axis[2] * per_axis[2])
 
 
-def _reach(a: str, b: str) -> Column:
-    """Largest possible distance between a point of one box and a point of the other."""
-    per_axis = [F.greatest(F.col(f"{a}hi_{c}") - F.col(f"{b}lo_{c}"), F.col(f"{b}hi_{c}") - F.col(f"{a}lo_{c}")) for c in XYZ]
-    return F.sqrt(per_axis[0] * per_axis[0] + per_axis[1] * per_axis[1] + per_axis[2] * per_axis[2])
-
-
 def _prefixed(df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
@@ -68,17 +62,19 @@ def _explode_cells(df: DataFrame, size: Column, grow: float) -> DataFrame:
 
 
 def nearest_distance(
-    points: DataFrame, pairs: DataFrame, group: Sequence[str], item: str, limit: float | None = None, splits: Sequence[int] = (8,), witness: bool = False
+    points: DataFrame, pairs: DataFrame, group: Sequence[str], item: str, limit: float | None = None, splits: Sequence[int] | None = None, witness: bool = False
 ) -> DataFrame:
     """Exact smallest point distance of each pair (group..., a, b), optionally with the two points.
 
-    Points never meet all against all. Each item is cut into boxes (``splits`` per axis, coarse to fine); of a pair's
-    box pairs only those stay whose smallest possible distance does not exceed the pair's best upper bound, and only
-    the points of the remaining boxes are compared. Give finer ``splits`` such as (8, 64) for items of millions of points.
+    Points never meet all against all. Each item is cut into boxes, ``splits`` per axis, coarse to fine: halves, quarters
+    and so on until a box of the largest item holds a few points, unless given. At each level only the boxes below
+    kept box pairs meet, at most 64 for each, and of them those stay whose smallest possible distance does not exceed the
+    smallest distance between one point of each box. Only the points of the remaining boxes are compared.
     """
     group = list(group)
     pts = points.select(*group, item, *XYZ).distinct()
-    frame = bounding_boxes(pts, [*group, item])
+    frame = cut_lineage(bounding_boxes(pts, [*group, item]), "frames")
+    splits = splits or _levels(frame.agg(F.max("n_points")).first()[0] or 1)
     pts = pts.join(frame.drop("n_points"), [*group, item])
     ids: list[str] = []
     for s in splits:
@@ -93,17 +89,20 @@ def nearest_distance(
     keep = pairs.select(*group, "a", "b")
     pair = [*group, "a", "b"]
     for level in range(len(ids)):
-        boxes = bounding_boxes(pts, [*group, item, *ids[: level + 1]])
+        # any point of each box, the same one in every run: its distance to another box's point bounds the smallest one
+        some = F.min_by(F.struct(*XYZ), F.struct(F.xxhash64(*XYZ), *XYZ)).alias("some")
+        inside = [*group, item, *ids[: level + 1]]
+        boxes = pts.groupBy(*inside).agg(*[f(a).alias(f"{s}{a}") for a in XYZ for f, s in ((F.min, "lo_"), (F.max, "hi_"))], some)
         parents = ids[:level]
         # of each side: the boxes of this level below the boxes kept so far
         for side in ("a", "b"):
             named = boxes.select(
-                *group, F.col(item).alias(side), *[F.col(p).alias(f"{side}{p}") for p in ids[: level + 1]], *[F.col(f"{s}{c}").alias(f"{side}_{s}{c}") for c in XYZ for s in ("lo_", "hi_")]
+                *group, F.col(item).alias(side), *[F.col(p).alias(f"{side}{p}") for p in ids[: level + 1]], *[F.col(f"{s}{c}").alias(f"{side}_{s}{c}") for c in XYZ for s in ("lo_", "hi_")], F.col("some").alias(f"{side}_some"),
             )
             keep = keep.join(named, [*group, side, *[f"{side}{p}" for p in parents]])
-        keep = keep.withColumn("_low", _gap("a_", "b_")).withColumn("_high", _reach("a_", "b_"))
+        keep = cut_lineage(keep.withColumn("_low", _gap("a_", "b_")).withColumn("_high", F.sqrt(squared_distance([f"a_some.{c}" for c in XYZ], [f"b_some.{c}" for c in XYZ]))).select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]], "_low", "_high"), "levels")
         bound = keep.groupBy(*pair).agg(F.min("_high").alias("_bound"))
-        keep = keep.join(bound, pair).where(F.col("_low") <= F.col("_bound"))
+        keep = keep.join(bound, pair).where(F.col("_low") <= F.col("_bound") * (1 + 1e-12))
         if limit is not None:
             keep = keep.where(F.col("_low") <= limit)
         keep = keep.select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]])
@@ -122,6 +121,18 @@ def nearest_distance(
     return out if limit is None else out.where(F.col("distance") <= limit)
 
 
+# points that a box of the finest level holds about, on a surface
+POINTS_PER_BOX = 8
+
+
+def _levels(n: int) -> list[int]:
+    """Halvings for an item of n points that lie on a surface."""
+    levels = [2]
+    while levels[-1] ** 2 * POINTS_PER_BOX < n:
+        levels.append(2 * levels[-1])
+    return levels
+
+
 def pair_distances(points: DataFrame, group: Sequence[str], item: str, near: float, **kw) -> DataFrame:
     """Box candidates within ``near`` with their exact distance, which may exceed ``near``."""
     boxes = cut_lineage(bounding_boxes(points, [*group, item]), "boxes")
