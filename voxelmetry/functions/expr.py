@@ -47,9 +47,12 @@ def rows_of(items: Sequence[tuple], names: Sequence[str]) -> Column:
 
 
 def hash_uniform(seed: int, *keys: Column | str) -> Column:
-    """A uniform number in [0, 1) that depends on the keys only, so it is the same under any partitioning."""
-    h = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """A uniform number in [0, 1) that depends on the keys only, so it is the same under any partitioning.
+
+    The first 52 bits of the MD5 of ``seed:key:key...``, which any SQL engine can compute too.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def dot(a: Sequence[Column], b: Sequence[Column]) -> Column:

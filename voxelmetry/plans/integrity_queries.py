@@ -9,7 +9,9 @@ from voxelmetry.functions.names import morton, window_starts
 from voxelmetry.operators import access as A
 from voxelmetry.operators import integrity as I
 from voxelmetry.operators import sampling as P
-from voxelmetry.plans.registry import query
+from voxelmetry.operators.stats import rank_rows
+from voxelmetry.plans.registry import query, uniform_sql
+from voxelmetry.session import cut_lineage
 
 DIGEST = """b AS (SELECT vol, min(z) FILTER (WHERE ct <> 0) AS z0, max(z) FILTER (WHERE ct <> 0) AS z1, min(y) FILTER (WHERE ct <> 0) AS y0, max(y) FILTER (WHERE ct <> 0) AS y1,
    min(x) FILTER (WHERE ct <> 0) AS x0, max(x) FILTER (WHERE ct <> 0) AS x1, max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM vox GROUP BY 1),
@@ -193,12 +195,13 @@ def f11(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", morton("l_partkey", "l_suppkey", "l_linenumber").alias("key"))
 
 
-@query("t6_morton_order", f"SELECT vol, count(*) AS n_blocks, max({MORTON.format(z='bz', y='by_', x='bx')}) AS last_key FROM (SELECT DISTINCT vol, CAST(z // 2 AS BIGINT) AS bz, CAST(y // 2 AS BIGINT) AS by_, CAST(x // 2 AS BIGINT) AS bx FROM vox) GROUP BY 1")
+@query("t6_morton_order", f"SELECT bz, by_ AS by, bx, row_number() OVER (ORDER BY {MORTON.format(z='bz', y='by_', x='bx')}) AS line FROM (SELECT DISTINCT CAST(z AS BIGINT) AS bz, CAST(y AS BIGINT) AS by_, vol * 8 + x AS bx FROM vox)")
 def t6(t):
-    half = lambda c: F.floor(F.col(c) / 2)
-    blocks = t.vox.select("vol", half("z").alias("bz"), half("y").alias("by"), half("x").alias("bx")).distinct()
-    laid = A.in_morton_order(blocks, 8)
-    return laid.groupBy("vol").agg(F.count("*").alias("n_blocks"), F.max("morton").alias("last_key"))
+    blocks = t.vox.select(F.col("z").cast("long").alias("bz"), F.col("y").cast("long").alias("by"), (F.col("vol") * 8 + F.col("x")).alias("bx")).distinct()
+    laid = cut_lineage(A.in_morton_order(blocks, 8), "laid")
+    # the line a block was written to: files in the order of their names, rows in the order of the file
+    lines = cut_lineage(laid.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")), "lines")
+    return rank_rows(lines, [], [F.asc("file"), F.asc("at")]).select("bz", "by", "bx", F.col("rank").alias("line"))
 
 
 @query("t4_first_qualifying", "SELECT doc_id FROM (SELECT doc_id FROM docs WHERE n_chars >= 200 ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100)")
@@ -212,28 +215,34 @@ def t5(t):
     return P.top_per_group(sizes, ["slab"], [F.desc("size")], ["item"], 5).select("slab", "item", "rank")
 
 
-@query("t7_sample_per_group")
+@query("t7_sample_per_group", f"SELECT vol, z, y, x FROM vox QUALIFY row_number() OVER (PARTITION BY vol ORDER BY {uniform_sql(0, 'vol', 'z', 'y', 'x')}, z, y, x) <= 20")
 def t7(t):
     return P.sample_per_group(t.vox, ["vol"], ["vol", "z", "y", "x"], 20).select("vol", "z", "y", "x")
 
 
-@query("t8_random_origins")
+@query(
+    "t8_random_origins",
+    "SELECT vol, CAST(b AS INT) AS block_index, " + ", ".join(f"CAST(floor({uniform_sql(i, 'vol', 'b')} * greatest(1, n{a} - 4)) AS INT) AS {a}0" for i, a in enumerate("zyx"))
+    + " FROM (SELECT vol, max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM vox GROUP BY 1), (SELECT unnest(range(30)) AS b)",
+)
 def t8(t):
     shapes = t.vox.groupBy("vol").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
     return P.random_origins(shapes, 4, 30, ["vol"]).select("vol", "block_index", "z0", "y0", "x0")
 
 
-@query("t9_batches", "SELECT CAST((o_orderkey - lo) // 1000 AS BIGINT) AS batch, count(*) AS n FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) GROUP BY 1")
+@query("t9_batches", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders")
 def t9(t):
-    # batches by key range: every batch is found by its own filter, no global row number
-    lo = t.orders.agg(F.min("o_orderkey")).scalar()
-    return t.orders.groupBy(F.floor((F.col("o_orderkey") - lo) / 1000).alias("batch")).agg(F.count("*").alias("n"))
+    ranked = rank_rows(t.orders.select("o_orderkey"), [], [F.asc("o_orderkey")])
+    return ranked.select("o_orderkey", F.floor((F.col("rank") - 1) / 1000).alias("batch"))
 
 
-@query("w13_seeded_split", "SELECT 'test' AS part, count(*) AS n FROM docs WHERE source = 'src3' UNION ALL SELECT 'train', (SELECT count(*) FROM docs WHERE source <> 'src3') - 50 UNION ALL SELECT 'val', 50")
+@query(
+    "w13_seeded_split",
+    f"""SELECT doc_id, 'test' AS part FROM docs WHERE source = 'src3' UNION ALL
+ SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {uniform_sql(0, 'doc_id')}, doc_id) <= 50 THEN 'val' ELSE 'train' END FROM docs WHERE source <> 'src3'""",
+)
 def w13(t):
-    s = P.seeded_split(t.docs.select("doc_id", "source"), "doc_id", F.col("source") == "src3", 50)
-    return s.groupBy("part").agg(F.count("*").alias("n"))
+    return P.seeded_split(t.docs.select("doc_id", "source"), "doc_id", F.col("source") == "src3", 50).select("doc_id", "part")
 
 
 @query("w14_job_order", "SELECT CAST(row_number() OVER (ORDER BY seed, arm) AS BIGINT) AS position, seed, arm, n FROM (SELECT seed, arm, count(*) AS n FROM arms GROUP BY 1, 2)")

@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def uniform_sql(seed: int, *keys: str) -> str:
+    """``hash_uniform`` as SQL."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
+
+
 def with_views(sql: str) -> str:
     """Puts the view definitions that ``sql`` uses in front of it; ``sql`` may start with its own CTEs."""
     used: list[str] = []

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelmetry.functions.expr import count_if, r6, ratio, share, sigmoid_of_logits
+from voxelmetry.functions.expr import count_if, hash_uniform, r6, ratio, share, sigmoid_of_logits
 from voxelmetry.operators import score as S
-from voxelmetry.plans.registry import query
+from voxelmetry.plans.registry import query, uniform_sql
 from voxelmetry.session import cut_lineage
 
 V = ["volume_id"]
@@ -312,10 +312,18 @@ def p7(t):
 
 @query(
     "a49_null_controls",
-    """SELECT 'perfect' AS control, count(*) AS n_volumes, round(avg(n_scored / CAST(n_sheet AS DOUBLE)), 6) AS mean_lift FROM
+    f"""SELECT 'random' AS control, count(*) AS n_volumes, round(avg(hit / greatest(CAST(hit + fp AS DOUBLE), 1) / (n_sheet / CAST(n_scored AS DOUBLE))), 6) AS mean_lift FROM
+ (SELECT vol, count(*) FILTER (WHERE label <> 2) AS n_scored, count(*) FILTER (WHERE label = 1) AS n_sheet, count(*) FILTER (WHERE u > 0.2 AND label = 1) AS hit, count(*) FILTER (WHERE u > 0.2 AND label = 0) AS fp
+  FROM (SELECT vol, label, {uniform_sql(11, 'vol', 'z', 'y', 'x')} AS u FROM vox) GROUP BY 1) UNION ALL
+ SELECT 'perfect' AS control, count(*) AS n_volumes, round(avg(n_scored / CAST(n_sheet AS DOUBLE)), 6) AS mean_lift FROM
  (SELECT volume_id, count(*) FILTER (WHERE label <> 2) AS n_scored, count(*) FILTER (WHERE label = 1) AS n_sheet FROM scored GROUP BY 1)""",
 )
 def a49(t):
     perfect = t.scored.withColumn("p", (F.col("label") == 1).cast("double"))
-    e = S.endpoints(perfect, V, min_sheet=1, min_scored=1)
-    return e.agg(F.lit("perfect").alias("control"), F.count("*").alias("n_volumes"), r6(F.avg("precision_lift")).alias("mean_lift")).select("control", "n_volumes", "mean_lift")
+    random = t.vox.withColumn("p", hash_uniform(11, "vol", "z", "y", "x")).withColumnRenamed("vol", "volume_id")
+
+    def lift(control, arm):
+        e = S.endpoints(arm, V, min_sheet=1, min_scored=1)
+        return e.agg(F.lit(control).alias("control"), F.count("*").alias("n_volumes"), r6(F.avg("precision_lift")).alias("mean_lift")).select("control", "n_volumes", "mean_lift")
+
+    return lift("random", random).unionByName(lift("perfect", perfect))

@@ -10,7 +10,7 @@ from voxelmetry.operators import stats as T
 from voxelmetry.operators import strata as ST
 from voxelmetry.operators.distribution import cumulative, medians, mid_ranks, quantiles
 from voxelmetry.operators.volumes import block_census, shift_torus
-from voxelmetry.plans.registry import query
+from voxelmetry.plans.registry import query, uniform_sql
 from voxelmetry.plans.score_queries import _rounded
 
 FEATS = ["n_chars", "dense", "vowel", "stops"]
@@ -38,7 +38,15 @@ def a33(t):
     return df.select("field", "n1", "n2", "u", r6("auc").alias("auc"), r6("z").alias("z"))
 
 
-@query("f7_normal_p")
+# erfc(x) = 1 - 2 / sqrt(pi) * sum of (-1)^n x^(2n+1) / (n! (2n+1)); beyond six sigma it is zero to six digits
+ERFC = "(1 - 1.1283791670955126 * list_sum(list_transform(range(0, 120), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln({x}) - lgamma(n + 1)) / (2 * n + 1))))"
+
+
+@query(
+    "f7_normal_p",
+    LONG + ", " + mwu_sql("lng", "v", "y = 1", "field")
+    + f" SELECT field, round(z, 6) AS z, CASE WHEN abs(z) > 6 THEN 0 WHEN z = 0 THEN 1 ELSE round({ERFC.format(x='(abs(z) / sqrt(2))')}, 6) END AS p FROM mwu",
+)
 def f7(t):
     df = T.mann_whitney_features(feat(t).withColumn("bad", F.col("y") == 1), FEATS, "bad", with_p=True)
     return df.select("field", r6("z").alias("z"), r6("p").alias("p"))
@@ -404,11 +412,9 @@ def p14(t):
     return t.scored.groupBy("volume_id").agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"))
 
 
-@query("p18_seeded_control", "SELECT volume_id, count(*) AS n FROM scored GROUP BY 1")
+@query("p18_seeded_control", f"SELECT vol, z, y, x, {uniform_sql(7, 'vol', 'z', 'y', 'x')} < 0.12 AS control FROM vox")
 def p18(t):
     from voxelmetry.functions.expr import hash_uniform
 
-    u = hash_uniform(7, "volume_id", "p", "ct", "label")
-    s = t.scored.groupBy("volume_id").agg(F.count("*").alias("n"), F.avg(u).alias("u"))
-    return s.where(F.col("u").between(0.2, 0.8)).select("volume_id", "n")  # the control is uniform in every volume
+    return t.vox.select("vol", "z", "y", "x", (hash_uniform(7, "vol", "z", "y", "x") < 0.12).alias("control"))
 
