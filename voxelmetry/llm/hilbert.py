@@ -60,7 +60,7 @@ def hilbert_shards(
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve and the dimensions of every row.
 
     Dimensions: language and source, each quantised to ``bits`` bits at equal depth, and the logarithm of the size in
-    eighths. Equal texts are one group and lie together, at the place of their smallest id. Rows in curve order are cut
+    eighths (linear between powers of two). Equal texts are one group and lie together, at the place of their smallest id. Rows in curve order are cut
     into runs of nearly equal bytes (law ``bytes``): a row goes where its middle byte falls, and a group of up to
     ``together`` of a shard goes where its own middle byte falls, so that it is never cut. Larger groups are cut like
     any rows. Positions are range-partitioned running sums over narrow rows; texts are read once and never shuffled.
@@ -82,7 +82,9 @@ def hilbert_shards(
     first = F.min_by(F.struct("lang", "source", "size"), F.struct("doc_id", "row"))
     groups = rows.groupBy("text_hash").agg(first.alias("f"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("group_size"))
     groups = cut_lineage(groups.select("text_hash", F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.size").alias("one"), "rows", "group_size"), "groups")
-    size_code = F.least(F.floor(F.log2("one") * 8), F.lit((1 << bits) - 1)).cast("int")
+    # the place of the highest bit and the three bits below it: whole numbers, so that no rounding is involved
+    high = F.length(F.bin("one")) - 1
+    size_code = F.least(high * 8 + F.call_function("shiftright", F.col("one") * 8, high).bitwiseAND(7), F.lit((1 << bits) - 1)).cast("int")
     coded = groups.withColumn("size_code", size_code)
     for c in ("lang", "source"):
         codes = _category_codes(groups, c, bits)

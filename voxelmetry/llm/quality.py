@@ -164,7 +164,8 @@ def robust_estimates(rows: DataFrame, steps: int = 5) -> DataFrame:
     for _ in range(steps):
         now = cut_lineage(now, "estimates")
         bin_of = F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")
-        bins = _distances(rows, now).groupBy("g", bin_of.alias("bin")).agg(*_moments())
+        # written first: else the planner deals partial sums by group alone, and a large group's meet in one task
+        bins = cut_lineage(_distances(rows, now).groupBy("g", bin_of.alias("bin")).agg(*_moments()), "bins")
         counted = bins.withColumn("_upto", F.sum("n").over(running)).withColumn("_all", F.sum("n").over(W.partitionBy("g")))
         inner = counted.where(2 * (F.col("_upto") - F.col("n")) < F.col("_all") + DIMENSIONS + 1)
         now = _factored(inner.groupBy("g").agg(*_totals()), half)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelmetry.llm import quality as Q
 from voxelmetry.llm.exact_dedup import exact_copies
 from voxelmetry.llm.hilbert import hilbert_shards
 from voxelmetry.llm.language import identify
@@ -43,7 +44,76 @@ def op1_byte_network(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-@query("op2_robust_outliers")
+def _outlier_sql(steps: int = 5) -> str:
+    """The same estimates in SQL: each concentration step is three common table expressions."""
+    d = range(Q.DIMENSIONS)
+    pairs = [(i, j) for i in d for j in range(i + 1)]
+    floors = [f for _, f in Q.STATISTICS]
+    number = lambda x: f"{x!r}::DOUBLE"
+    moments = ", ".join(
+        ["count(*) AS n", *[f"sum(x{i}::HUGEINT) AS s{i}" for i in d], *[f"sum(x{i}::HUGEINT * x{j}) AS s{i}_{j}" for i, j in pairs]]
+    )
+    totals = ", ".join(f"sum({c}) AS {c}" for c in ["n", *[f"s{i}" for i in d], *[f"s{i}_{j}" for i, j in pairs]])
+
+    def fitted(source: str, factor: float) -> str:
+        mean = [f"(s{i}::DOUBLE / n::DOUBLE)" for i in d]
+        out = [f"{m} / {Q.SCALE} AS m{i}" for i, m in enumerate(mean)]
+        for i, j in pairs:
+            ridge = floors[i] ** 2 if i == j else 0.0
+            rest = f"({number(factor)} * (s{i}_{j}::DOUBLE / n::DOUBLE - {mean[i]} * {mean[j]}) / {number(float(Q.SCALE**2))} + {number(ridge)})"
+            for k in range(j):
+                rest += f" - l{i}_{k} * l{j}_{k}"
+            out.append(f"sqrt({rest}) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+        return f"SELECT g, {', '.join(out)} FROM {source}"
+
+    def distances(estimate: str, how: str = "JOIN") -> str:
+        z = []
+        for i in d:
+            rest = f"x{i}::DOUBLE / {Q.SCALE} - m{i}" + "".join(f" - l{i}_{k} * z{k}" for k in range(i))
+            z.append(f"({rest}) / l{i}_{i} AS z{i}")
+        return f"SELECT r.*, {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in d)} AS d2 FROM grouped r {how} {estimate} USING (g)"
+
+    quartiles = ", ".join(f"quantile_cont(round(x{i} * {number(8 / (f * Q.SCALE))}), [0.25, 0.5, 0.75]) AS q{i}" for i, f in enumerate(floors))
+    start = ", ".join(
+        [f"q{i}[2] * {number(f / 8)} AS m{i}" for i, f in enumerate(floors)]
+        + [f"sqrt(power((q{i}[3] - q{i}[1]) * {number(floors[i] / 8 / 1.349)}, 2) + {number(floors[i] ** 2)}) AS l{i}_{j}" if i == j else f"0.0::DOUBLE AS l{i}_{j}" for i, j in pairs]
+    )
+    parts = [f"e0 AS (SELECT g, {start} FROM (SELECT g, {quartiles} FROM grouped WHERE NOT base_failed AND g IS NOT NULL GROUP BY g))"]
+    for k in range(steps):
+        parts.append(f"b{k} AS (SELECT g, floor(log2(d2 + 1) * {Q.BINS}) AS bin, {moments} FROM ({distances(f'e{k}')}) WHERE NOT base_failed GROUP BY ALL)")
+        parts.append(f"""i{k} AS (SELECT * FROM b{k} QUALIFY 2 * (sum(n) OVER (PARTITION BY g ORDER BY bin) - n) < sum(n) OVER (PARTITION BY g) + {Q.DIMENSIONS + 1})""")
+        parts.append(f"e{k + 1} AS ({fitted(f'(SELECT g, {totals} FROM i{k} GROUP BY g)', Q.consistency(0.5, Q.DIMENSIONS))})")
+    limit = number(Q.chi_square_point(0.975, Q.DIMENSIONS))
+    parts.append(f"o AS (SELECT g, {moments} FROM ({distances(f'e{steps}')}) WHERE NOT base_failed AND d2 <= {limit} GROUP BY g)")
+    parts.append(f"final AS ({fitted('o', Q.consistency(0.975, Q.DIMENSIONS))})")
+    statistics = ", ".join(f"round(({e}) * {Q.SCALE})::BIGINT AS x{i}" for i, (e, _) in enumerate(Q.STATISTICS))
+    return rf"""
+    WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+    tokens AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+    places AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM tokens),
+    repeated AS (SELECT rid, i FROM places QUALIFY count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) > 1),
+    covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY 1),
+    counted AS (
+      SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '{Q.SYMBOLS}', '')))::BIGINT AS n_symbols,
+             len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM tokens LEFT JOIN covered c USING (rid)
+    ), judged AS (
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {statistics}, coalesce('=' || lang, '-') AS la, coalesce('=' || source, '-') AS so FROM counted
+    ), sized AS (
+      SELECT *, coalesce(sum(n) FILTER (WHERE n < {Q.SMALLEST}) OVER (PARTITION BY la), 0) AS pool FROM (SELECT la, so, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY ALL)
+    ), tiers AS (
+      SELECT *, CASE WHEN n >= {Q.SMALLEST} THEN 0 WHEN pool >= {Q.SMALLEST} THEN 1 ELSE 2 END AS tier FROM sized
+    ), grouped AS (
+      SELECT j.*, CASE tier WHEN 0 THEN la || chr(31) || so WHEN 1 THEN la WHEN 2 THEN CASE WHEN (SELECT sum(n) FROM tiers WHERE tier = 2) >= {Q.SMALLEST} THEN '' END END AS g
+      FROM judged j LEFT JOIN tiers USING (la, so)
+    ), {", ".join(parts)}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND coalesce(d2 <= {number(Q.chi_square_point(1 - Q.TAIL, Q.DIMENSIONS))}, true) AS kept
+    FROM ({distances('final', 'LEFT JOIN')})
+    """
+
+
+@query("op2_robust_outliers", _outlier_sql())
 def op2_robust_outliers(spark, sf_dir):
     return robust_outliers(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -104,11 +174,80 @@ def op9_golden_schedule(spark, sf_dir):
     return taken_words(mix(table(spark, sf_dir, "documents"))).drop("text_hash")
 
 
-@query("op8_hilbert_runs")
+# CRC-32 by nibbles: one table value for each of four bits, its polynomial is a fixed value
+def _crc_step(c: str, nibble: str) -> str:
+    values = []
+    for v in range(16):
+        for _ in range(4):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        values.append(v)
+    return f"xor({c} >> 4, {values}[(xor({c}, {nibble}) & 15) + 1])"
+
+
+def _code_sql(column: str) -> str:
+    return f"""SELECT {column}, floor((coalesce(sum(n) OVER (ORDER BY {column} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + n / 2.0::DOUBLE)
+      / sum(n) OVER ()::DOUBLE * 256)::INT AS code FROM (SELECT {column}, sum(rows)::BIGINT AS n FROM groups GROUP BY 1)"""
+
+
+_BIT = "(7 - step // 3)::INT"
+_LOW = f"((1 << {_BIT}) - 1)"
+
+
+def _turned(axis: str, k: int) -> tuple[str, str]:
+    """First coordinate and ``axis`` after a step of the curve on ``axis``."""
+    inverted = f"(({axis} >> {_BIT}) & 1) = 1"
+    moved = f"(xor(x0, {axis}) & {_LOW})"
+    return f"CASE WHEN {inverted} THEN xor(x0, {_LOW}) ELSE xor(x0, {moved}) END", f"CASE WHEN {inverted} THEN {axis} ELSE xor({axis}, {moved}) END"
+
+
+_FLIP = "0"
+for _b in range(7, 0, -1):
+    _FLIP = f"xor({_FLIP}, CASE WHEN (y2 >> {_b}) & 1 = 1 THEN {(1 << _b) - 1} ELSE 0 END)"
+_CURVE = " + ".join(f"(((xor(y{k}, flip) >> {b})::BIGINT & 1) << {3 * b + 2 - k})" for b in range(8) for k in range(3))
+
+
+@query(
+    "op8_hilbert_runs",
+    f"""
+    WITH RECURSIVE narrow AS (
+      SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS hash,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda b: ('0x' || b)::BIGINT)),
+               lambda c, b: {_crc_step(_crc_step('c', 'b'), '(b >> 4)')}), 4294967295) AS text_crc32
+      FROM documents
+    ), groups AS (
+      SELECT hash, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, any_value(size) AS one, count(*) AS rows, sum(size)::BIGINT AS group_size FROM narrow GROUP BY 1
+    ), coded AS (
+      SELECT hash, group_size, l.code AS lang_code, s.code AS source_code, least((length(bin(one)) - 1) * 8 + ((one * 8) >> (length(bin(one)) - 1)::INT & 7), 255)::INT AS size_code
+      FROM groups g JOIN ({_code_sql('lang')}) l ON g.lang IS NOT DISTINCT FROM l.lang JOIN ({_code_sql('source')}) s ON g.source IS NOT DISTINCT FROM s.source
+    ), turned(hash, x0, x1, x2, step) AS (
+      SELECT hash, lang_code, source_code, size_code, 0 FROM coded
+      UNION ALL
+      SELECT hash, CASE step % 3 WHEN 0 THEN CASE WHEN ((x0 >> {_BIT}) & 1) = 1 THEN xor(x0, {_LOW}) ELSE x0 END WHEN 1 THEN {_turned('x1', 1)[0]} ELSE {_turned('x2', 2)[0]} END,
+             CASE step % 3 WHEN 1 THEN {_turned('x1', 1)[1]} ELSE x1 END, CASE step % 3 WHEN 2 THEN {_turned('x2', 2)[1]} ELSE x2 END, step + 1
+      FROM turned WHERE step < 21
+    ), gray AS (
+      SELECT hash, x0 AS y0, xor(x1, x0) AS y1, xor(x2, xor(x1, x0)) AS y2 FROM turned WHERE step = 21
+    ), curves AS (
+      SELECT hash, {_CURVE} AS curve FROM (SELECT *, {_FLIP} AS flip FROM gray)
+    ), ordered AS (
+      SELECT n.*, group_size, lang_code, source_code, size_code, curve, row_number() OVER o - 1 AS place, sum(size) OVER o - size AS start,
+             sum(size) OVER () AS total
+      FROM narrow n JOIN coded USING (hash) JOIN curves USING (hash) WINDOW o AS (ORDER BY curve, hash, doc_id ROWS UNBOUNDED PRECEDING)
+    ), cut AS (
+      SELECT *, least(floor((CASE WHEN group_size <= 0.01::DOUBLE * total::DOUBLE / 16 THEN min(start) OVER (PARTITION BY hash)::DOUBLE + group_size / 2.0::DOUBLE
+                               ELSE start::DOUBLE + size / 2.0::DOUBLE END) * 16 / total::DOUBLE), 15)::INT AS shard
+      FROM ordered
+    )
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard,
+           curve::BIGINT AS curve, lang_code, source_code, size_code
+    FROM cut
+    """,
+)
 def op8_hilbert_runs(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+
 @query(
     "op3_merged_captures",
     r"""
