@@ -57,32 +57,32 @@ def _outlier_sql(steps: int = 5) -> str:
 
     def fitted(source: str, factor: float) -> str:
         mean = [f"(s{i}::DOUBLE / n::DOUBLE)" for i in d]
+        ridge = {(i, j): floors[i] ** 2 if i == j else 0.0 for i, j in pairs}
         out = [f"{m} / {Q.SCALE} AS m{i}" for i, m in enumerate(mean)]
-        for i, j in pairs:
-            ridge = floors[i] ** 2 if i == j else 0.0
-            rest = f"({number(factor)} * (s{i}_{j}::DOUBLE / n::DOUBLE - {mean[i]} * {mean[j]}) / {number(float(Q.SCALE**2))} + {number(ridge)})"
-            for k in range(j):
-                rest += f" - l{i}_{k} * l{j}_{k}"
-            out.append(f"sqrt({rest}) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
-        return f"SELECT g, {', '.join(out)} FROM {source}"
+        out += [f"({number(factor)} * (s{i}_{j}::DOUBLE / n::DOUBLE - {mean[i]} * {mean[j]}) / {number(float(Q.SCALE**2))} + {number(ridge[i, j])}) AS v{i}_{j}" for i, j in pairs]
+        made = f"SELECT g, {', '.join(out)} FROM {source}"
+        for i, j in pairs:  # one level each: expressions of a level are not repeated in the next one
+            rest = f"v{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+            made = f"SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j}_{j}'} AS l{i}_{j} FROM ({made})"
+        return made
 
     def distances(estimate: str, how: str = "JOIN") -> str:
-        z = []
+        made = f"grouped {how} {estimate} USING (g)"
         for i in d:
             rest = f"x{i}::DOUBLE / {Q.SCALE} - m{i}" + "".join(f" - l{i}_{k} * z{k}" for k in range(i))
-            z.append(f"({rest}) / l{i}_{i} AS z{i}")
-        return f"SELECT r.*, {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in d)} AS d2 FROM grouped r {how} {estimate} USING (g)"
+            made = f"(SELECT *, ({rest}) / l{i}_{i} AS z{i} FROM {made})"
+        return f"SELECT *, {' + '.join(f'z{i} * z{i}' for i in d)} AS d2 FROM {made}"
 
     quartiles = ", ".join(f"quantile_cont(round(x{i} * {number(8 / (f * Q.SCALE))}), [0.25, 0.5, 0.75]) AS q{i}" for i, f in enumerate(floors))
     start = ", ".join(
         [f"q{i}[2] * {number(f / 8)} AS m{i}" for i, f in enumerate(floors)]
         + [f"sqrt(power((q{i}[3] - q{i}[1]) * {number(floors[i] / 8 / 1.349)}, 2) + {number(floors[i] ** 2)}) AS l{i}_{j}" if i == j else f"0.0::DOUBLE AS l{i}_{j}" for i, j in pairs]
     )
-    parts = [f"e0 AS (SELECT g, {start} FROM (SELECT g, {quartiles} FROM grouped WHERE NOT base_failed AND g IS NOT NULL GROUP BY g))"]
+    parts = [f"e0 AS MATERIALIZED (SELECT g, {start} FROM (SELECT g, {quartiles} FROM grouped WHERE NOT base_failed AND g IS NOT NULL GROUP BY g))"]
     for k in range(steps):
-        parts.append(f"b{k} AS (SELECT g, floor(log2(d2 + 1) * {Q.BINS}) AS bin, {moments} FROM ({distances(f'e{k}')}) WHERE NOT base_failed GROUP BY ALL)")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT g, floor(log2(d2 + 1) * {Q.BINS}) AS bin, {moments} FROM ({distances(f'e{k}')}) WHERE NOT base_failed GROUP BY ALL)")
         parts.append(f"""i{k} AS (SELECT * FROM b{k} QUALIFY 2 * (sum(n) OVER (PARTITION BY g ORDER BY bin) - n) < sum(n) OVER (PARTITION BY g) + {Q.DIMENSIONS + 1})""")
-        parts.append(f"e{k + 1} AS ({fitted(f'(SELECT g, {totals} FROM i{k} GROUP BY g)', Q.consistency(0.5, Q.DIMENSIONS))})")
+        parts.append(f"e{k + 1} AS MATERIALIZED ({fitted(f'(SELECT g, {totals} FROM i{k} GROUP BY g)', Q.consistency(0.5, Q.DIMENSIONS))})")
     limit = number(Q.chi_square_point(0.975, Q.DIMENSIONS))
     parts.append(f"o AS (SELECT g, {moments} FROM ({distances(f'e{steps}')}) WHERE NOT base_failed AND d2 <= {limit} GROUP BY g)")
     parts.append(f"final AS ({fitted('o', Q.consistency(0.975, Q.DIMENSIONS))})")
@@ -103,7 +103,7 @@ def _outlier_sql(steps: int = 5) -> str:
       SELECT *, coalesce(sum(n) FILTER (WHERE n < {Q.SMALLEST}) OVER (PARTITION BY la), 0) AS pool FROM (SELECT la, so, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY ALL)
     ), tiers AS (
       SELECT *, CASE WHEN n >= {Q.SMALLEST} THEN 0 WHEN pool >= {Q.SMALLEST} THEN 1 ELSE 2 END AS tier FROM sized
-    ), grouped AS (
+    ), grouped AS MATERIALIZED (
       SELECT j.*, CASE tier WHEN 0 THEN la || chr(31) || so WHEN 1 THEN la WHEN 2 THEN CASE WHEN (SELECT sum(n) FROM tiers WHERE tier = 2) >= {Q.SMALLEST} THEN '' END END AS g
       FROM judged j LEFT JOIN tiers USING (la, so)
     ), {", ".join(parts)}
