@@ -224,3 +224,19 @@ def test_attenuation_never_brightens(spark):
     assert (out.after <= out.ct + 1e-12).all() and out.after.min() >= 0
     core = out[(out.z == 6)]
     assert np.allclose(core.after.max() / core.ct.max(), 0.6, atol=0.05)
+
+
+def test_contact_masks_do_not_depend_on_the_blocks(spark, mask):
+    """All radii in one pass, with and without a cut, against whole-array dilation and erosion."""
+    def grown(m, r, fn, outside):
+        for _ in range(r):
+            m = neighbours(m, fn, outside)
+        return m
+
+    df = table(spark, m=mask).where("m")
+    for side in (4, 64):
+        got = V.contact(df, BY, SHAPE, (1, 2, 3), side)
+        for r in (1, 2, 3):
+            closed = grown(grown(mask, r, np.logical_or, False), r, np.logical_and, False)
+            want = grown(closed & ~mask, r, np.logical_or, False) & mask
+            assert {tuple(c) for c in got.where(f"radius = {r}").select("z", "y", "x").collect()} == {tuple(int(v) for v in c) for c in np.argwhere(want)}

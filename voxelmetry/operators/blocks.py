@@ -96,6 +96,39 @@ def gaussian_filter(a: np.ndarray, sigma: float, truncate: float = 4.0) -> np.nd
     return a
 
 
+def grow(mask: np.ndarray, times: int) -> np.ndarray:
+    """Cells within ``times`` face steps of the mask, inside the array."""
+    for _ in range(times):
+        out = mask.copy()
+        for axis in range(mask.ndim):
+            a, b = np.moveaxis(out, axis, 0), np.moveaxis(mask, axis, 0)
+            a[1:] |= b[:-1]
+            a[:-1] |= b[1:]
+        mask = out
+    return mask
+
+
+def shrink(mask: np.ndarray, times: int) -> np.ndarray:
+    """Cells whose surroundings within ``times`` face steps lie in the mask; beyond the array nothing does."""
+    return ~grow(np.pad(~mask, times, constant_values=True), times)[tuple(slice(times, -times or None) for _ in mask.shape)]
+
+
+def contact_kernel(radii: Sequence[int]) -> KernelSpec:
+    """Per radius the mask's voxels beside a thin gap: what closing adds, grown back and met with the mask."""
+
+    def fn(block: Block) -> pd.DataFrame:
+        mask = block.arrays["_m"] > 0
+        found = []
+        for r in radii:
+            gap = shrink(grow(mask, r), r) & ~mask
+            at = block.core_points(grow(gap, r) & mask)
+            found.append(pd.DataFrame({**dict(zip(AT, at.T.astype("int32"))), "radius": np.int32(r)}))
+        out = pd.concat(found)
+        return out if len(out) else nothing([*AT, "radius"])
+
+    return KernelSpec("contact", 3 * max(radii), "radius INT", fn)
+
+
 def across_sheet_normals(field: np.ndarray, at: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Unit eigenvectors of the most negative curvature of the smoothed field at region cells ``at``.
 

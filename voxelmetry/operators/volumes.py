@@ -74,11 +74,24 @@ def close(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Seq
     return erode(dilate(mask, by, shape, offsets, times), by, offsets, times)
 
 
-def contact(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radius: int) -> DataFrame:
-    """Mask voxels beside a thin gap: what closing adds, grown back and met with the mask."""
-    here = [*by, *AT]
-    gap = close(mask, by, shape, FACES, radius).join(mask.select(*here), here, "left_anti")
-    return dilate(gap, by, shape, FACES, radius).join(mask.select(*here), here, "left_semi")
+# fixed values: the published sweep
+CONTACT_RADII = (1, 2, 3, 5, 8, 12)
+
+
+def contact(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int = 64) -> DataFrame:
+    """by..., z, y, x, radius: mask voxels beside a thin gap, for all radii in one pass over padded blocks."""
+    from voxelmetry.operators.blocks import contact_kernel, run_kernel
+
+    return run_kernel(mask.select(*by, *AT, F.lit(1.0).alias("_m")), by, shape, ["_m"], contact_kernel(radii), side)
+
+
+def contact_shares(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int = 64) -> DataFrame:
+    """by..., radius, n_contact, share of the mask's voxels; zero where a radius finds none."""
+    by = list(by)
+    found = contact(mask, by, shape, radii, side).groupBy(*by, "radius").agg(F.count(F.lit(1)).alias("n_contact"))
+    total = mask.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select("*", F.explode(F.array(*[F.lit(r) for r in radii])).alias("radius"))
+    n = F.coalesce("n_contact", F.lit(0).cast("long"))
+    return total.join(found, [*by, "radius"], "left").select(*by, "radius", n.alias("n_contact"), ratio(n, "_n").alias("share"))
 
 
 def interface(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], empty: Column) -> DataFrame:
@@ -88,28 +101,37 @@ def interface(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], empty:
     return voxels.where(~empty).join(grown, [*by, *AT], "left_semi")
 
 
-def _nearest_along(df: DataFrame, by: Sequence[str], axis: str, n: int) -> DataFrame:
+def _nearest_along(df: DataFrame, by: Sequence[str], axis: str, n: int, limit: float | None) -> DataFrame:
     """Lower envelope along one axis: d2 at i becomes min over j of d2(j) + (i - j)^2.
 
-    A line of the volume holds at most n cells, so a task works on batches of short arrays.
+    A line of the volume holds at most n cells, so a task works on batches of short arrays, all lines of a batch at
+    once. Steps end where a longer one could not improve any cell; cells beyond ``limit`` are not passed on.
     """
     others = [c for c in AT if c != axis]
     lines = spread(df, *by, *others).groupBy(*by, *others).agg(F.collect_list(F.struct(axis, "d2")).alias("line")).select(
         *by, *others, F.col(f"line.{axis}").alias("pos"), F.col("line.d2").alias("d2")
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("pos", "d2")) + ", line ARRAY<DOUBLE>"
-    steps = (np.arange(n)[:, None] - np.arange(n)[None, :]).astype(float) ** 2
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("pos", "d2")) + ", pos ARRAY<INT>, d2 ARRAY<DOUBLE>"
+    bound = np.inf if limit is None else limit * limit
+    at_once = max(1, (1 << 22) // n)
 
     def envelope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = np.full((len(batch), n), np.inf)
-            rows = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
-            if len(rows):
+        for whole in batches:
+            for begin in range(0, len(whole), at_once):
+                batch = whole.iloc[begin : begin + at_once]
+                known = np.full((len(batch), n), np.inf)
+                rows = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
                 known[rows, np.concatenate(batch["pos"].to_numpy())] = np.concatenate(batch["d2"].to_numpy())
-            out = [(steps + k[None, :]).min(axis=1) for k in known]
-            yield batch.drop(columns=["pos", "d2"]).assign(line=out)
+                out, step = known.copy(), 1
+                while step < n and step * step <= bound and step * step < out.max():
+                    np.minimum(out[:, step:], known[:, :-step] + step * step, out=out[:, step:])
+                    np.minimum(out[:, :-step], known[:, step:] + step * step, out=out[:, :-step])
+                    step += 1
+                near = [np.flatnonzero(line <= bound).astype(np.int32) for line in out]
+                yield batch.assign(pos=near, d2=[line[k] for line, k in zip(out, near)])
 
-    return lines.mapInPandas(envelope, schema).select(*by, *others, F.posexplode("line").alias(axis, "d2"))
+    found = lines.mapInPandas(envelope, schema).select(*by, *others, F.explode(F.arrays_zip("pos", "d2")).alias("e"))
+    return found.select(*by, *others, F.col("e.pos").alias(axis), F.col("e.d2").alias("d2")).where(F.col("d2") < float("inf"))
 
 
 def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Sequence[int], limit: float | None = None, name: str = "distance") -> DataFrame:
@@ -117,14 +139,13 @@ def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Se
     (or none within ``limit``).
 
     Separable: one pass per axis over the lines of the volume, so each voxel is shuffled once per axis whatever the
-    distance, and block borders play no part.
+    distance, and block borders play no part. With a ``limit`` only cells within it go on to the next axis.
     """
     d2 = targets.select(*by, *AT, F.lit(0.0).alias("d2")).distinct()
     for a, n in zip(AT, shape):
-        d2 = _nearest_along(d2, by, a, n)
+        d2 = _nearest_along(d2, by, a, n, limit)
     found = points.join(d2.withColumnRenamed("d2", "_d2"), [*by, *AT], "left")
-    far = F.lit(None) if limit is None else F.when(F.col("_d2") > limit * limit, F.lit(True))
-    return found.withColumn(name, F.when(far.isNull(), F.sqrt("_d2"))).drop("_d2")
+    return found.withColumn(name, F.sqrt("_d2")).drop("_d2")
 
 
 # fixed values: half-open depth ranges, and the integer ranges of the published reports (kept for comparison)

@@ -59,18 +59,20 @@ def v4(t):
     return V.close(sheet(t), BY, SHAPE, V.ball(2))
 
 
+# the number of face steps between two cells is the sum of their coordinate differences
+STEPS = "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x)"
+
+
 @query(
     "v9_contact_mask",
-    " , ".join(
-        [SHEET, dilated("d1", "sh"), eroded("e1", "d1"), "g1 AS (SELECT * FROM e1 ANTI JOIN sh USING (vol, z, y, x))", dilated("k1", "g1"),
-         dilated("d2", "d1"), eroded("e2a", "d2"), eroded("e2", "e2a"), "g2 AS (SELECT * FROM e2 ANTI JOIN sh USING (vol, z, y, x))", dilated("k2a", "g2"), dilated("k2", "k2a")]
-    )
-    + " SELECT vol, 1 AS radius, count(*) AS n_contact FROM k1 SEMI JOIN sh USING (vol, z, y, x) GROUP BY 1 UNION ALL SELECT vol, 2, count(*) FROM k2 SEMI JOIN sh USING (vol, z, y, x) GROUP BY 1",
+    SHEET + ", " + GRID + f""", rd AS (SELECT unnest([1, 2, 3, 5, 8, 12]) AS radius), sd AS (SELECT a.vol, a.z, a.y, a.x, min({STEPS}) AS d FROM gr a JOIN sh b ON a.vol = b.vol GROUP BY ALL),
+ gp AS (SELECT a.vol, radius, a.z, a.y, a.x FROM sd a JOIN rd ON least(a.z, 6 - a.z, a.y, 7 - a.y, a.x, 7 - a.x) >= radius LEFT JOIN sd b ON b.vol = a.vol AND b.d > radius AND {STEPS} <= radius WHERE a.d > 0 GROUP BY ALL HAVING count(b.vol) = 0),
+ ct AS (SELECT DISTINCT a.vol, radius, a.z, a.y, a.x FROM sh a JOIN gp b ON a.vol = b.vol AND {STEPS} <= radius)
+ SELECT t.vol, CAST(rd.radius AS INT) AS radius, count(ct.vol) AS n_contact, round(count(ct.vol) / CAST(any_value(t.n) AS DOUBLE), 6) AS share
+ FROM (SELECT vol, count(*) AS n FROM sh GROUP BY 1) t CROSS JOIN rd LEFT JOIN ct ON ct.vol = t.vol AND ct.radius = rd.radius GROUP BY 1, 2""",
 )
 def v9(t):
-    m = cut_lineage(sheet(t), "sheet")
-    parts = [V.contact(m, BY, SHAPE, r).groupBy("vol").agg(F.lit(r).alias("radius"), F.count("*").alias("n_contact")) for r in (1, 2)]
-    return parts[0].unionByName(parts[1]).select("vol", "radius", "n_contact")
+    return _rounded(V.contact_shares(sheet(t), BY, SHAPE, side=SIDE))
 
 
 INTER = " , ".join(["em AS (SELECT vol, z, y, x FROM vox WHERE ct = 0)", dilated("de", "em"), "it AS (SELECT v.vol, v.z, v.y, v.x FROM vox v SEMI JOIN de USING (vol, z, y, x) WHERE v.ct <> 0)"])
