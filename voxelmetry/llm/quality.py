@@ -137,6 +137,11 @@ def _moments() -> list[Column]:
     ]
 
 
+def _small(groups: DataFrame, name: str) -> DataFrame:
+    """A written table of one row a group, in few files: many tiny ones would look too large to broadcast."""
+    return cut_lineage(groups.coalesce(8), name)
+
+
 def _totals() -> list[Column]:
     return [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(DIMENSIONS)], *[f"s{i}_{j}" for i, j in L]]]
 
@@ -162,16 +167,16 @@ def robust_estimates(rows: DataFrame, steps: int = 5) -> DataFrame:
     half = consistency(0.5, DIMENSIONS)
     running = W.partitionBy("g").orderBy("bin")
     for _ in range(steps):
-        now = cut_lineage(now, "estimates")
+        now = _small(now, "estimates")
         bin_of = F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")
         # written first: else the planner deals partial sums by group alone, and a large group's meet in one task
         bins = cut_lineage(_distances(rows, now).groupBy("g", bin_of.alias("bin")).agg(*_moments()), "bins")
         counted = bins.withColumn("_upto", F.sum("n").over(running)).withColumn("_all", F.sum("n").over(W.partitionBy("g")))
         inner = counted.where(2 * (F.col("_upto") - F.col("n")) < F.col("_all") + DIMENSIONS + 1)
         now = _factored(inner.groupBy("g").agg(*_totals()), half)
-    now = cut_lineage(now, "estimates")
+    now = _small(now, "estimates")
     ordinary = _distances(rows, now).where(F.col("d2") <= chi_square_point(0.975, DIMENSIONS)).groupBy("g").agg(*_moments())
-    return cut_lineage(_factored(ordinary, consistency(0.975, DIMENSIONS)), "estimates")
+    return _small(_factored(ordinary, consistency(0.975, DIMENSIONS)), "estimates")
 
 
 def _grouped(rows: DataFrame, smallest: int) -> DataFrame:
@@ -181,7 +186,7 @@ def _grouped(rows: DataFrame, smallest: int) -> DataFrame:
     sizes = rows.where("not base_failed").groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.where(F.col("n") < smallest).groupBy("_l").agg(F.sum("n").alias("pool"))
     names = sizes.join(small, "_l", "left").withColumn("_tier", F.when(F.col("n") >= smallest, 0).when(F.col("pool") >= smallest, 1).otherwise(2))
-    names = cut_lineage(names, "groups")
+    names = _small(names, "groups")
     rest = names.where("_tier = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     key = F.when(F.col("_tier") == 0, F.concat_ws("\x1f", "_l", "_s")).when(F.col("_tier") == 1, F.col("_l"))
     if rest >= smallest:
