@@ -99,7 +99,8 @@ def hilbert_shards(
     ordered = running(cut_lineage(rows.drop("lang", "source").join(coded, "text_hash"), "keyed"), [], ["curve", "text_hash", "doc_id", "row"], "size")
     ordered = cut_lineage(ordered, "ordered")
     total = ordered.agg(F.coalesce(F.sum("size"), F.lit(1))).first()[0]
-    starts = ordered.groupBy("text_hash").agg(F.min("start").alias("group_start"))
+    # a written table, so that the join below is one that may be split where a group is large
+    starts = cut_lineage(ordered.groupBy("text_hash").agg(F.min("start").alias("group_start")), "starts")
     run: Column = F.when(F.col("group_size") <= together * total / shards, F.col("group_start") + F.col("group_size") / 2).otherwise(F.col("start") + F.col("size") / 2)
     cut = ordered.join(starts, "text_hash").withColumn("shard", F.least(F.floor(run * shards / total), F.lit(shards - 1)).cast("int"))
     cut = cut_lineage(cut, "cut")
