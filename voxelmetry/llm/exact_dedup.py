@@ -58,6 +58,7 @@ def exact_copies(
         rows.groupBy("text_hash", "_variant").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
         .select("text_hash", "_variant", F.col("b.id").alias("keep_id"), F.abs("b.row").alias("_keep_row"), "group_size")
     )
+    groups = cut_lineage(groups, "groups")  # its size is known then, and rows are not dealt by hash where it is small
     single = F.col("group_size").isNull()
     return rows.join(groups, ["text_hash", "_variant"], "left").select(
         "doc_id",
