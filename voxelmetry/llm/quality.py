@@ -54,13 +54,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return repeats.select(*others, "n_words", "word_chars", "n_symbols", "n_lines", (F.col("n_lines") - F.col("_lines")).alias("n_dup_lines"), covered.alias("n_repeat_words"))
 
 
-# transformed statistics and the least spread that counts as ordinary in each: (expression, floor)
+# transformed statistics and the least spread that counts as ordinary in each: (expression, floor). The floors of repeats
+# are the spread of rounding to one repeat, step / sqrt(12): a line in 18, or a window pair (6 words) in 157 words. With them
+# each statistic alone can pass the limit of TAIL; floors from 0.77 and 0.66 up would keep every repeat
 STATISTICS = [
     ("ln(1 + n_words)", 0.5),
     ("ln((1 + word_chars) / (1 + n_words))", 0.06),
     ("ln(1 + 100 * n_symbols / (1 + word_chars))", 0.25),
-    ("ln(1 + 100 * n_dup_lines / greatest(1, n_lines))", 1.2),
-    ("ln(1 + 100 * n_repeat_words / greatest(1, n_words))", 1.0),
+    ("ln(1 + 100 * n_dup_lines / greatest(1, n_lines))", 0.55),
+    ("ln(1 + 100 * n_repeat_words / greatest(1, n_words))", 0.45),
 ]
 DIMENSIONS = len(STATISTICS)
 # statistics are whole multiples of 1 / SCALE, so that their sums are exact and don't depend on the order of rows
