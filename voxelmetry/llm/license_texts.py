@@ -64,6 +64,19 @@ This Source Code Form is subject to the terms of the Mozilla Public License, v.
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
 
+LGPL_NOTICE = """
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+"""
+
+GPL_2_NOTICE = GPL_NOTICE.replace("version 3", "version 2")
+AGPL_NOTICE = GPL_NOTICE.replace("GNU General", "GNU Affero General")
+LGPL_3_NOTICE = GPL_NOTICE.replace("GNU General", "GNU Lesser General")
+
+GPL_LINE = "This work is licensed under the GNU General Public License, version 3."
+
 # longer texts first: of equally covered templates the first is reported
 TEMPLATES = {
     "BSD-3-Clause": BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_DISCLAIMER,
@@ -71,10 +84,51 @@ TEMPLATES = {
     "MIT": MIT_BODY,
     "ISC": ISC_BODY,
     "Apache-2.0": APACHE_NOTICE,
+    "AGPL-3.0-or-later": AGPL_NOTICE,
+    "LGPL-2.1-or-later": LGPL_NOTICE,
+    "LGPL-3.0-or-later": LGPL_3_NOTICE,
     "GPL-3.0-or-later": GPL_NOTICE,
+    "GPL-2.0-or-later": GPL_2_NOTICE,
     "MPL-2.0": MPL_NOTICE,
-    "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
+    "AGPL-3.0 (line)": GPL_LINE.replace("GNU", "GNU Affero"),
+    "LGPL-3.0 (line)": GPL_LINE.replace("GNU", "GNU Lesser"),
+    "LGPL-2.1 (line)": GPL_LINE.replace("GNU", "GNU Lesser").replace("3.", "2.1."),
+    "GPL-3.0 (line)": GPL_LINE,
+    "GPL-2.0 (line)": GPL_LINE.replace("3.", "2."),
     "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
+    "MPL-2.0 (line)": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC-BY-NC-SA-4.0 (line)": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 (line)": "Licensed under CC BY-NC-ND 4.0.",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0 (line)": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 (line)": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-4.0 (line)": "Licensed under CC BY 4.0.",
+    "CC0-1.0 (line)": "Licensed under CC0 1.0.",
     "MIT (line)": "Released under the MIT License.",
+    "BSD (line)": "Released under the BSD License.",
+    "ISC (line)": "Released under the ISC License.",
+}
+
+# phrases without which a passage is another license, however many of the other words it has
+MARKS = {
+    "BSD-3-Clause": ["neither the name|endorse or promote|specific prior written permission"],
+    "AGPL-3.0-or-later": ["GNU Affero General", "version 3"],
+    "LGPL-2.1-or-later": ["GNU Lesser General", "version 2.1"],
+    "LGPL-3.0-or-later": ["GNU Lesser General", "version 3"],
+    "GPL-3.0-or-later": ["GNU General", "version 3"],
+    "GPL-2.0-or-later": ["GNU General", "version 2"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+    "AGPL-3.0 (line)": ["GNU Affero General", "version 3"],
+    "LGPL-3.0 (line)": ["GNU Lesser General", "version 3"],
+    "LGPL-2.1 (line)": ["GNU Lesser General", "version 2.1"],
+    "GPL-3.0 (line)": ["GNU General", "version 3"],
+    "GPL-2.0 (line)": ["GNU General", "version 2"],
+    "Apache-2.0": ["Apache License", "Version 2.0"],
+    "Apache-2.0 (line)": ["Apache License", "Version 2.0"],
+    "MPL-2.0 (line)": ["Mozilla Public License", "Version 2.0"],
+    **{f"CC-{k}-4.0 (line)": [f"CC {k} 4.0"] for k in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")},
+    "CC0-1.0 (line)": ["CC0 1.0"],
+    "MIT (line)": ["MIT License"],
+    "BSD (line)": ["BSD License"],
+    "ISC (line)": ["ISC License"],
 }

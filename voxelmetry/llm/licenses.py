@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmetry.llm.common import pick
-from voxelmetry.llm.license_texts import TEMPLATES
+from voxelmetry.llm.license_texts import MARKS, TEMPLATES
 
 WORD = re.compile(r"\w+")
 # share of a template's words that a passage must hold
 LEAST = 0.8
+# templates of up to so many words are single sentences, which are looked for within so many words of text
+LINE, LINE_REACH = 20, 100
 
 
 def longest_rise(values: Sequence[int]) -> list[int]:
@@ -79,55 +81,96 @@ def _once(words: Sequence[int], begin: int, end: int) -> dict[int, int]:
 
 
 class Scanner:
-    """Finds templates in texts. A text's words are numbers of the templates' words, -1 for all others."""
+    """Finds templates in texts. A text's words are numbers of the templates' words, -1 for all others.
 
-    def __init__(self, templates: Mapping[str, str], least: float):
+    ``marks``: for a template's name the phrases (name, version) that a passage must hold unbroken, or one of
+    several, parted by |.
+    """
+
+    def __init__(self, templates: Mapping[str, str], least: float, marks: Mapping[str, Sequence[str]] = MARKS):
         self.least = least
         self.vocabulary: dict[str, int] = {}
-        self.templates = []
-        for name, text in templates.items():
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall(text.lower())]
-            self.templates.append((name, words))
+        number = lambda text: [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall(text.lower())]
+        self.templates = [(name, number(text), [[number(x) for x in m.split("|")] for m in marks.get(name, ())]) for name, text in templates.items()]
         size = len(self.vocabulary)
-        self.counts = [np.bincount(w, minlength=size) for _, w in self.templates]
+        self.counts = [np.bincount(w, minlength=size) for _, w, _ in self.templates]
         # the last place stands for -1
         self.member = [np.append(c > 0, False) for c in self.counts]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """name, coverage, first and last word of every template's best passage of at least ``least`` coverage.
+        """name, coverage, first and last word of every passage that covers at least ``least`` of a template.
 
-        A passage is a window of one and a half template lengths; windows start every half length, so that each
-        occurrence lies whole in a window in which at most half of another one repeats its words. Windows with too few
-        of the template's words can't reach ``least`` and are passed over.
+        Passages of a template don't overlap. Of two templates' passages that overlap, the one with fewer matched words
+        goes, as a line inside a notice does; of equally many, the one that covers less of its template.
         """
         get = self.vocabulary.get
         codes = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
+        have = np.bincount(codes[codes >= 0], minlength=len(self.vocabulary))
         found = []
-        for (name, words), counts, member in zip(self.templates, self.counts, self.member):
-            n = len(words)
-            need = int(np.ceil(self.least * n))
-            before = np.concatenate([[0], np.cumsum(member[codes])])
-            if before[-1] < need:
-                continue
-            wide, step = n + (n + 1) // 2, max(1, n // 2)
-            starts = np.arange(0, max(1, len(codes) - wide + step), step)
+        for k, (name, words, _) in enumerate(self.templates):
+            if np.minimum(have, self.counts[k]).sum() >= int(np.ceil(self.least * len(words))):
+                found += [(name, n, len(words), first, last) for n, first, last in self._passages(codes, k)]
+        return [
+            (name, n / size, first, last) for name, n, size, first, last in found
+            if not any((m, -z) > (n, -size) and f <= last and first <= t for _, m, z, f, t in found)
+        ]
+
+    def _passages(self, codes: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """Matched words, first and last word of the template's passages, in the order of the text: whole copies first,
+        then the best one of what is left, until none is."""
+        _, words, _ = self.templates[k]
+        n, left, out = len(words), codes.copy(), []
+        whole = np.flatnonzero(codes[: max(0, len(codes) - n + 1)] == words[0])
+        for begin in whole.tolist():
+            if codes[begin : begin + n].tolist() == words and (not out or begin > out[-1][2]):
+                out.append((n, begin, begin + n - 1))
+                left[begin : begin + n] = -1
+        while best := self._best(left, k):
+            out.append(best)
+            left[best[1] : best[2] + 1] = -1
+        return sorted(out, key=lambda x: x[1])
+
+    def _best(self, codes: np.ndarray, k: int) -> tuple[int, int, int] | None:
+        """The passage with most matched words, the narrower of equals.
+
+        Windows are one and a half template lengths wide, then twice that and so on, for notices until one holds the whole
+        text and for lines up to LINE_REACH words; they start every third of their width. Windows with too few of the
+        template's words can't reach ``least`` and are passed over.
+        """
+        (_, words, marks), counts, member = self.templates[k], self.counts[k], self.member[k]
+        n = len(words)
+        need = int(np.ceil(self.least * n))
+        before = np.concatenate([[0], np.cumsum(member[codes])])
+        if before[-1] < need:
+            return None
+        wide, best = n + (n + 1) // 2, None
+        reach = len(codes) if n > LINE else min(len(codes), LINE_REACH)
+        while True:
+            starts = np.arange(0, max(1, len(codes) - wide + max(1, wide // 3)), max(1, wide // 3))
             ends = np.minimum(starts + wide, len(codes))
-            best = None
             for begin, end in zip(*(x[before[ends] - before[starts] >= need] for x in (starts, ends))):
                 passage = codes[begin:end]
                 inside = np.bincount(passage[passage >= 0], minlength=len(counts))
                 if np.minimum(inside, counts).sum() < need:
                     continue
                 pairs = align(passage.tolist(), words)
-                if len(pairs) >= need and (best is None or len(pairs) > best[0]):
-                    best = len(pairs), int(begin) + pairs[0][0], int(begin) + pairs[-1][0]
-            if best:
-                found.append((name, best[0] / n, best[1], best[2]))
-        return found
+                if len(pairs) < need or (best and len(pairs) <= best[0]):
+                    continue
+                first, last = int(begin) + pairs[0][0], int(begin) + pairs[-1][0]
+                if all(any(_holds(codes[first : last + 1], x) for x in m) for m in marks):
+                    best = len(pairs), first, last
+            if wide >= reach:
+                return best
+            wide *= 2
+
+
+def _holds(codes: np.ndarray, phrase: Sequence[int]) -> bool:
+    n = len(phrase)
+    return any(codes[i : i + n].tolist() == phrase for i in np.flatnonzero(codes == phrase[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, coverage, first_word, last_word and licenses (all that are found, with their spans) of every row.
+    """doc_id, license, coverage, first_word, last_word and licenses (every passage that is found, with its span) of every row.
 
     Words are runs of letters, digits and underscores in lower case, counted from 0. ``license`` is the best-covered
     template, the first of ``templates`` among equals; null, with coverage 0, where none reaches ``least``.
