@@ -12,6 +12,7 @@ from voxelmetry.llm.exact_dedup import exact_copies
 from voxelmetry.llm.hilbert import hilbert_shards
 from voxelmetry.llm.language import identify
 from voxelmetry.llm.licenses import scan_licenses
+from voxelmetry.llm.minhash import near_duplicate_classes
 from voxelmetry.llm.mixing import mix, taken_words
 from voxelmetry.llm.pieces import encode_texts
 from voxelmetry.llm.quality import robust_outliers
@@ -279,3 +280,34 @@ def op3_merged_captures(spark, sf_dir):
 @query("op7_patience_alignment")
 def op7_patience_alignment(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+# A-Z in lower case, everything else as it is
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_minhash_multi_index",
+    rf"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM docs
+    ), nodes AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY s) AS node, s, len(s) AS n, least FROM (SELECT s, min(doc_id) AS least FROM sets GROUP BY s)
+    ), each AS MATERIALIZED (
+      SELECT node, n, unnest(s) AS t FROM nodes
+    ), links AS MATERIALIZED (
+      SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.t = b.t AND a.node <> b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reached(node, other) AS (
+      SELECT node, node FROM nodes UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other
+    ), classes AS (
+      SELECT r.node, min(o.least) AS component_id FROM reached r JOIN nodes o ON o.node = r.other GROUP BY 1
+    )
+    SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id, doc_id = CASE WHEN n = 0 THEN doc_id ELSE component_id END AS kept
+    FROM sets JOIN nodes USING (s) JOIN classes USING (node)
+    """,
+)
+def op11_minhash_multi_index(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
