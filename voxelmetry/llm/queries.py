@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmetry.llm import quality as Q
+from voxelmetry.llm import spelling as SP
+from voxelmetry.llm.divergence import source_divergence
 from voxelmetry.llm.exact_dedup import exact_copies
 from voxelmetry.llm.hilbert import hilbert_shards
 from voxelmetry.llm.language import identify
@@ -311,3 +313,74 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 )
 def op11_minhash_multi_index(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_sorted_list_scan",
+    f"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+      WHERE length(w) >= {SP.LEAST_LENGTH} GROUP BY ALL
+    ), hashed AS (
+      SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(doc_id || ':' || w), '..'), lambda b: ('0x' || b)::BIGINT)),
+               lambda c, b: {_crc_step(_crc_step('c', 'b'), '(b >> 4)')}), 4294967295) AS h FROM runs
+    ), found AS (
+      SELECT CASE WHEN h % {SP.DAMAGE} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1
+    ), words AS MATERIALIZED (
+      SELECT word, n FROM found WHERE length(word) >= {SP.LEAST_LENGTH} AND n >= {SP.LEAST_COUNT}
+    ), without AS MATERIALIZED (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), pairs AS MATERIALIZED (
+      SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT w.word, w.n, x.word, x.n FROM without w JOIN words x ON w.rest = x.word
+      UNION SELECT x.word, x.n, w.word, w.n FROM without w JOIN words x ON w.rest = x.word
+    ), best AS (
+      SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS best FROM pairs GROUP BY word
+    ), formed AS MATERIALIZED (
+      SELECT word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= {SP.TIMES} * w.n THEN best END AS form, CASE WHEN best_n >= {SP.TIMES} * w.n THEN best_n END AS form_n
+      FROM words w LEFT JOIN best USING (word)
+    ), followed(word, root) AS (
+      SELECT word, word FROM formed UNION ALL SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.root AND g.form IS NOT NULL
+    )
+    SELECT word, form, f.root, n, n_near, form_n FROM formed JOIN followed f USING (word) WHERE f.root NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)
+    """,
+)
+def op12_sorted_list_scan(spark, sf_dir):
+    return SP.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_late_strings",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, """ + _LOWERED + r""" AS text FROM documents
+    ), terms AS MATERIALIZED (
+      SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs) GROUP BY ALL
+    ), kept AS MATERIALIZED (
+      SELECT lang, term, sum(n) AS n FROM terms GROUP BY 1, 2 HAVING count(*) >= 10
+    ), langs AS (
+      SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1
+    ), groups AS (
+      SELECT DISTINCT lang, source FROM docs
+    ), counts AS MATERIALIZED (
+      SELECT lang, source, term, coalesce(c.n, 0) AS n, k.n AS n_lang FROM groups JOIN kept k USING (lang)
+      LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM terms GROUP BY ALL) c USING (lang, source, term)
+    ), totals AS (
+      SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2
+    ), shares AS MATERIALIZED (
+      SELECT c.lang, c.source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (t.total + 2 * v) AS p, 1 + 1000000000::HUGEINT * (n_lang + 2) // (l.total + 2 * v) AS q
+      FROM counts c JOIN totals t USING (lang, source) JOIN langs l ON l.lang = c.lang
+    ), pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY ALL
+    ), shown AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM shown
+    QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op13_late_strings(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
