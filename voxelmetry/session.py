@@ -75,13 +75,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` under the checkpoint folder (or another shared ``folder``) and read it back.
 
     A written table survives the loss of executors, gives the next round real sizes to plan with, and is
     computed once, which the iterative operators need.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
