@@ -1,5 +1,7 @@
 """Scoring: null controls with known answers, edge rules, one-pass sweep against numpy."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,3 +71,17 @@ def test_equal_content_has_equal_digest_wherever_it_lies(spark):
     b = [("b", 3 + z, 0, 1 + x, 5) for z in range(2) for x in range(2)] + [("b", 0, 0, 0, 0)]
     d = content_digests(spark.createDataFrame(a + b, "v STRING, z INT, y INT, x INT, ct INT"), ["v"]).toPandas()
     assert d.content_digest.nunique() == 1 and d.raw_digest.nunique() == 2
+
+
+def test_digests_are_those_of_the_arrays_bytes(spark):
+    rng = np.random.default_rng(3)
+    vols = {"a": rng.integers(0, 256, (6, 5, 4)), "b": rng.integers(0, 256, (6, 5, 4)) * (rng.random((6, 5, 4)) < 0.1), "empty": np.zeros((6, 5, 4), int)}
+    vols["b"][[0, 2, 5]] = 0  # planes without a stored voxel
+    rows = [(v, *map(int, p), int(a[tuple(p)])) for v, a in vols.items() for p in np.argwhere(a > 0)] + [("empty", 1, 1, 1, 0)]
+    df = spark.createDataFrame(rows, "v STRING, z INT, y INT, x INT, ct INT").repartition(4)
+    got = content_digests(df, ["v"], shape=(6, 5, 4)).toPandas().set_index("v")
+    for v, a in vols.items():
+        assert got.raw_digest[v] == hashlib.sha256(a.astype("u1").tobytes()).hexdigest()
+        at = np.argwhere(a > 0)
+        crop = None if not len(at) else hashlib.sha256(np.ascontiguousarray(a[tuple(slice(lo, hi + 1) for lo, hi in zip(at.min(0), at.max(0)))].astype("u1")).tobytes()).hexdigest()
+        assert got.content_digest[v] == crop

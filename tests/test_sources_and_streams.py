@@ -12,7 +12,9 @@ from voxelmetry.operators import access as A
 from voxelmetry.operators import catalog as C
 from voxelmetry.operators import integrity as I
 from voxelmetry.operators import sampling as P
+from voxelmetry.operators import blocks as B
 from voxelmetry.sources import chunks as K
+from voxelmetry.sources import store as ST
 from voxelmetry.sources import patches as PT
 from voxelmetry.sources import records as R
 from voxelmetry.streaming import incremental as S
@@ -54,6 +56,68 @@ def test_chunk_store(spark, tmp_path):
     assert m[0]["shape"] == [8, 8, 8] and m[0]["compressor"] is None and m[1]["shape"] is None
 
 
+def make_store(folder, vol, side, skip=(), fill=7, separator="."):
+    """Chunk files of an array, the last ones padded, and the metadata beside them."""
+    folder.mkdir()
+    grid = [-(-n // side) for n in vol.shape]
+    padded = np.full([g * side for g in grid], 99, "<i2")
+    padded[tuple(slice(0, n) for n in vol.shape)] = vol
+    for index in np.ndindex(*grid):
+        if index not in skip:
+            path = folder / separator.join(map(str, index))
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(padded[tuple(slice(i * side, i * side + side) for i in index)].tobytes())
+    meta = {"shape": vol.shape, "chunks": [side] * 3, "dtype": "<i2", "compressor": None, "fill_value": fill, "dimension_separator": separator}
+    (folder / ".zarray").write_text(json.dumps(meta))
+
+
+@pytest.mark.parametrize("separator, run", [(".", 16), ("/", 1)])
+def test_store_source_reads_whole_volumes_and_fills_missing_chunks(spark, tmp_path, separator, run):
+    vol = np.random.default_rng(1).integers(-300, 300, (7, 9, 5))
+    make_store(tmp_path / "s", vol, 4, skip={(0, 1, 1)}, separator=separator)
+    want = vol.copy()
+    want[0:4, 4:8, 4:5] = 7
+    got = ST.read_store(spark, str(tmp_path / "s"), run).toPandas()
+    assert len(got) == vol.size and not got.duplicated(["z", "y", "x"]).any()
+    assert (got.value.to_numpy() == want[got.z, got.y, got.x]).all()
+    assert set(got[~got.stored][["cz", "cy", "cx"]].itertuples(index=False, name=None)) == {(0, 1, 1)}
+
+
+def test_store_source_opens_only_the_files_of_a_box(spark, tmp_path):
+    vol = np.random.default_rng(2).integers(0, 300, (8, 8, 8))
+    for name in ("a", "b"):
+        make_store(tmp_path / name, vol, 2)
+    inside = {(1, 2, z) for z in range(4)}
+    for name in ("a", "b"):  # every other file is broken, and opening it fails
+        for index in np.ndindex(4, 4, 4):
+            if name == "b" or index not in inside:
+                (tmp_path / name / ".".join(map(str, index))).write_bytes(b"broken")
+    store = ST.read_store(spark, str(tmp_path))
+    got = store.where("store = 'a' AND z >= 2 AND z < 4 AND y > 3 AND y <= 5 AND value >= 100").toPandas()
+    box = vol[2:4, 4:6]
+    assert len(got) == (box >= 100).sum() and (got.value.to_numpy() == vol[got.z, got.y, got.x]).all()
+    assert store.where("z < 0").count() == 0 and store.where("z = 3 AND z = 4").count() == 0
+    with pytest.raises(Exception, match="are not a chunk"):
+        store.where("store = 'a'").count()
+
+
+def test_store_round_trip_and_metadata(spark, tmp_path):
+    vol = {v: np.random.default_rng(v).integers(0, 255, (5, 6, 7)) for v in (1, 2)}
+    vol[2][:, :, 4:] = 0
+    rows = [(v, *map(int, p), int(a[tuple(p)])) for v, a in vol.items() for p in np.argwhere(a > 0)]
+    df = spark.createDataFrame(rows, "vol LONG, z INT, y INT, x INT, v INT").repartition(3)
+    fields = B.pack_field(df, ["vol"], (5, 6, 7), "v", 4)
+    assert ST.write_store(fields, "vol", str(tmp_path)) == 8 + 4
+    assert ST.write_store(fields, "vol", str(tmp_path)) == 12  # a repeated write leaves the same files
+    assert not list(tmp_path.rglob("*.part"))
+    got = ST.read_store(spark, str(tmp_path)).toPandas()
+    for v, a in vol.items():
+        own = got[got.store == str(v)]
+        assert len(own) == a.size and (own.value.to_numpy() == a[own.z, own.y, own.x]).all()
+    meta = {r["store"]: r for r in ST.read_array_metadata(spark, str(tmp_path)).collect()}
+    assert meta.keys() == {"1", "2"} and meta["1"]["shape"] == [5, 6, 7] and meta["1"]["chunks"] == [4, 4, 4]
+
+
 def test_guards_fail_the_job(spark):
     two = spark.createDataFrame([("a", b"x"), ("a", b"y")], "patch STRING, content BINARY")
     with pytest.raises(Exception, match="duplicate patch: a"):
@@ -90,9 +154,35 @@ def test_batches_never_change_a_score(spark, tmp_path, files):
     for k in range(4):
         spark.createDataFrame([(e, float(k)) for e in range(5)], "entity LONG, v DOUBLE").coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
-    score = lambda df: df.groupBy("entity").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-    got = S.score_new_entities(S.file_stream(spark, src, schema, files_per_batch=files), "entity", score, str(tmp_path / "out"), str(tmp_path / "ck"))
+    sums, finish = {"n": F.count("*"), "total": F.sum("v")}, {"n": F.col("n"), "total": F.col("total")}
+    stream = lambda: S.file_stream(spark, src, schema, files_per_batch=files)
+    got = S.score_new_entities(stream(), "entity", sums, finish, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert {tuple(r) for r in got.collect()} == {(e, 4, 6.0) for e in range(5)}
+    # a later run reads the new rows alone, and the entities without any keep their score
+    spark.createDataFrame([(2, 10.0), (9, 1.0)], "entity LONG, v DOUBLE").coalesce(1).write.mode("append").parquet(src)
+    read = []
+    kept = stream().groupBy("entity").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    q = kept.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda df, b: S.write_batch(df, str(tmp_path / "out"), b)).start()
+    q.awaitTermination()
+    read = [p["numInputRows"] for p in q.recentProgress]
+    assert sum(read) == 2
+    assert {tuple(r) for r in S.latest(spark, str(tmp_path / "out"), ["entity"]).collect()} == {(e, 4, 6.0) for e in (0, 1, 3, 4)} | {(2, 5, 16.0), (9, 1, 1.0)}
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_running_quantiles_keep_one_histogram_an_entity(spark, tmp_path, files):
+    src, rng = str(tmp_path / "in"), np.random.default_rng(5)
+    values = {e: rng.random((4, 25)) * 10 for e in ("a", "b")}
+    for k in range(4):
+        rows = [(e, float(v)) for e in values for v in values[e][k]] + [("c", None)]
+        spark.createDataFrame(rows, "entity STRING, v DOUBLE").coalesce(1).write.mode("append").parquet(src)
+    S.state_store(spark)
+    stream = S.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=files)
+    S.run_available(S.running_quantiles(stream, "entity", "v", 0.0, 10.0, 1000, {"median": 0.5}), lambda df, b: S.write_batch(df, str(tmp_path / "out"), b), str(tmp_path / "ck"), "update")
+    got = {r["entity"]: (r["n"], r["median"]) for r in S.latest(spark, str(tmp_path / "out"), ["entity"]).collect()}
+    assert got["c"] == (0, None)
+    for e, v in values.items():
+        assert got[e][0] == 100 and abs(got[e][1] - np.sort(v.ravel())[49]) <= 0.005 + 1e-9
 
 
 def test_stream_queries_read_a_folder_of_part_files(spark, tmp_path):
@@ -173,13 +263,13 @@ def write_events(spark, folder, start, n):
 
 def test_resume_scores_each_entity_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / d) for d in ("in", "out", "ck"))
-    score = lambda df: df.groupBy("entity").agg(F.max("recall").alias("recall"))
+    score = lambda: S.score_new_entities(S.file_stream(spark, src, schema), "entity", {"best": F.max("recall")}, {"recall": F.col("best")}, out, ck)
     write_events(spark, src, 0, 20)
     schema = spark.read.parquet(src).schema
-    assert S.score_new_entities(S.file_stream(spark, src, schema), "entity", score, out, ck).count() == 20
+    assert score().count() == 20
     write_events(spark, src, 10, 20)  # ten known entities, ten new ones
-    assert S.score_new_entities(S.file_stream(spark, src, schema), "entity", score, out, ck).count() == 30
-    assert S.score_new_entities(S.file_stream(spark, src, schema), "entity", score, out, ck).count() == 30
+    assert score().count() == 30
+    assert score().count() == 30
 
 
 def test_running_summary_over_several_batches(spark, tmp_path):

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxelmetry.operators import blocks as B
 from voxelmetry.operators import components as C
 from voxelmetry.operators import profiles as PR
 from voxelmetry.operators import volumes as V
@@ -240,3 +241,56 @@ def test_contact_masks_do_not_depend_on_the_blocks(spark, mask):
             closed = grown(grown(mask, r, np.logical_or, False), r, np.logical_and, False)
             want = grown(closed & ~mask, r, np.logical_or, False) & mask
             assert {tuple(c) for c in got.where(f"radius = {r}").select("z", "y", "x").collect()} == {tuple(int(v) for v in c) for c in np.argwhere(want)}
+
+
+def test_nearest_on_long_empty_lines(spark):
+    """Lines of 5,000 cells with a few sites: the work follows the sites, and answers come at the asked points only."""
+    rng = np.random.default_rng(8)
+    shape = (3, 4, 5000)
+    targets = [(1, int(z), int(y), int(x)) for z, y, x in zip(rng.integers(0, 3, 12), rng.integers(0, 4, 12), rng.integers(0, 5000, 12))]
+    points = [(v, int(z), int(y), int(x)) for v in (1, 2) for z, y, x in zip(rng.integers(0, 3, 40), rng.integers(0, 4, 40), rng.integers(0, 5000, 40))]
+    df = lambda rows: spark.createDataFrame(rows, "vol LONG, z INT, y INT, x INT")
+    at = np.array([t[1:] for t in targets])
+    for limit in (None, 90.0):
+        got = V.distance(df(points), df(targets), ["vol"], shape, limit).collect()
+        assert len(got) == len(points)
+        for r in got:
+            want = np.sqrt(((at - [r.z, r.y, r.x]) ** 2).sum(1).min()) if r.vol == 1 else None
+            if want is not None and limit is not None and want > limit:
+                want = None
+            assert (r.distance is None) == (want is None) and (want is None or abs(r.distance - want) < 1e-9)
+
+
+def test_envelope_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        n, m = rng.integers(1, 60), rng.integers(1, 60)
+        line, pos, val = rng.integers(0, 4, n), rng.integers(0, 100, n), rng.integers(0, 400, n).astype(float)
+        ask_line, ask = rng.integers(0, 5, m), rng.integers(0, 100, m)
+        want = [min((v + (q - p) ** 2 for k, p, v in zip(line, pos, val) if k == a), default=np.inf) for a, q in zip(ask_line, ask)]
+        assert np.array_equal(V.nearest_on_lines(line, pos, val, ask_line, ask), want)
+
+
+def test_packed_fields_join_block_by_block_and_refuse_unequal_shapes(spark):
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(0, 3, (6, 7, 9)), rng.integers(0, 3, (6, 7, 9))
+    rows = lambda m: [("v", *map(int, p), int(m[tuple(p)])) for p in np.argwhere(m > 0)]
+    df = lambda m: spark.createDataFrame(rows(m), "vol STRING, z INT, y INT, x INT, v INT").repartition(3)
+    pack = lambda m, shape=(6, 7, 9): B.pack_field(df(m), ["vol"], shape, "v", 4)
+    both = B.per_block(B.join_fields(pack(a), pack(b), ["vol"]), ["vol"], "n BIGINT", lambda x, y: {"n": int((x == y).sum())})
+    assert both.agg(F.sum("n")).first()[0] == (a == b).sum()
+    a[:, :, 4:] = 0  # blocks of one field only
+    halves = B.per_block(B.join_fields(pack(a), pack(b), ["vol"]), ["vol"], "n BIGINT", lambda x, y: {"n": int((y if x is None else (x == 0) * y).sum())})
+    assert halves.agg(F.sum("n")).first()[0] == b[a == 0].sum()
+    with pytest.raises(Exception, match="fields differ in shape"):
+        B.join_fields(pack(a), pack(b, (6, 7, 10)), ["vol"]).count()
+    with pytest.raises(Exception, match="fields differ in shape"):
+        B.join_fields(pack(a), pack(b).where("false"), ["vol"]).count()
+
+
+def test_packed_rows_hold_no_voxel_rows(spark):
+    """What a kernel's shuffle moves: one row for each task, block and target, whatever the number of voxels."""
+    full = spark.range(16**3).selectExpr("1L AS vol", "cast(id div 256 as int) AS z", "cast(id div 16 % 16 as int) AS y", "cast(id % 16 as int) AS x", "1 AS v").coalesce(1)
+    rows = B.packed(full, ["vol"], ["v"], B.Cut(8, 2, np.array([16, 16, 16])))
+    assert rows.count() == 8
+    assert sum(len(r["_at"]) for r in rows.collect()) == 4 * 8 * 10**3

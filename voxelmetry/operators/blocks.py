@@ -1,23 +1,31 @@
-"""Runs array kernels over padded blocks of voxel volumes.
+"""Array kernels over packed blocks of voxel volumes.
 
-Each voxel goes to its own block and to every block whose halo reaches it; a task then holds one padded block of
-bounded size. At the volume's border the padding mirrors the volume, inside it comes from the neighbours, so results do
-not depend on how the volume is cut.
+A block is a cube of a volume; its voxels travel as packed rows: one row for each task, block and target, with the
+positions and the values as bytes. The packing runs in the tasks that hold the voxels, so that no voxel is a row of a
+shuffle. Besides its own block a packed row goes to the neighbours whose halo it reaches, and only with the slice
+(face, edge or corner) that lies there. A task then holds one padded block of bounded size. At the volume's border the
+padding mirrors the volume, inside it comes from the neighbours, so results do not depend on how the volume is cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelmetry.session import spread
 
 AT = ["z", "y", "x"]
+# a block's side in halos at least: a voxel is then sent to fewer than four blocks on average
+HALOS, SIDE = 4, 64
 
 
 @dataclass
@@ -35,6 +43,9 @@ class Block:
         at = np.argwhere(mask) + self.origin
         return at[((at >= self.core_lo) & (at < self.core_hi)).all(axis=1)]
 
+    def core(self, a: np.ndarray) -> np.ndarray:
+        return a[tuple(slice(lo, hi) for lo, hi in zip(self.core_lo - self.origin, self.core_hi - self.origin))]
+
 
 @dataclass(frozen=True)
 class KernelSpec:
@@ -46,56 +57,225 @@ class KernelSpec:
     fn: Callable[[Block], pd.DataFrame]
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How volumes of one shape are cut: the padded region of a block, and where its core begins and ends.
+
+    Without a shape the volume has no border, and absent voxels around the stored ones are cells like any other.
+    """
+
+    side: int
+    halo: int
+    shape: np.ndarray | None
+
+    def core(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo = block * self.side
+        return lo, lo + self.side if self.shape is None else np.minimum(lo + self.side, self.shape)
+
+    def region(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = self.core(block)
+        if self.shape is None:
+            return lo - self.halo, hi + self.halo
+        return np.maximum(lo - self.halo, 0), np.minimum(hi + self.halo, self.shape)
+
+    def exists(self, block: np.ndarray) -> np.ndarray:
+        if self.shape is None:
+            return np.ones(len(block), bool)
+        return ((block >= 0) & (block * self.side < self.shape)).all(axis=1)
+
+
 def nothing(names: Sequence[str]) -> pd.DataFrame:
     """No rows; untyped columns, so that Arrow takes them for any declared type."""
     return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
 
 
-def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], values: Sequence[str], spec: KernelSpec, side: int = 64) -> DataFrame:
+def _group_codes(columns: list[pa.Array], rows: int) -> np.ndarray:
+    """A number for each row, equal for rows that agree in all columns (nulls agree)."""
+    code = np.zeros(rows, np.int64)
+    for c in columns:
+        own = c.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        _, code = np.unique(code * (own.max() + 1) + own, return_inverse=True)
+    return code
+
+
+def packer(n_keys: int, cut: Cut) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (keys, z, y, x, values) to packed rows (keys, block, positions in the padded region, values as bytes)."""
+    reach = -(-cut.halo // cut.side)
+    directions = np.array(list(product(range(-reach, reach + 1), repeat=3)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(n_keys + k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys + 3, batch.num_columns)]
+            group, own = _group_codes(batch.columns[:n_keys], batch.num_rows), at // cut.side
+            which, targets = [], []
+            for d in directions:
+                block = own + d
+                lo, hi = cut.region(block)
+                sent = np.flatnonzero(((at >= lo) & (at < hi)).all(axis=1) & cut.exists(block))
+                which.append(sent)
+                targets.append(block[sent])
+            which, targets = np.concatenate(which), np.concatenate(targets)
+            order = np.lexsort((*targets.T[::-1], group[which]))
+            which, targets = which[order], targets[order]
+            lo, hi = cut.region(targets)
+            inside, size = at[which] - lo, hi - lo
+            place = ((inside[:, 0] * size[:, 1] + inside[:, 1]) * size[:, 2] + inside[:, 2]).astype(np.int32)
+            new = (np.diff(group[which], prepend=-1) != 0) | (np.diff(targets, axis=0, prepend=targets[:1] - 1) != 0).any(axis=1)
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(which))
+            cells = [place, *[v[which] for v in values]]
+            first = pa.array(which[starts])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[c.take(first) for c in batch.columns[:n_keys]],
+                    *[pa.array(targets[starts, k].astype(np.int32)) for k in range(3)],
+                    *[pa.array([c[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c in cells],
+                ],
+                [*batch.schema.names[:n_keys], "_bz", "_by", "_bx", "_at", *[f"_v{k}" for k in range(len(values))]],
+            )
+
+    return work
+
+
+def packed(voxels: DataFrame, by: Sequence[str], values: Sequence[str], cut: Cut, kind: str = "double") -> DataFrame:
+    """by..., _bz, _by, _bx, _at (int32 positions), _v0... (values as ``kind``) of every task, block and target."""
+    by = list(by)
+    cells = voxels.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], *[F.col(v).cast(kind).alias(v) for v in values])
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in voxels.select(*by).schema)
+    made = ", ".join(["_bz INT, _by INT, _bx INT, _at BINARY", *[f"_v{k} BINARY" for k in range(len(values))]])
+    return cells.mapInArrow(packer(len(by), cut), keys + made)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[dict]]]:
+    """The packed rows of each block, sorted by keys and block, as (keys and block, rows)."""
+    held, last = [], None
+    for batch in batches:
+        names = batch.schema.names
+        for row in batch.to_pylist():
+            key = tuple(row[c] for c in names[: n_keys + 3])
+            if held and key != last:
+                yield last, held
+                held = []
+            held.append(row)
+            last = key
+    if held:
+        yield last, held
+
+
+def dense_arrays(rows: list[dict], size: np.ndarray, n: int, dtype: type = np.float64) -> list[np.ndarray]:
+    arrays = [np.zeros(int(np.prod(size)), dtype) for _ in range(n)]
+    for row in rows:
+        at = np.frombuffer(row["_at"], np.int32)
+        for k, a in enumerate(arrays):
+            a[at] = np.frombuffer(row[f"_v{k}"], dtype)
+    return [a.reshape(size) for a in arrays]
+
+
+def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None, values: Sequence[str], spec: KernelSpec, side: int | None = None) -> DataFrame:
+    """by..., z, y, x and the kernel's columns. ``side``: of the blocks, by default HALOS halos and SIDE at least."""
+    by, values = list(by), list(values)
+    cut = Cut(side or max(SIDE, HALOS * spec.halo), spec.halo, None if shape is None else np.array(shape))
+    rows = packed(voxels, by, values, cut)
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in voxels.select(*by).schema)
+    ddl = keys + f"z INT, y INT, x INT, {spec.out_schema}"
+    schema, fn, n_keys = to_arrow_schema(T.StructType.fromDDL(ddl)), spec.fn, len(by)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in gathered(batches, n_keys):
+            block = np.array(key[n_keys:])
+            (start, stop), (lo, hi) = cut.region(block), cut.core(block)
+            arrays = dense_arrays(held, stop - start, len(values))
+            out = fn(Block(dict(zip(values, arrays)), start, lo, hi, stop if cut.shape is None else cut.shape))
+            if len(out):
+                own = [pa.array([k] * len(out), f.type) for k, f in zip(key[:n_keys], schema)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(out[f.name], f.type) for f in list(schema)[n_keys:]]], schema=schema)
+
+    blocks = [*by, "_bz", "_by", "_bx"]
+    return spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(work, ddl)
+
+
+# ---- tables of dense blocks ----------------------------------------------------------------------------------
+
+PLACE = ["bz", "by", "bx"]
+SHAPE = ["nz", "ny", "nx"]
+
+
+def pack_field(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], value: str, side: int = SIDE) -> DataFrame:
+    """by..., bz, by, bx, nz, ny, nx, side, data: one row per block that holds a voxel, its float32 cells in C order."""
     by = list(by)
-    cells = voxels.select(*by, *AT, *[F.col(v).cast("double").alias(v) for v in values])
-    for a, n in zip(AT, shape):
-        last = (n - 1) // side
-        first = F.greatest(F.floor((F.col(a) - spec.halo) / side), F.lit(0))
-        to = F.least(F.floor((F.col(a) + spec.halo) / side), F.lit(last))
-        cells = cells.select("*", F.explode(F.sequence(first, to)).alias(f"_b{a}"))
-    dims = np.array(shape)
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in voxels.select(*by).schema)
-    fn, halo = spec.fn, spec.halo
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.array([int(v) for v in key[len(by):]])
-        lo, hi = b * side, np.minimum((b + 1) * side, dims)
-        start, stop = np.maximum(lo - halo, 0), np.minimum(hi + halo, dims)
-        at = pdf[AT].to_numpy(int) - start
-        arrays = {}
-        for v in values:
-            arr = np.zeros(stop - start)
-            arr[at[:, 0], at[:, 1], at[:, 2]] = pdf[v].to_numpy(float)
-            arrays[v] = arr
-        out = fn(Block(arrays, start, lo, hi, dims))
-        for name, k in zip(by, key):
-            out[name] = k
-        return out
-
-    blocks = [*by, *[f"_b{a}" for a in AT]]
-    return spread(cells, *blocks).groupBy(*blocks).applyInPandas(one, f"{keys}, z INT, y INT, x INT, {spec.out_schema}")
+    cut = Cut(side, 0, np.array(shape))
+    rows = packed(voxels, by, [value], cut, "float")
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in voxels.select(*by).schema)
+    ddl = keys + ", ".join(f"{c} INT" for c in [*PLACE, *SHAPE, "side"]) + ", data BINARY"
+    schema, n_keys = to_arrow_schema(T.StructType.fromDDL(ddl)), len(by)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in gathered(batches, n_keys):
+            lo, hi = cut.core(np.array(key[n_keys:]))
+            (data,) = dense_arrays(held, hi - lo, 1, np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*key, *cut.shape.tolist(), side, data.tobytes()], schema)], schema=schema)
+
+    blocks = [*by, "_bz", "_by", "_bx"]
+    return spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(work, ddl)
 
-def gaussian_filter(a: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
-    """Separable smoothing with mirrored borders."""
-    from voxelmetry.operators.volumes import gaussian_weights
 
-    w = gaussian_weights(sigma, truncate)
-    r = max(o for o, _ in w)
+def join_fields(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Blocks of two fields side by side (data, other); null where one field has no voxel in a block.
+
+    Volumes of which the fields differ in shape, or in the way they are cut, fail the job; so does a volume that only one of them has.
+    """
+    by = list(by)
+    cuts = lambda df, to: df.groupBy(*by).agg(F.max(F.struct(*SHAPE, "side")).alias(to), F.min(F.struct(*SHAPE, "side")).alias(f"{to}_least"))
+    met = cuts(left, "_l").join(cuts(right, "_r"), by, "full")
+    agree = (F.col("_l") == F.col("_r")) & (F.col("_l") == F.col("_l_least")) & (F.col("_r") == F.col("_r_least"))
+    words = F.concat(F.lit("fields differ in shape: "), F.to_json(F.struct(*by)), F.lit(" "), *[F.coalesce(F.to_json(c), F.lit("none")) for c in ("_l", "_r")])
+    met = met.select(*by, F.assert_true(F.coalesce(agree, F.lit(False)), words).alias("_ok"))
+    both = left.join(right.drop(*SHAPE, "side").withColumnRenamed("data", "other"), [*by, *PLACE], "full")
+    # the assertion is a column of the join's other side, so that it is computed for every volume
+    checked = both.drop(*SHAPE, "side").join(met, by, "full").where("_ok IS NULL").drop("_ok")
+    return checked.join(left.groupBy(*by).agg(*[F.first(c).alias(c) for c in (*SHAPE, "side")]), by)
+
+
+def per_block(blocks: DataFrame, by: Sequence[str], out_schema: str, fn: Callable[[np.ndarray | None, np.ndarray | None], dict]) -> DataFrame:
+    """by..., bz, by, bx and what ``fn(data, other)`` returns for the cells of each block of ``join_fields``."""
+    by = list(by)
+    keep = [*by, *PLACE]
+    rows = blocks.select(*keep, "data", "other")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema) + out_schema
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fn(*[None if v is None else np.frombuffer(v, np.float32) for v in (row["data"], row["other"])]) for row in batch.select(["data", "other"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([m[f.name] for m in made], f.type) for f in list(schema)[len(keep) :]]], schema=schema)
+
+    return rows.mapInArrow(work, ddl)
+
+
+# ---- array functions and kernels -------------------------------------------------------------------------------------
+
+
+def separable_filter(a: np.ndarray, weights: Sequence[tuple[int, float]]) -> np.ndarray:
+    """Weighted sums along each axis in turn, with mirrored borders."""
+    r = max(o for o, _ in weights)
     for axis in range(3):
         pad = [(r, r) if k == axis else (0, 0) for k in range(3)]
-        p = np.pad(a, pad, mode="symmetric")
+        p = np.moveaxis(np.pad(a, pad, mode="symmetric"), axis, 0)
         n = a.shape[axis]
-        a = sum(c * np.take(p, range(r + o, r + o + n), axis=axis) for o, c in w)
+        a = np.moveaxis(sum(c * p[r + o : r + o + n] for o, c in weights), 0, axis)
     return a
 
 
+def gaussian_filter(a: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """Separable smoothing with mirrored borders."""
+    from voxelmetry.operators.volumes import gaussian_weights
+
+    return separable_filter(a, gaussian_weights(sigma, truncate))
+
+
 def grow(mask: np.ndarray, times: int) -> np.ndarray:
     """Cells within ``times`` face steps of the mask, inside the array."""
     for _ in range(times):

@@ -36,7 +36,7 @@ def sample_profiles(
     sigma: float = 1.0,
     smooth: bool = True,
     direction: tuple[float, float, float] | None = None,
-    side: int = 64,
+    side: int | None = None,
     field: str = "ct",
 ) -> DataFrame:
     """by..., z, y, x, nz, ny, nx, profile (scan, trilinear) and labels (nearest) at every voxel where ``points`` is 1.
@@ -236,7 +236,7 @@ def contrast_by_volume(sheet: DataFrame, background: DataFrame, noise: DataFrame
     return cut.join(med, list(by)).join(hits, list(by))
 
 
-def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], low: float = 0.1, delta: float = 1.0, random_seed: int | None = None, side: int = 64) -> DataFrame:
+def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], low: float = 0.1, delta: float = 1.0, random_seed: int | None = None, side: int | None = None) -> DataFrame:
     """Voxels above ``low`` whose p is at least that of both neighbours at +-delta along p's own across-sheet normal.
 
     With a seed the directions are random instead (the control); they depend on the position only.
@@ -271,7 +271,7 @@ def precision_at_recall(df: DataFrame, by: Sequence[str], target: DataFrame, cut
     return sweep.join(target.withColumnRenamed("recall", "_t"), list(by)).where(r >= F.col("_t")).groupBy(*by).agg(F.max(pc).alias("best_precision"))
 
 
-def attenuate_sheet(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], strength: float, sigma: float = 2.5, mask: str = "label = 1", side: int = 64) -> DataFrame:
+def attenuate_sheet(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], strength: float, sigma: float = 2.5, mask: str = "label = 1", side: int | None = None) -> DataFrame:
     """Scan value darkened around the sheet by a blurred mask, peak one per volume; clipped to [0, 1]."""
 
     def kernel(b: Block) -> pd.DataFrame:

@@ -1,17 +1,19 @@
 """Neighbourhood operators on sparse voxel tables (vol, z, y, x, ...).
 
-Each is a join on shifted coordinates or an aggregate over shifted copies, so the work follows the number of stored
-voxels and a block border needs no special case. A voxel belongs to a volume; a missing voxel reads as False or 0.
+Morphology, smoothing and differences run as kernels over packed blocks, distances over packed lines; voxels are rows
+only outside the shuffles. A voxel belongs to a volume; a missing voxel reads as False or 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelmetry.functions.expr import count_if, ratio, rows_of
 from voxelmetry.session import spread
@@ -49,43 +51,67 @@ def ball(radius: int) -> list[tuple[int, int, int]]:
     return [(z, y, x) for z in r for y in r for x in r if z * z + y * y + x * x <= radius * radius]
 
 
-def dilate(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
-    """Set of voxels reached from the mask by an offset; outside the volume is cut off."""
-    offs = sorted(set(offsets) | {(0, 0, 0)})
-    out = mask.select(*by, *AT)
-    for _ in range(times):
-        out = inside(shifted(out, offs, by), shape).select(*by, *AT).distinct()
+def _moved(mask: np.ndarray, offset: Sequence[int]) -> np.ndarray:
+    """The mask shifted by an offset; what leaves the array is lost, what enters it is false."""
+    out = np.zeros_like(mask)
+    to = tuple(slice(max(o, 0), n + min(o, 0)) for o, n in zip(offset, mask.shape))
+    off = tuple(slice(max(-o, 0), n + min(-o, 0)) for o, n in zip(offset, mask.shape))
+    out[to] = mask[off]
     return out
 
 
+def _mask_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None, offsets: Sequence[tuple], steps: Sequence[Callable]) -> DataFrame:
+    """Packed blocks of the mask through ``steps`` (each combines the moved masks); a block's halo is all they reach."""
+    from voxelmetry.operators.blocks import Block, KernelSpec, nothing, run_kernel
+
+    offs = sorted(set(offsets) | {(0, 0, 0)})
+
+    def fn(block: Block) -> pd.DataFrame:
+        mask = block.arrays["_m"] > 0
+        for step in steps:
+            mask = step([_moved(mask, o) for o in offs], [_moved(mask, [-v for v in o]) for o in offs])
+        at = block.core_points(mask)
+        return pd.DataFrame(dict(zip(AT, at.T.astype("int32")))) if len(at) else nothing(AT)
+
+    spec = KernelSpec("mask", len(steps) * max(abs(v) for o in offs for v in o), "_ BOOLEAN", lambda b: fn(b).assign(_=True))
+    return run_kernel(voxels.select(*by, *AT, F.lit(1.0).alias("_m")), by, shape, ["_m"], spec).drop("_")
+
+
+def _grown(moved: list[np.ndarray], back: list[np.ndarray]) -> np.ndarray:
+    return np.logical_or.reduce(moved)
+
+
+def _shrunk(moved: list[np.ndarray], back: list[np.ndarray]) -> np.ndarray:
+    return np.logical_and.reduce(back)
+
+
+def dilate(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
+    """Set of voxels reached from the mask by an offset; outside the volume is cut off. All steps in one pass over blocks."""
+    return _mask_kernel(mask, by, shape, offsets, [_grown] * times)
+
+
 def erode(mask: DataFrame, by: Sequence[str], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
     """Voxels whose every offset neighbour is in the mask; outside the volume counts as not in it."""
-    offs = sorted(set(offsets) | {(0, 0, 0)})
-    out = mask.select(*by, *AT)
-    for _ in range(times):
-        # a voxel stays if all its neighbours vote for it: one combined count, no join
-        votes = shifted(out, offs, by, sign=-1).groupBy(*by, *AT).agg(F.count(F.lit(1)).alias("_n"))
-        out = votes.where(F.col("_n") == len(offs)).drop("_n")
-    return out
+    return _mask_kernel(mask, by, None, offsets, [_shrunk] * times)
 
 
 def close(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
-    """Dilation, then erosion."""
-    return erode(dilate(mask, by, shape, offsets, times), by, offsets, times)
+    """Dilation, then erosion, on the same blocks."""
+    return _mask_kernel(mask, by, shape, offsets, [_grown] * times + [_shrunk] * times)
 
 
 # fixed values: the published sweep
 CONTACT_RADII = (1, 2, 3, 5, 8, 12)
 
 
-def contact(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int = 64) -> DataFrame:
+def contact(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int | None = None) -> DataFrame:
     """by..., z, y, x, radius: mask voxels beside a thin gap, for all radii in one pass over padded blocks."""
     from voxelmetry.operators.blocks import contact_kernel, run_kernel
 
     return run_kernel(mask.select(*by, *AT, F.lit(1.0).alias("_m")), by, shape, ["_m"], contact_kernel(radii), side)
 
 
-def contact_shares(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int = 64) -> DataFrame:
+def contact_shares(mask: DataFrame, by: Sequence[str], shape: Sequence[int], radii: Sequence[int] = CONTACT_RADII, side: int | None = None) -> DataFrame:
     """by..., radius, n_contact, share of the mask's voxels; zero where a radius finds none."""
     by = list(by)
     found = contact(mask, by, shape, radii, side).groupBy(*by, "radius").agg(F.count(F.lit(1)).alias("n_contact"))
@@ -101,50 +127,174 @@ def interface(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], empty:
     return voxels.where(~empty).join(grown, [*by, *AT], "left_semi")
 
 
-def _nearest_along(df: DataFrame, by: Sequence[str], axis: str, n: int, limit: float | None) -> DataFrame:
-    """Lower envelope along one axis: d2 at i becomes min over j of d2(j) + (i - j)^2.
+# lines of a plane that are looked at together
+LINES = 1024
+
 
-    A line of the volume holds at most n cells, so a task works on batches of short arrays, all lines of a batch at
-    once. Steps end where a longer one could not improve any cell; cells beyond ``limit`` are not passed on.
+def lower_envelope(starts: np.ndarray, counts: np.ndarray, pos: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sites of each line whose parabola val + (p - pos)^2 is lowest somewhere: their line, their index, where they begin.
+
+    Lines are runs of sites in ascending position. All lines advance together; a site is pushed once and popped once at
+    most, so that the work follows the number of sites whatever their distances.
     """
-    others = [c for c in AT if c != axis]
-    lines = spread(df, *by, *others).groupBy(*by, *others).agg(F.collect_list(F.struct(axis, "d2")).alias("line")).select(
-        *by, *others, F.col(f"line.{axis}").alias("pos"), F.col("line.d2").alias("d2")
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("pos", "d2")) + ", pos ARRAY<INT>, d2 ARRAY<DOUBLE>"
+    stack, since = np.empty(len(pos), np.int64), np.full(len(pos), -np.inf)
+    top = np.zeros(len(starts), np.int64)
+    stack[starts] = starts
+    for k in range(1, int(counts.max(initial=0))):
+        lanes = np.flatnonzero(counts > k)
+        new = starts[lanes] + k
+        meet, left = np.empty(len(lanes)), np.arange(len(lanes))
+        while len(left):
+            at = starts[lanes[left]] + top[lanes[left]]
+            a, b = stack[at], new[left]
+            meet[left] = (val[b] + pos[b] ** 2 - val[a] - pos[a] ** 2) / (2.0 * (pos[b] - pos[a]))
+            left = left[meet[left] <= since[at]]
+            top[lanes[left]] -= 1
+        top[lanes] += 1
+        stack[starts[lanes] + top[lanes]] = new
+        since[starts[lanes] + top[lanes]] = meet
+    sizes = top + 1
+    line = np.repeat(np.arange(len(starts)), sizes)
+    at = starts[line] + np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return line, stack[at], since[at]
+
+
+def nearest_on_lines(line: np.ndarray, pos: np.ndarray, val: np.ndarray, ask_line: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """min over a line's sites of val + (ask - pos)^2, infinite on lines without a site. Sites may come in any order."""
+    out = np.full(len(ask), np.inf)
+    if not len(line) or not len(ask):
+        return out
+    order = np.lexsort((val, pos, line))
+    line, pos, val = line[order], pos[order], val[order]
+    first = np.ones(len(line), bool)  # of equal positions the lowest
+    first[1:] = (line[1:] != line[:-1]) | (pos[1:] != pos[:-1])
+    line, pos, val = line[first], pos[first].astype(np.float64), val[first]
+    starts = np.flatnonzero(np.diff(line, prepend=line[0] - 1))
+    which, site, since = lower_envelope(starts, np.diff(starts, append=len(line)), pos, val)
+    lowest = min(pos.min(), ask.min()) - 1.0
+    width = max(pos.max(), ask.max()) - lowest + 2.0
+    names = line[starts]
+    row = np.minimum(np.searchsorted(names, ask_line), len(names) - 1)
+    known = names[row] == ask_line
+    begins = which * width + np.clip(since - lowest, 0.0, width - 1.0)
+    found = site[np.searchsorted(begins, row[known] * width + (ask[known] - lowest), "right") - 1]
+    out[known] = val[found] + (ask[known] - pos[found]) ** 2
+    return out
+
+
+def _packed_planes(n_keys: int, exact: int, second: int, along: int, lines: int | None = LINES):
+    """Rows (keys, z, y, x, value) to packed rows (keys, plane, tile of so many lines, line numbers, positions, values)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            from voxelmetry.operators.blocks import _group_codes
+
+            at = [batch.column(n_keys + k).to_numpy() for k in range(3)]
+            group, plane, tile = _group_codes(batch.columns[:n_keys], batch.num_rows), at[exact], at[second] // lines if lines else at[second] * 0
+            order = np.lexsort((tile, plane, group))
+            new = np.zeros(len(order), bool)
+            new[0] = True
+            for c in (group, plane, tile):
+                new[1:] |= np.diff(c[order]) != 0
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(order))
+            first = order[starts]
+            cells = [at[second].astype(np.int32), at[along].astype(np.int32), batch.column(n_keys + 3).to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[c.take(pa.array(first)) for c in batch.columns[:n_keys]], pa.array(plane[first].astype(np.int32)), pa.array(tile[first].astype(np.int32)),
+                    *[pa.array([c[order[a:b]].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c in cells],
+                ],
+                [*batch.schema.names[:n_keys], "_plane", "_tile", "_line", "_pos", "_val"],
+            )
+
+    return work
+
+
+def _nearest_along(sites: DataFrame, asked: DataFrame, by: Sequence[str], axes: tuple[str, str, str], limit: float | None) -> DataFrame:
+    """by..., z, y, x, d2: at the positions asked for, min over the line's sites of d2 + the squared distance along it.
+
+    ``axes``: the plane, the line in it, and the axis along the line. ``asked`` has _plane, _tile, and either _ask (the
+    positions wanted on every line that has a site) or _line and _pos (the positions wanted on each line).
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    n_keys, where = len(by), [AT.index(a) for a in axes]
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sites.select(*by).schema)
+    rows = sites.mapInArrow(_packed_planes(n_keys, *where), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY")
+    rows = rows.unionByName(asked, allowMissingColumns=True)
+    rows = rows if "_ask" in rows.columns else rows.withColumn("_ask", F.lit(None).cast("array<int>"))
+    ddl = keys + "z INT, y INT, x INT, d2 DOUBLE"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
     bound = np.inf if limit is None else limit * limit
-    at_once = max(1, (1 << 22) // n)
-
-    def envelope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for begin in range(0, len(whole), at_once):
-                batch = whole.iloc[begin : begin + at_once]
-                known = np.full((len(batch), n), np.inf)
-                rows = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
-                known[rows, np.concatenate(batch["pos"].to_numpy())] = np.concatenate(batch["d2"].to_numpy())
-                out, step = known.copy(), 1
-                while step < n and step * step <= bound and step * step < out.max():
-                    np.minimum(out[:, step:], known[:, :-step] + step * step, out=out[:, step:])
-                    np.minimum(out[:, :-step], known[:, step:] + step * step, out=out[:, :-step])
-                    step += 1
-                near = [np.flatnonzero(line <= bound).astype(np.int32) for line in out]
-                yield batch.assign(pos=near, d2=[line[k] for line, k in zip(out, near)])
-
-    found = lines.mapInPandas(envelope, schema).select(*by, *others, F.explode(F.arrays_zip("pos", "d2")).alias("e"))
-    return found.select(*by, *others, F.col("e.pos").alias(axis), F.col("e.d2").alias("d2")).where(F.col("d2") < float("inf"))
+    order = ["_plane", "_tile", "_line", "_pos", "_val", "_ask"]
+    join = lambda parts, kind: np.concatenate([np.frombuffer(p, kind) for p in parts]) if parts else np.empty(0, kind)
+
+    def answer(key: tuple, held: list[dict]) -> pa.RecordBatch | None:
+        own = [r for r in held if r["_val"] is not None]
+        line, pos, val = (join([r[c] for r in own], k) for c, k in (("_line", np.int32), ("_pos", np.int32), ("_val", np.float64)))
+        wanted = [r["_ask"] for r in held if r["_ask"] is not None]
+        if wanted:
+            lines, positions = np.unique(line), np.unique(np.concatenate([np.array(w, np.int32) for w in wanted]))
+            ask_line, ask = np.repeat(lines, len(positions)), np.tile(positions, len(lines))
+        else:
+            other = [r for r in held if r["_val"] is None]
+            ask_line, ask = (join([r[c] for r in other], np.int32) for c in ("_line", "_pos"))
+        d2 = nearest_on_lines(line, pos, val, ask_line, ask)
+        near = np.flatnonzero(d2 <= bound) if np.isfinite(bound) else np.flatnonzero(np.isfinite(d2))
+        if not len(near):
+            return None
+        at = dict(zip(axes, (np.full(len(near), key[-2], np.int32), ask_line[near], ask[near])))
+        return pa.RecordBatch.from_arrays([*[pa.array([k] * len(near), f.type) for k, f in zip(key[:n_keys], schema)], *[pa.array(at[a]) for a in AT], pa.array(d2[near])], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row.values())[: n_keys + 2]
+                if held and key != last:
+                    out = answer(last, held)
+                    if out is not None:
+                        yield out
+                    held = []
+                held.append(row)
+                last = key
+        if held:
+            out = answer(last, held)
+            if out is not None:
+                yield out
+
+    cell = [*by, "_plane", "_tile"]
+    return spread(rows.select(*by, *order), *cell).sortWithinPartitions(*cell).mapInArrow(work, ddl)
 
 
 def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Sequence[int], limit: float | None = None, name: str = "distance") -> DataFrame:
     """Exact Euclidean distance of each point to the nearest target voxel of its volume, NULL if there is none
     (or none within ``limit``).
 
-    Separable: one pass per axis over the lines of the volume, so each voxel is shuffled once per axis whatever the
-    distance, and block borders play no part. With a ``limit`` only cells within it go on to the next axis.
+    Separable: one pass per axis over the lines of the volume, each by the lower envelope of its sites, so that the work
+    follows the stored voxels and not the distances or the length of empty lines. Voxels travel packed, a plane's stretch
+    of LINES lines at a time, and block borders play no part. The first two passes answer at heights and rows where a
+    point is asked for, the last at the points; with a ``limit`` only cells within it go on to the next pass.
     """
-    d2 = targets.select(*by, *AT, F.lit(0.0).alias("d2")).distinct()
-    for a, n in zip(AT, shape):
-        d2 = _nearest_along(d2, by, a, n, limit)
-    found = points.join(d2.withColumnRenamed("d2", "_d2"), [*by, *AT], "left")
+    by, here = list(by), [*by, *AT]
+    nz, ny, nx = shape
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = -(-nx // LINES)
+    asked = points.select(*here).distinct()
+    heights = asked.groupBy(*by, "z").agg(F.collect_set("y").alias("_ask"))
+    sites = targets.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], F.lit(0.0).alias("d2")).distinct()
+    first = heights.groupBy(*by).agg(F.collect_list(F.col("z").cast("int")).alias("_ask")).select(*by, every(ny).alias("_plane"), "_ask").select("*", every(tiles).alias("_tile"))
+    d2 = _nearest_along(sites, first, by, ("y", "x", "z"), limit)
+    second = heights.select(*by, F.col("z").cast("int").alias("_plane"), F.col("_ask").cast("array<int>").alias("_ask"), every(tiles).alias("_tile"))
+    d2 = _nearest_along(d2, second, by, ("z", "x", "y"), limit)
+    places = asked.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], F.lit(0.0).alias("d2"))
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.select(*by).schema)
+    third = places.mapInArrow(_packed_planes(len(by), 0, 1, 2), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY").drop("_val")
+    d2 = _nearest_along(d2, third, by, ("z", "y", "x"), limit)
+    found = points.join(d2.withColumnRenamed("d2", "_d2"), here, "left")
     return found.withColumn(name, F.sqrt("_d2")).drop("_d2")
 
 
@@ -175,20 +325,6 @@ def dense(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], value: str
     return cells.join(voxels.select(*by, *AT, value), [*by, *AT], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
 
 
-def smooth_axis(vol: DataFrame, by: Sequence[str], shape: Sequence[int], axis: str, weights: Sequence[tuple[int, float]], value: str) -> DataFrame:
-    """Weighted sum along one axis with mirrored borders: each voxel gives its share to its receivers.
-
-    A voxel's mirror images are senders too, so border receivers get them; one combined sum, no join.
-    """
-    n = shape[AT.index(axis)]
-    reach = max(abs(o) for o, _ in weights)
-    images = F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis))
-    sent = vol.select(*by, *AT, value, F.explode(images).alias("_at")).where(F.col("_at").between(-reach, n - 1 + reach))
-    sent = sent.select(*by, *[c for c in AT if c != axis], value, "_at", F.inline(rows_of(list(weights), ("_o", "_w"))))
-    sent = sent.withColumn(axis, F.col("_at") - F.col("_o")).where(F.col(axis).between(0, n - 1))
-    return sent.groupBy(*by, *AT).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
-
-
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     import math
 
@@ -197,53 +333,45 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, flo
     return [(i - r, v / sum(w)) for i, v in enumerate(w)]
 
 
+def _filtered(vol: DataFrame, by: Sequence[str], shape: Sequence[int], value: str, halo: int, out: Sequence[str], fn: Callable) -> DataFrame:
+    """by..., z, y, x and the columns ``out`` of ``fn`` (array to arrays) at every stored voxel, by packed blocks."""
+    from voxelmetry.operators.blocks import Block, KernelSpec, nothing, run_kernel
+
+    def kernel(block: Block) -> pd.DataFrame:
+        at = block.core_points(block.arrays["_stored"] > 0)
+        if not len(at):
+            return nothing([*AT, *out])
+        cells = tuple((at - block.origin).T)
+        return pd.DataFrame({**dict(zip(AT, at.T.astype("int32"))), **dict(zip(out, (a[cells] for a in fn(block.arrays["_f"]))))})
+
+    marked = vol.select(*by, *AT, F.col(value).alias("_f"), F.lit(1.0).alias("_stored"))
+    return run_kernel(marked, by, shape, ["_f", "_stored"], KernelSpec("filter", halo, ", ".join(f"{c} DOUBLE" for c in out), kernel))
+
+
 def gaussian(vol: DataFrame, by: Sequence[str], shape: Sequence[int], sigma: float, value: str, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian smoothing of a dense volume; the reach must stay below each side."""
-    for a in AT:
-        vol = smooth_axis(vol, by, shape, a, gaussian_weights(sigma, truncate), value)
-    return vol
+    """Separable Gaussian smoothing of a dense volume with mirrored borders; the reach must stay below each side."""
+    from voxelmetry.operators.blocks import gaussian_filter
+
+    return _filtered(vol, by, shape, value, int(truncate * sigma + 0.5), [value], lambda a: [gaussian_filter(a, sigma, truncate)])
 
 
 def box_statistics(vol: DataFrame, by: Sequence[str], shape: Sequence[int], value: str, size: int = 5) -> DataFrame:
     """Local mean and standard deviation over a cube, mirrored borders."""
+    from voxelmetry.operators.blocks import separable_filter
+
     w = [(o, 1.0 / size) for o in range(-(size // 2), size // 2 + 1)]
-    v1 = vol.select(*by, *AT, F.col(value).alias("m1"))
-    v2 = vol.select(*by, *AT, (F.col(value) * F.col(value)).alias("m2"))
-    for a in AT:
-        v1 = smooth_axis(v1, by, shape, a, w, "m1")
-        v2 = smooth_axis(v2, by, shape, a, w, "m2")
-    both = v1.join(v2, [*by, *AT])
-    var = F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))
-    return both.select(*by, *AT, F.col("m1").alias("local_mean"), F.sqrt(var).alias("local_std"))
+
+    def fn(a: np.ndarray) -> list[np.ndarray]:
+        mean = separable_filter(a, w)
+        return [mean, np.sqrt(np.maximum(separable_filter(a * a, w) - mean * mean, 0.0))]
+
+    return _filtered(vol, by, shape, value, size // 2, ["local_mean", "local_std"], fn)
 
 
 def gradient(vol: DataFrame, by: Sequence[str], shape: Sequence[int], value: str) -> DataFrame:
-    """Central differences (one-sided at the border) as gz, gy, gx: each voxel sends to its six neighbours."""
-    sends = F.array(
-        *[
-            F.struct(
-                *[(F.col(b) + (s if b == a else 0)).alias(b) for b in AT],
-                *[(F.col(value) * (-s if b == a else 0)).alias(f"g{b}") for b in AT],
-            )
-            for a in AT
-            for s in (-1, 1)
-        ],
-        # a border voxel stands in for its missing neighbour
-        *[
-            F.struct(
-                *[F.when(F.col(a) == (0 if s < 0 else n - 1), F.col(b)).alias(b) for b in AT],
-                *[(F.col(value) * (s if b == a else 0)).alias(f"g{b}") for b in AT],
-            )
-            for a, n in zip(AT, shape)
-            for s in (-1, 1)
-        ],
-    )
-    sent = inside(vol.select(*by, F.inline(sends)), shape)
-    at_border = lambda a, n: (F.col(a) == 0) | (F.col(a) == n - 1)
-    summed = sent.groupBy(*by, *AT).agg(*[F.sum(f"g{a}").alias(f"g{a}") for a in AT])
-    return summed.select(
-        *by, *AT, *[F.when(at_border(a, n), F.col(f"g{a}")).otherwise(F.col(f"g{a}") / 2).alias(f"g{a}") for a, n in zip(AT, shape)]
-    )
+    """Central differences (one-sided at the border, zero across a volume one cell thick) as gz, gy, gx."""
+    fn = lambda a: [np.gradient(a, axis=k) if n > 1 else np.zeros_like(a) for k, n in enumerate(a.shape)]
+    return _filtered(vol, by, shape, value, 1, [f"g{a}" for a in AT], fn)
 
 
 def structure_tensor(normals: DataFrame, by: Sequence[str]) -> DataFrame:

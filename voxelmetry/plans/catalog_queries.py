@@ -10,10 +10,13 @@ from voxelmetry.functions import names as N
 from voxelmetry.functions.expr import count_if, r6
 from voxelmetry.operators import catalog as C
 from voxelmetry.operators import sampling as P
+from voxelmetry.operators.blocks import pack_field
 from voxelmetry.operators.stats import rank_rows
 from voxelmetry.plans.registry import query
 from voxelmetry.session import checkpoint_root
 from voxelmetry.sources import records as R
+from voxelmetry.sources.chunks import parse_array_metadata
+from voxelmetry.sources.store import read_array_metadata, write_store
 
 RE = r"^(\d+)-surface-(\d+)-(.+?)-L(\d+)-th([0-9.]+)\.zarr$"
 PARSED = f"""parsed AS (SELECT run_no, cust, scroll, name AS prediction, pz, py, px, dice, regexp_extract(name, '{RE}', 1) AS ct, regexp_extract(name, '{RE}', 2) AS run_id,
@@ -116,14 +119,25 @@ def s3(t):
 
 @query("s4_array_metadata", "SELECT scroll, level, CAST(cz AS BIGINT) * cy * cx AS voxels, 128 AS chunk, '|u1' AS dtype, CAST(ceil(cz / 128.0) * ceil(cy / 128.0) * ceil(cx / 128.0) AS BIGINT) AS n_chunks FROM cts")
 def s4(t):
-    from voxelmetry.sources.chunks import parse_array_metadata
-
     text = F.format_string('{"shape":[%d,%d,%d],"chunks":[128,128,128],"dtype":"|u1","compressor":null,"zarr_format":2}', "cz", "cy", "cx")
     m = parse_array_metadata(t.cts.select("scroll", "level", text.alias("value")), "value")
+    return m.select("scroll", "level", N.shape_product("shape").alias("voxels"), F.get("chunks", 0).alias("chunk"), "dtype", n_chunks())
+
+
+@query("s4_store_metadata", "SELECT DISTINCT vol, 448::BIGINT AS voxels, 4 AS chunk, '|u1' AS dtype, 8::BIGINT AS n_chunks FROM vox")
+def s4s(t):
+    """Metadata files of stores that are written first, one for each volume."""
+    root = f"{checkpoint_root(t.spark)}/stores-{uuid.uuid4().hex}"
+    write_store(pack_field(t.vox, ["vol"], (7, 8, 8), "ct", 4), "vol", root)
+    m = read_array_metadata(t.spark, root)
+    return m.select(F.col("store").cast("long").alias("vol"), N.shape_product("shape").alias("voxels"), F.get("chunks", 0).alias("chunk"), "dtype", n_chunks())
+
+
+def n_chunks():
     n = F.lit(1)
     for i in range(3):
         n = n * F.ceil(F.get("shape", i) / F.get("chunks", i))
-    return m.select("scroll", "level", N.shape_product("shape").alias("voxels"), F.get("chunks", 0).alias("chunk"), "dtype", n.cast("long").alias("n_chunks"))
+    return n.cast("long").alias("n_chunks")
 
 
 @query("j6_level_resolution", CAT + " SELECT prediction, scroll, declared_level, actual_level FROM cat")

@@ -28,8 +28,18 @@ def events(t):
 
 @query("r1_incremental_scoring", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def r1(t):
-    score = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
-    return N.score_new_entities(events(t), "user_id", score, place(t, "scores"), place(t, "r1"))
+    sums = {"n": F.count("*"), "total": F.sum("value"), "measured": F.count("value")}
+    return N.score_new_entities(events(t), "user_id", sums, {"n": F.col("n"), "mean": r6(F.col("total") / F.col("measured"))}, place(t, "scores"), place(t, "r1"))
+
+
+@query("r1_running_quantiles", """c AS (SELECT event_type, value, greatest(least(floor(value / 500 * 4096), 4095), 0) AS b FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY b) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM c)
+ SELECT event_type, any_value(n) AS n, round(500 / 4096.0::DOUBLE * (max(b) FILTER (WHERE k = floor(0.5::DOUBLE * (n - 1))) + 0.5::DOUBLE), 6) AS median FROM o GROUP BY 1""")
+def r1q(t):
+    N.state_store(t.spark)
+    out = place(t, "quantiles")
+    q = N.running_quantiles(events(t), "event_type", "value", 0.0, 500.0, 4096, {"median": 0.5})
+    N.run_available(q, lambda df, b: N.write_batch(df, out, b), place(t, "r1q"), "update")
+    return _rounded(N.latest(t.spark, out, ["event_type"]))
 
 
 @query("r2_batch_manifest", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -44,11 +54,12 @@ def r2(t):
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("r3_progress_windows", "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, min(value) AS low FROM events GROUP BY 1")
+@query("r3_progress_windows", "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, min(value) AS low, 0::BIGINT AS n_late FROM events GROUP BY 1")
 def r3(t):
     out = place(t, "progress")
-    N.run_available(N.progress(events(t), "ts", "value", "6 hours", "60 days"), lambda df, b: N.write_batch(df, out, b), place(t, "r3"), "update")
-    return N.latest(t.spark, out, ["start"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "low")
+    late = N.run_available(N.progress(events(t), "ts", "value", "6 hours", "60 days"), lambda df, b: N.write_batch(df, out, b), place(t, "r3"), "update")
+    # rows that came after their window was closed are in no window, so their number stands beside all of them
+    return N.latest(t.spark, out, ["start"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "low", F.lit(late).cast("long").alias("n_late"))
 
 
 @query("r4_running_summary", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(*) FILTER (WHERE value < 20) AS n_below FROM events GROUP BY 1")
@@ -65,12 +76,12 @@ def r4b(t):
     return _rounded(N.record_summary(t.spark, out, ["event_type"], "value"))
 
 
-@query("r5_duplicate_content", "SELECT event_type, count(DISTINCT value) AS n_first FROM events GROUP BY 1")
+@query("r5_duplicate_content", "SELECT event_type, count(DISTINCT value) AS n_first, 0::BIGINT AS n_late FROM events GROUP BY 1")
 def r5(t):
     out = place(t, "first")
     digest = F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string")), 256)
-    N.run_available(N.first_occurrences(events(t), "ts", digest, "60 days"), lambda df, b: N.write_batch(df, out, b), place(t, "r5"))
-    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n_first"))
+    late = N.run_available(N.first_occurrences(events(t), "ts", digest, "60 days"), lambda df, b: N.write_batch(df, out, b), place(t, "r5"))
+    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n_first"), F.lit(late).cast("long").alias("n_late"))
 
 
 @query("k1_report_sink", "SELECT status, count(*) AS n, round(sum(value), 4) AS total FROM records GROUP BY 1")

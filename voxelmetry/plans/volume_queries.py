@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import count_if, r6, ratio, sigmoid_of_logits
+from voxelmetry.operators import blocks as B
 from voxelmetry.operators import components as C
 from voxelmetry.operators import profiles as PR
 from voxelmetry.operators import score as S
@@ -13,7 +16,8 @@ from voxelmetry.operators import volumes as V
 from voxelmetry.operators.distribution import quantiles
 from voxelmetry.plans.registry import query
 from voxelmetry.plans.score_queries import _rounded
-from voxelmetry.session import cut_lineage
+from voxelmetry.session import checkpoint_root, cut_lineage
+from voxelmetry.sources.store import read_store, write_store
 
 SHAPE, BY, HERE = (7, 8, 8), ["vol"], ["vol", "z", "y", "x"]
 BLOCK = 4  # small blocks, so that v2 and v13 cross block borders on the small grids at hand
@@ -499,8 +503,33 @@ def v26(t):
     "SELECT a.vol, count(*) AS n, count(*) FILTER (WHERE a.pred AND b.label = 1) AS both_n FROM vox a JOIN vox b USING (vol, z, y, x) GROUP BY 1",
 )
 def j5(t):
-    pred, lab = t.vox.select(*HERE, "pred"), t.vox.select(*HERE, "label")
-    return pred.join(lab, HERE).groupBy("vol").agg(F.count("*").alias("n"), count_if(F.col("pred") & (F.col("label") == 1)).alias("both_n"))
+    """Two fields as packed blocks, joined block by block; stored voxels are one or more, so that absent ones don't count."""
+    pred = B.pack_field(t.vox.select(*HERE, (F.col("pred").cast("int") + 1).alias("v")), BY, SHAPE, "v", BLOCK)
+    lab = B.pack_field(t.vox.select(*HERE, (F.col("label") + 1).alias("v")), BY, SHAPE, "v", BLOCK)
+
+    def counted(a, b):
+        if a is None or b is None:
+            return {"n": 0, "both_n": 0}
+        return {"n": int(((a > 0) & (b > 0)).sum()), "both_n": int(((a == 2) & (b == 2)).sum())}
+
+    blocks = B.per_block(B.join_fields(cut_lineage(pred, "pred"), cut_lineage(lab, "label"), BY), BY, "n BIGINT, both_n BIGINT", counted)
+    return blocks.groupBy("vol").agg(F.sum("n").alias("n"), F.sum("both_n").alias("both_n"))
+
+
+@query(
+    "j5_prediction_over_empty",
+    "SELECT vol, count(*) FILTER (WHERE pred) AS n_pred, count(*) FILTER (WHERE pred AND coalesce(ct, 0) = 0) AS n_pred_on_empty, 448 AS n_cells, 448 - count(*) FILTER (WHERE ct <> 0) AS n_empty FROM vox GROUP BY 1",
+)
+def j5c(t):
+    pred = B.pack_field(t.vox.select(*HERE, F.col("pred").cast("int").alias("v")), BY, SHAPE, "v", 8)
+    scan = B.pack_field(t.vox.select(*HERE, F.col("ct").alias("v")), BY, SHAPE, "v", 8)
+    names = ["n_pred", "n_pred_on_empty", "n_cells", "n_empty"]
+
+    def counted(p, c):
+        return dict(zip(names, (int((p > 0).sum()), int(((p > 0) & (c == 0)).sum()), len(p), int((c == 0).sum()))))
+
+    blocks = B.per_block(B.join_fields(cut_lineage(pred, "pred"), cut_lineage(scan, "scan"), BY), BY, ", ".join(f"{c} BIGINT" for c in names), counted)
+    return blocks.groupBy("vol").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n_cells", F.col("n_cells").cast("int"))
 
 
 @query("p16_pyramid_join", "SELECT vol, z // 2 AS cz, count(*) AS n, CAST(sum(CASE WHEN coarse THEN ct ELSE 0 END) AS BIGINT) AS ct_on FROM (SELECT v.*, c.vol IS NOT NULL AS coarse FROM vox v LEFT JOIN (SELECT DISTINCT vol, z // 2 AS z, y // 2 AS y, x // 2 AS x FROM vox WHERE label = 1 AND z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0) c ON c.vol = v.vol AND c.z = v.z // 2 AND c.y = v.y // 2 AND c.x = v.x // 2) GROUP BY 1, 2")
@@ -550,9 +579,16 @@ def j5b(t):
 
 @query("s5_chunk_scan", GRID + " SELECT gr.vol, gr.z, gr.y, gr.x, coalesce(CAST(ct AS DOUBLE), 0) AS value FROM gr LEFT JOIN vox USING (vol, z, y, x) WHERE gr.z BETWEEN 1 AND 4 AND gr.y BETWEEN 2 AND 6 AND gr.x >= 3")
 def s5(t):
-    from voxelmetry.sources.chunks import decode_chunks, encode_chunks
-
-    chunks = encode_chunks(t.vox, BY, "ct", BLOCK)
-    stored = decode_chunks(chunks, BY, SHAPE, (BLOCK,) * 3, box=(1, 5, 2, 7, 3, 8))
-    wanted = V.dense(t.vox.select("vol", "z", "y", "x", F.lit(0).alias("zero")), BY, SHAPE, "zero").where("z BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6 AND x >= 3")
-    return wanted.join(stored, HERE, "left").select(*HERE, F.coalesce("value", F.lit(0.0)).alias("value"))
+    """Every volume is written as a store of its own, chunk files and metadata, and a box of all of them is read back."""
+    root = f"{checkpoint_root(t.spark)}/stores-{uuid.uuid4().hex}"
+    write_store(B.pack_field(t.vox, BY, SHAPE, "ct", BLOCK), "vol", root)
+    box = read_store(t.spark, root).where("z >= 1 AND z <= 4 AND y >= 2 AND y < 7 AND x > 2")
+    return box.select(F.col("store").cast("long").alias("vol"), "z", "y", "x", "value")
+
+
+@query("s5_chunks_of_box", "SELECT vol, count(*) AS chunks, sum(stored::INT)::BIGINT AS stored FROM (SELECT vol, cz, cy, count(v.z) > 0 AS stored FROM (SELECT DISTINCT vol FROM vox), (SELECT unnest([0, 1]) AS cz), (SELECT unnest([0, 1]) AS cy) LEFT JOIN (SELECT vol AS vv, z, y, x FROM vox) v ON v.vv = vol AND v.z // 4 = cz AND v.y // 4 = cy AND v.x // 4 = 0 GROUP BY 1, 2, 3) GROUP BY 1")
+def s5c(t):
+    root = f"{checkpoint_root(t.spark)}/stores-{uuid.uuid4().hex}"
+    write_store(B.pack_field(t.vox, BY, SHAPE, "ct", BLOCK), "vol", root)
+    chunks = read_store(t.spark, root, run=3).where("x = 0").select("store", "cz", "cy", "cx", "stored").distinct()
+    return chunks.groupBy(F.col("store").cast("long").alias("vol")).agg(F.count("*").alias("chunks"), count_if(F.col("stored")).alias("stored"))

@@ -17,11 +17,6 @@ def parse_array_metadata(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_m", F.from_json(text, ARRAY_METADATA, {"mode": "PERMISSIVE"})).select("*", "_m.*").drop("_m")
 
 
-def read_array_metadata(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per ``.zarray`` file: its path and the parsed metadata."""
-    return parse_array_metadata(spark.read.option("wholetext", True).text(pattern).withColumn("path", F.col("_metadata.file_path")), "value")
-
-
 def decode_chunks(
     chunks: DataFrame,
     keep: Sequence[str],

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxelmetry.operators.distribution import quantiles
 
@@ -34,24 +37,58 @@ def write_batch(df: DataFrame, out: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
 
-def score_new_entities(stream: DataFrame, entity: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
-    """Scores the entities that new rows belong to, from all their rows so far, and returns one output per entity.
+def score_new_entities(stream: DataFrame, entity: str, sums: Mapping[str, Column], finish: Mapping[str, Column], out: str, checkpoint: str) -> DataFrame:
+    """One output per entity from all its rows so far, each row read once.
 
-    ``score`` maps rows to one row per entity. Rows are stored batch by batch, and an entity is scored anew whenever a
-    batch brings rows of it, so the result does not depend on how rows fall into batches. Entities without new rows are
-    left alone.
+    ``sums`` are additive measures of a row (or other mergeable aggregates, given as such); the stream keeps them as
+    state, one small record for each entity, so that a batch costs what its own rows cost. ``finish`` turns the sums of an
+    entity into its scores. Batches bring only the entities that have new rows, and the result does not depend on how
+    rows fall into batches. A replayed batch overwrites its own output.
     """
-    spark = stream.sparkSession
+    kept = stream.groupBy(entity).agg(*[c.alias(n) for n, c in sums.items()])
+    scored = kept.select(entity, *[c.alias(n) for n, c in finish.items()])
+    run_available(scored, lambda rows, batch: write_batch(rows, out, batch), checkpoint, "update")
+    return latest(stream.sparkSession, out, [entity])
 
-    def each(rows: DataFrame, batch: int) -> None:
-        write_batch(rows, f"{out}/rows", batch)
-        stored = spark.read.schema(T.StructType([*rows.schema, T.StructField("batch", T.LongType())])).parquet(f"{out}/rows")
-        stored = stored.where(F.col("batch") <= batch).drop("batch")  # a replay must not see later batches
-        touched = stored.join(rows.select(entity).distinct(), entity, "left_semi")
-        write_batch(score(touched), f"{out}/scores", batch)
 
-    run_available(stream, each, checkpoint)
-    return latest(spark, f"{out}/scores", [entity])
+class HistogramState(StatefulProcessor):
+    """Counts of an entity's values per bin: mergeable state from which any quantile of all rows so far follows, to a bin."""
+
+    def __init__(self, entity: str, value: str, low: float, high: float, bins: int, qs: Mapping[str, float]):
+        self.entity, self.value, self.low, self.high, self.bins, self.qs = entity, value, low, high, bins, dict(qs)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "counts ARRAY<BIGINT>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts = np.array(self.counts.get()[0]) if self.counts.exists() else np.zeros(self.bins, np.int64)
+        for part in rows:
+            at = np.floor((part[self.value].dropna().to_numpy(float) - self.low) / (self.high - self.low) * self.bins).astype(int)
+            counts = counts + np.bincount(np.clip(at, 0, self.bins - 1), minlength=self.bins)
+        self.counts.update((counts.tolist(),))
+        n, upto = int(counts.sum()), np.cumsum(counts)
+        width = (self.high - self.low) / self.bins
+        found = {name: [self.low + width * (np.searchsorted(upto, q * max(n - 1, 0), "right") + 0.5) if n else None] for name, q in self.qs.items()}
+        yield pd.DataFrame({self.entity: [key[0]], "n": [n], **found})
+
+    def close(self) -> None:
+        pass
+
+
+def running_quantiles(stream: DataFrame, entity: str, value: str, low: float, high: float, bins: int, qs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of each entity over all its rows so far, to half a bin of [low, high); state is ``bins`` counts an entity.
+
+    Needs the RocksDB state store (``state_store`` sets it).
+    """
+    kind = stream.schema[entity].dataType.simpleString()
+    schema = f"`{entity}` {kind}, n BIGINT, " + ", ".join(f"`{q}` DOUBLE" for q in qs)
+    rows = stream.select(entity, F.col(value).cast("double").alias(value)).groupBy(entity)
+    return rows.transformWithStateInPandas(HistogramState(entity, value, low, high, bins, qs), schema, "Update", "None")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Keeps streaming state in RocksDB on the executors and in the checkpoint folder, as custom state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def latest(spark: SparkSession, out: str, key: Sequence[str]) -> DataFrame:
