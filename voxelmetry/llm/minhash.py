@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from voxelmetry.llm.common import pick
 from voxelmetry.llm.exact_dedup import content_hash
 from voxelmetry.llm.simhash import smallest_reachable
-from voxelmetry.session import cut_lineage, spread
+from voxelmetry.session import checkpoint_root, cut_lineage, run_folder, spread
 
 POSITIONS = 128
 # probability with which a pair of exactly the wanted similarity has more errors than are allowed
@@ -35,6 +35,8 @@ MISS = 1e-5
 BUCKET, PART = 2048, 4_000_000
 # members of a large group that all its pieces are compared with first
 PIVOTS = 32
+# bits of the filter that texts pass before they are dealt out: 16 MB whatever the input
+FILTER = 1 << 27
 # word hashes that a worker holds, and shingle hashes that are looked at together
 HELD, CHUNK = 1_000_000, 32_768
 # odd factor of the mixing steps
@@ -184,23 +186,23 @@ class SetBlock:
         return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of every run of equal values in the first column as one batch."""
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of every run of equal values in the first ``n_keys`` columns, whole numbers all, as one batch."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(n_keys)], axis=1)
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if lo == hi:
-                continue
-            if held and keys[lo] != last:
-                yield pa.concat_batches(held)
+            if held and (keys[lo] != last).any():
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
             last = keys[lo]
     if held:
-        yield pa.concat_batches(held)
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +302,28 @@ def connect(members: DataFrame, loads: DataFrame, block: Callable, limit: int) -
     return cut_lineage(found.unionByName(bridges), "links")
 
 
+def _possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (text_hash, text) whose hash may be in ``wanted``: all that are, and few others.
+
+    A bit table of fixed size goes to every task, so that other texts are not shuffled to the join that follows. With
+    more hashes than bits it passes more and more of the others, and nothing else changes.
+    """
+    slot = F.pmod(F.xxhash64("text_hash"), F.lit(FILTER)).alias("slot")
+    words = F.shiftright("slot", 6).alias("word")
+    found = wanted.select(slot).groupBy(words).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            hit = (shared.value[slots >> 6] >> (slots & 63)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(["text_hash", "text"])
+
+    return texts.select(slot, "text_hash", "text").mapInArrow(work, "text_hash binary, text binary")
+
+
 def near_sets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, bucket: int = BUCKET, part: int = PART
 ) -> DataFrame:
@@ -312,13 +336,19 @@ def near_sets(
     Null text counts as empty. Null ids and repeated rows pass through. An empty table gives an empty result; other
     columns are never read. A whole text and its set are in a task's memory at once.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col)
+    spark = docs.sparkSession
+    keep = checkpoint_root(spark)
+    with run_folder(spark):  # all tables but the two that the result reads go when it is planned
+        return _near_sets(pick(docs, doc_id=id_col, text=text_col), width, percent, bucket, part, keep)
+
+
+def _near_sets(docs: DataFrame, width: int, percent: int, bucket: int, part: int, keep: str) -> DataFrame:
     errors = allowed_errors(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     plain = docs.select("doc_id", content_hash(text).alias("text_hash"), text.cast("binary").alias("text"))
     shape = f"doc_id {id_type}, text_hash binary, set_hash binary, n_shingles bigint, signature binary"
-    rows = cut_lineage(plain.mapInArrow(_summarised(width), shape), "signatures")
+    rows = cut_lineage(plain.mapInArrow(_summarised(width), shape), "signatures", keep)
     sets = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.any_value("n_shingles").alias("weight"), F.any_value("signature").alias("signature"))
     nodes = cut_lineage(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
@@ -350,7 +380,7 @@ def near_sets(
     roots = smallest_reachable(candidates)
     parts = cut_lineage(roots.select(F.col("root").alias("cell"), "node").unionByName(roots.select(F.col("root").alias("cell"), F.col("root").alias("node")).distinct()), "parts")
     wanted = cut_lineage(nodes.join(parts, "node").select("node", "weight", "text_hash"), "wanted")
-    texts = plain.select("text_hash", "text").join(wanted, "text_hash").groupBy("node").agg(F.any_value("weight").alias("weight"), F.any_value("text").alias("text"))
+    texts = _possible(plain, wanted).join(wanted, "text_hash").groupBy("node").agg(F.any_value("weight").alias("weight"), F.any_value("text").alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -362,7 +392,7 @@ def near_sets(
     links = connect(parts, loads, lambda column: SetBlock(column, percent), part)
     roots = smallest_reachable(links)
     placed = nodes.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("component"))
-    return rows.join(cut_lineage(placed, "components"), "set_hash", "left").select("doc_id", "text_hash", "n_shingles", "component")
+    return rows.join(cut_lineage(placed, "components", keep), "set_hash", "left").select("doc_id", "text_hash", "n_shingles", "component")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80) -> DataFrame:

@@ -1,10 +1,10 @@
 """Spelling variants: words one edit apart, found by scanning sorted word lists with a banded edit matrix.
 
-A task holds one cell of the vocabulary: words of two adjacent lengths that agree on a prefix and a suffix, sorted by
-code point. It scans the list once for all words of the shorter length. A row of the edit matrix belongs to a prefix
-of the scanned word and holds, for every word still within one edit of that prefix, the three cells beside the
-diagonal. Rows up to the longest common prefix with the word before are reused, and where no word is left within one
-edit of a prefix, the whole range of words that share the prefix is skipped.
+A task holds cells of the vocabulary: words of two adjacent lengths that agree on a prefix and a suffix, sorted by
+code point. It scans a cell's list once for all its words of the shorter length. The longest common prefixes of
+neighbours in the list cut it into ranges of a common prefix; a row of the edit matrix, of which the three cells beside
+the diagonal are kept, is computed once for such a range and reused by all its words. Where the prefix already exceeds
+one edit, the whole range is skipped.
 
 Two words one edit apart first differ at one position p. For every length the positions are cut into two halves, and
 the half with p in it is a cell: the words agree before it and behind it. Cells with too many words are cut in halves
@@ -31,7 +31,9 @@ LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
 # one of so many (document, word) pairs loses a letter
 DAMAGE = 31
 # words of a cell that are scanned in one task, and words that a task counts before it passes them on
-CELL, HELD = 2048, 400_000
+CELL, HELD = 1024, 400_000
+# pairs of words that the cells which are scanned together may have at most
+PAIRS = 2_000_000
 LETTERS = re.compile("[a-zÀ-ÿ]+")
 
 
@@ -74,86 +76,95 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def scan(words: list[str], counts: np.ndarray, shorter: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
-    """Near words of each word of a sorted cell: how many, the largest count among them, the first word that has it.
+def scan(cells: np.ndarray, words: list[str], counts: np.ndarray, shorter: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near words of each word of sorted cells: how many, and the index of the best one (-1: none).
 
-    Only pairs of which one word at least has ``shorter`` letters, and whose first difference lies in [lo, hi), count.
+    ``cells`` numbers the runs of rows that are a cell each. Only pairs of which one word at least has ``shorter``
+    letters, and whose first difference lies in [lo, hi), count. All cells advance together, a letter of the scanned
+    words at a time: a row of the edit matrix is that of a range of words with a common prefix and of one asking word.
     """
-    near, best_n, best = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), [None] * len(words)
-    codes = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
-    asks = np.array([k for k, w in enumerate(words) if len(w) == shorter], np.int64)
-    if not len(asks):
-        return near, best_n, best
-    # two columns on either side, so that the band never leaves the array; no letter has code 0
-    letters = np.zeros((len(asks), shorter + 4), np.uint32)
-    letters[:, 2:-2] = np.stack([codes[k] for k in asks])
-    # rows[d]: who is within one edit of the first lo + d letters, and the three cells of each
-    rows = [(np.arange(len(asks)), np.tile(np.array([1, 0, 1], np.int8), (len(asks), 1)))]
-    dead = None
-    for k, code in enumerate(codes):
-        if k:
-            both = min(len(code), len(codes[k - 1]))
-            differ = np.flatnonzero(code[:both] != codes[k - 1][:both])
-            shared = int(differ[0]) if len(differ) else both
-            if dead is not None and shared >= dead:
-                continue
-            del rows[max(shared - lo, 0) + 1 :]
-        dead = None
-        for i in range(lo + len(rows) - 1, len(code)):
-            who, cells = rows[-1]
-            # cell c of row i + 1 stands for the first i + c letters of the word that asks
-            away = (letters[who, i + 1 : i + 4] != code[i]).astype(np.int8)
-            new = cells + away
-            np.minimum(new[:, :2], cells[:, 1:] + 1, out=new[:, :2])
-            np.minimum(new[:, 1], new[:, 0] + 1, out=new[:, 1])
-            np.minimum(new[:, 2], new[:, 1] + 1, out=new[:, 2])
-            alive = new.min(axis=1) <= 1
-            rows.append((who[alive], new[alive]))
-            if not alive.any():
-                dead = i + 1
-                break
-        if dead is not None:
-            continue
-        who, cells = rows[-1]
-        who = who[cells[:, shorter - len(code) + 1] == 1]
-        if not len(who):
-            continue
-        differ = letters[who, 2:-2] != code[:shorter]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), shorter)
-        found = asks[who[(first >= lo) & (first < hi)]]
-        if not len(found):
-            continue
-        near[found] += 1
-        for j in found[counts[k] > best_n[found]].tolist():
-            best_n[j], best[j] = counts[k], words[k]
-        if len(code) > shorter:
-            near[k] += len(found)
-            j = int(found[counts[found].argmax()])
-            if counts[j] > best_n[k] or (counts[j] == best_n[k] and words[j] < best[k]):
-                best_n[k], best[k] = counts[j], words[j]
-    return near, best_n, best
+    near, best = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+    codes = np.zeros((len(words), shorter + 4), np.uint32)  # two columns on either side; no letter has code 0
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    long = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long)
+    codes[np.repeat(np.arange(len(words)), long), at + 2] = flat
+    # the longest common prefix with the word before; less than any prefix where a cell begins
+    same = np.cumprod(codes[1:, 2:] == codes[:-1, 2:], axis=1).sum(axis=1)
+    shared = np.concatenate([[-1], np.minimum(same, np.minimum(long[1:], long[:-1]))])
+    shared[1:][cells[1:] != cells[:-1]] = -1
+    heads = np.flatnonzero(shared < 0)
+    ends = np.append(heads[1:], len(words))
+    asks = np.flatnonzero(long == shorter)
+    who, own = asks, np.searchsorted(heads, asks, "right") - 1
+    begin, end = heads[own], ends[own]
+    band = np.tile(np.array([1, 0, 1], np.int8), (len(who), 1))
+    found = []
+    for i in range(lo, shorter + 1):
+        # the ranges below each range: where a word differs from the one before within its first i + 1 letters
+        starts = np.flatnonzero((shared <= i) & (long > i))
+        stops = np.append(np.flatnonzero(shared <= i), len(words))
+        first, past = np.searchsorted(starts, begin), np.searchsorted(starts, end)
+        row = np.repeat(np.arange(len(who)), past - first)
+        if not len(row):
+            break
+        child = starts[np.repeat(first - np.cumsum(past - first) + (past - first), past - first) + np.arange(len(row))]
+        before = band[row]
+        who = who[row]
+        # cell c of row i + 1 stands for the first i + c letters of the word that asks
+        new = before + (codes[who[:, None], np.arange(i + 1, i + 4)] != codes[child, i + 2][:, None])
+        np.minimum(new[:, :2], before[:, 1:] + 1, out=new[:, :2])
+        np.minimum(new[:, 1], new[:, 0] + 1, out=new[:, 1])
+        np.minimum(new[:, 2], new[:, 1] + 1, out=new[:, 2])
+        alive = new.min(axis=1) <= 1
+        who, begin, band = who[alive], child[alive], new[alive].astype(np.int8)
+        end = stops[np.searchsorted(stops, begin, "right")]
+        if i + 1 >= shorter:
+            done = (long[begin] == i + 1) & (band[:, shorter - i] == 1)
+            found.append((who[done], begin[done]))
+    if not found:
+        return near, best
+    asking, other = (np.concatenate(x) for x in zip(*found))
+    differ = codes[asking, 2:-2] != codes[other, 2 : shorter + 2]
+    at = np.where(differ.any(axis=1), differ.argmax(axis=1), shorter)
+    owned = (at >= lo) & (at < hi)
+    asking, other = asking[owned], other[owned]
+    back = long[other] > shorter  # the longer word asks nobody, so it gets its pairs here
+    to, of = np.concatenate([asking, other[back]]), np.concatenate([other, asking[back]])
+    near += np.bincount(to, minlength=len(words))
+    order = np.lexsort((of, -counts[of], to))
+    to, of = to[order], of[order]
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    best[to[first]] = of[first]
+    return near, best
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, shorter, lo, hi, word, n), sorted, to (word, n_near, best_n, best)."""
-    names = ["word", "n_near", "best_n", "best"]
-    out: list[list] = [[], [], [], []]
-    for run in _runs(batches):
-        kinds = np.stack([run.column(k).to_numpy() for k in (1, 2, 3)], axis=1)
-        for kind in np.unique(kinds, axis=0):  # cells of one hash, as a rule a single one
-            rows = run.filter(pa.array((kinds == kind).all(axis=1)))
-            if rows.num_rows < 2:
-                continue
-            words = rows.column(4).to_pylist()
-            near, best_n, best = scan(words, rows.column(5).to_numpy(), *kind.tolist())
-            for k in np.flatnonzero(near).tolist():
-                for column, value in zip(out, (words[k], int(near[k]), int(best_n[k]), best[k])):
-                    column.append(value)
-        if len(out[0]) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
-            out = [[], [], [], []]
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+    """Rows (kind, cell, shorter, lo, hi, word, n), sorted, to (word, n_near, best_n, best)."""
+
+    def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        words, n = rows.column(5).to_pylist(), rows.column(6).to_numpy()
+        near, best = scan(rows.column(1).to_numpy(), words, n, *(rows.column(k)[0].as_py() for k in (2, 3, 4)))
+        hit = np.flatnonzero(near)
+        if len(hit):
+            chosen = pa.array(best[hit])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(5).take(pa.array(hit)), pa.array(near[hit]), rows.column(6).take(chosen), rows.column(5).take(chosen)], ["word", "n_near", "best_n", "best"]
+            )
+
+    held, kind, cost = [], None, 0
+    for run in _runs(batches, 2):
+        now = run.column(0)[0].as_py()
+        if held and (now != kind or cost > PAIRS):
+            yield from out(held)
+            held, cost = [], 0
+        kind = now
+        if run.num_rows > 1:
+            held.append(run)
+            cost += run.num_rows**2
+    if held:
+        yield from out(held)
 
 
 def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:
@@ -177,7 +188,9 @@ def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:
         sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("hi") - F.col("lo")).alias("wide")).where("size > 1")
         sized = cut_lineage(celled.join(sizes, "cell"), "cells")
         large = (F.col("size") > cell) & (F.col("wide") > 1)
-        rows = spread(sized.where(~large).select("cell", "shorter", "lo", "hi", "word", "n"), "cell").sortWithinPartitions("cell", "word")
+        # kind: cells of one length and range are scanned together
+        kind = (F.col("shorter") * (1 << 42) + F.col("lo") * (1 << 21) + F.col("hi")).alias("kind")
+        rows = spread(sized.where(~large).select(kind, "cell", "shorter", "lo", "hi", "word", "n"), "cell").sortWithinPartitions("kind", "cell", "word")
         part = rows.mapInArrow(_scanned, "word string, n_near bigint, best_n bigint, best string")
         found = part if found is None else found.unionByName(part)
         if sized.where(large).isEmpty():
