@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import col
@@ -94,6 +96,25 @@ def window_starts(size: Column | str, patch: int, step: float) -> Column:
     return F.when(s <= patch, F.array(F.lit(0))).otherwise(even)
 
 
+@F.udtf(returnType="start INT")
+class WindowStarts:
+    """``window_starts`` as a table function, for lateral joins in SQL text: window_starts(size, patch, step)."""
+
+    def eval(self, size: int, patch: int, step: float):
+        if size is None:
+            return
+        if size <= patch:
+            yield (0,)
+            return
+        n = math.ceil((size - patch) / (patch * step)) + 1
+        for i in range(n):
+            yield (round(i * (size - patch) / (n - 1)),)
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    spark.udtf.register("window_starts", WindowStarts)
+
+
 def morton(z: Column | str, y: Column | str, x: Column | str) -> Column:
     """Z-order key: the bits of the three indices interleaved, z highest. Fails for indices outside 0..2^21-1."""
     inside = lambda c: F.when(c.between(0, 0x1FFFFF) | c.isNull(), c).otherwise(F.raise_error(F.lit("a Morton index must have at most 21 bits")))

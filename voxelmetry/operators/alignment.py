@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelmetry.operators.blocks import HALOS, SIDE, Cut, dense_arrays, gathered, packed
 from voxelmetry.operators.volumes import AT
+from voxelmetry.session import spread
 
 
 def shift_contrasts(voxels: DataFrame, mask: DataFrame, by: Sequence[str], base: dict[str, int], axis: str, shifts: Sequence[int]) -> DataFrame:
@@ -25,21 +29,69 @@ def shift_contrasts(voxels: DataFrame, mask: DataFrame, by: Sequence[str], base:
     return t.select("shift", (F.col("s_on") / F.col("n_on") - off).alias("contrast"))
 
 
+def displacements(voxels: DataFrame, mask: DataFrame, by: Sequence[str], reach: int, side: int | None = None) -> DataFrame:
+    """dz, dy, dx, n_on, s_on: how many scan voxels c have a mask voxel at c + d, and the sum of their scan values.
+
+    All offset vectors within ``reach`` on each axis, from one pass over packed blocks: a block's core meets the mask in
+    its halo by fast correlation, whose sums of whole numbers are rounded back to them. A task passes on one number for
+    each offset.
+    """
+    by = list(by)
+    side = side or max(SIDE, HALOS * reach)
+    cut = Cut(side, reach, None)
+    both = voxels.select(*by, *AT, F.col("ct").alias("_ct"), F.lit(1).alias("_c"), F.lit(0).alias("_m"))
+    both = both.unionByName(mask.select(*by, *AT, F.lit(0).alias("_ct"), F.lit(0).alias("_c"), F.lit(1).alias("_m")))
+    cells = both.groupBy(*by, *AT).agg(*[F.sum(c).alias(c) for c in ("_ct", "_c", "_m")])
+    rows, n_keys, wide = packed(cells, by, ["_ct", "_c", "_m"], cut), len(by), 2 * reach + 1
+    grid = np.indices((wide,) * 3).reshape(3, -1) - reach
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, wide**3))
+        for key, held in gathered(batches, n_keys):
+            (start, stop), (lo, hi) = cut.region(np.array(key[n_keys:])), cut.core(np.array(key[n_keys:]))
+            ct, stored, at = dense_arrays(held, stop - start, 3)
+            inside = np.zeros(at.shape, bool)
+            inside[tuple(slice(a, b) for a, b in zip(lo - start, hi - start))] = True
+            # only where something is stored, with as much empty space around it that no offset wraps
+            used = np.argwhere((stored > 0) | (at > 0))
+            box = tuple(slice(a, b + 1) for a, b in zip(used.min(axis=0), used.max(axis=0)))
+            far = np.fft.rfftn(np.pad(at[box], reach))
+            for k, a in enumerate((stored, ct)):
+                own = np.pad((a * inside)[box], reach)
+                met = np.fft.irfftn(np.conj(np.fft.rfftn(own)) * far, s=own.shape, axes=(0, 1, 2))
+                sums[k] += np.rint(met[tuple(grid % np.array(own.shape)[:, None])])
+        yield pa.RecordBatch.from_arrays([*[pa.array(g.astype(np.int32)) for g in grid], pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], ["dz", "dy", "dx", "n_on", "s_on"])
+
+    blocks = [*by, "_bz", "_by", "_bx"]
+    dealt = spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(work, "dz INT, dy INT, dx INT, n_on BIGINT, s_on DOUBLE")
+    return dealt.groupBy("dz", "dy", "dx").agg(F.sum("n_on").alias("n_on"), F.sum("s_on").alias("s_on"))
+
+
+def contrast_of(table: DataFrame, voxels: DataFrame) -> DataFrame:
+    """Adds ``contrast`` to a table of displacements: mean scan on the moved mask minus off it."""
+    total = voxels.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("ct").alias("s"))).scalar()
+    t = table.withColumn("t", total)
+    off = F.try_divide(F.col("t.s") - F.col("s_on"), F.col("t.n") - F.col("n_on"))
+    return t.withColumn("contrast", F.try_divide(F.col("s_on"), F.col("n_on")) - off).drop("t")
+
+
 def search_alignment(voxels: DataFrame, mask: DataFrame, by: Sequence[str], reach: int = 16, rounds: int = 3) -> DataFrame:
     """Coordinate descent over the three axes: best shift per axis, until a round changes nothing.
 
-    Each step is one small aggregate; the driver sees one best row per step.
+    The voxels are read once, for the table of displacements; its (2 reach + 1)^3 numbers are what the steps look at.
     """
-    at = {a: 0 for a in AT}
-    steps = []
+    table = contrast_of(displacements(voxels, mask, by, reach), voxels)
+    known = {(r.dz, r.dy, r.dx): r.contrast for r in table.collect() if r.contrast is not None}
+    at, steps = dict.fromkeys(AT, 0), []
     for r in range(rounds):
         before = dict(at)
         for axis in AT:
-            base = {**at, axis: 0}
-            rows = shift_contrasts(voxels, mask, by, base, axis, range(-reach, reach + 1))
-            best = rows.agg(F.max(F.struct(F.round("contrast", 9), -F.abs("shift"), -F.col("shift"), "shift")).alias("b")).select("b.shift", "b.col1").first()
-            at[axis] = int(best["shift"])
-            steps.append((r + 1, axis, at[axis], float(best["col1"])))
+            tried = {s: known.get(tuple({**at, axis: s}.values())) for s in range(-reach, reach + 1)}
+            best = max((s for s, c in tried.items() if c is not None), key=lambda s: (round(tried[s], 9), -abs(s), -s), default=None)
+            if best is None:
+                continue
+            at[axis] = best
+            steps.append((r + 1, axis, best, float(round(tried[best], 9))))
         if at == before:
             break
     return voxels.sparkSession.createDataFrame(steps, "round INT, axis STRING, shift INT, contrast DOUBLE")

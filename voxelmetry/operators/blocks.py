@@ -197,6 +197,30 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None
     return spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(work, ddl)
 
 
+def pack_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """by... and each of ``columns`` as the bytes of its doubles: one row for each group and batch of rows."""
+    by = list(by)
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    n_keys = len(by)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = _group_codes(batch.columns[:n_keys], batch.num_rows)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            ends = np.append(starts[1:], len(order))
+            values = [batch.column(k).to_numpy(zero_copy_only=False)[order] for k in range(n_keys, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(pa.array(order[starts])) for c in batch.columns[:n_keys]], *[pa.array([v[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for v in values]],
+                batch.schema.names,
+            )
+
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInArrow(work, keys + ", ".join(f"`{c}` BINARY" for c in columns))
+
+
 # ---- tables of dense blocks ----------------------------------------------------------------------------------
 
 PLACE = ["bz", "by", "bx"]

@@ -1,9 +1,9 @@
 """Exact order statistics that survive one group holding a large share of all rows.
 
 The usual ``percentile`` and ``rank() OVER (PARTITION BY group)`` put a whole group into one task. Here rows
-are first counted per distinct value (map-side combined), the value axis is cut into ranges of about equal
-size, and running counts are taken inside (group, range) and shifted by the counts of the ranges below. No task
-ever holds more than one range of one group.
+are first counted per distinct value (map-side combined) and written, so that the source is read once. Where there are
+more than a task should hold, (group, value) is cut into ranges of about PER_RANGE distinct values, and running counts
+are taken inside the ranges and shifted by the counts of the ranges below.
 """
 
 from __future__ import annotations
@@ -14,19 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as _w
 
-W = _w.Window
-RANGES = 128  # power of two, so that the range of a value is found by halving
-
-
-# range cut points and the halving steps of the search, as SQL literals
-_MARKS = "array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")"
-_STEPS = "array(" + ", ".join(str(RANGES >> s) for s in range(1, RANGES.bit_length())) + ")"
-
+from voxelmetry.session import cut_lineage
 
-def _range_number(value: str, edges: str) -> Column:
-    """How many of the sorted ``edges`` are <= value, by repeated halving on the JVM."""
-    found = f"if(get({edges}, at + step - 1) <= CAST(`{value}` AS DOUBLE), step, 0)"
-    return F.expr(f"aggregate({_STEPS}, 0, (at, step) -> at + {found})")
+W = _w.Window
+# distinct values that a task takes running counts of; more are cut into ranges of about that many
+PER_RANGE = 200_000
 
 
 def cumulative(
@@ -49,23 +41,35 @@ def cumulative(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"),
         *[F.sum(c).alias(k) for k, c in sums.items()],
     )
-    edges = counts.agg(F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), {_MARKS}, 10000)")).scalar()
-    ranged = counts.withColumn("_edges", edges).withColumn("_range", _range_number(value, "_edges")).drop("_edges")
+    counts = cut_lineage(counts, "value_counts")
+    pieces = -(-counts.count() // PER_RANGE)
+    if pieces <= 1:
+        group = W.partitionBy(*by)
+        upto = group.orderBy(value)
+        return counts.select(
+            *by, value, *names, *[F.sum(c).over(upto).alias(_cum(c)) for c in names], *[F.sum(c).over(group).alias(_total(c)) for c in names]
+        )
 
-    # at most RANGES rows per group from here on
+    # ranges of (group, value) hold about as many values each, however large a group is
+    pieces = max(pieces, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(counts.repartitionByRange(pieces, *by, value).withColumn("_range", F.spark_partition_id()), "value_ranges")
+    # one row for each range and group from here on
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_in_{c}") for c in names])
     group = W.partitionBy(*by)
     below = per_range.select(
-        *by,
-        "_range",
+        *[F.col(b).alias(f"_{b}") for b in by],
+        F.col("_range").alias("_r"),
         *[
             (F.sum(f"_in_{c}").over(group.orderBy("_range")) - F.col(f"_in_{c}")).alias(f"_below_{c}")
             for c in names
         ],
         *[F.sum(f"_in_{c}").over(group).alias(_total(c)) for c in names],
     )
+    same = F.col("_range") == F.col("_r")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
     inside = W.partitionBy(*by, "_range").orderBy(value)
-    return ranged.join(below, [*by, "_range"]).select(
+    return ranged.join(below, same).select(
         *by,
         value,
         *names,

@@ -124,8 +124,30 @@ def evaluate(df: DataFrame, slab: str, item: str, features: Sequence[str], y: st
     return out.withColumn("passed", F.col("lift10") >= floor)
 
 
-def fit_deployment(df: DataFrame, features: Sequence[str], y: str) -> dict:
-    """One model on everything, through MLlib on standardised features: names, mean, sd, weights, manifest."""
+def training_manifest(df: DataFrame, slab: str, item: str, features: Sequence[str], y: str) -> DataFrame:
+    """slab, n, n_bad, bad_rate, digest: what a model was trained on, in any order of the rows.
+
+    A row's digest is of its item, target and features (to nine decimals); a slab's is the sum of those.
+    """
+    number = lambda c: F.round(F.col(c).cast("double") * 1e9).cast("decimal(38,0)").cast("string")
+    text = F.concat_ws("|", F.col(item).cast("string"), F.col(y).cast("long").cast("string"), *[F.coalesce(number(f), F.lit("")) for f in features])
+    row = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(slab).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("n_bad"), ratio(F.sum(y), F.count(F.lit(1))).alias("bad_rate"), F.sum(row).cast("string").alias("digest"))
+
+
+def manifest_digest(manifest: DataFrame, slab: str) -> str:
+    """SHA-256 over the slabs of a manifest in order, one line each."""
+    line = F.concat_ws(":", F.col(slab).cast("string"), F.col("n").cast("string"), F.col("digest"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(slab).alias("s"), line.alias("line"))))  # one short line per slab
+    return manifest.agg(F.sha2(F.array_join(lines["line"], "\n"), 256)).first()[0]
+
+
+def fit_deployment(df: DataFrame, features: Sequence[str], y: str, slab: str | None = None, item: str | None = None, validation: dict | None = None) -> dict:
+    """One model on everything, through MLlib on standardised features: names, mean, sd, weights, what it was trained on.
+
+    With ``slab`` and ``item`` the record also tells the number of slabs and the digest of the training rows;
+    ``validation`` (held-out figures of ``evaluate``) is stored beside it.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -138,17 +160,35 @@ def fit_deployment(df: DataFrame, features: Sequence[str], y: str) -> dict:
     std = df.select(F.col(y).cast("double").alias("label"), *[((F.col(f) - m) / s).alias(f) for f, m, s in zip(features, mean, sd)])
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(std)
     model = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-10, standardization=False).fit(data)
-    return {
+    training = {"n": stats["n"], "n_bad": int(stats["n_bad"]), "bad_rate": stats["n_bad"] / stats["n"]}
+    if slab is not None and item is not None:
+        manifest = cut_lineage(training_manifest(df, slab, item, features, y), "manifest")
+        training |= {"n_slabs": manifest.count(), "manifest_sha256": manifest_digest(manifest, slab)}
+    record = {
         "features": list(features),
+        "serialization_decimals": 15,
         "standardization_mean": [round(v, 15) for v in mean],
         "standardization_sd": [round(v, 15) for v in sd],
         "weights_intercept_then_features": [round(v, 15) for v in [model.intercept, *model.coefficients.toArray().tolist()]],
-        "training": {"n": stats["n"], "n_bad": int(stats["n_bad"])},
+        "training": training,
     }
+    return record if validation is None else record | {"validation": validation}
+
+
+def checked_model(model: dict, features: Sequence[str] | None = None) -> dict:
+    """A loaded model record whose fields have the lengths its features ask for; another schema fails."""
+    names = model.get("features")
+    if not names or (features is not None and list(names) != list(features)):
+        raise ValueError(f"model has the features {names}, not {features}")
+    for key, more in (("standardization_mean", 0), ("standardization_sd", 0), ("weights_intercept_then_features", 1)):
+        if len(model.get(key, [])) != len(names) + more:
+            raise ValueError(f"model field {key} has {len(model.get(key, []))} values, not {len(names) + more}")
+    return model
 
 
 def score_with(df: DataFrame, model: dict) -> DataFrame:
     """Adds ``score`` of a deployment model."""
+    model = checked_model(model)
     missing = [f for f in model["features"] if f not in df.columns]
     if missing:
         raise ValueError(f"features missing: {missing}")
@@ -166,7 +206,3 @@ def rank_for_review(df: DataFrame, model: dict, budget: float, slab: str = "slab
     scored = score_with(df, model).withColumn("score", F.round("score", digits))
     ranked = rank_rows(scored, [slab], [F.desc("score"), F.asc(item)])
     return ranked.withColumn("selected", selected_within(budget)).withColumnRenamed("rank", "rank_within_slab").withColumnRenamed("n_in_group", "n_in_slab")
-
-
-def bad_rate(df: DataFrame, slab: str, y: str) -> DataFrame:
-    return df.groupBy(slab).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum(y), F.count(F.lit(1))).alias("bad_rate"))

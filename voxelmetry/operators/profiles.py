@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxelmetry.functions.expr import count_if, ratio
 from voxelmetry.operators import volumes as V
@@ -236,10 +237,31 @@ def contrast_by_volume(sheet: DataFrame, background: DataFrame, noise: DataFrame
     return cut.join(med, list(by)).join(hits, list(by))
 
 
-def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], low: float = 0.1, delta: float = 1.0, random_seed: int | None = None, side: int | None = None) -> DataFrame:
+def hashed_directions(seed: int, at: np.ndarray) -> np.ndarray:
+    """A unit vector for each position, uniform on the sphere, that depends on seed and position only."""
+
+    def mixed(v: np.ndarray) -> np.ndarray:  # fixed values: the finalizer of SplitMix64
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(31))
+
+    step = np.uint64(0x9E3779B97F4A7C15)
+    key = np.full(len(at), seed, np.uint64)
+    for axis in range(at.shape[1]):
+        key = mixed(key + step + at[:, axis].astype(np.uint64))
+    u, v = (mixed(key + np.uint64(k) * step) / 2.0**64 for k in (1, 2))
+    z, angle = 2 * u - 1, 2 * np.pi * v
+    flat = np.sqrt(np.maximum(1 - z * z, 0))
+    return np.stack([z, flat * np.cos(angle), flat * np.sin(angle)], axis=1)
+
+
+def suppress_non_maxima(
+    voxels: DataFrame, by: Sequence[str], shape: Sequence[int], low: float = 0.1, delta: float = 1.0, random_seed: int | None = None, side: int | None = None,
+    direction: tuple[float, float, float] | None = None,
+) -> DataFrame:
     """Voxels above ``low`` whose p is at least that of both neighbours at +-delta along p's own across-sheet normal.
 
-    With a seed the directions are random instead (the control); they depend on the position only.
+    With a seed the directions are random instead (the control), and depend on the position only; or one is given.
     """
 
     def kernel(b: Block) -> pd.DataFrame:
@@ -247,11 +269,10 @@ def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[in
         pts = b.core_points(p > low)
         if len(pts) == 0:
             return nothing(["z", "y", "x", "kept"])
-        if random_seed is None:
-            n = across_sheet_normals(p, pts - b.origin)
+        if direction is not None:
+            n = np.tile(np.array(direction, float), (len(pts), 1))
         else:
-            n = np.stack([np.random.default_rng([random_seed, *map(int, q)]).normal(size=3) for q in pts])
-            n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-6)
+            n = across_sheet_normals(p, pts - b.origin) if random_seed is None else hashed_directions(random_seed, pts)
         side_values = sample_lines(p, b, pts, n, np.array([-delta, delta]))
         here = p[tuple((pts - b.origin).T)]
         return pd.DataFrame({**dict(zip("zyx", pts.T.astype("int32"))), "kept": (here[:, None] >= side_values).all(axis=1)})
@@ -260,6 +281,62 @@ def suppress_non_maxima(voxels: DataFrame, by: Sequence[str], shape: Sequence[in
     return run_kernel(voxels, by, shape, ["p"], spec, side)
 
 
+# fixed values: cuts of the thinned mask, and of the plain thresholds it is held against
+NMS_CUTS = (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98)
+PLAIN_CUTS = tuple(float(c) for c in np.linspace(0.02, 0.99, 60))
+
+
+def thinning_gain(scored: DataFrame, by: Sequence[str], kept: str = "kept", least_recall: float = 0.05, min_sheet: int = 200) -> DataFrame:
+    """Does the thinned mask beat every plain threshold? by..., cut, recall, precision, plain_precision, gain of the best cut.
+
+    ``scored``: p, label and the flag ``kept`` of all voxels. Both sweeps are points of one table in falling order of
+    recall; the running maximum of the plain precision is what thresholds reach at no less than a point's recall.
+    Volumes with less than ``min_sheet`` sheet voxels are left out; a volume without a comparable cut has no row.
+    """
+    from voxelmetry.operators.score import threshold_sweep
+
+    by = list(by)
+    v = scored.where("label <> 2")
+    is_sheet = F.col("label") == 1
+    sheet = v.groupBy(*by).agg(count_if(is_sheet).alias("n_sheet")).where(F.col("n_sheet") >= min_sheet)
+    point = lambda df, cuts, thinned: threshold_sweep(df, by, is_sheet, cuts=cuts).join(sheet, by).select(
+        *by, F.lit(thinned).alias("thinned"), "ordinal", "cut", (F.col("n_both") / F.col("n_sheet")).alias("recall"), ratio("n_both", F.greatest("n_pred", F.lit(1))).alias("precision")
+    )
+    points = point(v, PLAIN_CUTS, False).unionByName(point(v.where(kept), NMS_CUTS, True))
+    upto = W.partitionBy(*by).orderBy(F.desc("recall"), "thinned").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = points.withColumn("plain_precision", F.max(F.when(~F.col("thinned"), F.col("precision"))).over(upto)).where("thinned")
+    met = met.where((F.col("recall") >= least_recall) & F.col("plain_precision").isNotNull()).withColumn("gain", F.col("precision") - F.col("plain_precision"))
+    best = F.max_by(F.struct("cut", "recall", "precision", "plain_precision", "gain"), F.struct("gain", -F.col("ordinal")))
+    return met.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+
+
+def calibrate_contrast(
+    sheet: DataFrame, background: DataFrame, noise: DataFrame, by: Sequence[str], half: float = 4.0, floor: float = 0.5, least: int = 400
+) -> tuple[DataFrame, DataFrame]:
+    """(per volume, pooled): contrast of labelled sheet against the background far from any label.
+
+    ``sheet``, ``background``: profiles; ``noise``: by..., sigma. A volume's threshold is the 99th percentile of its own
+    background, the global one that of all backgrounds. Volumes with less than ``least`` sheet profiles are left out;
+    with less background their threshold and recall are null and they take no part in the mean recall.
+    """
+    by = list(by)
+    value = lambda df: df.join(noise, by).select(*by, sheet_contrast(F.col("profile"), half, F.col("sigma")).alias("c"))
+    sh, bg = cut_lineage(value(sheet), "contrast-sheet"), cut_lineage(value(background), "contrast-bg")
+    med = quantiles(sh, "c", {"contrast_sheet_median": 0.5}, by).where(F.col("n") >= least).withColumnRenamed("n", "n_sheet")
+    cut = quantiles(bg, "c", {"contrast_bg_median": 0.5, "threshold": 0.99}, by).where(F.col("n") >= least).withColumnRenamed("n", "n_bg")
+    sh, bg = sh.join(med.select(*by), by, "left_semi"), bg.join(med.select(*by), by, "left_semi").join(cut.select(*by), by, "left_semi")
+    hits = sh.join(cut.select(*by, "threshold"), by).groupBy(*by).agg(ratio(count_if(F.col("c") >= F.col("threshold")), F.count(F.lit(1))).alias("recall"))
+    rows = med.join(noise, by).join(cut, by, "left").join(hits, by, "left").withColumn("n_bg", F.coalesce("n_bg", F.lit(0).cast("long")))
+    rows = cut_lineage(rows, "contrast-volumes")
+    p = quantiles(sh, "c", {"sheet_contrast_median": 0.5, "sheet_contrast_q05": 0.05, "sheet_contrast_q95": 0.95}).drop("n")
+    n = quantiles(bg, "c", {"bg_contrast_median": 0.5, "global_threshold": 0.99}).drop("n")
+    one = lambda df: df.select(F.struct("*")).scalar()
+    found = rows.agg(F.count(F.lit(1)).alias("n_volumes"), F.avg("recall").alias("per_volume_recall"))
+    reached = cut_lineage(found.withColumns({"p": one(p), "q": one(n)}).select("n_volumes", "per_volume_recall", "p.*", "q.*"), "contrast-pooled")
+    kept = sh.agg(ratio(count_if(F.col("c") >= reached.select("global_threshold").scalar()), F.count(F.lit(1)))).scalar()
+    return rows, reached.select("*", kept.alias("global_recall"), (F.col("per_volume_recall") >= floor).alias("leg_usable"))
+
+
 def precision_at_recall(df: DataFrame, by: Sequence[str], target: DataFrame, cuts: int = 60) -> DataFrame:
     """Best precision any global threshold reaches at no less than the target recall (by..., recall)."""
     from voxelmetry.operators.score import threshold_sweep

@@ -47,12 +47,6 @@ def mann_whitney_features(df: DataFrame, features: Sequence[str], flag: str, wit
     return mann_whitney(long, "value", F.col(flag), [*by, "field"], with_p)
 
 
-def auc_without_ties(ranked: DataFrame, y: str, rank_ascending: str) -> DataFrame:
-    """AUC from a plain ascending rank (0-based), the form that gives tied scores an order (compat)."""
-    s = ranked.agg(F.sum(F.when(F.col(y) == 1, F.col(rank_ascending))).alias("r"), F.sum(y).alias("n1"), F.count(F.lit(1)).alias("n"))
-    n1, n0 = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-    return s.select(ratio(F.col("r") - n1 * (n1 - 1) / 2, n1 * n0).alias("auc"))
-
 
 def wilcoxon(df: DataFrame, difference: str, by: Sequence[str] = (), with_p: bool = False) -> DataFrame:
     """Signed-rank test of paired differences: zeros dropped, mid-ranks of |d|, normal approximation."""
@@ -120,6 +114,24 @@ def seed_spread(df: DataFrame, arm: str, seed: str, metrics: Sequence[str], base
     )
 
 
+def arm_warnings(spread: DataFrame, arm: str, faint: str, others: Sequence[str], recall: str, dice: str) -> DataFrame:
+    """Per arm what its gains must not be taken for, from a ``seed_spread`` table.
+
+    ``not_selective``: the gain per headroom is not highest for the ``faint`` stratum, so a uniform bias would look the
+    same. ``traded_precision``: recall rose while Dice fell, which a moved threshold does as well.
+    """
+    of = lambda metric, column: F.max(F.when(F.col("metric") == metric, F.col(column)))
+    best = F.greatest(*[F.col(f"_o{k}") for k in range(len(others))]) if len(others) > 1 else F.col("_o0")
+    row = spread.groupBy(arm).agg(
+        of(faint, "headroom_gain").alias("faint_gain"), *[of(o, "headroom_gain").alias(f"_o{k}") for k, o in enumerate(others)],
+        of(recall, "delta").alias("recall_delta"), of(dice, "delta").alias("dice_delta"),
+    )
+    return row.select(
+        arm, "faint_gain", best.alias("other_gain"), (F.col("faint_gain") <= best).alias("not_selective"),
+        "recall_delta", "dice_delta", ((F.col("recall_delta") > 0) & (F.col("dice_delta") < 0)).alias("traded_precision"),
+    )
+
+
 def pearson_table(df: DataFrame, y: str, features: Sequence[str], by: Sequence[str] = (), min_n: int = 20) -> DataFrame:
     """Correlation of y with each feature over finite pairs; fields with too few pairs or no spread are left out."""
     long = unpivot(df, features, [*by, y]).where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(y).isNotNull())

@@ -144,8 +144,3 @@ def otsu(voxels: DataFrame, by: Sequence[str], ct: str = "ct") -> DataFrame:
     gap = F.col("s0") / w0 - (F.col("S") - F.col("s0")) / w1
     best = F.max_by(F.col(ct), F.struct(F.round(w0 * w1 * gap * gap, 3), -F.col(ct)))
     return s.groupBy(*by).agg(best.alias("threshold"))
-
-
-def alternating_profile_edges(cuts: Sequence[float], value: Column) -> Column:
-    """Ordinal of a fixed half-open range."""
-    return sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0))

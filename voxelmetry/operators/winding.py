@@ -5,33 +5,72 @@ The integer result is published as unreliable; the residuals tell how much the l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import dot, ratio
+from voxelmetry.operators.blocks import pack_columns
 from voxelmetry.operators.graph import potentials
 from voxelmetry.operators.spatial import range_minimum
+from voxelmetry.session import cut_lineage
 
 # fixed values: separation of one wrap, and of two neighbouring wraps, in voxels
 SAME_WRAP, NEXT_WRAP = 4.5, 15.0
 
 
 def axis_centres(points: DataFrame, by: Sequence[str], span: float = 300.0, steps: int = 13, bins: int = 40) -> DataFrame:
-    """Every tried centre with the unevenness of its radial histogram: by..., ordinal, cy, cx, score."""
+    """Every tried centre with the unevenness of its radial histogram: by..., ordinal, cy, cx, score.
+
+    Points are packed by group once and never copied for a centre: one pass finds the bounds of all radii, one counts
+    all histograms, and either passes on a few numbers for each group, task and centre.
+    """
     by = list(by)
+    packed = cut_lineage(pack_columns(points.where("y IS NOT NULL AND x IS NOT NULL"), by, ["y", "x"]), "packed_points")
     mid = points.groupBy(*by).agg(F.avg("y").alias("my"), F.avg("x").alias("mx"))
-    offs = [-span + 2 * span * i / (steps - 1) for i in range(steps)]
-    table = F.array(*[F.struct(F.lit(i * steps + j).alias("ordinal"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, dy in enumerate(offs) for j, dx in enumerate(offs)])
-    rad = points.join(mid, by).select(*by, "y", "x", "my", "mx", F.inline(table))
-    r = F.sqrt(F.pow(F.col("y") - F.col("my") - F.col("dy"), F.lit(2)) + F.pow(F.col("x") - F.col("mx") - F.col("dx"), F.lit(2)))
-    rad = rad.select(*by, "ordinal", (F.col("my") + F.col("dy")).alias("cy"), (F.col("mx") + F.col("dx")).alias("cx"), r.alias("r"))
-    key = [*by, "ordinal"]
-    ends = rad.groupBy(*key).agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("cy").alias("cy"), F.first("cx").alias("cx"))
-    b = F.least(F.floor((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    hist = rad.select(*key, "r").join(ends, key).groupBy(*key, "cy", "cx", "n", b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    return hist.groupBy(*key, "cy", "cx").agg(F.stddev_pop(F.col("c") / F.col("n")).alias("score"))
+    offs = np.array([-span + 2 * span * i / (steps - 1) for i in range(steps)])
+    dy, dx = (a.ravel() for a in np.meshgrid(offs, offs, indexing="ij"))
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.select(*by).schema)
+
+    def radii(row: dict) -> Iterator[np.ndarray]:
+        y, x = np.frombuffer(row["y"]), np.frombuffer(row["x"])
+        for a, b in zip(dy, dx):
+            yield np.sqrt((y - row["my"] - a) ** 2 + (x - row["mx"] - b) ** 2)
+
+    def each(rows: DataFrame, names: list[str], kind: str, fn: Callable[[dict, int, np.ndarray], dict]) -> DataFrame:
+        """One row of ``fn``'s lists for each packed row and centre."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    made = [fn(row, k, r) for k, r in enumerate(radii(row))]
+                    own = [pa.array([row[c]] * len(made), batch.schema.field(c).type) for c in by]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(range(len(made)), pa.int32()), *[pa.array([m[n] for m in made]) for n in names]], [*by, "ordinal", *names])
+
+        return rows.mapInArrow(work, f"{keys}ordinal INT, {kind}")
+
+    bounds = each(packed.join(mid, by), ["lo", "hi", "n"], "lo DOUBLE, hi DOUBLE, n BIGINT", lambda row, k, r: {"lo": r.min(), "hi": r.max(), "n": len(r)})
+    ends = bounds.groupBy(*by, "ordinal").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    listed = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "lo", "hi", "n"))).alias("s"))
+    listed = cut_lineage(listed.join(mid, by).select(*by, "my", "mx", *[F.col(f"s.{c}").alias(f"_{c}") for c in ("lo", "hi", "n")]), "bounds")
+
+    def counts(row: dict, k: int, r: np.ndarray) -> dict:
+        lo, hi = row["_lo"][k], row["_hi"][k]
+        if hi == lo:  # one radius alone has no histogram
+            return {"counts": [0] * bins}
+        return {"counts": np.bincount(np.minimum(np.floor((r - lo) / (hi - lo) * bins), bins - 1).astype(int), minlength=bins).tolist()}
+
+    hist = each(packed.join(listed, by), ["counts"], "counts ARRAY<BIGINT>", counts)
+    total = hist.groupBy(*by, "ordinal").agg(*[F.sum(F.get("counts", b)).alias(f"_c{b}") for b in range(bins)])
+    tried = F.array(*[F.struct(F.lit(float(a)).alias("dy"), F.lit(float(b)).alias("dx")) for a, b in zip(dy, dx)])
+    placed = total.join(listed, by).withColumns({"_d": F.get(tried, "ordinal"), "n": F.get("_n", "ordinal")})
+    # bins without a point take no part, as in the published measure
+    shares = F.filter(F.array(*[f"_c{b}" for b in range(bins)]), lambda c: c > 0)
+    each_bin = placed.select(*by, "ordinal", (F.col("my") + F.col("_d.dy")).alias("cy"), (F.col("mx") + F.col("_d.dx")).alias("cx"), "n", F.explode_outer(shares).alias("c"))
+    return each_bin.groupBy(*by, "ordinal", "cy", "cx").agg(F.stddev_pop(F.col("c") / F.col("n")).alias("score"))
 
 
 def estimate_axis(points: DataFrame, by: Sequence[str], **kw) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmetry.functions.expr import r6
-from voxelmetry.functions.names import morton, window_starts
+from voxelmetry.functions.names import morton, register_table_functions, window_starts
 from voxelmetry.operators import access as A
 from voxelmetry.operators import integrity as I
 from voxelmetry.operators import sampling as P
@@ -16,9 +16,9 @@ from voxelmetry.session import cut_lineage
 DIGEST = """b AS (SELECT vol, min(z) FILTER (WHERE ct <> 0) AS z0, max(z) FILTER (WHERE ct <> 0) AS z1, min(y) FILTER (WHERE ct <> 0) AS y0, max(y) FILTER (WHERE ct <> 0) AS y1,
    min(x) FILTER (WHERE ct <> 0) AS x0, max(x) FILTER (WHERE ct <> 0) AS x1, max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM vox GROUP BY 1),
  az AS (SELECT *, unnest(range(nz)) AS z FROM b), ay AS (SELECT *, unnest(range(ny)) AS y FROM az), ax AS (SELECT *, unnest(range(nx)) AS x FROM ay),
- by AS (SELECT ax.*, lpad(hex(coalesce(ct, 0)), 2, '0') AS h FROM ax LEFT JOIN vox USING (vol, z, y, x)),
- dg AS (SELECT b.*, r.d AS raw_digest, c.d AS content_digest FROM b JOIN (SELECT vol, sha256(unhex(string_agg(h, '' ORDER BY z, y, x))) AS d FROM by GROUP BY 1) r USING (vol)
-   LEFT JOIN (SELECT vol, sha256(unhex(string_agg(h, '' ORDER BY z, y, x))) AS d FROM by WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY 1) c USING (vol))"""
+ bt AS (SELECT ax.*, lpad(hex(coalesce(ct, 0)), 2, '0') AS h FROM ax LEFT JOIN vox USING (vol, z, y, x)),
+ dg AS (SELECT b.*, r.d AS raw_digest, c.d AS content_digest FROM b JOIN (SELECT vol, sha256(unhex(string_agg(h, '' ORDER BY z, y, x))) AS d FROM bt GROUP BY 1) r USING (vol)
+   LEFT JOIN (SELECT vol, sha256(unhex(string_agg(h, '' ORDER BY z, y, x))) AS d FROM bt WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY 1) c USING (vol))"""
 
 
 @query("a38_content_digest", DIGEST + " SELECT * FROM dg")
@@ -164,6 +164,12 @@ def f10(t):
     return grid(t).select("v", F.explode(window_starts("nz", 192, 0.5)).alias("w"))
 
 
+@query("f10_window_starts_by_sql", WINS + " SELECT v, w FROM st")
+def f10s(t):
+    register_table_functions(t.spark)
+    return t.spark.sql("SELECT v, start AS w FROM {grid}, LATERAL window_starts(CAST(nz AS INT), 192, CAST(0.5 AS DOUBLE))", grid=grid(t))
+
+
 @query("j15_interval_overlap", WINS + " SELECT a.v, count(*) AS n_windows FROM st a JOIN st b ON a.v = b.v WHERE a.w < 300 AND a.w + 192 > 100 AND b.w < 200 AND b.w + 192 > 50 GROUP BY 1")
 def j15(t):
     wins = A.windows(grid(t), 192, 0.5)

@@ -183,6 +183,18 @@ def g8(t):
     return t.spark.createDataFrame(rows, "feature STRING, mean DOUBLE, sd DOUBLE, weight DOUBLE")
 
 
+_PARTS = " || '|' || ".join(f"CAST(CAST(round(round({c}, 9) * 1e9) AS HUGEINT) AS VARCHAR)" for c in FEATS)
+
+
+@query(
+    "g8_training_manifest",
+    f"""r AS (SELECT slab, y, CAST('0x' || substr(md5(item || '|' || y || '|' || {_PARTS}), 1, 12) AS BIGINT) AS d FROM feat)
+ SELECT slab, count(*) AS n, sum(y)::BIGINT AS n_bad, round(sum(y) / count(*)::DOUBLE, 6) AS bad_rate, CAST(sum(d) AS VARCHAR) AS digest FROM r GROUP BY 1""",
+)
+def g8m(t):
+    return _rounded(L.training_manifest(feat(t), "slab", "item", FEATS, "y"))
+
+
 @query("g10_held_out_evaluation")
 def g10(t):
     f = feat(t)

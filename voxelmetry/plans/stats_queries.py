@@ -105,6 +105,18 @@ def a28(t):
     return _rounded(T.seed_spread(t.arms, "arm", "seed", ["recall", "loc_error"], "A"))
 
 
+@query(
+    "a28_arm_warnings",
+    """s AS (SELECT arm, seed, avg(recall) AS recall, avg(loc_error) AS loc_error, avg(on_empty) AS on_empty FROM arms GROUP BY 1, 2), g AS (SELECT arm, avg(recall) AS r, avg(loc_error) AS l, avg(on_empty) AS e FROM s GROUP BY 1),
+ j AS (SELECT g.arm, g.r - b.r AS dr, g.l - b.l AS dl, (g.r - b.r) / (1 - b.r) AS fg, greatest((g.l - b.l) / (1 - b.l), (g.e - b.e) / (1 - b.e)) AS og FROM g JOIN g b ON b.arm = 'A' WHERE g.arm <> 'A')
+ SELECT arm, round(fg, 6) AS faint_gain, round(og, 6) AS other_gain, fg <= og AS not_selective, round(dr, 6) AS recall_delta, round(dl, 6) AS dice_delta, dr > 0 AND dl < 0 AS traded_precision FROM j""",
+)
+def a28w(t):
+    """The three endpoints at hand stand in for the recall of dark, mid and bright sheet, and one of them for Dice."""
+    spread = T.seed_spread(t.arms, "arm", "seed", ["recall", "loc_error", "on_empty"], "A")
+    return _rounded(T.arm_warnings(spread, "arm", "recall", ["loc_error", "on_empty"], "recall", "loc_error"))
+
+
 @query(
     "a30_pearson",
     LONG.replace("'n_chars' AS field", "'n_chars' AS field") + """, c AS (SELECT field, count(*) AS n, corr(y, v) AS r FROM lng GROUP BY 1 HAVING count(*) >= 20 AND stddev_pop(v) > 0)

@@ -551,7 +551,18 @@ def v25(t):
     return _rounded(shift_contrasts(t.vox, sheet(t), BY, {"z": 0, "y": 0, "x": 0}, "x", [-2, -1, 0, 1, 2]))
 
 
-@query("j19_alignment_search")
+@query(
+    "j19_alignment_search",
+    """o AS (SELECT unnest(range(-2, 3)) AS d), dd AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM o a, o b, o c), m AS (SELECT vol, z, y, x FROM vox WHERE label = 1),
+ dp AS (SELECT dz, dy, dx, count(*) AS n_on, sum(v.ct)::DOUBLE AS s_on FROM m, dd JOIN vox v ON v.vol = m.vol AND v.z = m.z - dz AND v.y = m.y - dy AND v.x = m.x - dx GROUP BY 1, 2, 3),
+ tb AS (SELECT dz, dy, dx, s_on / n_on - ((SELECT sum(ct) FROM vox)::DOUBLE - s_on) / ((SELECT count(*) FROM vox) - n_on) AS c FROM dp),
+ k1 AS (SELECT dz AS v, round(c, 9) AS c FROM tb WHERE dy = 0 AND dx = 0 ORDER BY round(c, 9) DESC, abs(dz), dz LIMIT 1), k2 AS (SELECT dy AS v, round(c, 9) AS c FROM tb WHERE dz = (SELECT v FROM k1) AND dx = 0 ORDER BY round(c, 9) DESC, abs(dy), dy LIMIT 1),
+ k3 AS (SELECT dx AS v, round(c, 9) AS c FROM tb WHERE dz = (SELECT v FROM k1) AND dy = (SELECT v FROM k2) ORDER BY round(c, 9) DESC, abs(dx), dx LIMIT 1),
+ k4 AS (SELECT dz AS v, round(c, 9) AS c FROM tb WHERE dy = (SELECT v FROM k2) AND dx = (SELECT v FROM k3) ORDER BY round(c, 9) DESC, abs(dz), dz LIMIT 1), k5 AS (SELECT dy AS v, round(c, 9) AS c FROM tb WHERE dz = (SELECT v FROM k4) AND dx = (SELECT v FROM k3) ORDER BY round(c, 9) DESC, abs(dy), dy LIMIT 1),
+ k6 AS (SELECT dx AS v, round(c, 9) AS c FROM tb WHERE dz = (SELECT v FROM k4) AND dy = (SELECT v FROM k5) ORDER BY round(c, 9) DESC, abs(dx), dx LIMIT 1),
+ st AS (SELECT 1 AS r, 'z' AS a, * FROM k1 UNION ALL SELECT 1, 'y', * FROM k2 UNION ALL SELECT 1, 'x', * FROM k3 UNION ALL SELECT 2, 'z', * FROM k4 UNION ALL SELECT 2, 'y', * FROM k5 UNION ALL SELECT 2, 'x', * FROM k6)
+ SELECT r::INT AS round, a AS axis, v::INT AS shift, round(c, 6) AS contrast FROM st WHERE r = 1 OR EXISTS (SELECT 1 FROM st WHERE r = 1 AND v <> 0)""",
+)
 def j19(t):
     from voxelmetry.operators.alignment import search_alignment
 
