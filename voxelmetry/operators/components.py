@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelmetry.functions.expr import count_if, ratio, rows_of, share
 from voxelmetry.operators import volumes as V
+from voxelmetry.operators.blocks import Cut, gathered, packed
 from voxelmetry.operators.distribution import cumulative, quantiles_from
 from voxelmetry.operators.graph import components
 from voxelmetry.operators.spatial import bounding_boxes, near_boxes, nearest_distance
@@ -25,12 +27,8 @@ def voxel_code(z: Column, y: Column, x: Column) -> Column:
     return F.shiftleft(z.cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(y.cast("long"), BITS)).bitwiseOR(x.cast("long"))
 
 
-def _local_labels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Labels one block: the smallest voxel code of each piece inside the block."""
-    at = pdf[["z", "y", "x"]].to_numpy(np.int64)
-    code = (at[:, 0] << (2 * BITS)) | (at[:, 1] << BITS) | at[:, 2]
-    order = np.argsort(code)
-    code = code[order]
+def _local_labels(code: np.ndarray) -> np.ndarray:
+    """For sorted voxel codes of one block: the smallest code of each voxel's piece inside the block."""
     label = np.arange(len(code))
     links = []
     for step in (1 << (2 * BITS), 1 << BITS, 1):
@@ -45,9 +43,7 @@ def _local_labels(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(label, hi, lo)
         while (label[label] != label).any():
             label = label[label]
-    out = pdf.iloc[order].copy()
-    out["piece"] = code[label]
-    return out
+    return code[label]
 
 
 def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFrame:
@@ -57,19 +53,27 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
     join, and the pieces of all blocks are merged as a graph in a few rounds.
     """
     by = list(by)
-    corner = [F.floor(F.col(a) / block).alias(f"_b{a}") for a in V.AT]
     # a code holds BITS bits per axis; anything else would meet another voxel's code
     coded = F.lit(True)
     for a in V.AT:
         coded = coded & F.col(a).between(0, (1 << BITS) - 1)
     fits = F.assert_true(coded, F.lit(f"coordinates must lie in 0..{(1 << BITS) - 1}"))
     mask = mask.withColumn("_fits", fits).where("_fits IS NULL")
-    cells = mask.select(*by, *V.AT).distinct().select(*by, *[F.col(a).cast("int").alias(a) for a in V.AT], *corner)
-    kinds = {f.name: f.dataType for f in cells.schema}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in cells.columns] + [T.StructField("piece", T.LongType())])
-    keys = [*by, *[f"_b{a}" for a in V.AT]]
-    local = spread(cells, *keys).groupBy(*keys).applyInPandas(_local_labels, schema)
-    local = cut_lineage(local.select(*by, *V.AT, "piece"), "pieces")
+    cut = Cut(block, 0, None)
+    rows = packed(mask, by, [], cut)
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in mask.select(*by).schema) + "z INT, y INT, x INT, piece BIGINT"
+    schema, n_keys = to_arrow_schema(T.StructType.fromDDL(ddl)), len(by)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in gathered(batches, n_keys):
+            at = np.unique(np.concatenate([np.frombuffer(r["_at"], np.int32) for r in held]))
+            z, y, x = (i + o for i, o in zip(np.unravel_index(at, (block,) * 3), cut.core(np.array(key[n_keys:]))[0]))
+            piece = _local_labels((z << (2 * BITS)) | (y << BITS) | x)
+            own = [pa.array([k] * len(at), f.type) for k, f in zip(key[:n_keys], schema)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(a.astype(np.int32)) for a in (z, y, x)], pa.array(piece)], schema=schema)
+
+    blocks = [*by, "_bz", "_by", "_bx"]
+    local = cut_lineage(spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(label, ddl), "pieces")
 
     offsets = F.array(
         *[F.when(F.col(a) % block == block - 1, F.struct(*[F.lit(int(b == a)).alias(f"d{b}") for b in V.AT])) for a in V.AT]
@@ -78,9 +82,12 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
     over = faces.select(*by, *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in V.AT], F.col("piece").alias("_from"))
     node = lambda c: F.struct(*by, F.col(c).alias("piece"))
     edges = over.join(local, [*by, *V.AT]).select(node("_from").alias("src"), node("piece").alias("dst")).distinct()
-    nodes = local.select(node("piece").alias("node")).distinct()
+    edges = cut_lineage(edges, "piece_edges")
+    # only pieces that touch another one take part in the graph
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     merged = components(nodes, edges).select(*[F.col(f"node.{b}").alias(b) for b in by], F.col("node.piece").alias("piece"), F.col("component.piece").alias("component"))
-    return cut_lineage(local.join(merged, [*by, "piece"]).drop("piece"), "components")
+    found = local.join(merged, [*by, "piece"], "left").withColumn("component", F.coalesce("component", "piece"))
+    return cut_lineage(found.drop("piece"), "components")
 
 
 def sizes(labelled: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -40,41 +40,59 @@ def fold_moments(df: DataFrame, slab: str, features: Sequence[str]) -> DataFrame
 
 
 def _step_sums(df: DataFrame, slab: str, features: Sequence[str], y: str, folds: np.ndarray, mu: np.ndarray, sd: np.ndarray, w: np.ndarray, hessian: bool) -> dict[int, tuple]:
-    """Gradient (and curvature) sums of every fold in one job: partial sums per batch, then one small aggregate."""
-    k = len(features) + 1
+    """Gradient (and curvature) sums of every fold in one job: partial sums per batch, then one small aggregate.
+
+    Rows are standardised once, by the mean of all folds. A fold's own standardisation is an affine map of that, so its
+    scores are one column of a matrix product over all folds, and its sums are mapped back after they are taken.
+    """
+    k, n_folds = len(features) + 1, len(folds)
+    mid, scale = mu.mean(axis=0), sd.mean(axis=0)
+    maps = np.zeros((n_folds, k, k))  # row of a fold's features = maps @ row of the common ones
+    maps[:, 0, 0] = 1.0
+    maps[:, np.arange(1, k), np.arange(1, k)] = scale / sd
+    maps[:, 1:, 0] = (mid - mu) / sd
+    common = np.einsum("fab,fa->bf", maps, w)
+    upper = np.triu_indices(k)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.zeros((len(folds), k))
-        h = np.zeros((len(folds), k, k))
-        n = np.zeros(len(folds))
+        g, h, n = np.zeros((k, n_folds)), np.zeros((len(upper[0]), n_folds)), np.zeros(n_folds)
         for b in batches:
-            raw, target, own = b[list(features)].to_numpy(float), b[y].to_numpy(float), b[slab].to_numpy()
-            for i, fold in enumerate(folds):
-                use = own != fold
-                x = np.c_[np.ones(use.sum()), (raw[use] - mu[i]) / sd[i]]
-                p = 1.0 / (1.0 + np.exp(-np.clip(x @ w[i], -30, 30)))
-                g[i] += x.T @ (p - target[use])
-                n[i] += use.sum()
-                if hessian:
-                    h[i] += (x * (p * (1 - p))[:, None]).T @ x
-        rows = {"fold": np.arange(len(folds)), "n": n}
-        rows |= {f"g{j}": g[:, j] for j in range(k)}
-        rows |= {f"h{a}_{b}": h[:, a, b] for a in range(k) for b in range(a, k)}
+            x = np.c_[np.ones(len(b)), (b[list(features)].to_numpy(float) - mid) / scale]
+            use = b[slab].to_numpy()[:, None] != folds[None, :]
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ common, -30, 30)))
+            g += x.T @ np.where(use, p - b[y].to_numpy(float)[:, None], 0.0)
+            n += use.sum(axis=0)
+            if hessian:
+                h += (x[:, upper[0]] * x[:, upper[1]]).T @ np.where(use, p * (1 - p), 0.0)
+        rows = {"fold": np.arange(n_folds), "n": n}
+        rows |= {f"g{j}": g[j] for j in range(k)}
+        rows |= {f"h{a}_{b}": h[i] for i, (a, b) in enumerate(zip(*upper))}
         yield pd.DataFrame(rows)
 
-    names = [f"g{j}" for j in range(k)] + [f"h{a}_{b}" for a in range(k) for b in range(a, k)]
+    names = [f"g{j}" for j in range(k)] + [f"h{a}_{b}" for a, b in zip(*upper)]
     schema = "fold LONG, n DOUBLE, " + ", ".join(f"{c} DOUBLE" for c in names)
     sums = df.select(slab, y, *features).mapInPandas(partial, schema).groupBy("fold").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
     out = {}
     for r in sums.collect():  # one row of model-sized numbers per fold
         hess = np.zeros((k, k))
-        for a in range(k):
-            for b in range(a, k):
-                hess[a, b] = hess[b, a] = r[f"h{a}_{b}"]
-        out[r["fold"]] = (np.array([r[f"g{j}"] for j in range(k)]), hess, r["n"])
+        for a, b in zip(*upper):
+            hess[a, b] = hess[b, a] = r[f"h{a}_{b}"]
+        m = maps[r["fold"]]
+        out[r["fold"]] = (m @ np.array([r[f"g{j}"] for j in range(k)]), m @ hess @ m.T, r["n"])
     return out
 
 
+def fold_gradients(df: DataFrame, slab: str, features: Sequence[str], y: str, models: DataFrame) -> DataFrame:
+    """slab, n, gradient: rows that each fold is fitted on, and the largest component of the mean gradient at its weights,
+    zero where the fit has converged."""
+    rows = models.orderBy(slab).collect()  # one row per slab
+    folds = np.array([r[slab] for r in rows])
+    mu, sd, w = (np.array([r[c] for r in rows], float) for c in ("mu", "sd", "weights"))
+    sums = _step_sums(df, slab, features, y, folds, mu, sd, w, False)
+    found = [(folds[i].item(), int(n), float(np.abs(g).max() / n)) for i, (g, _, n) in sums.items()]
+    return df.sparkSession.createDataFrame(found, f"{slab} {dict(df.dtypes)[slab]}, n LONG, gradient DOUBLE")
+
+
 def fit_folds(df: DataFrame, slab: str, features: Sequence[str], y: str, method: str = "newton", iterations: int = 8, rate: float = 0.5) -> DataFrame:
     """Unregularised logistic regression with each group left out in turn: slab, mu, sd, weights.
 

@@ -164,6 +164,12 @@ def graph_features(
     )
 
 
+def skipped_patches(nodes: DataFrame, group: Sequence[str] = ("slab",), item: str = "patch", **sizes) -> DataFrame:
+    """group..., item, n_nodes, reason of the patches that are too small to have features."""
+    small = geometry(nodes, [*group, item], **sizes).where("status <> 'ok'")
+    return small.select(*group, item, "n_nodes", F.col("status").alias("reason"))
+
+
 def extract_features(nodes: DataFrame, group: Sequence[str] = ("slab",), item: str = "patch", adjacent: float = ADJACENT, same: float = SAME_WRAP, near: float = NEAR, **kw) -> DataFrame:
     """Nodes to features: geometry, box candidates, exact distances, graph; each step is written once."""
     geo = cut_lineage(geometry(nodes, [*group, item], **kw).where("status = 'ok'"), "geometry")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxelmetry.functions.expr import squared_distance
 from voxelmetry.session import cut_lineage
@@ -73,8 +74,10 @@ def nearest_distance(
     """
     group = list(group)
     pts = points.select(*group, item, *XYZ).distinct()
-    frame = cut_lineage(bounding_boxes(pts, [*group, item]), "frames")
-    splits = splits or _levels(frame.agg(F.max("n_points")).first()[0] or 1)
+    frame = bounding_boxes(pts, [*group, item])
+    if splits is None:
+        frame = cut_lineage(frame, "frames")
+        splits = _levels(frame.agg(F.max("n_points")).first()[0] or 1)
     pts = pts.join(frame.drop("n_points"), [*group, item])
     ids: list[str] = []
     for s in splits:
@@ -100,14 +103,16 @@ def nearest_distance(
                 *group, F.col(item).alias(side), *[F.col(p).alias(f"{side}{p}") for p in ids[: level + 1]], *[F.col(f"{s}{c}").alias(f"{side}_{s}{c}") for c in XYZ for s in ("lo_", "hi_")], F.col("some").alias(f"{side}_some"),
             )
             keep = keep.join(named, [*group, side, *[f"{side}{p}" for p in parents]])
-        keep = cut_lineage(keep.withColumn("_low", _gap("a_", "b_")).withColumn("_high", F.sqrt(squared_distance([f"a_some.{c}" for c in XYZ], [f"b_some.{c}" for c in XYZ]))).select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]], "_low", "_high"), "levels")
-        bound = keep.groupBy(*pair).agg(F.min("_high").alias("_bound"))
-        keep = keep.join(bound, pair).where(F.col("_low") <= F.col("_bound") * (1 + 1e-12))
+        keep = keep.withColumn("_low", _gap("a_", "b_")).withColumn("_high", F.sqrt(squared_distance([f"a_some.{c}" for c in XYZ], [f"b_some.{c}" for c in XYZ])))
+        keep = keep.select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]], "_low", F.min("_high").over(W.partitionBy(*pair)).alias("_bound"))
+        keep = keep.where(F.col("_low") <= F.col("_bound") * (1 + 1e-12))
         if limit is not None:
             keep = keep.where(F.col("_low") <= limit)
         keep = keep.select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]])
+        if level + 1 < len(ids):
+            keep = cut_lineage(keep, "levels")
 
-    joined = cut_lineage(keep, "box-pairs")
+    joined = keep
     for side in ("a", "b"):
         named = pts.select(*group, F.col(item).alias(side), *[F.col(p).alias(f"{side}{p}") for p in ids], *[F.col(c).alias(f"{side}{c}") for c in XYZ])
         joined = joined.join(named, [*group, side, *[f"{side}{p}" for p in ids]])

@@ -17,6 +17,7 @@ from voxelmetry.operators.distribution import quantiles
 from voxelmetry.operators.strata import paired_contrast
 from voxelmetry.operators.volumes import distance
 from voxelmetry.session import cut_lineage
+from voxelmetry.sources.records import write_ranking
 
 
 def regional_match(logits: DataFrame, by: Sequence[str], published: Column, threshold: float) -> DataFrame:
@@ -36,6 +37,19 @@ def review_patches(nodes: DataFrame, model: dict, budget: float, digits: int = 1
     return L.rank_for_review(f, model, budget, digits=digits)
 
 
+def review_report(nodes: DataFrame, model: dict, budget: float, path: str, digits: int = 15, sizes: dict | None = None, **features) -> DataFrame:
+    """Writes the ranking with its model, and beside it the patches that can't be ranked with the reason of each; returns those.
+
+    ``sizes``: the least nodes, interior nodes and normals of a patch (min_nodes, min_interior, min_normals).
+    """
+    sizes = sizes or {}
+    skipped = cut_lineage(G.skipped_patches(nodes, **sizes), "skipped")
+    ranking = review_patches(nodes, model, budget, digits, **features, **sizes)
+    columns = ["patch", "slab", "rank_within_slab", "n_in_slab", "selected", "score", *model["features"]]
+    write_ranking(ranking, path, columns, {"budget": budget, **sizes}, ["slab", "rank_within_slab"], model, skipped)
+    return skipped
+
+
 def recall_records(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], threshold: float = S.THRESHOLD, block: int = 16, **guards) -> DataFrame:
     """Per volume: endpoints, component outcomes, and how far missed sheet lies from anything that was predicted.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxelmetry.plans import lifecycle
 from voxelmetry.plans.patch_queries import ADJ, FEAT_DEFAULT, NEAR, SAME, SMALL
 from voxelmetry.plans.registry import query
 from voxelmetry.plans.score_queries import BEST, ENDPOINTS_E, _rounded
+from voxelmetry.session import checkpoint_root
+from voxelmetry.sources.patches import valid_node
 from voxelmetry.plans.volume_queries import DENSE, GRID, SHEET, comp_sql, nearest, smooth_sql
 
 LOGIT_BEST = BEST.replace("FROM vox", "FROM lp")
@@ -43,6 +47,17 @@ def e2(t):
     return r.select("slab", "patch", "rank_within_slab", "n_in_slab", "selected")
 
 
+@query(
+    "e2_skipped_patches",
+    "SELECT slab, patch, count(*) AS n_nodes, 'too_few_nodes' AS reason FROM pts WHERE x > 0 AND y > 0 AND z > 0 GROUP BY 1, 2 HAVING count(*) < 4",
+)
+def e2s(t):
+    """Of the nodes with a position, read back from what the report has written beside its ranking."""
+    out = f"{checkpoint_root(t.spark)}/review-{uuid.uuid4().hex}"
+    lifecycle.review_report(t.pts.where(valid_node()), MODEL, 0.1, out, 4, dict(min_nodes=4, min_interior=0, min_normals=0), adjacent=ADJ, same=SAME, near=NEAR)
+    return t.spark.read.schema("slab INT, patch LONG, n_nodes LONG, reason STRING").json(f"{out}/skipped")
+
+
 @query(
     "e3_recall_records",
     ENDPOINTS_E.replace("FROM scored", "FROM vs").replace("h.n_sheet >= 50 AND h.n_scored >= 100", "h.n_sheet >= 20 AND h.n_scored >= 50").replace("h AS (", "vs AS (SELECT vol AS volume_id, p, label, ct FROM vox), h AS (", 1)

@@ -175,6 +175,13 @@ def g7(t):
     return f.select("slab", *[F.round(F.get("weights", i), 4).alias(f"w{i}") for i in range(5)])
 
 
+# the mean gradient of every fold's loss is zero at its weights, which no other weights have: the loss is convex
+@query("g7_gradient_at_weights", "SELECT slab, (SELECT count(*) FROM feat) - count(*) AS n, 0.0::DOUBLE AS gradient FROM feat GROUP BY 1")
+def g7g(t):
+    f = cut_lineage(feat(t), "feat")
+    return L.fold_gradients(f, "slab", FEATS, "y", L.fit_folds(f, "slab", FEATS, "y", iterations=12)).withColumn("gradient", F.abs(F.round("gradient", 7)))
+
+
 @query("g8_deployment_model")
 def g8(t):
     m = L.fit_deployment(feat(t), FEATS, "y")

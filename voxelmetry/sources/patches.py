@@ -17,15 +17,16 @@ NODES_SCHEMA = T.StructType(
 )
 
 
-def union_batches(batches: Mapping[str, DataFrame], check_unique: bool = False) -> DataFrame:
-    """Patches of several batches under prefixed names; with one row per patch a repeated name fails the job."""
+def union_batches(batches: Mapping[str, DataFrame], check_unique: bool = True, key: Sequence[str] = ("patch",)) -> DataFrame:
+    """Patches of several batches under prefixed names. A name (or another ``key``, such as patch, row and col of node
+    tables) that a batch has twice fails the job."""
     named = [df.withColumn("patch", F.concat(F.lit(name + "/"), "patch")) for name, df in batches.items()]
     out = reduce(DataFrame.unionByName, named)
     if not check_unique:
         return out
     from voxelmetry.sources.records import require_unique
 
-    return require_unique(out, ["patch"], "patch")
+    return require_unique(out, list(key), "patch")
 
 
 def valid_node() -> Column:
