@@ -5,7 +5,7 @@ from tests.llm.conftest import SEPARATED
 from tests.llm.test_mixing import brute
 from tests.llm.test_near_texts import brute_rows
 from tests.llm.test_tokens import direct
-from voxelmetry.llm.language import identify
+from voxelmetry.llm.language import identify, least_score
 from voxelmetry.session import cut_lineage
 
 
@@ -19,11 +19,12 @@ def run_and_check(spark, docs):
     assert len(stages) == 5
     before, columns = pairs(docs), docs.columns
     scores = {(r.doc_id, bytes(r.text_hash)): r for r in identify(docs).collect()}
+    n_languages = len({r.lang for r in docs.select("lang").distinct().collect()} - {None})
     docs = cut_lineage(stages["language"](spark, docs, ""), "t1")
     after = pairs(docs)
     assert docs.columns == columns and not after - before
     for (i, t), n in (before - after).items():
-        assert not t or not any(c.isalpha() for c in t) or any(r.score < C.LEAST_SCORE for (j, _), r in scores.items() if j == i), (i, n)
+        assert not t or not any(c.isalpha() for c in t) or any(r.score < least_score(n_languages, C.CONFIDENCE) for (j, _), r in scores.items() if j == i), (i, n)
     before = after
 
     docs = cut_lineage(stages["exact_dedup"](spark, docs, ""), "t2")

@@ -24,6 +24,8 @@ from voxelmetry.session import cut_lineage, spread
 LEAST_DOCUMENTS, TOP = 10, 10
 # (group, term) counts that a task holds before it passes them on
 HELD = 400_000
+# parts that the terms of a language are dealt into, whatever its size
+SLICES = 64
 # sources whose distances to all others are added up together, and numbers that are computed together
 BLOCK, AT_ONCE = 64, 1 << 20
 # letters in lower case and bytes of other characters stay, everything else is a gap
@@ -144,17 +146,16 @@ def source_divergence(
     groups = cut_lineage(groups, "groups")
 
     # a cell is a block of sources and a slice of the terms of a language
-    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = (F.col("lang_no") * (1 << 40) + F.col("block") * (1 << 20) + F.col("slice")).alias("cell")
     n_blocks = F.ceil(F.count(F.lit(1)) / block).alias("blocks")
     absent = F.expr(f"CASE WHEN kept > 0 THEN {share_of('0L', 'total', 'kept')} ELSE 1L END")
     listed = groups.groupBy("lang", "lang_no").agg(n_blocks, F.array_sort(F.collect_list(F.struct("at", absent.alias("p")))).alias("s"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    heads = listed.withColumn("block", upto(F.col("blocks"))).withColumn("slice", upto(F.lit(slices).cast("long")))
+    heads = listed.withColumn("block", upto(F.col("blocks"))).withColumn("slice", upto(F.lit(SLICES).cast("long")))
     shared = here.join(groups, ["lang", "source"])
     present = shared.select("lang", "digest", "variant", F.struct("at", F.expr(share_of("n", "total", "kept")).alias("p")).alias("e"))
     lists = present.groupBy(*name).agg(F.collect_list("e").alias("s")).join(listed.select("lang", "lang_no", "blocks"), "lang")
-    lists = lists.withColumn("block", upto(F.col("blocks"))).withColumn("slice", F.pmod(F.xxhash64("digest", "variant"), F.lit(slices)).cast("long"))
+    lists = lists.withColumn("block", upto(F.col("blocks"))).withColumn("slice", F.pmod(F.xxhash64("digest", "variant"), F.lit(SLICES)).cast("long"))
     columns = [cell, "lang_no", "block", "slice", F.col("s.at").alias("at"), F.col("s.p").alias("p")]
     rows = heads.select(*columns, F.lit(0).alias("_o")).unionByName(lists.select(*columns, F.lit(1).alias("_o")))
     rows = spread(rows, "cell").sortWithinPartitions("cell", "_o").drop("_o")

@@ -211,11 +211,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(inputs, net).select("doc_id", "held_out", "lang_pred", "score", "text_hash")
 
 
-def keep_recognised(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of at least ``least``, with all their columns.
+def least_score(languages: int, confidence: float) -> float:
+    """The score that lies ``confidence`` of the way from a guess among so many languages to certainty."""
+    return 1 / languages + confidence * (1 - 1 / languages)
 
-    The network is fitted as in ``identify``. Rows pass through the tasks that score them, so nothing is shuffled. Where
-    nothing is labelled, rows with a letter are kept, as there is nothing to judge them by.
+
+def keep_recognised(docs: DataFrame, confidence: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with ``confidence`` (see ``least_score``), with all their columns.
+
+    The network is fitted as in ``identify``. Rows pass through the tasks that score them, so nothing is shuffled. Null
+    texts and those without a letter go. Where nothing is labelled, rows with a letter are kept, as there is nothing to
+    judge them by. Rows with a null id are judged like others, repeated rows share their fate, and an empty table gives
+    an empty result.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     net = train(pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(fold != 2), rows)
@@ -226,6 +233,7 @@ def keep_recognised(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     if net is None:
         return flat.toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    least = least_score(len(net.languages), confidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
