@@ -104,6 +104,17 @@ def _distances(block: int):
     return work
 
 
+def _numbered(groups: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The groups (lang, source) with 64-bit numbers of language and group that no two of them share, and those numbers
+    as expressions of lang and source. Should numbers clash, another seed is taken."""
+    for seed in range(100):
+        lid, gid = F.xxhash64(F.lit(seed), "lang").alias("lid"), F.xxhash64(F.lit(seed), "lang", "source").alias("gid")
+        n, *found = groups.agg(F.count(F.lit(1)), F.countDistinct("lang"), F.countDistinct(lid), F.countDistinct(gid)).first()
+        if found[0] == found[1] and found[2] == n:
+            return groups.select("lang", "source", lid, gid), lid, gid
+    raise RuntimeError("no seed gives the groups different numbers")
+
+
 def source_divergence(
     docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
     least: int = LEAST_DOCUMENTS, top: int = TOP, digest: Callable[[Column], Column] = F.xxhash64, block: int = BLOCK,
@@ -120,27 +131,26 @@ def source_divergence(
     """
     docs = pick(docs, lang=lang_col, source=source_col, text=text_col)
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    named, lid, gid = _numbered(cut_lineage(docs.select("lang", "source").distinct(), "named_groups"))
     terms = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
-    terms = cut_lineage(terms.withColumn("digest", digest(F.col("term")).cast("bigint")), "terms")
+    terms = cut_lineage(terms.select(lid, gid, digest(F.col("term")).cast("bigint").alias("digest"), "term", "n", "docs"), "terms")
     words = terms.select("digest", "term").distinct().groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last"))
     words = cut_lineage(words, "dictionary")
     several = words.where("term <> _last").select("digest", F.lit(True).alias("_several"))
     if several.isEmpty():
-        told = terms.withColumn("variant", F.lit(""))
+        told, name = terms, ["digest"]
     else:
-        told = terms.join(several, "digest", "left").withColumn("variant", F.when(F.col("_several"), F.col("term")).otherwise(""))
-    name = ["lang", "digest", "variant"]
-    counts = cut_lineage(told.groupBy("lang", "source", "digest", "variant").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    kept = cut_lineage(counts.groupBy(*name).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least).drop("docs"), "kept")
-    here = cut_lineage(counts.drop("docs").join(kept, name), "group_terms")
-
-    sizes = here.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("lang_total"))
+        told, name = terms.join(several, "digest", "left").withColumn("variant", F.when(F.col("_several"), F.col("term")).otherwise("")), ["digest", "variant"]
+    counts = cut_lineage(told.groupBy("lid", "gid", *name).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    kept = cut_lineage(counts.groupBy("lid", *name).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least).drop("docs"), "kept")
+    here = cut_lineage(counts.drop("docs").join(kept, ["lid", *name]), "group_terms")
+
+    sizes = here.groupBy("gid").agg(F.sum("n").alias("total"))
+    langs = kept.groupBy("lid").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("lang_total"))
     zero = F.lit(0).cast("long")
-    groups = docs.select("lang", "source").distinct()
-    numbers = groups.select("lang").distinct().withColumn("lang_no", F.row_number().over(W.orderBy("lang")).cast("long"))
-    groups = groups.join(numbers, "lang").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select(
-        "lang", "source", "lang_no", (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("at"),
+    numbers = named.select("lang").distinct().withColumn("lang_no", F.row_number().over(W.orderBy("lang")).cast("long"))
+    groups = named.join(numbers, "lang").join(sizes, "gid", "left").join(langs, "lid", "left").select(
+        "lid", "gid", "lang", "source", "lang_no", (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("at"),
         *[F.coalesce(c, zero).alias(c) for c in ("total", "kept", "lang_total")],
     )
     groups = cut_lineage(groups, "groups")
@@ -149,27 +159,27 @@ def source_divergence(
     cell = (F.col("lang_no") * (1 << 40) + F.col("block") * (1 << 20) + F.col("slice")).alias("cell")
     n_blocks = F.ceil(F.count(F.lit(1)) / block).alias("blocks")
     absent = F.expr(f"CASE WHEN kept > 0 THEN {share_of('0L', 'total', 'kept')} ELSE 1L END")
-    listed = groups.groupBy("lang", "lang_no").agg(n_blocks, F.array_sort(F.collect_list(F.struct("at", absent.alias("p")))).alias("s"))
+    listed = groups.groupBy("lid", "lang_no").agg(n_blocks, F.array_sort(F.collect_list(F.struct("at", absent.alias("p")))).alias("s"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     heads = listed.withColumn("block", upto(F.col("blocks"))).withColumn("slice", upto(F.lit(SLICES).cast("long")))
-    shared = here.join(groups, ["lang", "source"])
-    present = shared.select("lang", "digest", "variant", F.struct("at", F.expr(share_of("n", "total", "kept")).alias("p")).alias("e"))
-    lists = present.groupBy(*name).agg(F.collect_list("e").alias("s")).join(listed.select("lang", "lang_no", "blocks"), "lang")
-    lists = lists.withColumn("block", upto(F.col("blocks"))).withColumn("slice", F.pmod(F.xxhash64("digest", "variant"), F.lit(SLICES)).cast("long"))
+    shared = here.join(groups.drop("lid"), "gid")
+    present = shared.select("lid", *name, F.struct("at", F.expr(share_of("n", "total", "kept")).alias("p")).alias("e"))
+    lists = present.groupBy("lid", *name).agg(F.collect_list("e").alias("s")).join(listed.select("lid", "lang_no", "blocks"), "lid")
+    lists = lists.withColumn("block", upto(F.col("blocks"))).withColumn("slice", F.pmod(F.xxhash64(*name), F.lit(SLICES)).cast("long"))
     columns = [cell, "lang_no", "block", "slice", F.col("s.at").alias("at"), F.col("s.p").alias("p")]
     rows = heads.select(*columns, F.lit(0).alias("_o")).unionByName(lists.select(*columns, F.lit(1).alias("_o")))
     rows = spread(rows, "cell").sortWithinPartitions("cell", "_o").drop("_o")
     sums = rows.mapInArrow(_distances(block), "lang_no bigint, i bigint, j bigint, value bigint").groupBy("lang_no", "i", "j").agg(F.sum("value").alias("value"))
-    side = lambda at, name: groups.select("lang_no", F.col("at").alias(at), F.col("source").alias(name), *(["lang"] if at == "i" else []))
+    side = lambda at, to: groups.select("lang_no", F.col("at").alias(at), F.col("source").alias(to), *(["lang"] if at == "i" else []))
     pairs = sums.where("i <> j").join(side("i", "source"), ["lang_no", "i"]).join(side("j", "item"), ["lang_no", "j"])
     ranked = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", ranked)
 
-    shares = shared.select("lang", "source", "digest", "variant", F.expr(share_of("n", "total", "kept")).alias("p"), F.expr(share_of("n_lang", "lang_total", "kept")).alias("q"))
-    more = shares.where("p > q").select("lang", "source", "digest", "variant", F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
+    shares = shared.select("lang", "source", *name, F.expr(share_of("n", "total", "kept")).alias("p"), F.expr(share_of("n_lang", "lang_total", "kept")).alias("q"))
+    more = shares.where("p > q").select("lang", "source", *name, F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     # ties are told apart by the strings, which only rows that may be shown get
     best = more.withColumn("_r", F.rank().over(W.partitionBy("lang", "source").orderBy(F.desc("value")))).where(F.col("_r") <= top).drop("_r")
-    item = F.when(F.col("variant") != "", F.col("variant")).otherwise(F.col("term")).alias("item")
+    item = (F.col("term") if len(name) == 1 else F.when(F.col("variant") != "", F.col("variant")).otherwise(F.col("term"))).alias("item")
     shown = cut_lineage(best, "best").join(words.select("digest", "term"), "digest").select("lang", "source", F.lit("term").alias("part"), item, "value")
     shown = shown.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
     return pairs.unionByName(shown)
