@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxelmetry.operators import distribution as D
 from voxelmetry.operators import stats as T
 from voxelmetry.operators.distribution import cumulative, quantiles
 from voxelmetry.operators.sampling import sample_per_group, top_per_group
@@ -42,6 +43,18 @@ def test_running_counts_are_exact(spark):
         assert (part["total"] == (pdf.g == g).sum()).all()
 
 
+def test_ranges_of_a_hot_group_give_the_same_counts(spark, monkeypatch):
+    """With few values a range, the group of two fifths of all rows lies in many of them."""
+    pdf = hot_frame(3000)
+    df = spark.createDataFrame(pdf)
+    whole = cumulative(df, "v", ["g"], {"pos": F.col("y")}).toPandas().sort_values(["g", "v"]).reset_index(drop=True)
+    monkeypatch.setattr(D, "PER_RANGE", 100)
+    cut = cumulative(df, "v", ["g"], {"pos": F.col("y")})
+    pd.testing.assert_frame_equal(cut.toPandas().sort_values(["g", "v"]).reset_index(drop=True)[whole.columns], whole)
+    got = quantiles(df, "v", {"m": 0.5}).first()
+    assert got["m"] == pytest.approx(np.median(pdf.v)) and got["n"] == len(pdf)
+
+
 def test_mann_whitney_against_pairs(spark):
     pdf = hot_frame(400)
     pdf["v"] = pdf["v"].round(0)

@@ -31,5 +31,5 @@ def test_only_inexpressible_queries_lack_sql():
     assert set(QUERIES) - set(SQLS) <= {
         "g7_fold_weights", "g8_deployment_model", "g10_held_out_evaluation",
         "g13_wrap_potentials", "v12_across_sheet_normals", "v14_ridge_offset", "v15_sheet_contrast", "v16_resolvability", "v17_label_placement",
-        "v18_margin_relabel", "v19_label_thinning", "v20_ridge_nms", "a50_margin_classes", "v22_localisation_error", "v24_half_max_width", "j19_alignment_search",
+        "v18_margin_relabel", "v19_label_thinning", "v20_ridge_nms", "a50_margin_classes", "v22_localisation_error", "v24_half_max_width", "v20_gain_of_both_arms",
     }

@@ -245,11 +245,12 @@ def hashed_directions(seed: int, at: np.ndarray) -> np.ndarray:
         v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return v ^ (v >> np.uint64(31))
 
-    step = np.uint64(0x9E3779B97F4A7C15)
+    golden, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    step = np.uint64(golden)
     key = np.full(len(at), seed, np.uint64)
     for axis in range(at.shape[1]):
         key = mixed(key + step + at[:, axis].astype(np.uint64))
-    u, v = (mixed(key + np.uint64(k) * step) / 2.0**64 for k in (1, 2))
+    u, v = (mixed(key + np.uint64(k * golden & full)) / 2.0**64 for k in (1, 2))
     z, angle = 2 * u - 1, 2 * np.pi * v
     flat = np.sqrt(np.maximum(1 - z * z, 0))
     return np.stack([z, flat * np.cos(angle), flat * np.sin(angle)], axis=1)
