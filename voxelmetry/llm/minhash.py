@@ -15,11 +15,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -32,13 +33,13 @@ POSITIONS = 128
 # probability with which a pair of exactly the wanted similarity has more errors than are allowed
 MISS = 1e-5
 # signatures of a bucket, and hashes of a part, that one task compares; larger groups are compared in pieces
-BUCKET, PART = 2048, 4_000_000
+BUCKET, PART = 2048, 1_000_000
 # members of a large group that all its pieces are compared with first
 PIVOTS = 32
 # bits of the filter that texts pass before they are dealt out: 16 MB whatever the input
 FILTER = 1 << 27
-# word hashes that a worker holds, and shingle hashes that are looked at together
-HELD, CHUNK = 1_000_000, 32_768
+# word hashes that a worker holds, shingle hashes that are looked at together, and texts that are
+HELD, CHUNK, TEXTS = 100_000, 32_768, 1024
 # odd factor of the mixing steps
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,7 +128,7 @@ def _summarised(width: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (whole.slice(k, TEXTS) for whole in batches for k in range(0, whole.num_rows, TEXTS)):
             sets = [shingle_set(t, width, hashes) for t in batch.column(batch.num_columns - 1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             signed = iter(signatures([s for s in sets if len(s)]))
@@ -324,6 +325,18 @@ def _possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select(slot, "text_hash", "text").mapInArrow(work, "text_hash binary, text binary")
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to the workers TEXTS at a time, as several copies of a batch are in memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), TEXTS) if int(before) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_sets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, bucket: int = BUCKET, part: int = PART
 ) -> DataFrame:
@@ -338,7 +351,7 @@ def near_sets(
     """
     spark = docs.sparkSession
     keep = checkpoint_root(spark)
-    with run_folder(spark):  # all tables but the two that the result reads go when it is planned
+    with run_folder(spark), _short_batches(spark):  # all tables but the two that the result reads go when it is planned
         return _near_sets(pick(docs, doc_id=id_col, text=text_col), width, percent, bucket, part, keep)
 
 
@@ -384,7 +397,7 @@ def _near_sets(docs: DataFrame, width: int, percent: int, bucket: int, part: int
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (rows.slice(k, TEXTS) for rows in batches for k in range(0, rows.num_rows, TEXTS)):
             found = [shingle_set(t, width, hashes).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(1)], ["node", "load", "weight"])
 
