@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from voxelmetry.llm.common import pick
 from voxelmetry.llm.minhash import _runs
-from voxelmetry.session import cut_lineage, spread
+from voxelmetry.session import checkpoint_root, cut_lineage, run_folder, spread
 
 LEAST_DOCUMENTS, TOP = 10, 10
 # (group, term) counts that a task holds before it passes them on
@@ -132,16 +132,18 @@ def source_divergence(
     docs = pick(docs, lang=lang_col, source=source_col, text=text_col)
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     named, lid, gid = _numbered(cut_lineage(docs.select("lang", "source").distinct(), "named_groups"))
-    terms = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
-    terms = cut_lineage(terms.select(lid, gid, digest(F.col("term")).cast("bigint").alias("digest"), "term", "n", "docs"), "terms")
-    words = terms.select("digest", "term").distinct().groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last"))
-    words = cut_lineage(words, "dictionary")
-    several = words.where("term <> _last").select("digest", F.lit(True).alias("_several"))
-    if several.isEmpty():
-        told, name = terms, ["digest"]
-    else:
-        told, name = terms.join(several, "digest", "left").withColumn("variant", F.when(F.col("_several"), F.col("term")).otherwise("")), ["digest", "variant"]
-    counts = cut_lineage(told.groupBy("lid", "gid", *name).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    keep = checkpoint_root(docs.sparkSession)
+    with run_folder(docs.sparkSession):  # the counts of the tasks go when they are added up
+        terms = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+        terms = cut_lineage(terms.select(lid, gid, digest(F.col("term")).cast("bigint").alias("digest"), "term", "n", "docs"), "terms")
+        words = terms.select("digest", "term").distinct().groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last"))
+        words = cut_lineage(words, "dictionary", keep)
+        several = words.where("term <> _last").select("digest", F.lit(True).alias("_several"))
+        if several.isEmpty():
+            told, name = terms, ["digest"]
+        else:
+            told, name = terms.join(several, "digest", "left").withColumn("variant", F.when(F.col("_several"), F.col("term")).otherwise("")), ["digest", "variant"]
+        counts = cut_lineage(told.groupBy("lid", "gid", *name).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts", keep)
     kept = cut_lineage(counts.groupBy("lid", *name).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least).drop("docs"), "kept")
     here = cut_lineage(counts.drop("docs").join(kept, ["lid", *name]), "group_terms")
 
