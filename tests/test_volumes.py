@@ -294,3 +294,15 @@ def test_packed_rows_hold_no_voxel_rows(spark):
     rows = B.packed(full, ["vol"], ["v"], B.Cut(8, 2, np.array([16, 16, 16])))
     assert rows.count() == 8
     assert sum(len(r["_at"]) for r in rows.collect()) == 4 * 8 * 10**3
+
+
+def test_ridge_nms_joins_written_voxels_without_a_broadcast(spark, monkeypatch):
+    """Files of voxels are far smaller than their rows in memory, so their size mustn't choose a broadcast."""
+    from voxelmetry.plans import volume_queries as Q
+    from voxelmetry.plans.registry import QUERIES
+
+    plans = {}
+    write = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    assert QUERIES["v20_ridge_nms"](spark, "/root/testdata/sf0.001").count()
+    assert "strategy=merge" in plans["nms"]

@@ -436,7 +436,8 @@ def v19(t):
 @query("v20_ridge_nms")
 def v20(t):
     kept = cut_lineage(PR.suppress_non_maxima(t.vox, BY, SHAPE, side=SIDE).where("kept"), "kept")
-    v = cut_lineage(t.vox.where("label <> 2").join(kept, HERE, "left").withColumn("kept", F.coalesce("kept", F.lit(False))), "nms")
+    # a written table of voxels is a few MB of files and many rows: by its files alone it would be broadcast
+    v = cut_lineage(t.vox.where("label <> 2").join(kept.hint("merge"), HERE, "left").withColumn("kept", F.coalesce("kept", F.lit(False))), "nms")
     s = F.col("label") == 1
     r = v.groupBy("vol").agg(ratio(count_if(s & F.col("kept")), count_if(s)).alias("recall"), ratio(count_if(s & F.col("kept")), count_if(F.col("kept"))).alias("precision"))
     best = PR.precision_at_recall(v, BY, r.select("vol", "recall"))
