@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -67,17 +69,91 @@ def nearest_distance(
 ) -> DataFrame:
     """Exact smallest point distance of each pair (group..., a, b), optionally with the two points.
 
-    Points never meet all against all. Each item is cut into boxes, ``splits`` per axis, coarse to fine: halves, quarters
+    Two items of at most WHOLE points each are compared inside a task, as packed rows: one row of a shuffle for each pair.
+    Points of larger items never meet all against all. Each such item is cut into boxes, ``splits`` per axis, coarse to fine: halves, quarters
     and so on until a box of the largest item holds a few points, unless given. At each level only the boxes below
     kept box pairs meet, at most 64 for each, and of them those stay whose smallest possible distance does not exceed the
     smallest distance between one point of each box. Only the points of the remaining boxes are compared.
     """
     group = list(group)
     pts = points.select(*group, item, *XYZ).distinct()
-    frame = bounding_boxes(pts, [*group, item])
-    if splits is None:
-        frame = cut_lineage(frame, "frames")
-        splits = _levels(frame.agg(F.max("n_points")).first()[0] or 1)
+    frame = cut_lineage(bounding_boxes(pts, [*group, item]), "frames")
+    largest = frame.agg(F.max("n_points")).first()[0] or 1
+    small = frame.where(F.col("n_points") <= WHOLE).select(*group, item)
+    if largest <= WHOLE:
+        return _nearest_whole(pts, pairs.select(*group, "a", "b"), group, item, limit, witness)
+    # pairs of two small items are compared whole, the others by boxes
+    for side in ("a", "b"):
+        pairs = pairs.join(small.select(*group, F.col(item).alias(side), F.lit(True).alias(f"_small_{side}")), [*group, side], "left")
+    whole = F.coalesce(F.col("_small_a") & F.col("_small_b"), F.lit(False))
+    pairs = cut_lineage(pairs.select(*group, "a", "b", whole.alias("_whole")), "pairs")
+    few = _nearest_whole(pts.join(small, [*group, item], "left_semi"), pairs.where("_whole").drop("_whole"), group, item, limit, witness)
+    many = _nearest_by_boxes(pts, frame, pairs.where("NOT _whole").drop("_whole"), group, item, limit, splits or _levels(largest), witness)
+    return few.unionByName(many)
+
+
+# points of an item that is compared whole; two such items are a matrix of half a megabyte
+WHOLE = 256
+
+
+def _nearest_whole(points: DataFrame, pairs: DataFrame, group: Sequence[str], item: str, limit: float | None, witness: bool) -> DataFrame:
+    """``nearest_distance`` of items of at most WHOLE points: they are packed, joined to their pairs and compared in the task."""
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ)
+    packed = points.where(known).groupBy(*group, item).agg(F.array_sort(F.collect_list(F.struct(*XYZ))).alias("p")).select(*group, item, *[F.col(f"p.{c}").alias(c) for c in XYZ])
+    packed = cut_lineage(packed, "packed")
+    met = pairs
+    for side in ("a", "b"):
+        # neither side is sorted, and the files of packed points don't choose a broadcast
+        named = packed.select(*group, F.col(item).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in XYZ])
+        met = met.join(named.hint("shuffle_hash"), [*group, side])
+    n_keys = len(group) + 2
+    names = [*group, "a", "b"]
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in met.select(*names).schema) + "distance DOUBLE"
+    if witness:
+        ddl += "".join(f", {s}_{c} DOUBLE" for s in "ab" for c in XYZ)
+
+    def sides(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points of a side in row order, and where each row's begin (and the end of the last)."""
+        columns = batch.columns[first : first + 3]
+        ends = np.concatenate([[0], np.cumsum(columns[0].value_lengths().to_numpy())])
+        return np.stack([c.flatten().to_numpy().astype(np.float64) for c in columns], axis=1), ends
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(start, PAIRS)
+                (p, p_at), (q, q_at) = sides(batch, n_keys), sides(batch, n_keys + 3)
+                n, m = np.diff(p_at), np.diff(q_at)
+                best, i, j = np.empty(len(n)), np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+                # pairs of equal sizes are one array, a bounded number of them at a time
+                size, of = np.unique(np.stack([n, m], axis=1), axis=0, return_inverse=True)
+                for k, (a, b) in enumerate(size):
+                    rows = np.flatnonzero(of.ravel() == k)
+                    for part in np.array_split(rows, -(-len(rows) * int(a * b) // CELLS)):
+                        left, right = p[p_at[part][:, None] + np.arange(a)], q[q_at[part][:, None] + np.arange(b)]
+                        d2 = sum((left[:, :, None, c] - right[:, None, :, c]) ** 2 for c in range(3)).reshape(len(part), -1)
+                        # points are sorted: of equal distances the first is that of the first positions
+                        at = d2.argmin(axis=1)
+                        best[part] = d2[np.arange(len(part)), at]
+                        i[part], j[part] = p_at[part] + at // b, q_at[part] + at % b
+                distance = np.sqrt(best)
+                keep = np.flatnonzero(distance <= (np.inf if limit is None else limit))
+                found = [c.take(pa.array(keep)) for c in batch.columns[:n_keys]] + [pa.array(distance[keep])]
+                if witness:
+                    found += [pa.array(side[at[keep], c]) for side, at in ((p, i), (q, j)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays(found, [*names, "distance", *([f"{s}_{c}" for s in "ab" for c in XYZ] if witness else [])])
+
+    return met.select(*names, *[f"{s}_{c}" for s in "ab" for c in XYZ]).mapInArrow(work, ddl)
+
+
+# pairs, and squared distances, that a task holds at once
+PAIRS, CELLS = 2_000, 1 << 16
+
+
+def _nearest_by_boxes(
+    pts: DataFrame, frame: DataFrame, pairs: DataFrame, group: Sequence[str], item: str, limit: float | None, splits: Sequence[int], witness: bool
+) -> DataFrame:
+    """``nearest_distance`` by levels of boxes."""
     pts = pts.join(frame.drop("n_points"), [*group, item])
     ids: list[str] = []
     for s in splits:
@@ -109,8 +185,7 @@ def nearest_distance(
         if limit is not None:
             keep = keep.where(F.col("_low") <= limit)
         keep = keep.select(*pair, *[f"{side}{p}" for side in ("a", "b") for p in ids[: level + 1]])
-        if level + 1 < len(ids):
-            keep = cut_lineage(keep, "levels")
+        keep = cut_lineage(keep, "levels" if level + 1 < len(ids) else "box-pairs")
 
     joined = keep
     for side in ("a", "b"):
