@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -36,9 +37,13 @@ MODEL = {
 }
 
 
+# only the score is rounded, not the features it is made of
+FEAT_EXACT = re.sub(r"round\((coalesce\(linked / CAST\(pairs AS DOUBLE\), 0\)|ln\(1 \+ size\)), 6\)", r"\1", FEAT_DEFAULT)
+
+
 @query(
     "e2_patch_review",
-    FEAT_DEFAULT + """, sc AS (SELECT slab, patch, round(-1 + 0.5::DOUBLE * (degree - 8) / 4 - 0.25::DOUBLE * (clustering - 0.4) / 0.2 + 0.125::DOUBLE * (log_size - 3.6) / 0.1, 4) AS score FROM ft),
+    FEAT_EXACT + """, sc AS (SELECT slab, patch, round(-1 + 0.5::DOUBLE * (degree - 8) / 4 - 0.25::DOUBLE * (clustering - 0.4) / 0.2 + 0.125::DOUBLE * (log_size - 3.6) / 0.1, 4) AS score FROM ft),
  rk AS (SELECT *, row_number() OVER (PARTITION BY slab ORDER BY score DESC, patch) AS rank_within_slab, count(*) OVER (PARTITION BY slab) AS n_in_slab FROM sc)
  SELECT slab, patch, rank_within_slab, n_in_slab, rank_within_slab <= greatest(1, round_even(0.1::DOUBLE * n_in_slab, 0)) AS selected FROM rk""",
 )
