@@ -48,5 +48,9 @@ def read_amplification(access: DataFrame, key: list[str], by: list[str] | None =
 
 
 def in_morton_order(blocks: DataFrame, partitions: int, z: str = "bz", y: str = "by", x: str = "bx") -> DataFrame:
-    """Blocks laid out along the Z-order curve, for locality of later reads."""
-    return blocks.withColumn("morton", morton(z, y, x)).repartitionByRange(partitions, "morton").sortWithinPartitions("morton")
+    """Blocks laid out along the Z-order curve, for locality of later reads; indices of up to 42 bits."""
+    low = morton(*[F.col(c).bitwiseAND(F.lit(0x1FFFFF)) for c in (z, y, x)])
+    # a key holds 21 bits of each index: the bits above them are a key of their own, zero for smaller indices
+    high = morton(*[F.shiftright(F.col(c).cast("long"), 21) for c in (z, y, x)])
+    keyed = blocks.withColumns({"_high": high, "morton": low})
+    return keyed.repartitionByRange(partitions, "_high", "morton").sortWithinPartitions("_high", "morton").drop("_high")

@@ -197,15 +197,19 @@ def a44b(t):
     return A.read_amplification(t.log.where("part <> 7"), ["chunk"]).withColumn("amplification", r6("amplification"))  # part 7: metadata keys
 
 
-MORTON = " + ".join(f"((({{z}} >> {b}) & 1) << {3 * b + 2}) + ((({{y}} >> {b}) & 1) << {3 * b + 1}) + ((({{x}} >> {b}) & 1) << {3 * b})" for b in range(16))
+MORTON = " + ".join(f"((({{z}} >> {b}) & 1) << {3 * b + 2}) + ((({{y}} >> {b}) & 1) << {3 * b + 1}) + ((({{x}} >> {b}) & 1) << {3 * b})" for b in range(21))  # as many bits as morton() takes
 
 
-@query("f11_morton", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {MORTON.format(z='l_partkey', y='l_suppkey', x='CAST(l_linenumber AS BIGINT)')} AS key FROM lineitem")
+@query("f11_morton", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN greatest(l_partkey, l_suppkey, l_linenumber) >= 2097152 OR least(l_partkey, l_suppkey, l_linenumber) < 0 THEN error('a Morton index must have at most 21 bits') ELSE {MORTON.format(z='l_partkey', y='l_suppkey', x='CAST(l_linenumber AS BIGINT)')} END AS key FROM lineitem")
 def f11(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", morton("l_partkey", "l_suppkey", "l_linenumber").alias("key"))
 
 
-@query("t6_morton_order", f"SELECT bz, by_ AS by, bx, row_number() OVER (ORDER BY {MORTON.format(z='bz', y='by_', x='bx')}) AS line FROM (SELECT DISTINCT CAST(z AS BIGINT) AS bz, CAST(y AS BIGINT) AS by_, vol * 8 + x AS bx FROM vox)")
+# of wider indices the bits above the lowest 21 come first
+T6KEYS = ", ".join(MORTON.format(z=f"(bz >> {b})", y=f"(by_ >> {b})", x=f"(bx >> {b})") for b in (21, 0))
+
+
+@query("t6_morton_order", f"SELECT bz, by_ AS by, bx, row_number() OVER (ORDER BY {T6KEYS}) AS line FROM (SELECT DISTINCT CAST(z AS BIGINT) AS bz, CAST(y AS BIGINT) AS by_, vol * 8 + x AS bx FROM vox)")
 def t6(t):
     blocks = t.vox.select(F.col("z").cast("long").alias("bz"), F.col("y").cast("long").alias("by"), (F.col("vol") * 8 + F.col("x")).alias("bx")).distinct()
     laid = cut_lineage(A.in_morton_order(blocks, 8), "laid")
