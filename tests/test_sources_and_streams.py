@@ -294,3 +294,17 @@ def test_progress_and_duplicates(spark, tmp_path):
     firsts = S.first_occurrences(S.file_stream(spark, src, schema), "ts", F.sha2(F.col("entity").cast("string"), 256), "1 hour")
     S.run_available(firsts, lambda df, b: S.write_batch(df, out, b), str(tmp_path / "c2"))
     assert spark.read.parquet(out).count() == 12
+
+
+def test_many_small_stores_share_the_partitions_of_a_scan(spark, tmp_path, monkeypatch):
+    vol = np.arange(8).reshape(2, 2, 2)
+    for k in range(60):
+        make_store(tmp_path / str(k), vol + k, 2)
+    store = ST.read_store(spark, str(tmp_path))
+    got = store.where("z = 1").toPandas()
+    assert len(got) == 240 and (got.value.to_numpy() == vol[got.z, got.y, got.x] + got.store.astype(int)).all()
+    assert store.rdd.getNumPartitions() <= 4  # 60 chunks, 16 to a partition
+    reader = ST.StoreReader({"path": str(tmp_path), "run": "1"})
+    monkeypatch.setattr(ST, "PARTITIONS", 7)
+    parts = reader.partitions()
+    assert len(parts) <= 7 and sorted((r.store, r.start) for p in parts for r in p.runs) == sorted((str(k), 0) for k in range(60))

@@ -1,6 +1,6 @@
 """Chunked array stores as a Spark data source: a folder with ``.zarray`` and one file for each stored chunk.
 
-``read_store`` plans one partition for each run of chunks that meet the wanted box. Comparisons of z, y and x with
+``read_store`` plans runs of chunks that meet the wanted box; many small runs share a partition. Comparisons of z, y and x with
 constants are pushed into the scan, so that a filter opens only the files it needs. A chunk without a file is all fill
 value. Paths are opened with Arrow's filesystems, so that ``file://``, ``hdfs://`` and object stores work alike.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from voxelmetry.sources.chunks import parse_array_metadata
 
 AXES = ("z", "y", "x")
-# chunks that one partition reads unless told otherwise
+# chunks of a run; a partition reads more only if there are many runs
 RUN = 16
 
 
@@ -97,13 +98,24 @@ def read_array_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 @dataclass
-class ChunkRun(InputPartition):
+class ChunkRun:
     store: str
     layout: Layout
     start: int
     stop: int
 
 
+@dataclass
+class ChunkRuns(InputPartition):
+    runs: list[ChunkRun]
+
+
+# partitions of a scan at most, however many stores there are; and rows of a batch about
+PARTITIONS, ROWS = 512, 1 << 16
+# metadata files that are read at the same time
+READERS = 32
+
+
 class StoreReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.run = options["path"].rstrip("/"), int(options.get("run", RUN))
@@ -138,40 +150,72 @@ class StoreReader(DataSourceReader):
         first = low // layout.chunks
         return first, np.where(high > low, -(-high // layout.chunks) - first, 0)
 
-    def partitions(self) -> list[ChunkRun]:
-        """Runs of chunks in C order. The folder is a store itself, or holds stores."""
+    def partitions(self) -> list[ChunkRuns]:
+        """Runs of chunks in C order, many small ones to a partition. The folder is a store itself, or holds stores."""
+        wanted = [(name, path) for name, path in stores_in(self.root) if self.stores is None or name in self.stores]
+        with ThreadPoolExecutor(READERS) as pool:
+            layouts = list(pool.map(Layout.read, [path for _, path in wanted], chunksize=64))
+        known: dict[Layout, Layout] = {}  # equal layouts are sent once
         runs = []
-        for name, path in stores_in(self.root):
-            if self.stores is not None and name not in self.stores:
-                continue
-            layout = Layout.read(path)
+        for (name, _), layout in zip(wanted, layouts):
+            layout = known.setdefault(layout, layout)
             n = int(np.prod(np.maximum(self._grid(layout)[1], 0)))
             runs += [ChunkRun(name, layout, k, min(k + self.run, n)) for k in range(0, n, self.run)]
-        return runs or [ChunkRun("", Layout((0, 0, 0), (1, 1, 1), "|u1", 0, "."), 0, 0)]
-
-    def read(self, partition: ChunkRun) -> Iterator[pa.RecordBatch]:
-        layout = partition.layout
-        files, root = opened(f"{self.root}/{partition.store}" if partition.store else self.root)
+        # consecutive runs share a partition by their chunks; a few stores keep a partition for each run
+        each = max(self.run, -(-sum(r.stop - r.start for r in runs) // PARTITIONS))
+        parts: list[ChunkRuns] = []
+        held = each
+        for r in runs:
+            if held + r.stop - r.start > each:
+                parts.append(ChunkRuns([]))
+                held = 0
+            parts[-1].runs.append(r)
+            held += r.stop - r.start
+        return parts or [ChunkRuns([])]
+
+    def read(self, partition: ChunkRuns) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+        for run in partition.runs:
+            for chunk in self._chunks(run):
+                held.append(chunk)
+                rows += chunk[-1].size
+                if rows >= ROWS:
+                    yield self._batch(held)
+                    held, rows = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _chunks(self, run: ChunkRun) -> Iterator[tuple]:
+        """Store, index, whether stored, positions and cells of each chunk of a run, cut to the box."""
+        layout = run.layout
+        files, root = opened(f"{self.root}/{run.store}" if run.store else self.root)
         (low, high), (first, size) = self._box(layout), self._grid(layout)
-        for k in range(partition.start, partition.stop):
+        for k in range(run.start, run.stop):
             index = first + np.array(np.unravel_index(k, size))
             cells, stored = layout.chunk(files, root, index.tolist())
             corner = index * layout.chunks
             cut = [slice(max(lo - c, 0), hi - c) for lo, hi, c in zip(low, high, corner)]
             cells = cells[tuple(cut)]
             at = np.indices(cells.shape).reshape(3, -1) + (corner + [s.start for s in cut])[:, None]
-            n = cells.size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([partition.store] * n), *[pa.array(np.full(n, i, np.int32)) for i in index], pa.array([stored] * n),
-                    *[pa.array(a.astype(np.int32)) for a in at], pa.array(cells.reshape(-1).astype(np.float64)),
-                ],
-                ["store", "cz", "cy", "cx", "stored", *AXES, "value"],
-            )
+            yield run.store, index, stored, at, cells.reshape(-1).astype(np.float64)
+
+    @staticmethod
+    def _batch(chunks: list[tuple]) -> pa.RecordBatch:
+        stores, index, stored, at, cells = zip(*chunks)
+        sizes = [len(c) for c in cells]
+        which = pa.array(np.repeat(np.arange(len(chunks)), sizes))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(stores, pa.string()).take(which), *[pa.array(np.array([i[k] for i in index], np.int32)).take(which) for k in range(3)], pa.array(stored).take(which),
+                *[pa.array(a.astype(np.int32)) for a in np.concatenate(at, axis=1)], pa.array(np.concatenate(cells)),
+            ],
+            ["store", "cz", "cy", "cx", "stored", *AXES, "value"],
+        )
 
 
 class StoreSource(DataSource):
-    """Format ``chunkstore``; options ``path`` and ``run`` (chunks of a partition)."""
+    """Format ``chunkstore``; options ``path`` and ``run`` (chunks of a run)."""
 
     @classmethod
     def name(cls) -> str:
