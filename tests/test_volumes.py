@@ -306,3 +306,25 @@ def test_ridge_nms_joins_written_voxels_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(Q, "cut_lineage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
     assert QUERIES["v20_ridge_nms"](spark, "/root/testdata/sf0.001").count()
     assert "strategy=merge" in plans["nms"]
+
+
+def test_scattered_voxels_are_packed_by_whole_blocks(spark):
+    """However voxels are dealt over tasks, a block and target has about one packed row."""
+    rng = np.random.default_rng(4)
+    rows = [(v, *map(int, p), 1.0) for v in range(20) for p in rng.integers(0, 8, (60, 3))]
+    df = spark.createDataFrame(list(dict.fromkeys(rows)), "v INT, z INT, y INT, x INT, f DOUBLE").repartition(16)
+    cut = B.Cut(4, 0, np.array((8, 8, 8)))
+    got = B.packed(df, BY, ["f"], cut).toPandas()
+    assert not got.duplicated(["v", "_bz", "_by", "_bx"]).any() and got._at.map(len).sum() == 4 * df.count()
+
+
+def test_kernels_of_volumes_without_a_border_see_only_what_lies_around_the_voxels(spark):
+    df = spark.createDataFrame([(1, 70, -3, 5, 1.0), (1, 72, -3, 5, 1.0), (1, 130, 9, 9, 1.0)], "v INT, z INT, y INT, x INT, f DOUBLE")
+
+    def kernel(b):
+        at = b.core_points(b.arrays["f"] > 0)
+        return pd.DataFrame({**dict(zip("zyx", at.T.astype("int32"))), "cells": b.arrays["f"].size}) if len(at) else B.nothing(["z", "y", "x", "cells"])
+
+    got = B.run_kernel(df, BY, None, ["f"], B.KernelSpec("size", 1, "cells BIGINT", kernel)).collect()
+    assert sorted((r.z, r.y, r.x) for r in got) == [(70, -3, 5), (72, -3, 5), (130, 9, 9)]
+    assert max(r.cells for r in got) <= 5 * 3 * 3

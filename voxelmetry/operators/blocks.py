@@ -1,9 +1,8 @@
 """Array kernels over packed blocks of voxel volumes.
 
-A block is a cube of a volume; its voxels travel as packed rows: one row for each task, block and target, with the
-positions and the values as bytes. The packing runs in the tasks that hold the voxels, so that no voxel is a row of a
-shuffle. Besides its own block a packed row goes to the neighbours whose halo it reaches, and only with the slice
-(face, edge or corner) that lies there. A task then holds one padded block of bounded size. At the volume's border the
+A block is a cube of a volume. Its voxels are brought together once, as narrow rows, and travel on as packed rows: one for each
+block and target, with the positions and the values as bytes. Besides its own block a packed row goes to the neighbours
+whose halo it reaches, and only with the slice (face, edge or corner) that lies there. A task then holds one padded block of bounded size. At the volume's border the
 padding mirrors the volume, inside it comes from the neighbours, so results do not depend on how the volume is cut.
 """
 
@@ -109,14 +108,17 @@ def packer(n_keys: int, cut: Cut) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 continue
             at = np.stack([batch.column(n_keys + k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
             values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys + 3, batch.num_columns)]
-            group, own = _group_codes(batch.columns[:n_keys], batch.num_rows), at // cut.side
+            group = _group_codes(batch.columns[:n_keys], batch.num_rows)
+            held, own = np.unique(at // cut.side, axis=0, return_inverse=True)
             which, targets = [], []
             for d in directions:
-                block = own + d
-                lo, hi = cut.region(block)
-                sent = np.flatnonzero(((at >= lo) & (at < hi)).all(axis=1) & cut.exists(block))
+                there = cut.exists(held + d)  # most directions leave a small volume
+                if not there.any():
+                    continue
+                lo, hi = (v[own.ravel()] for v in cut.region(held + d))
+                sent = np.flatnonzero(((at >= lo) & (at < hi)).all(axis=1) & there[own.ravel()])
                 which.append(sent)
-                targets.append(block[sent])
+                targets.append((held + d)[own.ravel()[sent]])
             which, targets = np.concatenate(which), np.concatenate(targets)
             order = np.lexsort((*targets.T[::-1], group[which]))
             which, targets = which[order], targets[order]
@@ -146,6 +148,9 @@ def packed(voxels: DataFrame, by: Sequence[str], values: Sequence[str], cut: Cut
     cells = voxels.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], *[F.col(v).cast(kind).alias(v) for v in values])
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in voxels.select(*by).schema)
     made = ", ".join(["_bz INT, _by INT, _bx INT, _at BINARY", *[f"_v{k} BINARY" for k in range(len(values))]])
+    # a block's voxels come together first: scattered over tasks they would be packed by ones and twos
+    own = {f"_own{a}": F.floor(F.col(a) / cut.side) for a in AT}
+    cells = spread(cells.withColumns(own), *by, *own).sortWithinPartitions(*by, *own).drop(*own)
     return cells.mapInArrow(packer(len(by), cut), keys + made)
 
 
@@ -174,6 +179,15 @@ def dense_arrays(rows: list[dict], size: np.ndarray, n: int, dtype: type = np.fl
     return [a.reshape(size) for a in arrays]
 
 
+def moved(rows: list[dict], origin: np.ndarray, size: np.ndarray, to: np.ndarray, to_size: np.ndarray) -> list[dict]:
+    """Packed rows whose positions in one region are those in another."""
+    out = []
+    for row in rows:
+        at = np.stack(np.unravel_index(np.frombuffer(row["_at"], np.int32), size)) + (origin - to)[:, None]
+        out.append({**row, "_at": np.ravel_multi_index(tuple(at), to_size).astype(np.int32).tobytes()})
+    return out
+
+
 def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None, values: Sequence[str], spec: KernelSpec, side: int | None = None) -> DataFrame:
     """by..., z, y, x and the kernel's columns. ``side``: of the blocks, by default HALOS halos and SIDE at least."""
     by, values = list(by), list(values)
@@ -187,6 +201,14 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None
         for key, held in gathered(batches, n_keys):
             block = np.array(key[n_keys:])
             (start, stop), (lo, hi) = cut.region(block), cut.core(block)
+            if cut.shape is None:
+                # nothing lies beyond the stored voxels, so that a kernel need look no farther than its halo around them
+                places = np.concatenate([np.frombuffer(row["_at"], np.int32) for row in held])
+                at = np.stack(np.unravel_index(places, stop - start), axis=1) + start
+                first, last = np.maximum(at.min(axis=0) - spec.halo, start), np.minimum(at.max(axis=0) + spec.halo + 1, stop)
+                held = moved(held, start, stop - start, first, last - first)
+                start, stop = first, last
+                lo, hi = np.clip(lo, start, stop), np.clip(hi, start, stop)
             arrays = dense_arrays(held, stop - start, len(values))
             out = fn(Block(dict(zip(values, arrays)), start, lo, hi, stop if cut.shape is None else cut.shape))
             if len(out):

@@ -213,6 +213,11 @@ def _packed_planes(n_keys: int, exact: int, second: int, along: int, lines: int
     return work
 
 
+def _by_plane(voxels: DataFrame, by: Sequence[str], axis: str) -> DataFrame:
+    """A plane's voxels together, so that they are packed as one and not by ones and twos."""
+    return spread(voxels, *by, axis).sortWithinPartitions(*by, axis)
+
+
 def _nearest_along(sites: DataFrame, asked: DataFrame, by: Sequence[str], axes: tuple[str, str, str], limit: float | None) -> DataFrame:
     """by..., z, y, x, d2: at the positions asked for, min over the line's sites of d2 + the squared distance along it.
 
@@ -223,7 +228,7 @@ def _nearest_along(sites: DataFrame, asked: DataFrame, by: Sequence[str], axes:
 
     n_keys, where = len(by), [AT.index(a) for a in axes]
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sites.select(*by).schema)
-    rows = sites.mapInArrow(_packed_planes(n_keys, *where), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY")
+    rows = _by_plane(sites, by, axes[0]).mapInArrow(_packed_planes(n_keys, *where), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY")
     rows = rows.unionByName(asked, allowMissingColumns=True)
     rows = rows if "_ask" in rows.columns else rows.withColumn("_ask", F.lit(None).cast("array<int>"))
     ddl = keys + "z INT, y INT, x INT, d2 DOUBLE"
@@ -292,7 +297,7 @@ def distance(points: DataFrame, targets: DataFrame, by: Sequence[str], shape: Se
     d2 = _nearest_along(d2, second, by, ("z", "x", "y"), limit)
     places = asked.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], F.lit(0.0).alias("d2"))
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.select(*by).schema)
-    third = places.mapInArrow(_packed_planes(len(by), 0, 1, 2), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY").drop("_val")
+    third = _by_plane(places, by, "z").mapInArrow(_packed_planes(len(by), 0, 1, 2), keys + "_plane INT, _tile INT, _line BINARY, _pos BINARY, _val BINARY").drop("_val")
     d2 = _nearest_along(d2, third, by, ("z", "y", "x"), limit)
     found = points.join(d2.withColumnRenamed("d2", "_d2"), here, "left")
     return found.withColumn(name, F.sqrt("_d2")).drop("_d2")
