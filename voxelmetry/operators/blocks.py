@@ -148,9 +148,10 @@ def packed(voxels: DataFrame, by: Sequence[str], values: Sequence[str], cut: Cut
     cells = voxels.select(*by, *[F.col(a).cast("int").alias(a) for a in AT], *[F.col(v).cast(kind).alias(v) for v in values])
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in voxels.select(*by).schema)
     made = ", ".join(["_bz INT, _by INT, _bx INT, _at BINARY", *[f"_v{k} BINARY" for k in range(len(values))]])
-    # a block's voxels come together first: scattered over tasks they would be packed by ones and twos
+    # the voxels of a region of blocks come together first: scattered over tasks they would be packed by ones and twos
+    near = {f"_near{a}": F.floor(F.col(a) / max(SIDE, cut.side)) for a in AT}
     own = {f"_own{a}": F.floor(F.col(a) / cut.side) for a in AT}
-    cells = spread(cells.withColumns(own), *by, *own).sortWithinPartitions(*by, *own).drop(*own)
+    cells = spread(cells.withColumns({**near, **own}), *by, *near).sortWithinPartitions(*by, *near, *own).drop(*near, *own)
     return cells.mapInArrow(packer(len(by), cut), keys + made)
 
 
