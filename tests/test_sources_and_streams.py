@@ -216,6 +216,24 @@ def test_window_starts(spark, size, patch, step):
     assert chunks.count() == per_axis**3
 
 
+def test_chunk_touches_are_those_of_all_windows_and_windows_are_no_rows(spark, monkeypatch):
+    """Counts by axes equal those of windows as rows, for repeated, small and unsized volumes; no task holds many chunks."""
+    rows = [(0, 700, 192, 256), (0, 300, 100, 641), (1, 0, 192, 193), (2, None, 192, 192), (3, 1000, 500, 384), (3, 1000, 500, 384)]
+    volumes = spark.createDataFrame(rows, "v INT, nz INT, ny INT, nx INT")
+    counted = lambda df: sorted(map(tuple, df.select("v", "cz", "cy", "cx", "n").collect()))
+    for step in (0.5, 2.0):  # windows two apart pass chunks over
+        plain = A.touched_chunks(A.windows(volumes, 192, step), 192, 128).groupBy("v", "cz", "cy", "cx").agg(F.count("*").alias("n"))
+        got = A.chunk_touches(volumes, ["v"], 192, step, 128)
+        assert counted(got) == counted(plain)
+    assert A.chunk_touches(volumes.where("false"), ["v"], 192, 0.5, 128).count() == 0
+    by_row = A.read_amplification(A.touched_chunks(A.windows(volumes, 192, 0.5), 192, 128), ["cz", "cy", "cx"], ["v"])
+    by_sum = A.read_amplification(A.chunk_touches(volumes, ["v"], 192, 0.5, 128), ["cz", "cy", "cx"], ["v"], "n")
+    assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, by_sum.collect()))
+    # tasks follow the number of chunks, not the bytes of the volumes
+    monkeypatch.setattr(A, "PER_TASK", 2)
+    assert A.chunk_touches(volumes, ["v"], 192, 0.5, 128).rdd.getNumPartitions() >= 50
+
+
 def test_morton_orders_by_interleaved_bits(spark):
     pts = [(z, y, x) for z in range(4) for y in range(4) for x in range(4)] + [(2**21 - 1, 5, 0)]
     got = spark.createDataFrame(pts, "z INT, y INT, x INT").select("z", "y", "x", N.morton("z", "y", "x").alias("m")).collect()

@@ -35,10 +35,44 @@ def touched_chunks(wins: DataFrame, patch: int, chunk: int) -> DataFrame:
     return out
 
 
-def read_amplification(access: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
-    """Touches per distinct chunk and the most refetched chunk; counts per key come first."""
+# chunks that a task counts at once
+PER_TASK = 200_000
+
+
+def chunk_touches(volumes: DataFrame, by: list[str], patch: int, step: float, chunk: int, sizes: tuple[str, str, str] = ("nz", "ny", "nx")) -> DataFrame:
+    """by..., cz, cy, cx, n: how many windows of the volume's grid read each chunk. Rows of one volume are added up.
+
+    A window reads a box of chunks, so n is the product of what the axes give alone, and neither windows nor what they
+    read are rows. The volumes are dealt out by the number of their chunks, about PER_TASK to a task.
+    """
+
+    def touched(size: str) -> Column:
+        starts = window_starts(size, patch, step)
+        first, last = (lambda w: F.floor(w / chunk).cast("int")), (lambda w: F.floor((w + (patch - 1)) / chunk).cast("int"))
+        met = F.array_distinct(F.flatten(F.transform(starts, lambda w: F.sequence(first(w), last(w)))))
+        reads = lambda c: F.size(F.filter(starts, lambda w: (first(w) <= c) & (last(w) >= c)))
+        return F.transform(met, lambda c: F.struct(c.alias("c"), reads(c).cast("long").alias("n")))
+
+    volumes = volumes.select(*by, *sizes).dropna(subset=list(sizes))  # a volume without a size has no windows
+    held = F.lit(1).cast("long")
+    for size in sizes:
+        held = held * F.ceil(F.greatest(F.col(size), F.lit(patch)) / chunk)
+    total = volumes.agg(F.sum(held)).first()[0] or 0
+    tasks = max(int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
+    # an axis is worked out once for each volume, not for each row that the axes before it make, nor (as a plain explode
+    # asks for filled arrays before the shuffle) a second time; every array is filled
+    out = volumes.repartition(tasks, *by).select(*by, *[touched(size).alias(f"_{a}") for a, size in zip("zyx", sizes)])
+    for axis in "zyx":
+        out = out.withColumn(f"_{axis}", F.explode_outer(f"_{axis}"))
+    n = F.col("_z.n") * F.col("_y.n") * F.col("_x.n")
+    return out.groupBy(*by, *[F.col(f"_{a}.c").alias(f"c{a}") for a in "zyx"]).agg(F.sum(n).alias("n"))
+
+
+def read_amplification(access: DataFrame, key: list[str], by: list[str] | None = None, touches: str | None = None) -> DataFrame:
+    """Touches per distinct chunk and the most refetched chunk; counts per key come first. ``touches``: a column with their
+    number, where a row stands for several."""
     by = by or []
-    per = access.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"))
+    per = access.groupBy(*by, *key).agg((F.sum(touches) if touches else F.count(F.lit(1))).alias("_n"))
     return per.groupBy(*by).agg(
         F.sum("_n").alias("touches"),
         F.count(F.lit(1)).alias("distinct_chunks"),

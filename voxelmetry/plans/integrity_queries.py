@@ -182,14 +182,13 @@ TOUCH = WINS + """, c AS (SELECT v, w, unnest(range(w // 128, (w + 191) // 128 +
 
 @query("j16_window_chunks", TOUCH + " SELECT v, CAST(cz AS INT) AS cz, CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx, count(*) AS n FROM tch GROUP BY ALL")
 def j16(t):
-    touched = A.touched_chunks(A.windows(grid(t), 192, 0.5), 192, 128)
-    return touched.groupBy("v", "cz", "cy", "cx").agg(F.count("*").alias("n"))
+    return A.chunk_touches(grid(t), ["v"], 192, 0.5, 128)
 
 
 @query("a44_grid_amplification", TOUCH + " SELECT v, CAST(sum(n) AS BIGINT) AS touches, count(*) AS distinct_chunks, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS amplification, max(n) AS max_refetch FROM (SELECT v, cz, cy, cx, count(*) AS n FROM tch GROUP BY ALL) GROUP BY 1")
 def a44(t):
-    touched = A.touched_chunks(A.windows(grid(t), 192, 0.5), 192, 128)
-    return A.read_amplification(touched, ["cz", "cy", "cx"], ["v"]).withColumn("amplification", r6("amplification"))
+    touched = A.chunk_touches(grid(t), ["v"], 192, 0.5, 128)
+    return A.read_amplification(touched, ["cz", "cy", "cx"], ["v"], "n").withColumn("amplification", r6("amplification"))
 
 
 @query("a44_log_amplification", "SELECT CAST(sum(n) AS BIGINT) AS touches, count(*) AS distinct_chunks, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS amplification, max(n) AS max_refetch FROM (SELECT chunk, count(*) AS n FROM log WHERE part <> 7 GROUP BY 1)")
