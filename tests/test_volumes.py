@@ -243,6 +243,56 @@ def test_contact_masks_do_not_depend_on_the_blocks(spark, mask):
             assert {tuple(c) for c in got.where(f"radius = {r}").select("z", "y", "x").collect()} == {tuple(int(v) for v in c) for c in np.argwhere(want)}
 
 
+def test_displacements_count_pairs_of_voxels_whatever_the_blocks(spark):
+    """Offsets of scattered, repeated and far voxels against plain loops, and the totals that a contrast needs."""
+    from voxelmetry.operators import alignment as AL
+
+    rng = np.random.default_rng(4)
+    rows = [(v, *map(int, at), int(c)) for v in (1, 2) for at, c in zip(rng.integers(0, 9, (60, 3)), rng.integers(0, 200, 60))] + [(1, 500, 500, 500, 7), (3, 4, 4, 4, 9)]
+    rows += rows[:5]
+    masked = [r[:4] for r in rows[::3]] + [(2, 100, 0, 0), (4, 4, 4, 4)]
+    scan, mask = spark.createDataFrame(rows, "vol INT, z INT, y INT, x INT, ct INT"), spark.createDataFrame(masked, "vol INT, z INT, y INT, x INT")
+    want = {}
+    for v, *c, ct in rows:
+        for w, *m in masked:
+            d = tuple(b - a for a, b in zip(c, m))
+            if v == w and max(map(abs, d)) <= 2:
+                n, s = want.get(d, (0, 0.0))
+                want[d] = (n + 1, s + ct)
+    for side in (4, 64):
+        got = {(r.dz, r.dy, r.dx): (r.n_on, r.s_on) for r in AL.displacements(scan, mask, ["vol"], 2, side).where("n_on > 0").collect()}
+        assert got == want
+    totals = AL._displacements(scan, mask, ["vol"], 2).select("n", "s").distinct().collect()
+    assert [tuple(r) for r in totals] == [(len(rows), float(sum(r[4] for r in rows)))]
+
+
+def test_packed_rows_are_those_of_plain_loops():
+    """Every voxel goes to the blocks in whose padded region it lies, in any order of rows and with far coordinates."""
+    from itertools import product
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    far = 1 << 21
+    for side, halo, shape in ((4, 0, None), (4, 1, (9, 7, 5)), (3, 5, None), (64, 2, None), (4, 9, (9, 7, 5))):
+        at = np.stack([rng.integers(0, n, 50) for n in (9, 7, 5)], axis=1)
+        if shape is None:
+            at[:2] = [[far - 1] * 3, [-far] * 3]
+        keys = rng.integers(0, 3, 50).tolist()
+        batch = pa.RecordBatch.from_arrays([pa.array([k or None for k in keys]), *[pa.array(a.astype(np.int32)) for a in at.T], pa.array(np.arange(50.0))], ["vol", "z", "y", "x", "v"])
+        cut = B.Cut(side, halo, None if shape is None else np.array(shape))
+        want = set()
+        reach = -(-halo // side)
+        for i, p in enumerate(at):
+            for d in product(range(-reach, reach + 1), repeat=3):
+                block = p // side + d
+                lo, hi = cut.region(block)
+                if cut.exists(block[None])[0] and (p >= lo).all() and (p < hi).all():
+                    want.add((keys[i] or None, *block.tolist(), int(np.ravel_multi_index(p - lo, hi - lo)), float(i)))
+        got = [(r["vol"], r["_bz"], r["_by"], r["_bx"], a, v) for out in B.packer(1, cut)([batch]) for r in out.to_pylist() for a, v in zip(np.frombuffer(r["_at"], np.int32).tolist(), np.frombuffer(r["_v0"]).tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_nearest_on_long_empty_lines(spark):
     """Lines of 5,000 cells with a few sites: the work follows the sites, and answers come at the asked points only."""
     rng = np.random.default_rng(8)

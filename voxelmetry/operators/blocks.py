@@ -8,6 +8,7 @@ padding mirrors the volume, inside it comes from the neighbours, so results do n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -97,43 +98,70 @@ def _group_codes(columns: list[pa.Array], rows: int) -> np.ndarray:
     return code
 
 
+def _row_order(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """A stable order of rows by whole numbers, the first column foremost; one sort of one number where that fits."""
+    low = [int(c.min()) for c in columns]
+    wide = [int(c.max()) - lo + 1 for c, lo in zip(columns, low)]
+    if math.prod(wide) >= 1 << 62:
+        return np.lexsort(columns[::-1])
+    code = columns[0] - low[0]
+    for c, lo, n in zip(columns[1:], low[1:], wide[1:]):
+        code = code * n + (c - lo)
+    return np.argsort(code, kind="stable")
+
+
+def _reached(inside: np.ndarray, block: np.ndarray, step: int, cut: Cut, axis: int) -> np.ndarray:
+    """Voxels, ``inside`` their own block along an axis, that lie in the padded region of the block ``step`` away, if it exists."""
+    ok = (inside >= step * cut.side - cut.halo) & (inside < (step + 1) * cut.side + cut.halo)
+    if cut.shape is None:
+        return ok
+    at, end = (block - step) * cut.side + inside, cut.shape[axis]
+    return ok & (block >= 0) & (block * cut.side < end) & (at >= 0) & (at < end)
+
+
 def packer(n_keys: int, cut: Cut) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (keys, z, y, x, values) to packed rows (keys, block, positions in the padded region, values as bytes)."""
     reach = -(-cut.halo // cut.side)
-    directions = np.array(list(product(range(-reach, reach + 1), repeat=3)))
+    steps = range(-reach, reach + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.stack([batch.column(n_keys + k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
+            at = [batch.column(n_keys + k).to_numpy().astype(np.int64) for k in range(3)]
             values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys + 3, batch.num_columns)]
             group = _group_codes(batch.columns[:n_keys], batch.num_rows)
-            held, own = np.unique(at // cut.side, axis=0, return_inverse=True)
+            blocks = [a // cut.side for a in at]
+            # by axis and step: is there such a block, and does its padded region hold the voxel?
+            held = [{d: _reached(a - b * cut.side, b + d, d, cut, k) for d in steps} for k, (a, b) in enumerate(zip(at, blocks))]
             which, targets = [], []
-            for d in directions:
-                there = cut.exists(held + d)  # most directions leave a small volume
-                if not there.any():
-                    continue
-                lo, hi = (v[own.ravel()] for v in cut.region(held + d))
-                sent = np.flatnonzero(((at >= lo) & (at < hi)).all(axis=1) & there[own.ravel()])
-                which.append(sent)
-                targets.append((held + d)[own.ravel()[sent]])
-            which, targets = np.concatenate(which), np.concatenate(targets)
-            order = np.lexsort((*targets.T[::-1], group[which]))
-            which, targets = which[order], targets[order]
-            lo, hi = cut.region(targets)
-            inside, size = at[which] - lo, hi - lo
-            place = ((inside[:, 0] * size[:, 1] + inside[:, 1]) * size[:, 2] + inside[:, 2]).astype(np.int32)
-            new = (np.diff(group[which], prepend=-1) != 0) | (np.diff(targets, axis=0, prepend=targets[:1] - 1) != 0).any(axis=1)
+            for d in product(steps, repeat=3):
+                sent = np.flatnonzero(held[0][d[0]] & held[1][d[1]] & held[2][d[2]])
+                if len(sent):  # most directions leave a small volume
+                    which.append(sent)
+                    targets.append(np.stack([b[sent] + o for b, o in zip(blocks, d)]))
+            if not which:
+                continue
+            which, targets = np.concatenate(which), np.concatenate(targets, axis=1)
+            order = _row_order([group[which], *targets])
+            which, targets = which[order], targets[:, order]
+            new = np.diff(group[which], prepend=-1) != 0
+            for t in targets:
+                new[1:] |= t[1:] != t[:-1]
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(which))
+            targets = targets[:, starts].T
+            lo, hi = cut.region(targets)
+            row = np.repeat(np.arange(len(starts)), ends - starts)
+            size = hi - lo
+            z, y, x = (a[which] - lo[row, k] for k, a in enumerate(at))
+            place = ((z * size[row, 1] + y) * size[row, 2] + x).astype(np.int32)
             cells = [place, *[v[which] for v in values]]
             first = pa.array(which[starts])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[c.take(first) for c in batch.columns[:n_keys]],
-                    *[pa.array(targets[starts, k].astype(np.int32)) for k in range(3)],
+                    *[pa.array(targets[:, k].astype(np.int32)) for k in range(3)],
                     *[pa.array([c[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c in cells],
                 ],
                 [*batch.schema.names[:n_keys], "_bz", "_by", "_bx", "_at", *[f"_v{k}" for k in range(len(values))]],

@@ -567,7 +567,8 @@ def v25(t):
 def j19(t):
     from voxelmetry.operators.alignment import search_alignment
 
-    return _rounded(search_alignment(t.vox, sheet(t), BY, reach=2, rounds=2))
+    v = cut_lineage(t.vox.select(*HERE, "ct", "label"), "voxels")
+    return _rounded(search_alignment(v, v.where("label = 1"), BY, reach=2, rounds=2))
 
 
 @query(
