@@ -216,6 +216,21 @@ def test_window_starts(spark, size, patch, step):
     assert chunks.count() == per_axis**3
 
 
+def test_record_files_are_few_and_bounded(spark, monkeypatch):
+    """A file holds a stretch of PER_FILE numbers, not a hundred, and all rows come back."""
+    import os
+
+    from voxelmetry.plans import catalog_queries as Q
+
+    rows = spark.range(25_000).select(F.col("id").alias("no"), F.col("id").cast("string").alias("sample"), F.lit("ok").alias("status"))
+    for per_file, n_files in ((10_000, 3), (4_000, 7)):
+        monkeypatch.setattr(Q, "PER_FILE", per_file)
+        path = Q.written_arrays(rows, "no", "records")
+        assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == n_files
+        back = R.read_records(spark, path, glob="*.txt")
+        assert sorted(int(r.sample) for r in back.select("sample").collect()) == list(range(25_000))
+
+
 def test_chunk_touches_are_those_of_all_windows_and_windows_are_no_rows(spark, monkeypatch):
     """Counts by axes equal those of windows as rows, for repeated, small and unsized volumes; no task holds many chunks."""
     rows = [(0, 700, 192, 256), (0, 300, 100, 641), (1, 0, 192, 193), (2, None, 192, 192), (3, 1000, 500, 384), (3, 1000, 500, 384)]

@@ -36,10 +36,17 @@ def shaped(t):
     return runs, cts
 
 
-def written_arrays(rows, name: str) -> str:
-    """Writes JSON files under the shared folder, each one array of the rows (r) of a bounded part, and returns the folder."""
+# rows of a JSON file; a reader holds one file's array in a task
+PER_FILE = 10_000
+
+
+def written_arrays(rows, number: str, name: str) -> str:
+    """Writes JSON files under the shared folder, each one array of the rows whose ``number`` lies in one stretch of PER_FILE,
+    and returns the folder. The number itself, which no two rows should share, is not written."""
     path = f"{checkpoint_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    text = rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
+    part = F.floor(F.col(number) / PER_FILE).alias("part")
+    record = F.struct(*[c for c in rows.columns if c != number])
+    text = rows.select(part, record.alias("r")).groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
     text.repartition("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -92,9 +99,7 @@ def f4(t):
 @query("s2_catalogue_scan", CAT + " SELECT scroll, prediction, run_id, model, threshold, ct_volume, declared_level, actual_level, status, pz * 1::BIGINT * py * px AS voxels FROM cat JOIN runs USING (scroll) WHERE runs.name = prediction")
 def s2b(t):
     rows = catalogue(t).join(t.runs.select("run_no", "scroll", F.col("name").alias("prediction"), F.array("pz", "py", "px").alias("pred_shape")), ["scroll", "prediction"])
-    part = F.floor(F.col("run_no") / 100)
-    files = written_arrays(rows.select(F.struct(*[c for c in rows.columns if c != "run_no"]).alias("r"), part.alias("part")), "catalogue")
-    back = R.read_catalogue(t.spark, files)
+    back = R.read_catalogue(t.spark, written_arrays(rows, "run_no", "catalogue"))
     return back.select(*CATCOLS.split(", "), N.shape_product("pred_shape").alias("voxels"))
 
 
@@ -317,9 +322,9 @@ def f12(t):
 
 @query("s1_record_scan", "SELECT status, count(*) AS n, count(recall) AS n_recall, round(avg(recall), 6) AS mean FROM records GROUP BY 1")
 def s1(t):
-    # record files in the shared folder: one array of records for every hundred ids
-    record = F.struct(F.col("event_id").cast("string").alias("sample"), "status", "recall")
-    parsed = R.read_records(t.spark, written_arrays(t.records.select(record.alias("r"), F.floor(F.col("event_id") / 100).alias("part")), "records"), glob="*.txt")
+    # record files in the shared folder: one array of records for every stretch of ids
+    rows = t.records.select("event_id", F.col("event_id").cast("string").alias("sample"), "status", "recall")
+    parsed = R.read_records(t.spark, written_arrays(rows, "event_id", "records"), glob="*.txt")
     return parsed.groupBy("status").agg(F.count("*").alias("n"), F.count("recall").alias("n_recall"), r6(F.avg("recall")).alias("mean"))
 
 
