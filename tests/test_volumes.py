@@ -243,6 +243,34 @@ def test_contact_masks_do_not_depend_on_the_blocks(spark, mask):
             assert {tuple(c) for c in got.where(f"radius = {r}").select("z", "y", "x").collect()} == {tuple(int(v) for v in c) for c in np.argwhere(want)}
 
 
+def test_blocks_without_own_voxels_are_passed_over(spark):
+    """A voxel in the corner of a block reaches eight, one on a face two; a kernel that answers at stored voxels runs in its own alone."""
+    df = spark.createDataFrame([(1, 0, 0, 0, 1.0), (2, 64, 3, 70, 1.0)], "v INT, z INT, y INT, x INT, m DOUBLE")
+    once = lambda b: pd.DataFrame({"z": [0], "y": [0], "x": [0], "_": [True]})
+    for at_voxels, calls in ((True, 2), (False, 8 + 2)):
+        spec = B.KernelSpec("once", 1, "_ BOOLEAN", once, at_voxels)
+        assert B.run_kernel(df, BY, None, ["m"], spec).count() == calls
+    line = spark.createDataFrame([(1, 1, 1, x) for x in range(60, 70)], "v INT, z INT, y INT, x INT")
+    assert sorted(r.x for r in V.erode(line, BY, [(0, 0, 1), (0, 0, -1)]).collect()) == list(range(61, 69))
+
+
+def test_many_small_planes_are_answered_together(spark, monkeypatch):
+    """Distances in many volumes, answered in a few batches or one by one, against all pairs."""
+    rng = np.random.default_rng(6)
+    shape = (5, 6, 7)
+    draw = lambda n: sorted({tuple(map(int, r)) for r in np.stack([rng.integers(0, k, n) for k in (30, *shape)], axis=1)})
+    points, targets = draw(300), [t for t in draw(120) if t[0] != 7]
+    df = lambda rows: spark.createDataFrame(rows, "v INT, z INT, y INT, x INT")
+    want = {p: min((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(p[1:], t[1:])))) for t in targets if t[0] == p[0]), default=None) for p in points}
+    for cells, span in ((1 << 15, 1 << 28), (0, 1 << 28), (40, 100)):
+        monkeypatch.setattr(V, "CELLS", cells)
+        monkeypatch.setattr(V, "SPAN", span)
+        for limit in (None, 1.5):
+            got = {(r.v, r.z, r.y, r.x): r.distance for r in V.distance(df(points), df(targets), BY, shape, limit).collect()}
+            near = {p: d if d is not None and (limit is None or d <= limit) else None for p, d in want.items()}
+            assert got.keys() == near.keys() and all((got[p] is None) == (d is None) and (d is None or abs(got[p] - d) < 1e-12) for p, d in near.items())
+
+
 def test_displacements_count_pairs_of_voxels_whatever_the_blocks(spark):
     """Offsets of scattered, repeated and far voxels against plain loops, and the totals that a contrast needs."""
     from voxelmetry.operators import alignment as AL

@@ -55,6 +55,7 @@ class KernelSpec:
     halo: int
     out_schema: str
     fn: Callable[[Block], pd.DataFrame]
+    at_voxels: bool = False  # it returns stored voxels only, so that a block without voxels of its own is passed over
 
 
 @dataclass(frozen=True)
@@ -199,6 +200,23 @@ def gathered(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
         yield last, held
 
 
+# rows of a batch that a task passes on; the rows of small volumes are too few for batches of their own
+ROWS = 8192
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS at least, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def dense_arrays(rows: list[dict], size: np.ndarray, n: int, dtype: type = np.float64) -> list[np.ndarray]:
     arrays = [np.zeros(int(np.prod(size)), dtype) for _ in range(n)]
     for row in rows:
@@ -226,7 +244,7 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None
     ddl = keys + f"z INT, y INT, x INT, {spec.out_schema}"
     schema, fn, n_keys = to_arrow_schema(T.StructType.fromDDL(ddl)), spec.fn, len(by)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in gathered(batches, n_keys):
             block = np.array(key[n_keys:])
             (start, stop), (lo, hi) = cut.region(block), cut.core(block)
@@ -234,6 +252,8 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None
                 # nothing lies beyond the stored voxels, so that a kernel need look no farther than its halo around them
                 places = np.concatenate([np.frombuffer(row["_at"], np.int32) for row in held])
                 at = np.stack(np.unravel_index(places, stop - start), axis=1) + start
+                if spec.at_voxels and not ((at >= lo) & (at < hi)).all(axis=1).any():
+                    continue
                 first, last = np.maximum(at.min(axis=0) - spec.halo, start), np.minimum(at.max(axis=0) + spec.halo + 1, stop)
                 held = moved(held, start, stop - start, first, last - first)
                 start, stop = first, last
@@ -244,6 +264,9 @@ def run_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None
                 own = [pa.array([k] * len(out), f.type) for k, f in zip(key[:n_keys], schema)]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(out[f.name], f.type) for f in list(schema)[n_keys:]]], schema=schema)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return joined(answers(batches))
+
     blocks = [*by, "_bz", "_by", "_bx"]
     return spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(work, ddl)
 

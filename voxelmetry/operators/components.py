@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelmetry.functions.expr import count_if, ratio, rows_of, share
 from voxelmetry.operators import volumes as V
-from voxelmetry.operators.blocks import Cut, gathered, packed
+from voxelmetry.operators.blocks import Cut, gathered, joined, packed
 from voxelmetry.operators.distribution import cumulative, quantiles_from
 from voxelmetry.operators.graph import components
 from voxelmetry.operators.spatial import bounding_boxes, near_boxes, nearest_distance
@@ -64,7 +64,7 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in mask.select(*by).schema) + "z INT, y INT, x INT, piece BIGINT"
     schema, n_keys = to_arrow_schema(T.StructType.fromDDL(ddl)), len(by)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in gathered(batches, n_keys):
             at = np.unique(np.concatenate([np.frombuffer(r["_at"], np.int32) for r in held]))
             z, y, x = (i + o for i, o in zip(np.unravel_index(at, (block,) * 3), cut.core(np.array(key[n_keys:]))[0]))
@@ -72,6 +72,9 @@ def label_voxels(mask: DataFrame, by: Sequence[str], block: int = 16) -> DataFra
             own = [pa.array([k] * len(at), f.type) for k, f in zip(key[:n_keys], schema)]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(a.astype(np.int32)) for a in (z, y, x)], pa.array(piece)], schema=schema)
 
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return joined(labelled(batches))
+
     blocks = [*by, "_bz", "_by", "_bx"]
     local = cut_lineage(spread(rows, *blocks).sortWithinPartitions(*blocks).mapInArrow(label, ddl), "pieces")
 

@@ -60,8 +60,8 @@ def _moved(mask: np.ndarray, offset: Sequence[int]) -> np.ndarray:
     return out
 
 
-def _mask_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None, offsets: Sequence[tuple], steps: Sequence[Callable]) -> DataFrame:
-    """Packed blocks of the mask through ``steps`` (each combines the moved masks); a block's halo is all they reach."""
+def _mask_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | None, offsets: Sequence[tuple], steps: Sequence[Callable], at_voxels: bool = False) -> DataFrame:
+    """Packed blocks of the mask through ``steps`` (each combines moved masks); a block's halo is all they reach."""
     from voxelmetry.operators.blocks import Block, KernelSpec, nothing, run_kernel
 
     offs = sorted(set(offsets) | {(0, 0, 0)})
@@ -69,20 +69,20 @@ def _mask_kernel(voxels: DataFrame, by: Sequence[str], shape: Sequence[int] | No
     def fn(block: Block) -> pd.DataFrame:
         mask = block.arrays["_m"] > 0
         for step in steps:
-            mask = step([_moved(mask, o) for o in offs], [_moved(mask, [-v for v in o]) for o in offs])
+            mask = step(mask, offs)
         at = block.core_points(mask)
-        return pd.DataFrame(dict(zip(AT, at.T.astype("int32")))) if len(at) else nothing(AT)
+        return pd.DataFrame({**dict(zip(AT, at.T.astype("int32"))), "_": True}) if len(at) else nothing([*AT, "_"])
 
-    spec = KernelSpec("mask", len(steps) * max(abs(v) for o in offs for v in o), "_ BOOLEAN", lambda b: fn(b).assign(_=True))
+    spec = KernelSpec("mask", len(steps) * max(abs(v) for o in offs for v in o), "_ BOOLEAN", fn, at_voxels)
     return run_kernel(voxels.select(*by, *AT, F.lit(1.0).alias("_m")), by, shape, ["_m"], spec).drop("_")
 
 
-def _grown(moved: list[np.ndarray], back: list[np.ndarray]) -> np.ndarray:
-    return np.logical_or.reduce(moved)
+def _grown(mask: np.ndarray, offsets: Sequence[tuple]) -> np.ndarray:
+    return np.logical_or.reduce([_moved(mask, o) for o in offsets])
 
 
-def _shrunk(moved: list[np.ndarray], back: list[np.ndarray]) -> np.ndarray:
-    return np.logical_and.reduce(back)
+def _shrunk(mask: np.ndarray, offsets: Sequence[tuple]) -> np.ndarray:
+    return np.logical_and.reduce([_moved(mask, [-v for v in o]) for o in offsets])
 
 
 def dilate(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
@@ -92,7 +92,7 @@ def dilate(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Se
 
 def erode(mask: DataFrame, by: Sequence[str], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
     """Voxels whose every offset neighbour is in the mask; outside the volume counts as not in it."""
-    return _mask_kernel(mask, by, None, offsets, [_shrunk] * times)
+    return _mask_kernel(mask, by, None, offsets, [_shrunk] * times, at_voxels=True)
 
 
 def close(mask: DataFrame, by: Sequence[str], shape: Sequence[int], offsets: Sequence[tuple] = FACES, times: int = 1) -> DataFrame:
@@ -129,6 +129,8 @@ def interface(voxels: DataFrame, by: Sequence[str], shape: Sequence[int], empty:
 
 # lines of a plane that are looked at together
 LINES = 1024
+# sites and asked positions after which the planes of a task so far are answered, and the same times the length of their lines
+CELLS, SPAN = 1 << 15, 1 << 28
 
 
 def lower_envelope(starts: np.ndarray, counts: np.ndarray, pos: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,37 +239,58 @@ def _nearest_along(sites: DataFrame, asked: DataFrame, by: Sequence[str], axes:
     order = ["_plane", "_tile", "_line", "_pos", "_val", "_ask"]
     join = lambda parts, kind: np.concatenate([np.frombuffer(p, kind) for p in parts]) if parts else np.empty(0, kind)
 
-    def answer(key: tuple, held: list[dict]) -> pa.RecordBatch | None:
-        own = [r for r in held if r["_val"] is not None]
-        line, pos, val = (join([r[c] for r in own], k) for c, k in (("_line", np.int32), ("_pos", np.int32), ("_val", np.float64)))
-        wanted = [r["_ask"] for r in held if r["_ask"] is not None]
-        if wanted:
-            lines, positions = np.unique(line), np.unique(np.concatenate([np.array(w, np.int32) for w in wanted]))
-            ask_line, ask = np.repeat(lines, len(positions)), np.tile(positions, len(lines))
+    def answer(keys: list[tuple], held: list[tuple[int, dict]]) -> pa.RecordBatch | None:
+        """The cells of many planes and tiles at once; ``held``: packed rows, each with the number of its key."""
+        own, asking = [(c, r) for c, r in held if r["_val"] is not None], [(c, r) for c, r in held if r["_val"] is None]
+        if not own or not asking:
+            return None
+        of = lambda some, size: np.repeat(np.array([c for c, _ in some], np.int64), [size(r) for _, r in some])
+        cell, (line, pos, val) = of(own, lambda r: len(r["_val"]) // 8), (join([r[c] for _, r in own], k) for c, k in (("_line", np.int32), ("_pos", np.int32), ("_val", np.float64)))
+        listed = asking[0][1]["_ask"] is not None
+        ask_line = np.empty(0, np.int32) if listed else join([r["_line"] for _, r in asking], np.int32)
+        low = min(line.min(), ask_line.min(initial=line.min())).astype(np.int64)
+        wide = max(line.max(), ask_line.max(initial=line.max())) - low + 1
+        name = cell * wide + (line - low)
+        if listed:
+            # the positions that a key asks for, on each of its lines that has a site
+            places = np.unique(np.stack([of(asking, lambda r: len(r["_ask"])), np.concatenate([np.array(r["_ask"], np.int64) for _, r in asking])]), axis=1)
+            n = np.bincount(places[0], minlength=len(keys))
+            lines = np.unique(name)
+            each = n[lines // wide]
+            ask_name = np.repeat(lines, each)
+            nth = np.arange(len(ask_name)) - np.repeat(np.cumsum(each) - each, each)
+            ask = places[1][nth + np.repeat((np.cumsum(n) - n)[lines // wide], each)].astype(np.int32)
         else:
-            other = [r for r in held if r["_val"] is None]
-            ask_line, ask = (join([r[c] for r in other], np.int32) for c in ("_line", "_pos"))
-        d2 = nearest_on_lines(line, pos, val, ask_line, ask)
+            ask_name, ask = of(asking, lambda r: len(r["_pos"]) // 4) * wide + (ask_line - low), join([r["_pos"] for _, r in asking], np.int32)
+        d2 = nearest_on_lines(name, pos, val, ask_name, ask)
         near = np.flatnonzero(d2 <= bound) if np.isfinite(bound) else np.flatnonzero(np.isfinite(d2))
         if not len(near):
             return None
-        at = dict(zip(axes, (np.full(len(near), key[-2], np.int32), ask_line[near], ask[near])))
-        return pa.RecordBatch.from_arrays([*[pa.array([k] * len(near), f.type) for k, f in zip(key[:n_keys], schema)], *[pa.array(at[a]) for a in AT], pa.array(d2[near])], schema=schema)
+        which = pa.array(ask_name[near] // wide)
+        plane = pa.array([k[-2] for k in keys], pa.int32()).take(which)
+        at = dict(zip(axes, (plane, pa.array((ask_name[near] % wide + low).astype(np.int32)), pa.array(ask[near]))))
+        named = [pa.array([k[i] for k in keys], f.type).take(which) for i, f in zip(range(n_keys), schema)]
+        return pa.RecordBatch.from_arrays([*named, *[at[a] for a in AT], pa.array(d2[near])], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        keys, held, n, lowest, highest = [], [], 0, 0, 0
         for batch in batches:
             for row in batch.to_pylist():
                 key = tuple(row.values())[: n_keys + 2]
-                if held and key != last:
-                    out = answer(last, held)
-                    if out is not None:
-                        yield out
-                    held = []
-                held.append(row)
-                last = key
-        if held:
-            out = answer(last, held)
+                if not keys or key != keys[-1]:
+                    # keys are answered together; the numbers that tell lines and positions apart stay small
+                    if n > CELLS or n * (highest - lowest + 2) > SPAN:
+                        out = answer(keys, held)
+                        if out is not None:
+                            yield out
+                        keys, held, n, lowest, highest = [], [], 0, 0, 0
+                    keys.append(key)
+                held.append((len(keys) - 1, row))
+                pos = np.frombuffer(row["_pos"], np.int32) if row["_ask"] is None else np.array(row["_ask"])
+                if len(pos):
+                    n, lowest, highest = n + len(pos), min(lowest, pos.min()), max(highest, pos.max())
+        if keys:
+            out = answer(keys, held)
             if out is not None:
                 yield out
 
